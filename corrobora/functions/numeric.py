@@ -11,9 +11,16 @@ from pyspark.sql import functions as F
 NEG_INF = float("-inf")
 
 
+def nudge(digits: int) -> float:
+    return float(f"1.7e-{digits + 3}")
+
+
 def rounded(value: Column, digits: int = 6) -> Column:
-    """Round for presentation; adding zero turns -0.0 into 0.0."""
-    return F.round(value, digits) + F.lit(0.0)
+    """Round for presentation; adding zero turns -0.0 into 0.0.
+
+    The nudge keeps exact halves from depending on the last bit of a sum's order.
+    """
+    return F.round(value + F.lit(nudge(digits)), digits) + F.lit(0.0)
 
 
 def null_if_nan(value: Column) -> Column:

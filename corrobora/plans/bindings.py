@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corrobora.functions.numeric import nudge
 from corrobora.operators import contracts, counts as ops
 from corrobora.sources.tables import load
 
@@ -105,7 +106,7 @@ def values(items: list[str], table: str, column: str) -> str:
 
 
 def r(expression: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0.0"
+    return f"round(({expression}) + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0::DOUBLE"
 
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
