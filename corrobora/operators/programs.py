@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.numeric import share
 from corrobora.functions.strings import list_text
-from corrobora.operators.ranking import balanced_scores, score_grid
+from corrobora.operators.ranking import ALL_DONORS, TIE_TOLERANCE, comparisons, omission_sets
 
 
 def panel_coverage(panels: DataFrame, expressed: DataFrame, min_genes: int, min_fraction: float) -> DataFrame:
@@ -77,23 +77,24 @@ def program_context(scores: DataFrame, keys: Sequence[str], types: Sequence[str]
 
     Scores may be negative, so the top is simply the first declared maximum.
     """
-    grid, cells = score_grid(scores.withColumn("_v", F.round("score", 9)), keys, types, donors, F.col("_v"))
-
-    def top(kept: Sequence[str]):
-        values = balanced_scores(cells, types, kept)
-        best = F.greatest(*values)
-        return F.coalesce(*[F.when(F.abs(v - best) <= 1e-10, F.lit(t)) for v, t in zip(values, types)])
-
-    overall = top(donors)
-    folds = [top([d for d in donors if d != omitted]) for omitted in donors]
-    agree = F.lit(0)
-    for f in folds:
-        agree = agree + F.coalesce(f == overall, F.lit(False)).cast("int")
-    return grid.select(
+    folds = comparisons(
+        scores.withColumn("_v", F.round("score", 9)), keys, types, omission_sets(donors), F.col("_v")
+    )
+    names = F.array(*[F.lit(t) for t in types])
+    best = folds.withColumn("_best", F.array_max("scores"))
+    near = F.filter(
+        F.transform("scores", lambda x, i: F.when(F.abs(x - F.col("_best")) <= TIE_TOLERANCE, i)), lambda i: i.isNotNull()
+    )
+    tops = best.select(*keys, "donor_set", F.get(names, F.get(near, F.lit(0))).alias("_top"))
+    base = F.max(F.when(F.col("donor_set") == ALL_DONORS, F.col("_top")))
+    fold = [F.max(F.when(F.col("donor_set") == d, F.col("_top"))).alias(f"_f{i}") for i, d in enumerate(donors)]
+    wide = tops.groupBy(*keys).agg(base.alias("relative_top_type"), *fold)
+    same = [F.coalesce(F.col(f"_f{i}") == F.col("relative_top_type"), F.lit(False)).cast("bigint") for i in range(len(donors))]
+    return wide.select(
         *keys,
-        overall.alias("relative_top_type"),
-        agree.alias("agreeing_folds"),
-        F.concat_ws(";", *folds).alias("fold_top_types"),
+        "relative_top_type",
+        sum(same[1:], same[0]).alias("agreeing_folds"),
+        F.concat_ws(";", *[f"_f{i}" for i in range(len(donors))]).alias("fold_top_types"),
     )
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,42 +50,58 @@ def floor_rank_bins(
     return ranked.withColumn(name, F.least(F.lit(bins - 1), floor).cast("int")).drop("_rank", "_m")
 
 
-def unique_winner(scores: Sequence[Column], types: Sequence[str]) -> tuple[Column, Column, Column]:
-    """Label, status and score of the largest of ``scores`` (given in the order of ``types``).
+def unique_winner(df: DataFrame, types: Sequence[str], scores: str = "scores") -> DataFrame:
+    """Add ``top_type``, ``status`` and ``top_score`` for an array of scores in the order of ``types``.
 
     A missing score makes the comparison ``insufficient_groups``; a maximum that is not
     positive is ``no_UMIs`` even when tied; more than one score at the maximum is a ``tie``.
     """
-    scores = list(scores)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    missing = reduce(or_, [s.isNull() | F.isnan(s) for s in scores])
-    near = [F.abs(s - best) <= F.lit(TIE_TOLERANCE) for s in scores]
-    n_near = reduce(add, [n.cast("int") for n in near])
+    judged = _judge(df, scores)
     status = (
-        F.when(missing, "insufficient_groups")
-        .when(best <= 0, "no_UMIs")
-        .when(n_near > 1, "tie")
+        F.when(F.col("_missing"), "insufficient_groups")
+        .when(F.col("_best") <= 0, "no_UMIs")
+        .when(F.size("_near") > 1, "tie")
         .otherwise("unique")
     )
-    first = F.coalesce(*[F.when(n, F.lit(t)) for n, t in zip(near, types)])
-    return F.when(status == "unique", first), status, F.when(~missing, best)
+    label = F.get(_literals(types), F.get("_near", F.lit(0)))
+    return (
+        judged.withColumn("status", status)
+        .withColumn("top_type", F.when(F.col("status") == "unique", label))
+        .withColumn("top_score", F.when(~F.col("_missing"), F.col("_best")))
+        .drop("_best", "_missing", "_near")
+    )
 
 
-def joined_winners(scores: Sequence[Column], types: Sequence[str]) -> tuple[Column, Column, Column]:
+def joined_winners(df: DataFrame, types: Sequence[str], scores: str = "scores") -> DataFrame:
     """Text variant: all tied names joined, and zero (not negative) maxima count as no signal."""
-    scores = list(scores)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    missing = reduce(or_, [s.isNull() | F.isnan(s) for s in scores])
-    near = [F.abs(s - best) <= F.lit(TIE_TOLERANCE) for s in scores]
-    n_near = reduce(add, [n.cast("int") for n in near])
+    judged = _judge(df, scores)
     status = (
-        F.when(missing, "insufficient_groups")
-        .when(best == 0, "no_detected_UMIs")
-        .when(n_near > 1, "tie")
+        F.when(F.col("_missing"), "insufficient_groups")
+        .when(F.col("_best") == 0, "no_detected_UMIs")
+        .when(F.size("_near") > 1, "tie")
         .otherwise("unique")
     )
-    names = F.concat_ws(";", *[F.when(n, F.lit(t)) for n, t in zip(near, types)])
-    return F.when(status.isin("tie", "unique"), names), status, F.when(~missing, best)
+    names = F.array_join(F.transform("_near", lambda i: F.get(_literals(types), i)), ";")
+    return (
+        judged.withColumn("status", status)
+        .withColumn("top_type", F.when(F.col("status").isin("tie", "unique"), names))
+        .withColumn("top_score", F.when(~F.col("_missing"), F.col("_best")))
+        .drop("_best", "_missing", "_near")
+    )
+
+
+def _literals(labels: Sequence[str]) -> Column:
+    return F.array(*[F.lit(x) for x in labels])
+
+
+def _judge(df: DataFrame, scores: str) -> DataFrame:
+    """Maximum, whether any score is missing, and the positions within the tie tolerance."""
+    place = lambda x, i: F.when(F.abs(x - F.col("_best")) <= TIE_TOLERANCE, i)
+    return (
+        df.withColumn("_missing", F.exists(scores, lambda x: x.isNull() | F.isnan(x)))
+        .withColumn("_best", F.array_max(scores))
+        .withColumn("_near", F.filter(F.transform(scores, place), lambda i: i.isNotNull()))
+    )
 
 
 def first_maximum(label: str, score: str, types: Sequence[str]) -> Column:
@@ -94,20 +110,22 @@ def first_maximum(label: str, score: str, types: Sequence[str]) -> Column:
     return F.max_by(F.col(label), F.struct(F.col(score), -order))
 
 
-def score_grid(
+def comparisons(
     df: DataFrame,
     keys: Sequence[str],
     types: Sequence[str],
-    donors: Sequence[str],
+    donor_sets: Mapping[str, Sequence[str]],
     score: Column,
     type_col: str = "cell_type",
     donor_col: str = "donor",
-) -> tuple[DataFrame, dict[tuple[str, str], Column]]:
-    """One row per key with one column for each declared type and donor.
+) -> DataFrame:
+    """Equal-donor mean scores of each declared type, for several sets of donors.
 
-    Everything that compares types or leaves donors out is then plain column
-    arithmetic on that row: one shuffle, combined before it moves.
+    One shuffle by key brings a key's few scores together, combined before they move; every
+    donor set is then arithmetic on that row. One row per key and set, with ``scores`` in the
+    order of ``types`` and NULL where no listed donor has a score.
     """
+    donors = list(dict.fromkeys(d for members in donor_sets.values() for d in members))
     names = {(t, d): f"_s{i}_{j}" for i, t in enumerate(types) for j, d in enumerate(donors)}
     grid = df.groupBy(*keys).agg(
         *[
@@ -115,107 +133,82 @@ def score_grid(
             for (t, d), n in names.items()
         ]
     )
-    return grid, {key: F.col(n) for key, n in names.items()}
+    sets = [
+        F.struct(
+            F.lit(label).alias("donor_set"),
+            F.array(*[mean_present([F.col(names[(t, d)]) for d in members]) for t in types]).alias("scores"),
+        )
+        for label, members in donor_sets.items()
+    ]
+    return grid.select(*keys, F.explode(F.array(*sets)).alias("_c")).select(*keys, "_c.donor_set", "_c.scores")
+
 
+ALL_DONORS = "all"
 
-def balanced_scores(
-    cells: dict[tuple[str, str], Column], types: Sequence[str], donors: Sequence[str]
-) -> list[Column]:
-    """Equal-donor mean for each type over the given donors."""
-    return [mean_present([cells[(t, d)] for d in donors]) for t in types]
+
+def omission_sets(donors: Sequence[str]) -> dict[str, list[str]]:
+    """All donors, and all but each one (named by the donor left out)."""
+    return {ALL_DONORS: list(donors), **{d: [x for x in donors if x != d] for d in donors}}
 
 
 def leave_one_out(
-    df: DataFrame,
-    keys: Sequence[str],
-    types: Sequence[str],
-    donors: Sequence[str],
-    score: Column,
+    df: DataFrame, keys: Sequence[str], types: Sequence[str], donors: Sequence[str], score: Column
 ) -> DataFrame:
-    """Winner over all donors and again with each donor left out, in long form."""
-    grid, cells = score_grid(df, keys, types, donors, score)
-    top, status, best = unique_winner(balanced_scores(cells, types, donors), types)
-    base = grid.select(
-        *keys,
-        *[c for c in grid.columns if c.startswith("_s")],
-        top.alias("baseline_top_type"),
-        status.alias("baseline_status"),
-        best.alias("baseline_score"),
-    )
-    folds = []
-    for omitted in donors:
-        kept = [d for d in donors if d != omitted]
-        f_top, f_status, f_best = unique_winner(balanced_scores(cells, types, kept), types)
-        folds.append(
-            F.struct(
-                F.lit(omitted).alias("omitted_donor"),
-                f_top.alias("fold_top_type"),
-                f_status.alias("fold_status"),
-                f_best.alias("fold_score"),
+    """Winner over all donors and again with each donor left out, one row per key and fold."""
+    won = unique_winner(comparisons(df, keys, types, omission_sets(donors), score), types)
+    return judge_folds(won, keys)
+
+
+def judge_folds(won: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put each fold beside the winner over all donors; a fold counts only if both are unique."""
+    base = F.col("donor_set") == ALL_DONORS
+    gathered = won.groupBy(*keys).agg(
+        F.max(F.when(base, F.col("top_type"))).alias("baseline_top_type"),
+        F.max(F.when(base, F.col("status"))).alias("baseline_status"),
+        F.max(F.when(base, F.col("top_score"))).alias("baseline_score"),
+        F.collect_list(
+            F.when(
+                ~base,
+                F.struct(
+                    F.col("donor_set").alias("omitted_donor"),
+                    F.col("top_type").alias("fold_top_type"),
+                    F.col("status").alias("fold_status"),
+                    F.col("top_score").alias("fold_score"),
+                ),
             )
-        )
-    long = base.select(
-        *keys,
-        "baseline_top_type",
-        "baseline_status",
-        "baseline_score",
-        F.explode(F.array(*folds)).alias("_fold"),
-    ).select("*", "_fold.*").drop("_fold")
+        ).alias("_folds"),
+    )
+    long = gathered.withColumn("_f", F.explode("_folds")).select("*", "_f.*").drop("_f", "_folds")
     evaluable = (F.col("baseline_status") == "unique") & (F.col("fold_status") == "unique")
     return long.withColumn("evaluable", evaluable).withColumn(
-        "agrees", evaluable & (F.col("baseline_top_type") == F.col("fold_top_type"))
+        "agrees", F.col("evaluable") & F.coalesce(F.col("baseline_top_type") == F.col("fold_top_type"), F.lit(False))
     )
 
 
 def stability(
-    df: DataFrame,
-    keys: Sequence[str],
-    types: Sequence[str],
-    donors: Sequence[str],
-    score: Column,
+    df: DataFrame, keys: Sequence[str], types: Sequence[str], donors: Sequence[str], score: Column
 ) -> DataFrame:
     """One row per key: winner plus agreeing and evaluable leave-one-out folds."""
-    grid, cells = score_grid(df, keys, types, donors, score)
-    top, status, best = unique_winner(balanced_scores(cells, types, donors), types)
-    agree, valid = F.lit(0), F.lit(0)
-    for omitted in donors:
-        kept = [d for d in donors if d != omitted]
-        f_top, f_status, _ = unique_winner(balanced_scores(cells, types, kept), types)
-        usable = (status == "unique") & (f_status == "unique")
-        valid = valid + usable.cast("int")
-        agree = agree + F.coalesce(usable & (f_top == top), F.lit(False)).cast("int")
-    return grid.select(
-        *keys,
-        top.alias("top_type"),
-        status.alias("status"),
-        best.alias("top_score"),
-        agree.alias("agreeing_folds"),
-        valid.alias("evaluable_folds"),
-        ((agree == len(donors)) & (valid == len(donors))).alias("all_folds_agree"),
+    folds = leave_one_out(df, keys, types, donors, score)
+    tally = folds.groupBy(*keys).agg(
+        F.max("baseline_top_type").alias("top_type"),
+        F.max("baseline_status").alias("status"),
+        F.max("baseline_score").alias("top_score"),
+        F.count_if("agrees").alias("agreeing_folds"),
+        F.count_if("evaluable").alias("evaluable_folds"),
     )
+    n = len(donors)
+    return tally.withColumn("all_folds_agree", (F.col("agreeing_folds") == n) & (F.col("evaluable_folds") == n))
 
 
 def donor_winners(
-    df: DataFrame,
-    keys: Sequence[str],
-    types: Sequence[str],
-    donors: Sequence[str],
-    score: Column,
+    df: DataFrame, keys: Sequence[str], types: Sequence[str], donors: Sequence[str], score: Column
 ) -> DataFrame:
     """Winner within each single donor."""
-    grid, cells = score_grid(df, keys, types, donors, score)
-    per = []
-    for donor in donors:
-        top, status, best = joined_winners([cells[(t, donor)] for t in types], types)
-        per.append(
-            F.struct(
-                F.lit(donor).alias("donor"),
-                top.alias("top_type"),
-                status.alias("status"),
-                best.alias("top_score"),
-            )
-        )
-    return grid.select(*keys, F.explode(F.array(*per)).alias("_d")).select(*keys, "_d.*")
+    scores = comparisons(df, keys, types, {d: [d] for d in donors}, score)
+    return joined_winners(scores, types).select(
+        *keys, F.col("donor_set").alias("donor"), "top_type", "status", "top_score"
+    )
 
 
 def spearman(df: DataFrame, groups: Sequence[str], left: str, right: str) -> DataFrame:
@@ -235,25 +228,25 @@ def guarded_correlation(x: Column, y: Column) -> Column:
     return F.when(varies, F.try_divide(F.covar_pop(x, y), spread))
 
 
-def row_average_ranks(values: Sequence[Column]) -> list[Column]:
-    """Average ranks of a fixed list of columns within one row."""
-    out = []
-    for v in values:
-        less = reduce(add, [(w < v).cast("double") for w in values])
-        same = reduce(add, [(w == v).cast("double") for w in values])
-        out.append(less + (same + F.lit(1.0)) / F.lit(2.0))
-    return out
-
-
-def row_spearman(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    """Rank correlation of two short column lists within one row; NULL if a side is constant."""
-    n = float(len(left))
-    rl, rr = row_average_ranks(left), row_average_ranks(right)
-    centre = F.lit((n + 1.0) / 2.0)
-    sxy = reduce(add, [(a - centre) * (b - centre) for a, b in zip(rl, rr)])
-    sxx = reduce(add, [(a - centre) * (a - centre) for a in rl])
-    syy = reduce(add, [(b - centre) * (b - centre) for b in rr])
-    return F.when((sxx > 0) & (syy > 0), F.try_divide(sxy, F.sqrt(sxx * syy)))
+def array_average_ranks(values: Column) -> Column:
+    """Average ranks of the elements of a short array."""
+    below = lambda x: F.size(F.filter(values, lambda y: y < x))
+    same = lambda x: F.size(F.filter(values, lambda y: y == x))
+    return F.transform(values, lambda x: below(x) + (same(x) + F.lit(1.0)) / F.lit(2.0))
+
+
+def array_spearman(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
+    """Rank correlation of two short arrays within a row; NULL if a side is constant or incomplete."""
+    zero = F.lit(0.0)
+    ranked = df.withColumn("_rl", array_average_ranks(F.col(left))).withColumn("_rr", array_average_ranks(F.col(right)))
+    centre = (F.size("_rl") + F.lit(1.0)) / F.lit(2.0)
+    dot = lambda a, b: F.aggregate(
+        F.zip_with(a, b, lambda x, y: (x - centre) * (y - centre)), zero, lambda acc, x: acc + x
+    )
+    sums = ranked.withColumn("_xy", dot("_rl", "_rr")).withColumn("_xx", dot("_rl", "_rl")).withColumn("_yy", dot("_rr", "_rr"))
+    complete = ~F.exists(left, lambda x: x.isNull()) & ~F.exists(right, lambda x: x.isNull())
+    rho = F.when(complete & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.try_divide("_xy", F.sqrt(F.col("_xx") * F.col("_yy"))))
+    return sums.withColumn(name, rho).drop("_rl", "_rr", "_xy", "_xx", "_yy")
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

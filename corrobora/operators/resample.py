@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.functions.draws import distinct_positions, draw_hash, hash_uniform
-from corrobora.functions.numeric import cpm, mean_present
+from corrobora.functions.numeric import cpm
 from corrobora.functions.tails import thinned
 from corrobora.operators.ordering import rank_in_group
-from corrobora.operators.ranking import balanced_scores, score_grid, unique_winner
+from corrobora.operators.ranking import ALL_DONORS, comparisons, unique_winner
 
 BUCKET_DIGITS = 3
 
@@ -119,10 +119,8 @@ def draw_winners(
     scores: DataFrame, keys: Sequence[str], types: Sequence[str], donors: Sequence[str]
 ) -> DataFrame:
     """Winner of the equal-donor mean for every draw; a type without the gene scores zero."""
-    grid, cells = score_grid(scores, keys, types, donors, F.col("score"))
-    zero = {k: F.coalesce(c, F.lit(0.0)) for k, c in cells.items()}
-    top, status, _ = unique_winner(balanced_scores(zero, types, donors), types)
-    return grid.select(*keys, top.alias("top_type"), status.alias("status"))
+    means = comparisons(scores, keys, types, {ALL_DONORS: donors}, F.col("score") / F.lit(float(len(donors))))
+    return unique_winner(means, types).select(*keys, "top_type", "status")
 
 
 def draw_tally(
