@@ -5,45 +5,66 @@ Both are elementwise Arrow functions over whole batches; Spark partitions the ro
 
 from __future__ import annotations
 
-from math import lgamma
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+STEPS = 2000
+EPSILON = 1e-15
+
 
-_lgamma = np.vectorize(lgamma, otypes=[float])
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Log-gamma of positive values: shifted up to at least 10, then Stirling's series."""
+    x = np.array(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(10):
+        small = x < 10.0
+        if not small.any():
+            break
+        shift[small] += np.log(x[small])
+        x[small] += 1.0
+    y = 1.0 / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y * (1 / 1188 - y * 691 / 360360))))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
 def regularised_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    """Regularised incomplete beta function by its continued fraction (modified Lentz).
+
+    Elements leave the loop as soon as their fraction has settled.
+    """
+    x, a, b = (np.array(v, dtype=float).ravel() for v in np.broadcast_arrays(x, a, b))
     flip = x > (a + 1.0) / (a + b + 2.0)
-    xx, aa, bb = np.where(flip, 1.0 - x, x), np.where(flip, b, a), np.where(flip, a, b)
-    inside = (xx > 0.0) & (xx < 1.0)
-    xs = np.where(inside, xx, 0.5)
-    front = np.exp(
-        aa * np.log(xs) + bb * np.log1p(-xs) - (_lgamma(aa) + _lgamma(bb) - _lgamma(aa + bb))
-    ) / aa
+    x, a, b = np.where(flip, 1.0 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    low = np.where(x <= 0.0, 0.0, 1.0)
+    at = np.nonzero((x > 0.0) & (x < 1.0))[0]
+    xs, aa, bb = x[at], a[at], b[at]
+    front = np.exp(aa * np.log(xs) + bb * np.log1p(-xs) - (log_gamma(aa) + log_gamma(bb) - log_gamma(aa + bb))) / aa
     tiny = 1e-300
+    guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
     c = np.ones_like(xs)
-    d = 1.0 - (aa + bb) * xs / (aa + 1.0)
-    d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
+    d = 1.0 / guard(1.0 - (aa + bb) * xs / (aa + 1.0))
     h = d.copy()
-    for m in range(1, 5000):
+    for m in range(1, STEPS):
+        if not len(at):
+            break
         even = m * (bb - m) * xs / ((aa + 2 * m - 1) * (aa + 2 * m))
+        d = 1.0 / guard(1.0 + even * d)
+        c = guard(1.0 + even / c)
+        h = h * (c * d)
         odd = -(aa + m) * (aa + bb + m) * xs / ((aa + 2 * m) * (aa + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1.0 + term / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            delta = c * d
-            h = h * delta
-        if np.all(np.abs(delta - 1.0) < 1e-16):
-            break
-    low = np.where(inside, front * h, np.where(xx <= 0.0, 0.0, 1.0))
+        d = 1.0 / guard(1.0 + odd * d)
+        c = guard(1.0 + odd / c)
+        delta = c * d
+        h = h * delta
+        done = np.abs(delta - 1.0) < EPSILON
+        if done.any() or m == STEPS - 1:
+            low[at[done]] = (front * h)[done]
+            keep = ~done
+            at, xs, aa, bb, front, c, d, h = (v[keep] for v in (at, xs, aa, bb, front, c, d, h))
+    if len(at):
+        low[at] = front * h
     return np.where(flip, 1.0 - low, low)
 
 
@@ -54,14 +75,30 @@ def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def t_magnitude(p: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """|t| whose two-sided tail is p, by bisection on a log scale."""
+    """|t| whose two-sided tail is p: Newton steps in log-log space, kept inside a bracket."""
     p, df = np.asarray(p, dtype=float), np.asarray(df, dtype=float)
-    low, high = np.full(p.shape, -400.0), np.full(p.shape, 400.0)
-    for _ in range(70):
-        middle = 0.5 * (low + high)
-        above = t_two_sided(np.exp(middle), df) > p
-        low, high = np.where(above, middle, low), np.where(above, high, middle)
-    return np.exp(0.5 * (low + high))
+    x = np.zeros_like(p)
+    low, high = np.full_like(p, -400.0), np.full_like(p, 400.0)
+    constant = log_gamma((df + 1) / 2) - log_gamma(df / 2) - 0.5 * np.log(df * np.pi)
+    active = np.arange(len(p))
+    for _ in range(200):
+        if not len(active):
+            break
+        v, n, target = x[active], df[active], p[active]
+        t = np.exp(v)
+        tail = t_two_sided(t, n)
+        above = tail > target
+        low[active] = np.where(above, v, low[active])
+        high[active] = np.where(above, high[active], v)
+        with np.errstate(all="ignore"):
+            slope = -2.0 * np.exp(constant[active] - (n + 1) / 2 * np.log1p(t * t / n)) * t / tail
+            step = v - (np.log(tail) - np.log(target)) / slope
+        middle = 0.5 * (low[active] + high[active])
+        inside = np.isfinite(step) & (step > low[active]) & (step < high[active])
+        fresh = np.where(inside, step, middle)
+        x[active] = fresh
+        active = active[np.abs(fresh - v) > EPSILON]
+    return np.exp(x)
 
 
 def _standard_error(beta: pd.Series, p: pd.Series, df: pd.Series) -> pd.Series:
@@ -110,11 +147,12 @@ def _thinned(n: pd.Series, u: pd.Series, fraction: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-standard_error = F.pandas_udf(_standard_error, DoubleType())
+# Declared non-deterministic only so that the optimiser neither copies nor moves them.
+standard_error = F.pandas_udf(_standard_error, DoubleType()).asNondeterministic()
 """Standard error from an effect, its two-sided p-value and the test's degrees of freedom."""
 
-two_sided_p = F.pandas_udf(_two_sided_p, DoubleType())
+two_sided_p = F.pandas_udf(_two_sided_p, DoubleType()).asNondeterministic()
 """Two-sided Student-t tail probability."""
 
-thinned = F.pandas_udf(_thinned, LongType())
+thinned = F.pandas_udf(_thinned, LongType()).asNondeterministic()
 """Binomial draw for a count, from a uniform value and a keep fraction."""

@@ -118,13 +118,16 @@ def comparisons(
     score: Column,
     type_col: str = "cell_type",
     donor_col: str = "donor",
+    absent: float | None = None,
 ) -> DataFrame:
     """Equal-donor mean scores of each declared type, for several sets of donors.
 
     One shuffle by key brings a key's few scores together, combined before they move; every
     donor set is then arithmetic on that row. One row per key and set, with ``scores`` in the
-    order of ``types`` and NULL where no listed donor has a score.
+    order of ``types`` and NULL where no listed donor has a score. ``absent`` is the score of
+    a type and donor without a row, for tables that leave zeros out.
     """
+    value = (lambda n: F.col(n)) if absent is None else (lambda n: F.coalesce(n, F.lit(absent)))
     donors = list(dict.fromkeys(d for members in donor_sets.values() for d in members))
     names = {(t, d): f"_s{i}_{j}" for i, t in enumerate(types) for j, d in enumerate(donors)}
     grid = df.groupBy(*keys).agg(
@@ -136,7 +139,7 @@ def comparisons(
     sets = [
         F.struct(
             F.lit(label).alias("donor_set"),
-            F.array(*[mean_present([F.col(names[(t, d)]) for d in members]) for t in types]).alias("scores"),
+            F.array(*[mean_present([value(names[(t, d)]) for d in members]) for t in types]).alias("scores"),
         )
         for label, members in donor_sets.items()
     ]

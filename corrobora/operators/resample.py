@@ -119,7 +119,7 @@ def draw_winners(
     scores: DataFrame, keys: Sequence[str], types: Sequence[str], donors: Sequence[str]
 ) -> DataFrame:
     """Winner of the equal-donor mean for every draw; a type without the gene scores zero."""
-    means = comparisons(scores, keys, types, {ALL_DONORS: donors}, F.col("score") / F.lit(float(len(donors))))
+    means = comparisons(scores, keys, types, {ALL_DONORS: donors}, F.col("score"), absent=0.0)
     return unique_winner(means, types).select(*keys, "top_type", "status")
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corrobora.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("counts", "evidence", "context")
+MODULES = ("counts", "evidence", "context", "contracts", "sumstats")
 
 
 def _load() -> None:
