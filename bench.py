@@ -1,13 +1,14 @@
 """Time the headline queries and print one JSON line.
 
-Reads ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[BENCH_CPUS]``. Every query
-is run once to warm the session and then timed; results are fully computed but not kept.
+Reads ``BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[BENCH_CPUS]``. Results
+are fully computed but not kept; one unmeasured query warms the session.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from corrobora.local import local_session
@@ -53,6 +54,7 @@ def main() -> None:
         start = time.time()
         found[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(

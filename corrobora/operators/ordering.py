@@ -87,10 +87,11 @@ def suffix_minimum(rows: DataFrame, groups: Sequence[str], value: str, name: str
     ``rows`` comes from :func:`rank_in_group` with ``keep_slices=True``.
     """
     per = rows.groupBy(*groups, SLICE).agg(F.min(value).alias("_min"))
-    later = Window.partitionBy(*groups).orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at the last row is re-read for every row, so order backwards instead
+    later = Window.partitionBy(*groups).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*groups, SLICE, F.min("_min").over(later).alias("_later"))
     inside = (
-        Window.partitionBy(*groups, SLICE).orderBy(INDEX).rowsBetween(0, Window.unboundedFollowing)
+        Window.partitionBy(*groups, SLICE).orderBy(F.desc(INDEX)).rowsBetween(Window.unboundedPreceding, 0)
     )
     rows = rows.withColumn("_inside", F.min(value).over(inside))
     return (
