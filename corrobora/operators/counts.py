@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corrobora.functions.numeric import cpm, depth_normalised, share
 
 TIERS = ("primary", "strict")
+SUM_COLUMNS = {"_g": "sum_gene", "_d": "n_detected", "_x": "sum_value"}
 
 
 def attach_metadata(cells: DataFrame, *tables: DataFrame, key: str = "cell_id") -> DataFrame:
@@ -138,7 +139,7 @@ def variable_genes(
 
 
 def gene_sums(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Group by gene sums for both QC tiers in one pass over the counts.
+    """Group by gene sums for both QC tiers, side by side, in one pass over the counts.
 
     ``cells`` are the primary-kept cells with donor, cell_type, total and qc_strict. This is
     the one join of the counts with the cells; everything later reads its small result.
@@ -146,7 +147,7 @@ def gene_sums(counts: DataFrame, cells: DataFrame) -> DataFrame:
     info = cells.filter("qc_primary").select("cell_id", "donor", "cell_type", "total", "qc_strict")
     x = depth_normalised(F.col("umi"), F.col("total"))
     strict = lambda v: F.when(F.col("qc_strict"), v)
-    wide = (
+    return (
         counts.filter(F.col("umi") > 0)
         .join(info, "cell_id")
         .groupBy("donor", "cell_type", "gene_id")
@@ -159,9 +160,12 @@ def gene_sums(counts: DataFrame, cells: DataFrame) -> DataFrame:
             F.sum(strict(x)).alias("_x_strict"),
         )
     )
-    return _tiers(wide, ["donor", "cell_type", "gene_id"], {"_g": "sum_gene", "_d": "n_detected", "_x": "sum_value"}).filter(
-        F.col("n_detected") > 0
-    )
+
+
+def tier_rows(sums: DataFrame) -> DataFrame:
+    """Gene sums in long form, one row per tier in which the gene was detected."""
+    keys = [c for c in sums.columns if not c.startswith("_")]
+    return _tiers(sums, keys, SUM_COLUMNS).filter(F.col("n_detected") > 0)
 
 
 def _tiers(wide: DataFrame, keys: Sequence[str], names: Mapping[str, str]) -> DataFrame:
@@ -212,8 +216,16 @@ def pseudobulk(
     keeps NULL values everywhere, a gene with one has true zeros where no count is stored.
     """
     keys = ["qc", "donor", "cell_type"]
-    cube = scaffold(genes.select("gene_id", "gene_in_matrix"), qc=TIERS, donor=donors, cell_type=types)
-    joined = cube.join(totals, keys, "left").join(sums, [*keys, "gene_id"], "left")
+    # sums arrive partitioned by this join's key; tiers are unfolded after it
+    frame = scaffold(genes.select("gene_id", "gene_in_matrix"), donor=donors, cell_type=types)
+    joined = _tiers(
+        frame.join(sums, ["donor", "cell_type", "gene_id"], "left"),
+        ["donor", "cell_type", "gene_id", "gene_in_matrix"],
+        SUM_COLUMNS,
+    )
+    # at most tiers x donors x types rows, all of them declared lists
+    groups = totals.filter(F.col("donor").isin(list(donors)) & F.col("cell_type").isin(list(types)))
+    joined = joined.join(F.broadcast(groups), keys, "left")
     n = F.coalesce("n_cells", F.lit(0))
     seen = (n > 0) & F.col("gene_in_matrix")
     gene_sum = F.when(seen, F.coalesce("sum_gene", F.lit(0)))

@@ -149,9 +149,12 @@ strict_scores AS (SELECT gene_id, cell_type, avg(log1p_cpm) AS s FROM cube
     ),
 )
 def quality_tier_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return tier_agreement(b.cube(spark, d))
+
+
+def tier_agreement(cube: DataFrame) -> DataFrame:
     """Both tiers side by side from one pass over the cube."""
-    cube = b.cube(spark, d).filter("gene_in_matrix")
-    tiered = cube.withColumn("donor", F.concat_ws("/", "qc", "donor"))
+    tiered = cube.filter("gene_in_matrix").withColumn("donor", F.concat_ws("/", "qc", "donor"))
     names = {q: [f"{q}/{x}" for x in b.DONORS] for q in ops.TIERS}
     won = ranking.unique_winner(ranking.comparisons(tiered, ["gene_id"], b.PRIMARY_TYPES, names, score()), b.PRIMARY_TYPES)
     pick = lambda q: F.max(F.when(F.col("donor_set") == q, F.col("top_type")))
@@ -214,11 +217,12 @@ concord AS (SELECT b.gene_id, b.top_type AS first_top, c.top_type AS second_top,
 )
 
 
-def concordance(spark: SparkSession, d: str) -> DataFrame:
+def concordance(spark: SparkSession, d: str, cube: DataFrame | None = None) -> DataFrame:
     """Winner, leave-one-out and rank agreement of two studies, one row per gene of the first."""
     types = b.PRIMARY_TYPES
     one = ranking.comparisons(
-        primary(spark, d).filter("gene_in_matrix"), ["gene_id"], types, {ranking.ALL_DONORS: b.DONORS}, score()
+        (cube if cube is not None else b.cube(spark, d)).filter("qc = 'primary' AND gene_in_matrix"),
+        ["gene_id"], types, {ranking.ALL_DONORS: b.DONORS}, score(),
     )
     first = ranking.unique_winner(one, types).select(
         "gene_id", F.col("top_type").alias("first_top"), F.transform("scores", lambda x: F.round(x, 9)).alias("_p")

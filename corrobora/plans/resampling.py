@@ -66,7 +66,7 @@ def stratified_cell_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def thinning_units(spark: SparkSession, d: str) -> DataFrame:
     cells = b.qc_cells(spark, d)
-    return ops.gene_sums(b.counts(spark, d), cells).filter("qc = 'primary'").select("donor", "cell_type", "gene_id", "sum_gene")
+    return ops.tier_rows(ops.gene_sums(b.counts(spark, d), cells)).filter("qc = 'primary'").select("donor", "cell_type", "gene_id", "sum_gene")
 
 
 @query(
@@ -113,19 +113,19 @@ tally AS (SELECT gene_id, scenario, {REPS}::BIGINT AS n_draws, n0 + n1 + n2 + n3
   {', '.join(f"n{i} / {REPS}.0::DOUBLE AS top_fraction_{i}" for i in range(4))} FROM tally0 LEFT JOIN base USING (gene_id))"""
 
 
-def baseline(spark: SparkSession, d: str) -> DataFrame:
-    cube = b.cube(spark, d).filter("qc = 'primary' AND gene_in_matrix")
-    scores = ranking.comparisons(cube, ["gene_id"], b.PRIMARY_TYPES, {ranking.ALL_DONORS: b.DONORS}, F.col("log1p_cpm"))
+def baseline(cube: DataFrame) -> DataFrame:
+    known = cube.filter("qc = 'primary' AND gene_in_matrix")
+    scores = ranking.comparisons(known, ["gene_id"], b.PRIMARY_TYPES, {ranking.ALL_DONORS: b.DONORS}, F.col("log1p_cpm"))
     return ranking.unique_winner(scores, b.PRIMARY_TYPES).select("gene_id", F.col("top_type").alias("baseline_top_type"))
 
 
-def stability_tally(spark: SparkSession, d: str) -> DataFrame:
+def stability_tally(spark: SparkSession, d: str, cube: DataFrame | None = None) -> DataFrame:
     """Draw cells, rebuild pseudobulk scores per draw, and tally the winners."""
     sample = cut_lineage(draw_sample(spark, d).select("scenario", "rep", "donor", "cell_type", "cell_id", "total"))
     keys = ["scenario", "rep", "donor", "cell_type"]
     scores = rs.sampled_scores(sample, b.counts(spark, d), b.genes(spark, d), keys)
     winners = rs.draw_winners(scores, ["scenario", "rep", "gene_id"], b.PRIMARY_TYPES, b.DONORS)
-    return rs.draw_tally(winners, baseline(spark, d), b.PRIMARY_TYPES, REPS)
+    return rs.draw_tally(winners, baseline(cube if cube is not None else b.cube(spark, d)), b.PRIMARY_TYPES, REPS)
 
 
 @query(

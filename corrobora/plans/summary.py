@@ -9,7 +9,7 @@ from corrobora.functions.numeric import rounded
 from corrobora.operators import ranking, screening
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
-from corrobora.plans.context import BASE, FOLDS, SECOND, STABLE, concordance, quality_tier_agreement, winner_sql
+from corrobora.plans.context import BASE, FOLDS, SECOND, STABLE, concordance, tier_agreement, winner_sql
 from corrobora.plans.registry import query
 from corrobora.plans.resampling import SAMPLE, TALLY, WORST, stability_tally, worst_agreement
 from corrobora.session import cut_lineage, scratch_path
@@ -44,9 +44,9 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     return screening.evidence_matrix(
         stable.select("gene_id", "gene_in_matrix", "top_type", "agreeing_folds", "all_folds_agree"),
         {
-            "quality": quality_tier_agreement(spark, d).select("gene_id", "same_top"),
-            "sampling": worst_agreement(stability_tally(spark, d), "equal_cells_20"),
-            "second": concordance(spark, d).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
+            "quality": tier_agreement(cube).select("gene_id", "same_top"),
+            "sampling": worst_agreement(stability_tally(spark, d, cube), "equal_cells_20"),
+            "second": concordance(spark, d, cube).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
             "links": links,
         },
         "gene_id",
