@@ -184,7 +184,7 @@ def coloc_sums(abf: DataFrame, groups: Sequence[str], key: str = "variant_key")
         .groupBy(*groups, "_m1", "_m2", "_m12", "_peak")
         .agg(
             F.count(F.lit(1)).alias("n_variants"),
-            F.count_if(F.col("l1").isNull() | F.col("l2").isNull()).alias("_invalid"),
+            F.count_if(~finite(F.col("l1")) | ~finite(F.col("l2"))).alias("_invalid"),
             F.sum(a).alias("_a"),
             F.sum(b).alias("_b"),
             F.sum(ab).alias("_ab"),

@@ -63,6 +63,8 @@ def test_extreme_bayes_factors_stay_finite(spark):
 def test_preconditions_become_statuses(spark):
     assert posterior(spark, [(1, 1)])["status"] == "too_few_variants"
     assert posterior(spark, [(1, 1), (2, 2)], p12=1e-3)["status"] == "invalid_prior"
+    assert posterior(spark, [(1, 1), (float("nan"), 2)])["status"] == "invalid_bayes_factor"
+    assert posterior(spark, [(1, 1), (3, float("inf"))])["pp_h4"] is None
     big = spark.range(10001).select(F.lit("g").alias("region"), F.col("id").cast("string").alias("variant_key"), F.lit(0.0).alias("l1"), F.lit(0.0).alias("l2"))
     row = ss.coloc_posteriors(ss.coloc_sums(big, ["region"]), 1e-4, 1e-4, [1e-5]).first()
     assert row["status"] == "region_too_large" and row["pp_h4"] is None
