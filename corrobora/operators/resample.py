@@ -16,6 +16,7 @@ from corrobora.functions.numeric import cpm
 from corrobora.functions.tails import thinned
 from corrobora.operators.ordering import rank_in_group
 from corrobora.operators.ranking import ALL_DONORS, comparisons, unique_winner
+from corrobora.session import broadcast_if_small
 
 BUCKET_DIGITS = 3
 
@@ -74,7 +75,8 @@ def sample_cells(
     cells: DataFrame, design: DataFrame, strata: Sequence[str], reps: int, seed: int
 ) -> DataFrame:
     """Cells drawn without replacement in every (scenario, rep, stratum)."""
-    drawn = replicate(cells.join(design.filter("feasible").drop("available_cells", "feasible"), list(strata)), "rep", reps)
+    wanted = broadcast_if_small(design.filter("feasible").drop("available_cells", "feasible"))
+    drawn = replicate(cells.join(wanted, list(strata)), "rep", reps)
     labels = [F.lit(seed), F.col("scenario"), F.col("rep"), *[F.col(s) for s in strata], F.col("cell_id")]
     keyed = drawn.withColumn("_h", draw_hash(*labels))
     return smallest_hashes(keyed, ["scenario", "rep", *strata], "selected_cells", "_h", "cell_id").drop("_h")
@@ -87,7 +89,7 @@ def sampled_scores(sample: DataFrame, counts: DataFrame, targets: DataFrame, key
     sums = (
         sample.select("cell_id", *keys).join(wanted, "cell_id").groupBy(*keys, "gene_id").agg(F.sum("umi").alias("_g"))
     )
-    return sums.join(totals, list(keys)).select(
+    return sums.join(broadcast_if_small(totals), list(keys)).select(
         *keys, "gene_id", F.log1p(cpm(F.col("_g"), F.col("_all"))).alias("score")
     )
 
@@ -169,7 +171,7 @@ def matched_reference(
         F.count_if(~F.col("is_candidate")).alias("control_genes"),
     ).withColumn("sufficient", F.col("control_genes") >= F.col("candidate_genes"))
     need = audit.filter("candidate_genes > 0").select("bin", F.col("candidate_genes").alias("_k"))
-    pool = replicate(genes.filter(~F.col("is_candidate")).join(need, "bin"), "draw", n_draws)
+    pool = replicate(genes.filter(~F.col("is_candidate")).join(broadcast_if_small(need), "bin"), "draw", n_draws)
     keyed = pool.withColumn("_h", draw_hash(F.lit(seed), F.col("draw"), F.col("gene_id")))
     chosen = smallest_hashes(keyed, ["draw", "bin"], "_k", "_h", "gene_id")
     null = chosen.groupBy("draw").agg(
@@ -213,7 +215,7 @@ def matched_controls(
         "bin", (F.col("_pos") - F.lit(1)).alias("_pos"), F.col("gene_id").alias("control_gene")
     )
     size = pool.groupBy("bin").agg(F.count(F.lit(1)).alias("_pool"))
-    asked = panels.join(genes.select("gene_id", "bin"), "gene_id").join(size, "bin", "left")
+    asked = panels.join(genes.select("gene_id", "bin"), "gene_id").join(broadcast_if_small(size), "bin", "left")
     k = F.least(F.lit(per_gene), F.coalesce("_pool", F.lit(0)))
     drawn = asked.filter(k >= minimum).withColumn(
         "_pos",

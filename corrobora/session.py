@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """Group-level statistics for joining back to their rows: broadcast only if counted small.
+
+    The statistics are written once and counted. Up to ``limit`` rows they are broadcast, so a
+    hot group is not drawn into one task by the join; beyond it the join shuffles, with groups
+    then numerous and adaptive skew handling in charge.
+    """
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= limit else written
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a derived text or Parquet table."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
