@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import lines, mixing, packing, pii, quality, simhash, token_counts, urls
+from corrobora.llm import lines, mixing, packing, pii, quality, search, simhash, token_counts, tokenfile, urls
 from corrobora.llm import sql as oracle
+from corrobora.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,11 +34,22 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), public_tokenizers.path(WORD_IDS), spaced=False, end_id=1)
 
 
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    tokenfile.write(documents(spark, folder), files, public_tokenizers.path(WORD_IDS), spaced=False, end_id=2)
+    return tokenfile.digests(spark, files)
+
+
 def token_count(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     return token_counts.counted(docs, public_tokenizers.path(BYTE_IDS), spaced=True, limit=512)
 
 
+def exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = search.quantised(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return search.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.grouped(documents(spark, folder))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -71,7 +84,9 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": line_dedup,
     "op2_best_fit_packing": best_fit_packing,
+    "op3_token_files": token_files,
     "op4_token_counts": token_count,
+    "op5_exact_top_k": exact_search,
     "op6_simhash_near_dedup": simhash_groups,
     "op7_quality_rules": quality_rules,
     "op8_pii": personal_data,
