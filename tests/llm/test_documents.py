@@ -1,0 +1,365 @@
+"""Operators on documents against brute force, with nulls, empty and long texts, ties, repeated rows and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from corrobora.llm import lines, mixing, packing, pii, quality, range_coder, simhash, token_counts, tokenfile
+from corrobora.llm.tokens import PieceEncoder
+
+WORD = public_tokenizers.path("word_bpe_49k.json")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def prose(rng: random.Random, n: int) -> str:
+    stems = ["the", "of", "Ação", "œuvre", "river", "stone", "und", "don't", "42", "x", "été", "naïve", "(so)", "end."]
+    return " ".join(rng.choice(stems) + rng.choice(["", "", "s", "ing", ",", "\n"]) for _ in range(n))
+
+
+def rows() -> list[tuple]:
+    rng = random.Random(3)
+    shared = "This very line is shared by many documents"
+    texts: list[str | None] = [None, "", " \t\n\x0b ", "one", "two words", "中文 字 符　全角 ﬁ ½", "a\x1cb \x85 c d"]
+    texts += [prose(rng, rng.randrange(1, 400)) for _ in range(40)]
+    texts += [prose(rng, 30_000), "word " * 9000, "w" * 50_000, "9" * 30_000, "a@" * 9000, ". " * 3000]
+    texts += [f"{shared}\n{prose(rng, 30)}\n  {shared.upper()}\t\n{shared}" for _ in range(6)]
+    base = prose(rng, 300)
+    texts += [base, base, base + " tail", base.replace("river", "stream", 1), "<|endoftext|> in a text <|startoftext|>"]
+    texts += ["mail bob.s@x.example.org_or@b.c, 10.0.0.256 10.0.0.25 1.2.3.4.5.6.7.8 card 4111 1111 1111 1111 call +1 (555) 010-9999"]
+    texts += ["IBAN GB82 WEST 1234 5698 7654 32 and SSN 123-45-6789 but 123-45-6789 alone far away from it"]
+    out = [(i, t, "en", None if i % 7 == 0 else "hot" if i % 3 else f"s{i % 5}", i) for i, t in enumerate(texts)]
+    return [*out, out[8], out[8], (None, shared + "\nown line", None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(5)
+
+
+def plain_ids(path: str, text: str | None) -> list[int]:
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def word_ids() -> dict[str | None, list[int]]:
+    t = Tokenizer.from_file(WORD)
+    return {x: t.encode(x or "", add_special_tokens=False).ids for x in {r[1] for r in rows()}}
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_piece_ids_equal_whole_text_ids(path, spaced):
+    t, e = Tokenizer.from_file(path), PieceEncoder(path, spaced)
+    rng = random.Random(5)
+    letters = [*"aZ é1²ªµ'", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", "'s", "'LL", "İ", "Σ", "é", "<|endoftext|>", "!!", "中"]
+    texts = [r[1] or "" for r in rows()] + ["".join(rng.choices(letters, k=rng.randrange(1, 40))) for _ in range(3000)]
+    for text, want in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode_one(text), "<u4").tolist() == want.ids, repr(text[:80])
+
+
+def test_long_texts_are_cut_at_safe_places(monkeypatch):
+    from corrobora.llm import tokens
+
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 50)
+    for path, spaced in ((WORD, False), (BYTE, True)):
+        t, e = Tokenizer.from_file(path), PieceEncoder(path, spaced)
+        for text in [r[1] for r in rows() if r[1] and len(r[1]) < 4000]:
+            assert np.frombuffer(e.encode_one(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_line_dedup(docs):
+    data = rows()
+    key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
+    holders = defaultdict(set)
+    for d, text, *_ in data:
+        for x in (text or "").split("\n"):
+            if len(key(x)) >= 20:
+                holders[key(x)].add(-1 if d is None else d)
+    want = []
+    for d, text, *_ in data:
+        own = (text or "").split("\n")
+        kept = [x for x in own if len(holders[key(x)]) < 3 or max(holders[key(x)]) == (-1 if d is None else d)]
+        want.append((d, len(own), len(own) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest(), "\n".join(kept)))
+    done = lines.deduplicated(docs.withColumnRenamed("lang", "keep"))
+    found = [(r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256, r.text) for r in done.collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in want) > 10
+
+
+def test_line_dedup_of_a_line_over_many_partitions(spark):
+    many = [(i, f"a line that every document has\nonly document {i} has this line here", None, None, 0) for i in range(3000)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = lines.deduplicated(spark.createDataFrame(many, SCHEMA)).filter("n_dropped = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert [r.doc_id for r in found] == [2999]
+
+
+def test_packing(docs, word_ids):
+    found = packing.packed(docs, WORD, False, 1, 4096).collect()
+    want = []
+    for d, text, *_ in rows():
+        ids = [*word_ids[text], 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            want.append((d, k, at, len(part), zlib.crc32(part.tobytes())))
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found), key=str) == sorted(want, key=str)
+    by_sequence = defaultdict(list)
+    for r in found:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by_sequence) <= -(-sum(r.length for r in found) // 4096) + 1
+
+
+def test_bin_completion_reaches_the_bound():
+    rng = random.Random(9)
+    for capacity in (20, 100, 4096):
+        for _ in range(20):
+            lengths = [rng.randrange(1, capacity + 1) for _ in range(300)] + [rng.randrange(1, capacity // 8 + 2) for _ in range(900)]
+            out = packing.completed(lengths, capacity)
+            assert sorted(x for b in out for x in b) == sorted(lengths)
+            assert all(sum(b) <= capacity for b in out)
+            assert len(out) <= -(-sum(lengths) // capacity) + 1
+    assert packing.completed([], 10) == []
+    assert sorted(map(sorted, packing.completed([6, 5, 5, 4], 10))) == [[4, 6], [5, 5]]
+
+
+def test_range_coder_round_trip():
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, 65536, n) for n in (0, 1, 2, 700, 4096)]
+    blocks += [np.full(4096, 65535), np.arange(3000) % 7, np.minimum(rng.geometric(0.01, 4096), 49407), np.zeros(5, int)]
+    coded = range_coder.encode([b.astype(np.uint16) for b in blocks])
+    back = range_coder.decode([(len(b), x) for b, x in zip(blocks, coded, strict=True)])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+    assert len(coded[5]) < 200
+    alone = range_coder.decode([(700, coded[3])])
+    assert np.array_equal(alone[0], blocks[3])
+
+
+def test_token_files(spark, docs, word_ids, tmp_path):
+    folder = str(tmp_path / "ids")
+    tokenfile.write(docs, folder, WORD, False, 2)
+    found = sorted(tokenfile.digests(spark, folder).collect(), key=lambda r: r.start)
+    order = [-1 if r.doc_id is None else r.doc_id for r in found]
+    assert order == sorted(order)
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    want = []
+    for d, text, *_ in rows():
+        ids = np.array([*word_ids[text], 2], "<u4")
+        want.append((d, len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in found), key=str) == sorted(want, key=str)
+    payload = bytes(spark.read.parquet(folder).first().payload)
+    assert tokenfile.parsed(payload)
+    with pytest.raises(ValueError, match="damaged"):
+        tokenfile.parsed(payload[:40] + bytes([payload[40] ^ 1]) + payload[41:])
+
+
+def test_token_counts(docs):
+    t = Tokenizer.from_file(BYTE)
+    found = token_counts.counted(docs.withColumnRenamed("lang", "n_tokens"), BYTE, True, 512).collect()
+    want = [(d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for d, x, *_ in rows()]
+    assert sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in found), key=str) == sorted(want, key=str)
+
+
+def brute_fingerprint(text: str | None, k: int) -> int:
+    words = re.findall(SPACE, (text or "").encode().lower().decode())
+    shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(prints: list[tuple[int, int]], bits: int) -> dict[int, int]:
+    """Least id reachable, for every id."""
+    root = {d: d for d, _ in prints}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, f) in enumerate(prints):
+        for b, g in prints[:i]:
+            if (f ^ g).bit_count() <= bits:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d, _ in prints}
+
+
+def test_simhash(docs):
+    data = [(d, t) for d, t, *_ in rows() if d is not None]
+    prints = {d: brute_fingerprint(t, 3) for d, t in data}
+    roots = components_of(list(prints.items()), 2)
+    found = simhash.grouped(docs.filter("doc_id IS NOT NULL").withColumnRenamed("lang", "fp")).collect()
+    want = [(d, prints[d], roots[d]) for d, _ in data]
+    assert sorted((r.doc_id, r.fp % (1 << 64), r.component_id) for r in found) == sorted(want)
+    left = simhash.representatives(docs.filter("doc_id IS NOT NULL"), words=3)
+    assert {r.doc_id for r in left.collect()} == set(roots.values())
+
+
+def test_links_keep_every_component(spark):
+    rng = random.Random(4)
+    prints: list[int] = []
+    for _ in range(30):
+        at = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 3, 40])):
+            prints.append(at)
+            for _ in range(rng.choice([1, 2, 3])):
+                at ^= 1 << rng.randrange(64)
+    hub = rng.getrandbits(64)
+    prints += [hub ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(a)]
+    prints = list(dict.fromkeys(prints))
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    for bits in (1, 2):
+        want = components_of([(s, p) for s, p in zip(signed, prints, strict=True)], bits)
+        edges = simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), bits).collect()
+        assert all((e.u ^ e.v) % (1 << 64) != 0 for e in edges)
+        found = simhash.components(spark.createDataFrame([(e.u, e.v) for e in edges], "u long, v long")).collect()
+        got = {s: s for s in signed} | {r.node: r.component for r in found}
+        groups = defaultdict(set)
+        for s in signed:
+            groups[got[s]].add(s)
+        wanted = defaultdict(set)
+        for s in signed:
+            wanted[want[s]].add(s)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+
+
+def test_quality(docs):
+    want = []
+    for d, text, *_ in rows():
+        text = text or ""
+        words = re.findall(SPACE, text)
+        seen = defaultdict(list)
+        for i in range(len(words) - 7):
+            seen[tuple(words[i : i + 8])].append(i)
+        covered = {i + k for at in seen.values() if len(at) > 1 for i in at for k in range(8)}
+        own, dup = set(), 0
+        for x in text.split("\n"):
+            if re.search(SPACE, x):
+                dup += x in own
+                own.add(x)
+        want.append((d, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)))
+    entries = quality.ledger(docs.withColumnRenamed("lang", "n_words")).cache()
+    found = entries.collect()
+    get = lambda r: (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+    assert sorted(map(get, found), key=str) == sorted(want, key=str)
+    for r in found:
+        assert bool(r.fail_bits & 3) == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
+    kept = entries.filter(quality.keeps("v1")).count()
+    told = {r.rule: r for r in quality.ablations(entries, "v1").collect()}
+    assert told["too_few_words"].rejected == len(found) - kept
+    one = 1 << [r.name for r in quality.rules()].index("too_few_words")
+    assert told["too_few_words"].only_here == sum(r.fail_bits & quality.mask("v1") == one for r in found)
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {
+                "email": True,
+                "ip": kind != "ip" or all(int(x[-9:]) <= 255 and len(x.lstrip("0")) < 4 for x in m[0].split(".")),
+                "card": 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii(spark, docs):
+    rng = random.Random(2)
+    pieces = ["a.b@c.d", "x@y", "@", ".", "_", "1.2.3.4", "255.0.0.1", "300.1.1.1", "4111111111111111", " ", "-", "+49 30 901820", "+1(2", "é", "中", "7", "\n"]
+    made = [(1000 + i, "".join(rng.choices(pieces, k=rng.randrange(1, 25))), None, None, None) for i in range(400)]
+    for data, frame in ((rows(), docs), (made, spark.createDataFrame(made, SCHEMA))):
+        found = pii.find(frame.withColumnRenamed("lang", "spans")).collect()
+        got = {}
+        for r in found:
+            got[(r.doc_id, r.text)] = [(s.kind, s.start, s.end) for s in r.spans]
+            assert all(r.text[s.start : s.end] == s.text for s in r.spans)
+        for d, text, *_ in data:
+            if len(text or "") < 20_000 or text[:2] != "99":
+                assert [s for s in got[(d, text)] if s[0] in BASE] == base_spans(text or ""), text[:200]
+    spans = {s.kind: s for r in pii.find(docs.filter("text LIKE 'IBAN%'")).collect() for s in r.spans}
+    assert spans["iban"].text == "GB82 WEST 1234 5698 7654 32"
+    assert spans["ssn"].text == "123-45-6789"
+    masked = pii.masked(pii.find(docs.filter("text LIKE 'IBAN%'"))).first().masked_text
+    assert masked.startswith("IBAN [iban] and SSN [ssn] but ")
+
+
+def test_mixing(docs):
+    data = rows()
+    chars = defaultdict(int)
+    for _, text, _, source, _ in data:
+        chars[source] += max(1, len(text or ""))
+    raw = {s: n**0.5 for s, n in chars.items()}
+    want = defaultdict(int)
+    for d, _, _, source, _ in data:
+        rate = raw[source] / sum(raw.values()) * sum(chars.values()) / chars[source]
+        parts = max(1, int(np.ceil(rate / 500)))
+        for j in range(1, parts + 1):
+            digest = hashlib.md5(f"20:{'null' if d is None else d}:{j}".encode()).hexdigest()
+            u, p, cdf, k = int(digest[:13], 16) / 2**52, np.exp(-rate / parts), np.exp(-rate / parts), 0
+            while u >= cdf and k < 5000:
+                k += 1
+                p *= rate / parts / k
+                cdf += p
+            want[(d, source)] += k
+    found = mixing.mixed(docs.withColumnRenamed("lang", "copy"), 20).collect()
+    got = defaultdict(int)
+    for r in found:
+        got[(r.doc_id, r.source)] += 1
+    assert dict(got) == {k: v for k, v in want.items() if v}
+    named = mixing.rates(docs, {"hot": 3.0, "s0": 1.0}).collect()
+    assert {r.source: round(r.weight, 6) for r in named if r.weight} == {"hot": 0.75, "s0": 0.25}
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    assert lines.deduplicated(none).count() == 0
+    assert packing.packed(none, WORD, False, 1).count() == 0
+    assert token_counts.counted(none, BYTE, True, 512).count() == 0
+    assert simhash.grouped(none).count() == 0
+    assert quality.ledger(none).count() == 0
+    assert pii.find(none).count() == 0
+    assert mixing.mixed(none, 1).count() == 0
+    tokenfile.write(none, str(tmp_path / "none"), WORD, False, 2)
+    assert tokenfile.digests(spark, str(tmp_path / "none")).count() == 0
