@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cores: int) -> SparkSession:
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
@@ -14,6 +18,9 @@ def local_session(name: str, cores: int) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", folder)
+        .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.executorEnv.PYTHONPATH", str(Path(__file__).resolve().parents[1]))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")

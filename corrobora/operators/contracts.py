@@ -169,9 +169,12 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     """Order-free content digest and row count, for deciding whether a table changed.
 
     Two 64-bit row hashes are summed exactly and combined by XOR, so row order,
-    partitioning and file layout do not matter but repeated rows do.
+    partitioning and file layout do not matter but repeated rows do. Column names and types,
+    and which values are missing, are part of the digest.
     """
-    cols = [F.col(c) for c in (columns or sorted(df.columns))]
+    names = list(columns or sorted(df.columns))
+    schema = ",".join(f"{n}:{df.schema[n].dataType.simpleString()}" for n in names)
+    cols = [F.lit(schema), *[x for n in names for x in (F.col(n).isNull(), F.col(n))]]
     h = F.xxhash64(*cols)
     h2 = F.xxhash64(F.lit(1), *cols)
     return df.select(h.alias("_h"), h2.alias("_h2")).agg(
@@ -181,6 +184,15 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
+def canonical_line(texts: Mapping[str, Column]) -> Column:
+    """One text of a row from texts of its columns: each with its name and length, so nothing can shift; ``-`` if missing."""
+    parts = [
+        F.coalesce(F.concat(F.lit(f"{name}="), F.length(text).cast("string"), F.lit(":"), text), F.lit(f"{name}-"))
+        for name, text in texts.items()
+    ]
+    return F.concat_ws("|", *parts)
+
+
 def text_fingerprint(df: DataFrame, line: Column) -> DataFrame:
     """Portable variant of :func:`fingerprint` over a canonical text of each row (MD5 based)."""
     word = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("bigint")

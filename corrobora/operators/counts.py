@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.functions.numeric import cpm, depth_normalised, share
-from corrobora.session import broadcast_if_small, cut_lineage
+from corrobora.session import join_statistics, cut_lineage
 
 TIERS = ("primary", "strict")
 SUM_COLUMNS = {"_g": "sum_gene", "_d": "n_detected", "_x": "sum_value"}
@@ -92,8 +92,8 @@ def variable_genes(
         .groupBy(batch, "gene_id")
         .agg(F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"))
         .join(genes.select("gene_id"), "gene_id", "left_semi")
-        .join(broadcast_if_small(size), batch)
     )
+    sums = join_statistics(sums, size, [batch])
     mean = F.col("_s1") / F.col("_cells")
     var = F.try_divide(F.col("_s2") - F.col("_cells") * mean * mean, F.col("_cells") - F.lit(1.0))
     stats = sums.select(
@@ -106,7 +106,7 @@ def variable_genes(
     span = stats.groupBy(batch).agg(F.min("log_mean").alias("_lo"), F.max("log_mean").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(n_bins))
     spot = F.floor(F.try_divide(F.col("log_mean") - F.col("_lo"), width))
-    binned = stats.join(broadcast_if_small(span), batch).select(
+    binned = join_statistics(stats, span, [batch]).select(
         batch,
         "gene_id",
         "log_mean",
@@ -119,7 +119,7 @@ def variable_genes(
         F.count(F.lit(1)).alias("_n"),
     )
     single = (F.col("_n") == 1) | (F.col("_sd") == 0)
-    scored = binned.join(broadcast_if_small(moments), [batch, "bin"]).withColumn(
+    scored = join_statistics(binned, moments, [batch, "bin"]).withColumn(
         "norm_dispersion",
         F.when(single, F.lit(1.0)).otherwise(
             F.try_divide(F.col("log_dispersion") - F.col("_mu"), F.col("_sd"))

@@ -175,13 +175,14 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.filter("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(vertices: DataFrame, edges: DataFrame, resolution: float, iterations: int) -> DataFrame:
-    """Weighted label propagation with a fixed number of rounds.
+def communities(vertices: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
+    """Weighted label propagation until the labels settle, as ``(id, community, rounds, settled)``.
 
     In each round every vertex takes the label with the largest summed weight among its
     neighbours, its own label weighing ``resolution`` times its mean edge weight; the smallest
-    label wins ties. Weights are whole numbers, so sums do not depend on order. Each round is
-    written out, which bounds the lineage.
+    label wins ties. Weights are whole numbers, so sums do not depend on order. Rounds end when
+    a state of all labels comes up again: the last one's (``settled``), or an earlier one's, between
+    which the labels would swing for ever. Each round is written out, which bounds the lineage.
     """
     pairs = cut_lineage(undirected(edges))
     own = pairs.groupBy("src").agg(
@@ -191,18 +192,22 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float, iterat
         vertices.select(F.col("id").alias("src")).join(own, "src", "left").select("src", F.coalesce("_own", F.lit(1)).alias("_own"))
     )
     labels = self_weight.select(F.col("src").alias("id"), F.col("src").alias("community"))
-    for _ in range(iterations):
+    states: list[tuple] = []
+    while True:
+        digest = labels.agg(
+            F.sum(F.xxhash64("id", "community").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "id", "community"))
+        ).first()
+        if tuple(digest) in states:
+            break
+        states.append(tuple(digest))
         heard = pairs.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "community", "weight")
         kept = labels.join(self_weight.withColumnRenamed("src", "id"), "id").select("id", "community", F.col("_own").alias("weight"))
         votes = heard.unionByName(kept).groupBy("id", "community").agg(F.sum("weight").alias("_w"))
-        fresh = cut_lineage(
+        labels = cut_lineage(
             votes.groupBy("id").agg(F.max_by("community", F.struct("_w", -F.col("community"))).alias("community"))
         )
-        changed = fresh.join(labels, ["id", "community"], "left_anti").limit(1).count()
-        labels = fresh
-        if not changed:
-            break
-    return labels
+    settled = states[-1] == tuple(digest)
+    return labels.withColumn("rounds", F.lit(len(states))).withColumn("settled", F.lit(settled))
 
 
 def community_sizes(labels: DataFrame) -> DataFrame:

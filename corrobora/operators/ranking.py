@@ -18,14 +18,18 @@ TIE_TOLERANCE = 1e-10
 def benjamini_hochberg(
     df: DataFrame, p: str, tie_break: Sequence[str], family: Sequence[str] = (), name: str = "q"
 ) -> DataFrame:
-    """Step-up adjusted p-values within each family; families may be of any size."""
+    """Step-up adjusted p-values within each family; families may be of any size.
+
+    Rows without a p-value do not count in their family and get no adjusted one.
+    """
     family = list(family)
     ranked = rank_in_group(
-        df, family, [F.col(p), *[F.col(c) for c in tie_break]], "_rank", "_m", keep_slices=True
+        df.filter(F.col(p).isNotNull()), family, [F.col(p), *[F.col(c) for c in tie_break]], "_rank", "_m", keep_slices=True
     )
     ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     out = suffix_minimum(ranked, family, "_raw", name)
-    return out.withColumn(name, F.least(F.col(name), F.lit(1.0))).drop("_rank", "_m", "_raw")
+    out = out.withColumn(name, F.least(F.col(name), F.lit(1.0))).drop("_rank", "_m", "_raw")
+    return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
 def quantile_bins(
@@ -215,9 +219,10 @@ def donor_winners(
 
 
 def spearman(df: DataFrame, groups: Sequence[str], left: str, right: str) -> DataFrame:
-    """Rank correlation per group; NULL when either side is constant."""
+    """Rank correlation per group over the rows with both values; NULL when either side is constant."""
     groups = list(groups)
-    ranked = average_rank(df, groups, left, "_rl")
+    complete = df.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
+    ranked = average_rank(complete, groups, left, "_rl")
     ranked = average_rank(ranked, groups, right, "_rr")
     return ranked.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), guarded_correlation(F.col("_rl"), F.col("_rr")).alias("spearman")

@@ -16,9 +16,10 @@ from corrobora.functions.numeric import cpm
 from corrobora.functions.tails import thinned
 from corrobora.operators.ordering import rank_in_group
 from corrobora.operators.ranking import ALL_DONORS, comparisons, unique_winner
-from corrobora.session import broadcast_if_small
+from corrobora.session import join_statistics
 
 BUCKET_DIGITS = 3
+UNIT_RUN = 1024
 
 
 def smallest_hashes(df: DataFrame, strata: Sequence[str], k: str, hexa: str, tie: str) -> DataFrame:
@@ -75,8 +76,8 @@ def sample_cells(
     cells: DataFrame, design: DataFrame, strata: Sequence[str], reps: int, seed: int
 ) -> DataFrame:
     """Cells drawn without replacement in every (scenario, rep, stratum)."""
-    wanted = broadcast_if_small(design.filter("feasible").drop("available_cells", "feasible"))
-    drawn = replicate(cells.join(wanted, list(strata)), "rep", reps)
+    wanted = design.filter("feasible").drop("available_cells", "feasible")
+    drawn = replicate(join_statistics(cells, wanted, strata), "rep", reps)
     labels = [F.lit(seed), F.col("scenario"), F.col("rep"), *[F.col(s) for s in strata], F.col("cell_id")]
     keyed = drawn.withColumn("_h", draw_hash(*labels))
     return smallest_hashes(keyed, ["scenario", "rep", *strata], "selected_cells", "_h", "cell_id").drop("_h")
@@ -89,7 +90,7 @@ def sampled_scores(sample: DataFrame, counts: DataFrame, targets: DataFrame, key
     sums = (
         sample.select("cell_id", *keys).join(wanted, "cell_id").groupBy(*keys, "gene_id").agg(F.sum("umi").alias("_g"))
     )
-    return sums.join(broadcast_if_small(totals), list(keys)).select(
+    return join_statistics(sums, totals, keys).select(
         *keys, "gene_id", F.log1p(cpm(F.col("_g"), F.col("_all"))).alias("score")
     )
 
@@ -100,12 +101,14 @@ def thin_counts(df: DataFrame, count: str, fraction: Column, labels: Sequence[Co
 
 
 def thin_units(df: DataFrame, count: str, fraction: Column, labels: Sequence[Column], name: str) -> DataFrame:
-    """The same binomial draw by keeping each single unit on its own hash; suits small counts."""
-    units = F.when(F.col(count) > 0, F.sequence(F.lit(1), F.col(count).cast("int"))).otherwise(
-        F.array().cast("array<int>")
-    )
-    kept = F.filter(units, lambda i: hash_uniform(draw_hash(*labels, i)) < fraction)
-    return df.withColumn(name, F.size(kept).cast("bigint"))
+    """The same binomial draw by keeping each single unit on its own hash, in runs of ``UNIT_RUN``; rows are distinct."""
+    n = F.col(count).cast("bigint")
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(n - 1, F.lit(0)) / UNIT_RUN))))
+    first = F.col("_run") * UNIT_RUN + 1
+    last = F.least(n, (F.col("_run") + 1) * UNIT_RUN)
+    units = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    kept = F.size(F.filter(units, lambda i: hash_uniform(draw_hash(*labels, i)) < fraction))
+    return runs.withColumn("_kept", kept).groupBy(*df.columns).agg(F.sum("_kept").alias(name))
 
 
 def thinning_violations(df: DataFrame, groups: Sequence[str], count: str, total: str) -> DataFrame:
@@ -171,7 +174,7 @@ def matched_reference(
         F.count_if(~F.col("is_candidate")).alias("control_genes"),
     ).withColumn("sufficient", F.col("control_genes") >= F.col("candidate_genes"))
     need = audit.filter("candidate_genes > 0").select("bin", F.col("candidate_genes").alias("_k"))
-    pool = replicate(genes.filter(~F.col("is_candidate")).join(broadcast_if_small(need), "bin"), "draw", n_draws)
+    pool = replicate(join_statistics(genes.filter(~F.col("is_candidate")), need, ["bin"]), "draw", n_draws)
     keyed = pool.withColumn("_h", draw_hash(F.lit(seed), F.col("draw"), F.col("gene_id")))
     chosen = smallest_hashes(keyed, ["draw", "bin"], "_k", "_h", "gene_id")
     null = chosen.groupBy("draw").agg(
@@ -215,7 +218,7 @@ def matched_controls(
         "bin", (F.col("_pos") - F.lit(1)).alias("_pos"), F.col("gene_id").alias("control_gene")
     )
     size = pool.groupBy("bin").agg(F.count(F.lit(1)).alias("_pool"))
-    asked = panels.join(genes.select("gene_id", "bin"), "gene_id").join(broadcast_if_small(size), "bin", "left")
+    asked = join_statistics(panels.join(genes.select("gene_id", "bin"), "gene_id"), size, ["bin"], "left")
     k = F.least(F.lit(per_gene), F.coalesce("_pool", F.lit(0)))
     drawn = asked.filter(k >= minimum).withColumn(
         "_pos",

@@ -13,7 +13,7 @@ from corrobora.functions.alleles import aligned, orientation, palindromic, varia
 from corrobora.functions.numeric import NEG_INF, finite, log_abf, safe_log, share
 from corrobora.functions.tails import standard_error, two_sided_p
 from corrobora.operators.ordering import running_total
-from corrobora.session import broadcast_if_small
+from corrobora.session import join_statistics
 
 HYPOTHESES = ("H0", "H1", "H2", "H3", "H4")
 
@@ -181,7 +181,7 @@ def coloc_sums(abf: DataFrame, groups: Sequence[str], key: str = "variant_key")
     rest = F.col(key) != F.col("_peak")
     zero = F.lit(0.0)
     sums = (
-        abf.join(broadcast_if_small(peaks), groups)
+        join_statistics(abf, peaks, groups)
         .groupBy(*groups, "_m1", "_m2", "_m12", "_peak")
         .agg(
             F.count(F.lit(1)).alias("n_variants"),
@@ -287,7 +287,7 @@ def sensitivity(posteriors: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def conditional_mass(abf: DataFrame, sums: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Each variant's probability of being the shared one, given H4."""
-    return abf.join(broadcast_if_small(sums.select(*groups, "lse_same")), list(groups)).withColumn(
+    return join_statistics(abf, sums.select(*groups, "lse_same"), groups).withColumn(
         "h4_mass", F.exp(F.col("l1") + F.col("l2") - F.col("lse_same"))
     )
 
@@ -304,7 +304,7 @@ def log_sum_exp(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
     """``log(sum(exp(value)))`` per group without overflow."""
     peaks = df.groupBy(*groups).agg(F.max(value).alias("_m"))
     return (
-        df.join(broadcast_if_small(peaks), list(groups))
+        join_statistics(df, peaks, groups)
         .groupBy(*groups, "_m")
         .agg(F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s"))
         .select(*groups, (F.col("_m") + F.log("_s")).alias(name))

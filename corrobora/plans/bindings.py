@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.numeric import nudge
 from corrobora.operators import contracts, counts as ops
+from corrobora.session import stored
 from corrobora.sources.tables import load
 
 DONORS = ["D0", "D1", "D2", "D3", "D4"]
@@ -33,11 +34,16 @@ MIN_CELLS = 20
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        load(spark, d, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"))
-        .agg(F.sum(F.col("l_quantity").cast("int")).alias("umi"))
-    )
+    """Counts per cell and gene, aggregated from the lines once a run."""
+
+    def build() -> DataFrame:
+        return (
+            load(spark, d, "lineitem")
+            .groupBy(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"))
+            .agg(F.sum(F.col("l_quantity").cast("int")).alias("umi"))
+        )
+
+    return stored(spark, d, "counts", build)
 
 
 def cell_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +81,7 @@ def listed_genes(spark: SparkSession, d: str) -> DataFrame:
     listed = genes(spark, d).select("gene_id").unionByName(absent)
     audit = contracts.mapping_audit(
         listed,
-        load(spark, d, "lineitem").select(F.col("l_partkey").alias("gene_id")),
+        counts(spark, d).select("gene_id"),
         "gene_id",
         "exact key; absent keys stay missing",
     )
@@ -83,20 +89,30 @@ def listed_genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qc_cells(spark: SparkSession, d: str) -> DataFrame:
-    metrics = ops.cell_metrics(counts(spark, d), genes(spark, d))
-    return ops.quality_flags(cell_labels(spark, d).join(metrics, "cell_id"), PRIMARY_QC, STRICT_QC)
+    """Cells with their metrics and both QC tiers, made once a run."""
+
+    def build() -> DataFrame:
+        metrics = ops.cell_metrics(counts(spark, d), genes(spark, d))
+        return ops.quality_flags(cell_labels(spark, d).join(metrics, "cell_id"), PRIMARY_QC, STRICT_QC)
+
+    return stored(spark, d, "cells", build)
 
 
 def cube(spark: SparkSession, d: str) -> DataFrame:
-    cells = qc_cells(spark, d)
-    return ops.pseudobulk(
-        ops.gene_sums(counts(spark, d), cells),
-        ops.group_totals(cells),
-        listed_genes(spark, d),
-        DONORS,
-        TYPES,
-        MIN_CELLS,
-    )
+    """The pseudobulk cube of both tiers, made once a run; readers get only the tier and columns they use."""
+
+    def build() -> DataFrame:
+        cells = qc_cells(spark, d)
+        return ops.pseudobulk(
+            ops.gene_sums(counts(spark, d), cells),
+            ops.group_totals(cells),
+            listed_genes(spark, d),
+            DONORS,
+            TYPES,
+            MIN_CELLS,
+        )
+
+    return stored(spark, d, "cube", build, by=("qc",))
 
 
 def values(items: list[str], table: str, column: str) -> str:

@@ -11,6 +11,7 @@ from corrobora.operators import ranking
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.registry import query
+from corrobora.session import cut_lineage, stored
 from corrobora.sources.tables import load
 
 KEYS = ["gene_id", "gene_in_matrix"]
@@ -167,17 +168,24 @@ SECOND_DONORS = ["C0", "C1", "C2", "C3"]
 
 
 def second_study(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of a second study: open lines only, donors by return flag and line status groups of libraries."""
+    """Scores of a second study, made once a run: open lines only, donors by groups of nations."""
+    return stored(spark, d, "second-study", lambda: _second_study(spark, d))
+
+
+def _second_study(spark: SparkSession, d: str) -> DataFrame:
     cells = b.cell_labels(spark, d).select(
         "cell_id", "cell_type", F.concat(F.lit("C"), F.pmod(F.col("nation"), F.lit(4)).cast("string")).alias("donor")
     )
     line = load(spark, d, "lineitem").filter(F.col("l_linestatus") == "O").select(
         F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"), F.col("l_quantity").cast("int").alias("umi")
     )
-    sums = line.join(cells, "cell_id").groupBy("donor", "cell_type", "gene_id").agg(F.sum("umi").alias("sum_gene"))
+    sums = cut_lineage(
+        line.join(cells, "cell_id").groupBy("donor", "cell_type", "gene_id").agg(F.sum("umi").alias("sum_gene"))
+    )
     totals = sums.groupBy("donor", "cell_type").agg(F.sum("sum_gene").alias("sum_all"))
     frame = ops.scaffold(sums.select("gene_id").distinct(), donor=SECOND_DONORS, cell_type=b.TYPES)
-    joined = frame.join(totals, ["donor", "cell_type"], "left").join(sums, ["donor", "cell_type", "gene_id"], "left")
+    # the declared donors and types bound the totals
+    joined = frame.join(F.broadcast(totals), ["donor", "cell_type"], "left").join(sums, ["donor", "cell_type", "gene_id"], "left")
     cpm = F.lit(1e6) * F.coalesce("sum_gene", F.lit(0)) / F.col("sum_all")
     return joined.select("gene_id", "donor", "cell_type", F.when(F.col("sum_all") > 0, F.log1p(cpm)).alias("log1p_cpm"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.functions.numeric import checked_cast, finite, rounded
@@ -232,27 +232,64 @@ def key_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counted).select("operation", "n_keys", "key_sum")
 
 
-PRINTS = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+# Columns by how their values become text: as they are, as a number of billionths rounded down, or as microseconds.
+TABLES: dict[str, str] = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal:number c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal:number",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice:number",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice:number o_orderdate:time o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity:number l_extendedprice:number l_discount:number "
+    "l_tax:number l_returnflag l_linestatus l_shipdate:time",
+    "events": "event_id ts:time user_id event_type value:number props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding:numbers label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
 }
 
 
+def _kinds(table: str) -> dict[str, str]:
+    return {name: kind for name, _, kind in (c.partition(":") for c in TABLES[table].split())}
+
+
+def _value_text(name: str, kind: str) -> Column:
+    billionths = lambda x: F.floor(x.cast("double") * F.lit(1e9)).cast("string")
+    if kind == "number":
+        return billionths(F.col(name))
+    if kind == "numbers":
+        return F.array_join(F.transform(name, billionths), ",", "-")
+    return F.unix_micros(F.col(name).cast("timestamp")).cast("string") if kind == "time" else F.col(name).cast("string")
+
+
+def _value_sql(name: str, kind: str) -> str:
+    billionths = lambda x: f"CAST(CAST(floor({x}::DOUBLE * 1000000000.0::DOUBLE) AS BIGINT) AS VARCHAR)"
+    text = {
+        "number": billionths(name),
+        "numbers": f"array_to_string(list_transform({name}, lambda x: coalesce({billionths('x')}, '-')), ',')",
+        "time": f"CAST(epoch_us({name}) AS VARCHAR)",
+    }.get(kind, f"CAST({name} AS VARCHAR)")
+    return f"coalesce('{name}=' || length({text}) || ':' || {text}, '{name}-')"
+
+
 @query(
     "table_fingerprints",
     " UNION ALL ".join(
         f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS digest_sum, bit_xor(h) AS digest_xor "
-        f"FROM (SELECT ('0x' || substr(md5(concat_ws('|', {', '.join(cols)})), 1, 15))::BIGINT AS h FROM {t})"
-        for t, cols in PRINTS.items()
+        f"FROM (SELECT ('0x' || substr(md5(concat_ws('|', {', '.join(_value_sql(n, k) for n, k in _kinds(t).items())})), 1, 15))::BIGINT AS h FROM {t})"
+        for t in TABLES
     ),
 )
 def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of all tables; a missing value differs from every text."""
     parts = [
-        contracts.text_fingerprint(load(spark, d, t), F.concat_ws("|", *[F.col(c).cast("string") for c in cols])).withColumn(
-            "table_name", F.lit(t)
-        )
-        for t, cols in PRINTS.items()
+        contracts.text_fingerprint(
+            load(spark, d, t), contracts.canonical_line({n: _value_text(n, k) for n, k in _kinds(t).items()})
+        ).withColumn("table_name", F.lit(t))
+        for t in TABLES
     ]
     return reduce(DataFrame.unionByName, parts).select("table_name", "n_rows", "digest_sum", "digest_xor")
 
@@ -333,16 +370,26 @@ def saved_result_invariants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("source_file_registry")
+@query(
+    "source_file_registry",
+    """WITH found AS (SELECT CAST(page_id AS VARCHAR) AS file, strlen(html) AS bytes_found, sha256(html) AS sha256_found, md5(html) AS md5_found
+  FROM pages WHERE page_id % 11 <> 0),
+declared AS (SELECT CAST(page_id AS VARCHAR) AS file, strlen(html) + (page_id % 7 = 0)::INT AS bytes,
+  CASE WHEN page_id % 5 = 0 THEN sha256(url) ELSE sha256(html) END AS sha256 FROM pages WHERE page_id % 13 <> 0)
+SELECT file, bytes, bytes_found, sha256_found, md5_found, CASE WHEN bytes_found IS NULL THEN 'missing_file' WHEN bytes IS NULL THEN 'undeclared_file'
+  WHEN bytes <> bytes_found THEN 'size_mismatch' WHEN sha256 <> sha256_found THEN 'digest_mismatch' ELSE 'verified' END AS status
+FROM declared FULL OUTER JOIN found USING (file)""",
+)
 def source_file_registry(spark: SparkSession, d: str) -> DataFrame:
-    """Every file of the folder against a registry that declares sizes for some and a wrong one for part."""
-    found = spark.read.format("binaryFile").load(f"{d}/*.parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length"), F.sha2("content", 256).alias("sha256")
+    """Downloaded pages against a registry; some are missing, undeclared, or declared with another size or digest."""
+    pages = load(spark, d, "pages").withColumn("file", F.col("page_id").cast("string"))
+    found = tables.content_digests(pages.filter("page_id % 11 <> 0"), "file", F.encode("html", "UTF-8"))
+    declared = pages.filter("page_id % 13 <> 0").select(
+        "file",
+        (F.octet_length("html") + F.when(F.col("page_id") % 7 == 0, 1).otherwise(0)).cast("bigint").alias("bytes"),
+        F.sha2(F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.col("html")), 256).alias("sha256"),
     )
-    declared = found.filter("file <> 'nation.parquet'").select(
-        "file", "sha256", (F.col("length") + F.when(F.col("file") == "part.parquet", 1).otherwise(0)).alias("bytes")
-    )
-    return tables.source_registry(spark, f"{d}/*.parquet", declared).select("file", "bytes", "bytes_found", "status")
+    return tables.compare_registry(declared, found).select("file", "bytes", "bytes_found", "sha256_found", "md5_found", "status")
 
 
 @query(
@@ -359,14 +406,16 @@ def fixed_format_sink(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "region_scan",
-    "SELECT l_orderkey, l_partkey AS pos FROM lineitem WHERE l_suppkey = 7 AND l_partkey BETWEEN 100 AND 900",
+    "SELECT l_orderkey, l_suppkey, l_partkey AS pos FROM lineitem WHERE l_returnflag = 'R' AND l_partkey BETWEEN 100 AND 900",
 )
 def region_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Write the lines by supplier, sorted by part, then read one region by partition and row group."""
+    """Write the lines by flag and sorted by part, then read one region by partition and row group."""
     path = scratch_path(spark, "regions")
-    line = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("chrom"), F.col("l_partkey").alias("pos"), "l_orderkey")
+    line = load(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("chrom"), F.col("l_partkey").alias("pos"), "l_orderkey", "l_suppkey"
+    )
     tables.write_by_region(line, path)
-    return tables.scan_region(spark, path, 7, 100, 900).select("l_orderkey", "pos")
+    return tables.scan_region(spark, path, "R", 100, 900).select("l_orderkey", "l_suppkey", "pos")
 
 
 @query(

@@ -348,6 +348,22 @@ def cluster_annotation_audit(spark: SparkSession, d: str) -> DataFrame:
     "FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2",
 )
 def wide_count_text_scan(spark: SparkSession, d: str) -> DataFrame:
+    return wide_text(spark, d, [])[0]
+
+
+@query(
+    "wide_count_text_violations",
+    """SELECT 'bad_count' AS gene_id, 'count' AS problem UNION ALL SELECT 'bad_width', 'width'
+UNION ALL SELECT 'g' || min(l_partkey), 'repeated_gene' FROM lineitem""",
+)
+def wide_count_text_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The same text with a bad count, a short line and a repeated gene in it."""
+    least = load(spark, d, "lineitem").agg(F.min("l_partkey").alias("g")).first()["g"]
+    zeros = ",0" * 24
+    return wide_text(spark, d, [f"bad_count,x{zeros}", f"bad_width{zeros}", f"g{least},1{zeros}"])[1]
+
+
+def wide_text(spark: SparkSession, d: str, more: list[str]) -> tuple[DataFrame, DataFrame]:
     """Write gene rows with one column per nation as text without a corner cell, then scan them."""
     nations = [str(i) for i in range(25)]
     wide = (
@@ -360,9 +376,9 @@ def wide_count_text_scan(spark: SparkSession, d: str) -> DataFrame:
     lines = wide.select(F.concat_ws(",", F.concat(F.lit("g"), F.col("l_partkey")), *[F.col(n) for n in nations]).alias("value"))
     head = spark.createDataFrame([("," + ",".join(f"n{n}" for n in nations),)], "value string")
     path = scratch_path(spark, "wide-counts")
-    head.union(lines).write.text(path)
-    counts, _ = text.read_wide_counts(spark, path)
-    return counts
+    extra = spark.createDataFrame([(x,) for x in more], "value string")
+    head.union(lines).union(extra).write.text(path)
+    return text.read_wide_counts(spark, path)
 
 
 @query(
@@ -370,13 +386,38 @@ def wide_count_text_scan(spark: SparkSession, d: str) -> DataFrame:
     with_ctes("SELECT cell_id, gene_id, umi FROM counts", "counts"),
 )
 def triplet_count_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Write the counts as coordinate text with ordinals, then scan and relabel them."""
+    entries, _, genes, cells = triplet_text(spark, d, [])
+    return text.label_triplets(entries, genes, cells)
+
+
+@query(
+    "triplet_count_check",
+    with_ctes(
+        """SELECT count(*) + 4 AS n_entries, (SELECT count(*) FROM part) AS declared_rows, count(DISTINCT cell_id) AS declared_cols,
+  count(*) AS declared_entries, 3::BIGINT AS n_invalid, 2::BIGINT AS n_repeated, false AS consistent FROM counts""",
+        "counts",
+    ),
+)
+def triplet_count_check(spark: SparkSession, d: str) -> DataFrame:
+    """The check of the same text with bad ordinals, a bad value and a repeated place in it."""
+    least = b.counts(spark, d).agg(F.min(F.struct("gene_id", "cell_id")).alias("x")).select("x.*")
+    return triplet_text(spark, d, ["zz 2 7", "0 1 1", "1 99999999999 3"], least)[1]
+
+
+def triplet_text(
+    spark: SparkSession, d: str, more: list[str], repeat: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Write the counts as coordinate text with ordinals, then scan them: entries, check, genes and cells."""
     counts = b.counts(spark, d)
     genes = rank_in_group(b.genes(spark, d).select("gene_id"), [], [F.col("gene_id")], "ordinal")
     cells = rank_in_group(counts.select("cell_id").distinct(), [], [F.col("cell_id")], "ordinal")
     rows = counts.join(genes.withColumnRenamed("ordinal", "i"), "gene_id").join(cells.withColumnRenamed("ordinal", "j"), "cell_id")
     path, dims = scratch_path(spark, "triplets"), scratch_path(spark, "triplet-size")
-    rows.select(F.concat_ws(" ", "i", "j", "umi").alias("value")).write.text(path)
+    lines = rows.select(F.concat_ws(" ", "i", "j", "umi").alias("value"))
+    if repeat is not None:
+        again = rows.join(repeat, ["gene_id", "cell_id"]).select(F.concat_ws(" ", "i", "j", F.lit(1)).alias("value"))
+        lines = lines.union(again)
+    lines.union(spark.createDataFrame([(x,) for x in more], "value string")).write.text(path)
     sizes = (
         genes.select(F.lit("g").alias("part"))
         .unionByName(cells.select(F.lit("c").alias("part")))
@@ -384,8 +425,8 @@ def triplet_count_scan(spark: SparkSession, d: str) -> DataFrame:
         .agg(*[F.count_if(F.col("part") == x).alias(x) for x in "gcn"])
     )
     sizes.select(F.concat_ws(" ", "g", "c", "n").alias("value")).write.text(dims)
-    entries, _ = text.read_triplets(spark, path, dims)
-    return text.label_triplets(entries, genes, cells)
+    entries, check = text.read_triplets(spark, path, dims)
+    return entries, check, genes, cells
 
 
 @query(

@@ -14,7 +14,7 @@ from corrobora.session import cut_lineage
 from corrobora.sources.tables import load
 
 K = 15
-ROUNDS = 4
+SQL_ROUNDS = 60  # for the checking SQL only, whose recursion cannot look back
 RESOLUTIONS = [0.5, 1.0]
 
 KNN = f"""vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS v FROM embeddings),
@@ -35,24 +35,21 @@ def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounds_sql(resolution: float) -> str:
-    """Label propagation rounds written out as a chain of fragments."""
+    """Label propagation as a recursion over rounds, and the round whose state came up before."""
     tag = str(resolution).replace(".", "")
-    parts = [
-        f"own{tag} AS (SELECT vec_id AS id, coalesce(CAST(floor(avg(weight) * {resolution}::DOUBLE) AS BIGINT), 1) AS w FROM vec LEFT JOIN edges ON src = vec_id GROUP BY 1)",
-        f"l{tag}_0 AS (SELECT vec_id AS id, vec_id AS community FROM vec)",
-    ]
-    for i in range(ROUNDS):
-        parts.append(
-            f"l{tag}_{i + 1} AS (SELECT id, arg_max(community, (w, -community)) AS community FROM (SELECT id, community, sum(weight) AS w FROM ("
-            f"SELECT dst AS id, community, weight FROM edges JOIN l{tag}_{i} ON src = id "
-            f"UNION ALL SELECT id, community, w FROM l{tag}_{i} JOIN own{tag} USING (id)) GROUP BY 1, 2) GROUP BY 1)"
-        )
-    return ", ".join(parts)
+    return f"""own{tag} AS (SELECT vec_id AS id, coalesce(CAST(floor(avg(weight) * {resolution}::DOUBLE) AS BIGINT), 1) AS w FROM vec LEFT JOIN edges ON src = vec_id GROUP BY 1),
+walk{tag} AS (SELECT 0 AS i, vec_id AS id, vec_id AS community FROM vec
+  UNION ALL SELECT i + 1, id, arg_max(community, (w, -community)) FROM (SELECT i, id, community, sum(weight) AS w FROM (
+    SELECT i, dst AS id, community, weight FROM edges JOIN walk{tag} ON src = id UNION ALL SELECT i, id, community, w FROM walk{tag} JOIN own{tag} USING (id))
+    WHERE i < {SQL_ROUNDS} GROUP BY ALL) GROUP BY i, id),
+state{tag} AS (SELECT i, sum(hash(id, community)::HUGEINT) AS h FROM walk{tag} GROUP BY i),
+stop{tag} AS (SELECT b.i, max(a.i) AS before FROM state{tag} a JOIN state{tag} b ON a.h = b.h AND a.i < b.i GROUP BY b.i ORDER BY b.i LIMIT 1)"""
 
 
 COMMUNITIES = ", ".join(rounds_sql(x) for x in RESOLUTIONS)
 LABELLED = "labelled AS (" + " UNION ALL ".join(
-    f"SELECT {x}::DOUBLE AS resolution, id AS vec_id, community FROM l{str(x).replace('.', '')}_{ROUNDS}" for x in RESOLUTIONS
+    f"SELECT {x}::DOUBLE AS resolution, id AS vec_id, community, CAST(i AS INTEGER) AS rounds, before = i - 1 AS settled FROM walk{t} JOIN stop{t} USING (i)"
+    for x, t in ((x, str(x).replace(".", "")) for x in RESOLUTIONS)
 ) + ")"
 
 
@@ -60,20 +57,20 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     edges = cut_lineage(gr.edge_weights(neighbours(spark, d)))
     vertices = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     parts = [
-        gr.communities(vertices, edges, x, ROUNDS).select(F.lit(x).alias("resolution"), F.col("id").alias("vec_id"), "community")
+        gr.communities(vertices, edges, x).select(F.lit(x).alias("resolution"), F.col("id").alias("vec_id"), "community", "rounds", "settled")
         for x in RESOLUTIONS
     ]
     return parts[0].unionByName(parts[1])
 
 
-@query("graph_communities", f"WITH {KNN}, {COMMUNITIES}, {LABELLED} SELECT * FROM labelled")
+@query("graph_communities", f"WITH RECURSIVE {KNN}, {COMMUNITIES}, {LABELLED} SELECT * FROM labelled")
 def graph_communities(spark: SparkSession, d: str) -> DataFrame:
     return labelled(spark, d)
 
 
 @query(
     "community_label_contingency",
-    f"WITH {KNN}, {COMMUNITIES}, {LABELLED} SELECT resolution, community, "
+    f"WITH RECURSIVE {KNN}, {COMMUNITIES}, {LABELLED} SELECT resolution, community, "
     + ", ".join(f"count(*) FILTER (WHERE label = {i}) AS \"n_{i}\"" for i in range(10))
     + " FROM labelled JOIN embeddings USING (vec_id) GROUP BY 1, 2",
 )
@@ -89,6 +86,25 @@ def component_variance(spark: SparkSession, d: str) -> DataFrame:
     return ratio.withColumn("variance_ratio", rounded(F.col("variance_ratio")))
 
 
+@query(
+    "component_power_sums",
+    f"""WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings CROSS JOIN range(1, 65) t(i)),
+m AS (SELECT i, avg(x) AS m FROM x GROUP BY 1),
+z AS (SELECT vec_id, i, x - m AS z FROM x JOIN m USING (i)),
+c AS (SELECT a.i AS i, b.i AS j, sum(a.z * b.z) AS c FROM z a JOIN z b USING (vec_id) GROUP BY 1, 2),
+t1 AS (SELECT sum(c) AS t FROM c WHERE i = j), t2 AS (SELECT sum(c * c) AS t FROM c),
+t3 AS (SELECT sum(a.c * b.c * d.c) AS t FROM c a JOIN c b ON a.j = b.i JOIN c d ON b.j = d.i AND d.j = a.i)
+SELECT 64::BIGINT AS n_components, {r('1')} AS p1, {r('t2.t / (t1.t * t1.t)')} AS p2, {r('t3.t / (t1.t * t1.t * t1.t)')} AS p3 FROM t1, t2, t3""",
+)
+def component_power_sums(spark: SparkSession, d: str) -> DataFrame:
+    """First three power sums of all components' shares of the variance."""
+    _, ratio = gr.principal_components(load(spark, d, "embeddings"), "vec_id", "embedding", 64)
+    x = F.col("variance_ratio")
+    return ratio.agg(
+        F.count(F.lit(1)).alias("n_components"), *[rounded(F.sum(F.pow(x, F.lit(k)))).alias(f"p{k}") for k in (1, 2, 3)]
+    )
+
+
 @query(
     "component_total_variance",
     f"""SELECT count(*) AS n_features, {r('sum(v)')} AS total_variance FROM (

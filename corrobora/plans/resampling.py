@@ -14,7 +14,7 @@ from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.context import BASE, SECOND, second_study
 from corrobora.plans.registry import query
-from corrobora.session import cut_lineage
+from corrobora.session import cut_lineage, stored
 from corrobora.sources.tables import load
 
 SEED = 20261006
@@ -83,7 +83,22 @@ def depth_thinning_by_unit(spark: SparkSession, d: str) -> DataFrame:
     return rs.thin_units(thinning_units(spark, d), "sum_gene", F.lit(0.25), labels, "kept")
 
 
-@query("depth_thinning_by_count")
+@query(
+    "depth_thinning_by_count",
+    with_ctes(
+        """SELECT fraction, donor, cell_type, CAST(sum(n) AS BIGINT) AS library, CAST(sum(kept) AS BIGINT) AS thinned_library,
+  count(*) FILTER (WHERE kept > n) AS n_above_count, count(*) FILTER (WHERE kept > 0) AS genes_left FROM thinned GROUP BY 1, 2, 3""",
+        "gene_sums",
+        extra=f"""units AS (SELECT donor, cell_type, gene_id, sum_gene AS n, fraction,
+    ('0x' || substr(md5(concat_ws('|', '{SEED}', fraction, donor, cell_type, gene_id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM gene_sums CROSS JOIN (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(fraction) WHERE qc = 'primary'),
+terms AS (SELECT *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(fraction) + (n - k) * ln(1 - fraction)) AS p
+  FROM (SELECT *, unnest(range(0, n)) AS k FROM units)),
+below AS (SELECT fraction, donor, cell_type, gene_id, count(*) FILTER (WHERE c <= u) AS kept FROM (
+  SELECT *, sum(p) OVER (PARTITION BY fraction, donor, cell_type, gene_id ORDER BY k) AS c FROM terms) GROUP BY 1, 2, 3, 4),
+thinned AS (SELECT units.*, coalesce(kept, 0) AS kept FROM units LEFT JOIN below USING (fraction, donor, cell_type, gene_id))""",
+    ),
+)
 def depth_thinning_by_count(spark: SparkSession, d: str) -> DataFrame:
     """Binomial draw of whole counts at three depths, with the thinned library per group."""
     fractions = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -119,13 +134,18 @@ def baseline(cube: DataFrame) -> DataFrame:
     return ranking.unique_winner(scores, b.PRIMARY_TYPES).select("gene_id", F.col("top_type").alias("baseline_top_type"))
 
 
-def stability_tally(spark: SparkSession, d: str, cube: DataFrame | None = None) -> DataFrame:
+def stability_tally(spark: SparkSession, d: str) -> DataFrame:
+    """The tally of winners over all draws, made once a run."""
+    return stored(spark, d, "stability-tally", lambda: _stability_tally(spark, d))
+
+
+def _stability_tally(spark: SparkSession, d: str) -> DataFrame:
     """Draw cells, rebuild pseudobulk scores per draw, and tally the winners."""
     sample = cut_lineage(draw_sample(spark, d).select("scenario", "rep", "donor", "cell_type", "cell_id", "total"))
     keys = ["scenario", "rep", "donor", "cell_type"]
     scores = rs.sampled_scores(sample, b.counts(spark, d), b.genes(spark, d), keys)
     winners = rs.draw_winners(scores, ["scenario", "rep", "gene_id"], b.PRIMARY_TYPES, b.DONORS)
-    return rs.draw_tally(winners, baseline(cube if cube is not None else b.cube(spark, d)), b.PRIMARY_TYPES, REPS)
+    return rs.draw_tally(winners, baseline(b.cube(spark, d)), b.PRIMARY_TYPES, REPS)
 
 
 @query(
@@ -242,9 +262,16 @@ def panels(spark: SparkSession, d: str) -> DataFrame:
     return b.genes(spark, d).filter(F.col("panel").isin(PROGRAMS) & ~F.col("is_mt")).select(F.col("panel").alias("program"), "gene_id")
 
 
-def control_pairs(spark: SparkSession, d: str, cube: DataFrame) -> DataFrame:
-    bins = cut_lineage(expressed_bins(cube, b.genes(spark, d)).select("gene_id", "bin"))
-    return rs.matched_controls(bins, panels(spark, d), 20, 5, SEED)
+def control_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Panel genes with their matched controls, drawn once a run."""
+
+    def bins() -> DataFrame:
+        return expressed_bins(b.cube(spark, d), b.genes(spark, d)).select("gene_id", "bin")
+
+    def build() -> DataFrame:
+        return rs.matched_controls(stored(spark, d, "expressed-bins", bins), panels(spark, d), 20, 5, SEED)
+
+    return stored(spark, d, "control-pairs", build)
 
 
 PAIRS = f"""refmean AS (SELECT gene_id, round(avg(log1p_cpm), 9) AS reference_mean FROM cube
@@ -268,7 +295,7 @@ PAIR_CTES = ("genes", "cube", "primary_types")
     with_ctes("SELECT program, panel_gene, control_gene, bin, n_controls FROM pairs", *PAIR_CTES, extra=PAIRS, recursive=True),
 )
 def matched_controls(spark: SparkSession, d: str) -> DataFrame:
-    return control_pairs(spark, d, b.cube(spark, d))
+    return control_pairs(spark, d)
 
 
 @query(
@@ -312,8 +339,8 @@ scores AS (SELECT program, qc, donor, cell_type, avg(c) AS score FROM contrast W
 
 
 def program_score_table(spark: SparkSession, d: str) -> DataFrame:
-    cube = cut_lineage(b.cube(spark, d).select("qc", "donor", "cell_type", "gene_id", "log1p_cpm", "gene_in_matrix"))
-    weights = pg.contrast_weights(cut_lineage(control_pairs(spark, d, cube)))
+    cube = b.cube(spark, d)
+    weights = pg.contrast_weights(control_pairs(spark, d))
     return pg.program_scores(cube, weights, ["qc", "donor", "cell_type"])
 
 
@@ -358,7 +385,7 @@ def shared_program_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFr
     """
     full = load(spark, d, "lineitem").filter("l_discount > 0.095 AND l_linestatus = 'O'").select(F.col("l_partkey").alias("gene_id")).distinct()
     second = cut_lineage(second_study(spark, d).join(full, "gene_id", "left_semi"))
-    pairs = cut_lineage(control_pairs(spark, d, b.cube(spark, d)))
+    pairs = control_pairs(spark, d)
     first = load(spark, d, "lineitem").select(F.col("l_partkey").alias("gene_id"))
     return pairs, pg.shared_pairs(pairs, first, second, 15), second
 

@@ -36,7 +36,7 @@ EXTRA = ",\n".join([SAMPLE, BASE, FOLDS, STABLE, STRICT, SECOND, TALLY, WORST, M
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
     """One row per listed gene with every layer beside the others, and the composite flag."""
-    cube = cut_lineage(b.cube(spark, d))
+    cube = b.cube(spark, d)
     stable = ranking.stability(cube.filter("qc = 'primary'"), ["gene_id", "gene_in_matrix"], b.PRIMARY_TYPES, b.DONORS, F.col("log1p_cpm"))
     links = load(spark, d, "lineitem").filter("l_discount > 0.095").groupBy(F.col("l_partkey").alias("gene_id")).agg(
         F.count(F.lit(1)).alias("n_links"), F.countDistinct("l_suppkey").alias("n_sources")
@@ -45,7 +45,7 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
         stable.select("gene_id", "gene_in_matrix", "top_type", "agreeing_folds", "all_folds_agree"),
         {
             "quality": tier_agreement(cube).select("gene_id", "same_top"),
-            "sampling": worst_agreement(stability_tally(spark, d, cube), "equal_cells_20"),
+            "sampling": worst_agreement(stability_tally(spark, d), "equal_cells_20"),
             "second": concordance(spark, d, cube).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
             "links": links,
         },

@@ -1,29 +1,27 @@
-"""Session helpers: lineage cuts and shared scratch space."""
+"""Session helpers: lineage cuts, shared scratch space and joins with group statistics."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 200_000
+SALTS = 16
+"""Parts into which the rows of each group are dealt when they meet the group's statistics."""
 
+_STORED: dict[tuple[str, str, str], str] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
-    """
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and sc.getCheckpointDir() is not None:
         folder = sc.getCheckpointDir().rsplit("/", 1)[0]
     if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -35,17 +33,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Group-level statistics for joining back to their rows: broadcast only if counted small.
+def join_statistics(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with the statistics of their group, of which ``stats`` has one row for each.
 
-    The statistics are written once and counted. Up to ``limit`` rows they are broadcast, so a
-    hot group is not drawn into one task by the join; beyond it the join shuffles, with groups
-    then numerous and adaptive skew handling in charge.
+    The rows of a group are dealt to ``SALTS`` parts by a hash of the whole row, and the statistics are
+    repeated for each part, so a group may hold any share of the rows.
     """
-    written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= limit else written
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS)))
+    repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of everything that this application writes besides checkpoints."""
+    return f"{shared_folder(spark).rstrip('/')}/run-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a derived text or Parquet table."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the run's folder for a derived text or Parquet table."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
+    """A derived table that many jobs of a run read: written once for each source folder, then read back.
+
+    A source folder must not change while an application runs.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.partitionBy(*by).parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def clear_run(spark: SparkSession) -> None:
+    """Delete what the application has stored; to be called at its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STORED if k[0] == spark.sparkContext.applicationId]:
+        del _STORED[key]

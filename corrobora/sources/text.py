@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+# Where a line stands: blocks of a file in order, and lines in order inside a block.
+FIRST = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
 CORRUPT = "_corrupt_record"
 
 
@@ -19,48 +24,71 @@ def read_delimited(
     """Rows of the declared schema, and the lines that did not parse.
 
     ``junk`` is a pattern for title or note lines to leave out; they then may stand above
-    the header, which is recognised as the line made of the column names.
+    the header, which is the first line of a file that is made of the column names.
     """
     lines = spark.read.text(path)
     if junk:
         lines = lines.filter(~F.col("value").rlike(junk))
     if header:
-        names = [part.strip().split(" ")[0].strip("`") for part in schema.split(",")]
-        lines = lines.filter(F.col("value") != F.lit(sep.join(names)))
+        named = sep.join(StructType.fromDDL(schema).names)
+        titles = lines.withColumn("_at", FIRST).filter(F.col("value") == named)
+        one = titles.groupBy("_metadata.file_path").agg(F.min("_at").alias("_title"))
+        lines = (
+            lines.withColumn("_at", FIRST)
+            .withColumn("_file", F.col("_metadata.file_path"))
+            .join(one.withColumnRenamed("file_path", "_file"), "_file", "left")
+            .filter(F.coalesce(F.col("_at") != F.col("_title"), F.lit(True)))
+            .select("value")
+        )
     full = f"{schema}, {CORRUPT} string"
     options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     rows = lines.select(F.from_csv("value", F.lit(full), options).alias("_r")).select("_r.*")
     return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), rows.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def read_wide_counts(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """Gene-by-cell text to sparse ``(cell_id, gene_id, umi)`` and the violating lines.
+def read_wide_counts(
+    spark: SparkSession, path: str, sep: str = ",", names: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Gene-by-cell text to sparse ``(cell_id, gene_id, umi)``, and violations ``(gene_id, problem)``.
 
-    The header is the line whose second field is no number; its corner cell may be absent.
+    The header is the first line of the first file, or ``names`` if the text has none; its corner cell may be
+    absent. Lines with a bad count or another width, and genes that stand in several lines, are violations
+    and not counted; a cell that the header names twice is one too, and none of its columns counts.
     """
-    fields = spark.read.text(path).select(F.split("value", sep).alias("f"))
-    is_header = F.try_element_at("f", F.lit(2)).try_cast("double").isNull()
-    head = fields.filter(is_header).select(
-        F.when(F.get("f", F.lit(0)) == "", F.slice("f", 2, F.size("f"))).otherwise(F.col("f")).alias("cells")
-    )
-    names = head.select(F.posexplode("cells").alias("ordinal", "cell_id"))
-    width = head.agg(F.max(F.size("cells")).alias("n_cells"))
-    rows = fields.filter(~is_header).select(
-        F.regexp_replace(F.get("f", F.lit(0)), '^"|"$', "").alias("gene_id"),
-        F.transform(F.slice("f", 2, F.size("f")), lambda x: x.try_cast("int")).alias("values"),
-    )
-    # the width table has exactly one row
-    checked = rows.join(F.broadcast(width), F.size("values") == F.col("n_cells"), "left").withColumn(
-        "ok", F.col("n_cells").isNotNull() & ~F.exists("values", lambda v: v.isNull() | (v < 0))
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", at.alias("_at"))
+    if names is None:
+        first = lines.agg(F.min("_at").alias("at"), F.min_by("value", "_at").alias("value")).first()
+        names = (first["value"] or "").split(sep) if first["at"] else []
+        names = names[1:] if names and names[0] == "" else names
+        if first["at"]:
+            path_at, *place = first["at"]
+            lines = lines.filter(F.col("_at") > F.struct(F.lit(path_at), *[F.lit(x).cast("bigint") for x in place]))
+    width = len(names)
+    head = spark.createDataFrame([(i, n, names.count(n) == 1) for i, n in enumerate(names)], "ordinal int, cell_id string, once boolean")
+    fields = F.split("value", sep, -1)
+    rows = lines.select(
+        F.regexp_replace(F.get(fields, F.lit(0)), '^"|"$', "").alias("gene_id"),
+        F.transform(F.slice(fields, 2, F.size(fields)), lambda x: x.try_cast("int")).alias("values"),
+    ).withColumn(
+        "problem",
+        F.when(F.size("values") != width, "width").when(F.exists("values", lambda v: v.isNull() | (v < 0)), "count"),
     )
+    repeated = rows.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gene_id")
     counts = (
-        checked.filter("ok")
+        rows.filter("problem IS NULL")
+        .join(repeated, "gene_id", "left_anti")
         .select("gene_id", F.posexplode("values").alias("ordinal", "umi"))
-        .filter(F.col("umi") > 0)
-        .join(names, "ordinal")
+        .filter("umi > 0")
+        .join(F.broadcast(head.filter("once")), "ordinal")  # the header, one line
         .select("cell_id", "gene_id", "umi")
     )
-    return counts, checked.filter(~F.coalesce("ok", F.lit(False))).select("gene_id")
+    violations = (
+        rows.filter("problem IS NOT NULL").select("gene_id", "problem")
+        .unionByName(repeated.withColumn("problem", F.lit("repeated_gene")))
+        .unionByName(head.filter("NOT once").select(F.col("cell_id").alias("gene_id")).distinct().withColumn("problem", F.lit("repeated_cell")))
+    )
+    return counts, violations
 
 
 def read_triplets(
@@ -68,6 +96,9 @@ def read_triplets(
 ) -> tuple[DataFrame, DataFrame]:
     """Coordinate-format counts ``(row, col, value)`` and a one-row check against the declared size.
 
+    Entries that do not parse, have a place outside the declared size or a negative value are invalid;
+    entries that share a place are repeated. Only a check without any is ``consistent``.
+
     The size line is the first line after the comments of a single file, or comes from its
     own file when the entries are spread over many.
     """
@@ -85,18 +116,22 @@ def read_triplets(
     entry = lines.select(t.alias("t")).select(
         F.col("t")[0].alias("row"), F.col("t")[1].alias("col"), F.col("t")[2].alias("value")
     )
-    check = entry.agg(
-        F.count(F.lit(1)).alias("n_entries"),
+    bad = F.coalesce(
+        F.col("row").isNull() | F.col("col").isNull() | F.col("value").isNull()
+        | (F.col("row") < 1) | (F.col("col") < 1) | (F.col("value") < 0) | (F.col("row") > n_rows) | (F.col("col") > n_cols),
+        F.lit(True),
+    )
+    places = entry.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("n_bad"))
+    n_all, n_bad = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_bad"), F.lit(0))
+    n_repeated = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    check = places.agg(
+        n_all.alias("n_entries"),
         F.lit(n_rows).cast("bigint").alias("declared_rows"),
         F.lit(n_cols).cast("bigint").alias("declared_cols"),
         F.lit(n_entries).cast("bigint").alias("declared_entries"),
-        F.count_if(F.col("value").isNull() | (F.col("value") < 0)).alias("n_invalid"),
-        (
-            (F.count(F.lit(1)) == n_entries)
-            & (F.max("row") <= n_rows)
-            & (F.max("col") <= n_cols)
-            & (F.count_if(F.col("value").isNull() | (F.col("value") < 0)) == 0)
-        ).alias("consistent"),
+        n_bad.alias("n_invalid"),
+        n_repeated.alias("n_repeated"),
+        ((n_all == n_entries) & (n_bad == 0) & (n_repeated == 0)).alias("consistent"),
     )
     return entry, check
 

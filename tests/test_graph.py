@@ -38,8 +38,8 @@ def test_communities_label_every_vertex_and_repeat(spark):
     edges = [(a, c, 10) for a in range(5) for c in range(a)] + [(a + 10, c + 10, 10) for a in range(5) for c in range(a)] + [(0, 10, 1)]
     frame = spark.createDataFrame(edges, "src long, dst long, weight long")
     nodes = spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15), 99]], "id long")
-    first = {r["id"]: r["community"] for r in gr.communities(nodes, frame, 0.5, 10).collect()}
-    again = {r["id"]: r["community"] for r in gr.communities(nodes, frame.repartition(9), 0.5, 10).collect()}
+    first = {r["id"]: r["community"] for r in gr.communities(nodes, frame, 0.5).collect()}
+    again = {r["id"]: r["community"] for r in gr.communities(nodes, frame.repartition(9), 0.5).collect()}
     assert first == again and len(first) == 11 and first[99] == 99
     assert len({first[i] for i in range(5)}) == 1 and len({first[i] for i in range(10, 15)}) == 1
 
