@@ -309,7 +309,7 @@ def panel_statistics(
         .groupBy(label, "gene_id")
         .agg(F.sum("value").alias("_x"), F.count(F.lit(1)).alias("_d"))
     )
-    frame = scaffold(wanted, **{label: labels}).join(size, label)
+    frame = scaffold(wanted, **{label: labels}).join(F.broadcast(size.filter(F.col(label).isin(*labels))), label)  # declared labels
     known = F.col("gene_in_matrix")
     return frame.join(sums, [label, "gene_id"], "left").select(
         label,
@@ -323,7 +323,7 @@ def panel_statistics(
 def column_z(df: DataFrame, column: str, value: str, name: str = "z") -> DataFrame:
     """Population z-score of ``value`` across the rows of each column; zero spread gives NULL."""
     stats = df.groupBy(column).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
-    return df.join(stats, column).withColumn(
+    return join_statistics(df, stats, [column]).withColumn(
         name, F.try_divide(F.col(value) - F.col("_mu"), F.when(F.col("_sd") > 0, F.col("_sd")))
     ).drop("_mu", "_sd")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.functions.strings import tokens
+from corrobora.session import join_statistics
 
 LEVEL_STEP = 8
 
@@ -20,7 +21,6 @@ def point_in_interval(
     points: DataFrame,
     intervals: DataFrame,
     width: int,
-    levels: int = 4,
     chrom: str = "chrom",
     pos: str = "pos",
     start: str = "start",
@@ -29,12 +29,16 @@ def point_in_interval(
     """Inner join of points with the half-open intervals that hold them.
 
     Each interval is filed under the finest bin level that covers it with at most two
-    bins, so long intervals are not repeated; each distinct point looks at one bin per
+    bins; there are as many levels as the longest interval asks for. Each distinct point looks at one bin per
     level. Points at the same coordinate are joined once and fanned out afterwards, so a
     hot coordinate costs one probe. Column names of the two sides must not overlap
     other than ``chrom``.
     """
     length = F.col(end) - F.col(start)
+    longest = intervals.agg(F.max(length).alias("n")).first()["n"] or 1
+    levels = 1
+    while _level_width(width, levels - 1) < longest:
+        levels += 1
     level = F.lit(levels - 1)
     for n in reversed(range(levels - 1)):
         level = F.when(length <= _level_width(width, n), n).otherwise(level)
@@ -85,7 +89,7 @@ def endpoint_sensitivity(hits: DataFrame, pos: str = "pos", start: str = "start"
     return hits.withColumn("robust_to_endpoint", (F.col(start) <= F.col(pos)) & (F.col(pos) < F.col(stop)))
 
 
-def loop_links(points: DataFrame, loops: DataFrame, width: int, levels: int = 4) -> DataFrame:
+def loop_links(points: DataFrame, loops: DataFrame, width: int) -> DataFrame:
     """Points in one anchor of a loop whose gene is listed at the other anchor, both ways round.
 
     ``points`` has chrom, pos and gene; ``loops`` has loop_id and, for anchors 1 and 2,
@@ -105,7 +109,7 @@ def loop_links(points: DataFrame, loops: DataFrame, width: int, levels: int = 4)
         )
     anchors = loops.select("loop_id", F.explode(F.array(*sides)).alias("_s")).select("loop_id", "_s.*")
     return (
-        point_in_interval(points, anchors, width, levels)
+        point_in_interval(points, anchors, width)
         .filter(F.array_contains("_genes", F.col("gene")))
         .drop("_genes", "start", "end")
     )
@@ -114,7 +118,7 @@ def loop_links(points: DataFrame, loops: DataFrame, width: int, levels: int = 4)
 def token_join(df: DataFrame, text: str, names: DataFrame, name: str, separator: str = ",") -> DataFrame:
     """Rows joined with the listed names that occur as whole tokens of ``text``."""
     exploded = df.withColumn(name, F.explode(F.array_distinct(tokens(F.col(text), separator))))
-    return exploded.join(names, name)
+    return join_statistics(exploded, names, [name])
 
 
 def canonical_labels(df: DataFrame, text: str, mapping: Mapping[str, str], name: str) -> DataFrame:

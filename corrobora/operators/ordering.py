@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corrobora.session import cut_lineage
+from corrobora.session import cut_lineage, join_statistics
 
 SLICE, INDEX = "_slice", "_index"
 
@@ -108,4 +108,4 @@ def average_rank(df: DataFrame, groups: Sequence[str], value: str, name: str) ->
     ranks = upto.select(
         *groups, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + F.lit(1.0)) / F.lit(2.0)).alias(name)
     )
-    return df.join(ranks, [*groups, value])
+    return join_statistics(df, ranks, [*groups, value])

@@ -26,22 +26,27 @@ def smallest_hashes(df: DataFrame, strata: Sequence[str], k: str, hexa: str, tie
     """The ``k`` rows with the smallest hash in every stratum, for strata of any size.
 
     A histogram over the leading hash digits finds the one bucket in which the k-th row
-    lies. Rows beyond it are dropped before the shuffle and only bucket-sized groups are
-    ever ranked, so no task holds a stratum.
+    lies, and ranking that bucket alone finds the k-th row itself. Every row is then compared with
+    the k-th of its stratum, of which there is one, so the rows are not shuffled by stratum.
     """
     strata = list(strata)
     coded = df.withColumn("_b", F.substring(hexa, 1, BUCKET_DIGITS))
-    hist = coded.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    hist = coded.groupBy(*strata, k, "_b").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = hist.select(*strata, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    edge = (
+        hist.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .filter((F.col("_before") < F.col(k)) & (F.col(k) <= F.col("_before") + F.col("_n")))
+        .select(*strata, "_b", (F.col(k) - F.col("_before")).alias("_place"))
+    )
     inside = Window.partitionBy(*strata, "_b").orderBy(hexa, tie)
-    return (
-        coded.join(before, [*strata, "_b"])
-        .filter(F.col("_before") < F.col(k))
+    last = (
+        coded.join(edge, [*strata, "_b"])
         .withColumn("_r", F.row_number().over(inside))
-        .filter(F.col("_before") + F.col("_r") <= F.col(k))
-        .drop("_b", "_before", "_r")
+        .filter(F.col("_r") == F.col("_place"))
+        .select(*strata, F.struct(hexa, tie).alias("_last"))
     )
+    reached = F.coalesce(F.struct(hexa, tie) <= F.col("_last"), F.col(k) > 0)
+    return join_statistics(df, last, strata, "left").filter(reached).drop("_last")
 
 
 def replicate(df: DataFrame, name: str, n: int) -> DataFrame:

@@ -58,7 +58,7 @@ def usable_gwas(variants: DataFrame) -> Column:
 def within_window(df: DataFrame, index: DataFrame, half_window: int) -> DataFrame:
     """Rows whose position is at most ``half_window`` from the region's index position."""
     return (
-        df.join(index.select("region", "index_pos"), "region")
+        join_statistics(df, index.select("region", "index_pos"), ["region"])
         .filter(F.col("pos").between(F.col("index_pos") - half_window, F.col("index_pos") + half_window))
     )
 

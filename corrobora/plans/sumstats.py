@@ -10,7 +10,7 @@ from corrobora.operators import ranking
 from corrobora.operators import sumstats as ss
 from corrobora.plans.bindings import r
 from corrobora.plans.registry import query
-from corrobora.session import cut_lineage
+from corrobora.session import cut_lineage, join_statistics
 from corrobora.sources.tables import load
 
 QTL_DF = 4.0
@@ -83,7 +83,7 @@ def shared(spark: SparkSession, d: str) -> DataFrame:
     """Harmonised variants with rebuilt standard errors, within the widest window of the lead variant."""
     qtl, gwas = usable_sides(spark, d)
     matched = ss.harmonise(qtl, gwas).filter(F.col("orientation") != "inconsistent")
-    return ss.reconstruct_se(matched.join(index_positions(gwas), "region")).filter("roundtrip_ok")
+    return ss.reconstruct_se(join_statistics(matched, index_positions(gwas), ["region"])).filter("roundtrip_ok")
 
 
 def settings(spark: SparkSession, d: str) -> DataFrame:
