@@ -165,6 +165,21 @@ def reconcile_results(
     return summed.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def join_cardinality(left: DataFrame, right: DataFrame, keys: Sequence[str], expect: str) -> DataFrame:
+    """Keys that break a declared join cardinality, as ``(side, *keys, n_rows)``; no row if it holds.
+
+    ``expect`` is ``many_to_one`` (right keys are unique), ``one_to_many`` or ``one_to_one``. Rows without a
+    key join nothing and are left out.
+    """
+    sides = {"many_to_one": ["right"], "one_to_many": ["left"], "one_to_one": ["left", "right"]}[expect]
+    found = [
+        df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").select(F.lit(side).alias("side"), *keys, "n_rows")
+        for side, df in (("left", left), ("right", right))
+        if side in sides
+    ]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order-free content digest and row count, for deciding whether a table changed.
 

@@ -16,7 +16,7 @@ from corrobora.functions.numeric import cpm
 from corrobora.functions.tails import thinned
 from corrobora.operators.ordering import rank_in_group
 from corrobora.operators.ranking import ALL_DONORS, comparisons, unique_winner
-from corrobora.session import join_statistics
+from corrobora.session import cut_lineage, join_statistics
 
 BUCKET_DIGITS = 3
 UNIT_RUN = 1024
@@ -77,11 +77,24 @@ def sampling_design(
     )
 
 
+def scenario_status(design: DataFrame) -> DataFrame:
+    """Per scenario its strata, those with too few cells, and whether it can be drawn at all."""
+    return design.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("n_strata"),
+        F.count_if(~F.col("feasible")).alias("n_short"),
+        F.bool_and("feasible").alias("scenario_feasible"),
+    )
+
+
 def sample_cells(
     cells: DataFrame, design: DataFrame, strata: Sequence[str], reps: int, seed: int
 ) -> DataFrame:
-    """Cells drawn without replacement in every (scenario, rep, stratum)."""
-    wanted = design.filter("feasible").drop("available_cells", "feasible")
+    """Cells drawn without replacement in every (scenario, rep, stratum).
+
+    A scenario with too few cells in any stratum is not drawn, as a missing group is no zero.
+    """
+    whole = scenario_status(design).filter("scenario_feasible").select("scenario")
+    wanted = design.join(whole, "scenario", "left_semi").drop("available_cells", "feasible")
     drawn = replicate(join_statistics(cells, wanted, strata), "rep", reps)
     labels = [F.lit(seed), F.col("scenario"), F.col("rep"), *[F.col(s) for s in strata], F.col("cell_id")]
     keyed = drawn.withColumn("_h", draw_hash(*labels))
@@ -172,12 +185,14 @@ def matched_reference(
 
     ``genes`` has gene_id, bin, is_candidate and one share column per class. In each draw and
     bin as many controls are drawn, without replacement, as the bin has candidates.
-    Returns the per-class result and the per-bin audit.
+    Returns the per-class result and the per-bin audit. ``short_bins`` counts bins with fewer controls
+    than candidates: draws are then not matched, and the result is not to be used.
     """
     audit = genes.groupBy("bin").agg(
         F.count_if("is_candidate").alias("candidate_genes"),
         F.count_if(~F.col("is_candidate")).alias("control_genes"),
     ).withColumn("sufficient", F.col("control_genes") >= F.col("candidate_genes"))
+    audit = cut_lineage(audit)  # a row for each bin
     need = audit.filter("candidate_genes > 0").select("bin", F.col("candidate_genes").alias("_k"))
     pool = replicate(join_statistics(genes.filter(~F.col("is_candidate")), need, ["bin"]), "draw", n_draws)
     keyed = pool.withColumn("_h", draw_hash(F.lit(seed), F.col("draw"), F.col("gene_id")))
@@ -201,7 +216,8 @@ def matched_reference(
         F.percentile("null_mean", F.lit(0.975)).alias("null_high"),
         empirical_p(F.col("null_mean") >= F.col("observed")).alias("empirical_p"),
     )
-    return result, audit
+    short = audit.agg(F.count_if(~F.col("sufficient")).alias("n")).scalar()
+    return result.withColumn("short_bins", short), audit
 
 
 def empirical_p(at_least: Column) -> Column:
@@ -209,6 +225,20 @@ def empirical_p(at_least: Column) -> Column:
     return (F.lit(1) + F.count_if(at_least)) / (F.lit(1) + F.count(F.lit(1)))
 
 
+def control_audit(genes: DataFrame, panels: DataFrame, per_gene: int, minimum: int) -> DataFrame:
+    """Per panel gene its bin, the controls there, and whether they suffice; a gene without a bin is ``not_expressed``."""
+    pool = genes.join(panels.select("gene_id").distinct(), "gene_id", "left_anti")
+    size = pool.groupBy("bin").agg(F.count(F.lit(1)).alias("pool_genes"))
+    placed = panels.join(genes.select("gene_id", "bin"), "gene_id", "left")
+    out = join_statistics(placed, size, ["bin"], "left").withColumn("pool_genes", F.coalesce("pool_genes", F.lit(0)))
+    status = (
+        F.when(F.col("bin").isNull(), "not_expressed")
+        .when(F.least(F.lit(per_gene), "pool_genes") < minimum, "too_few_controls")
+        .otherwise("drawn")
+    )
+    return out.select("program", "gene_id", "bin", "pool_genes", status.alias("status"))
+
+
 def matched_controls(
     genes: DataFrame, panels: DataFrame, per_gene: int, minimum: int, seed: int
 ) -> DataFrame:
@@ -216,7 +246,8 @@ def matched_controls(
 
     ``genes`` has gene_id and bin; ``panels`` has program and gene_id. Genes of any panel are
     never controls. Controls are numbered within their bin once, and each panel gene draws
-    numbers, so neither a bin nor its pairs are ever listed.
+    numbers, so neither a bin nor its pairs are ever listed. Panel genes with fewer than ``minimum``
+    controls are left out and named by :func:`control_audit`.
     """
     pool = genes.join(panels.select("gene_id").distinct(), "gene_id", "left_anti")
     numbered = rank_in_group(pool.select("gene_id", "bin"), ["bin"], [F.col("gene_id")], "_pos").select(

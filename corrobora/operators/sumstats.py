@@ -300,6 +300,20 @@ def credible_set(masses: DataFrame, groups: Sequence[str], level: float = 0.95,
     return total.withColumn("in_credible_set", F.col("cumulative_mass") - F.col("h4_mass") < level)
 
 
+def setting_summary(fit: DataFrame, sets: DataFrame, ranges: DataFrame, groups: Sequence[str], key: str = "variant_key") -> DataFrame:
+    """One row per pair of one setting: its fit, top variant, credible set size and the range over all settings.
+
+    ``fit`` and ``ranges`` have one row per group; ``sets`` comes from :func:`credible_set`.
+    """
+    groups = list(groups)
+    tops = sets.groupBy(*groups).agg(
+        F.min_by(key, F.struct(-F.round("h4_mass", 12), key)).alias("top_variant"),
+        F.max("h4_mass").alias("top_h4_mass"),
+        F.count_if("in_credible_set").alias("credible_set_size"),
+    )
+    return fit.join(tops, groups, "left").join(ranges, groups, "left")
+
+
 def log_sum_exp(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """``log(sum(exp(value)))`` per group without overflow."""
     peaks = df.groupBy(*groups).agg(F.max(value).alias("_m"))

@@ -294,6 +294,19 @@ def table_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select("table_name", "n_rows", "digest_sum", "digest_xor")
 
 
+@query(
+    "join_cardinality_violations",
+    """SELECT 'right' AS side, c_custkey AS key, 2::BIGINT AS n_rows FROM customer WHERE c_custkey % 50 = 0
+UNION ALL SELECT 'left', o_custkey, count(*) FROM orders GROUP BY 2 HAVING count(*) > 1""",
+)
+def join_cardinality_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Orders against customers of which some stand twice, declared one to one."""
+    customer = load(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    twice = customer.unionByName(customer.filter("key % 50 = 0"))
+    orders = load(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    return contracts.join_cardinality(orders, twice, ["key"], "one_to_one")
+
+
 def _digest_sql(name: str, source: str, columns: str) -> str:
     return f"SELECT '{name}' AS t, count(*) AS n, sum(hash({columns})::HUGEINT) AS h FROM {source}"
 

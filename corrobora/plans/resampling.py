@@ -21,7 +21,7 @@ SEED = 20261006
 REPS = 4
 STRATA = ["donor", "cell_type"]
 FIXED = {"equal_cells_20": 20, "equal_cells_200000000": 200_000_000}
-FRACTIONS = {"cell_fraction_0.25": 0.25, "cell_fraction_0.5": 0.5}
+FRACTIONS = {"cell_fraction_0.25": 0.25, "cell_fraction_0.5": 0.5, "cell_fraction_0.75": 0.75}
 
 
 def kept_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -39,10 +39,11 @@ SAMPLE = f"""kept AS (SELECT cell_id, donor, cell_type, total FROM cells WHERE q
 strata AS (SELECT donor, cell_type, count(*) AS n FROM kept GROUP BY 1, 2),
 design AS (SELECT donor, cell_type, n AS available_cells, scenario, CASE WHEN f IS NULL THEN k ELSE greatest(1, floor(n * f))::BIGINT END AS selected_cells
   FROM strata CROSS JOIN (VALUES ('equal_cells_20', 20::BIGINT, NULL::DOUBLE), ('equal_cells_200000000', 200000000::BIGINT, NULL::DOUBLE),
-    ('cell_fraction_0.25', 0::BIGINT, 0.25::DOUBLE), ('cell_fraction_0.5', 0::BIGINT, 0.5::DOUBLE)) v(scenario, k, f)),
+    ('cell_fraction_0.25', 0::BIGINT, 0.25::DOUBLE), ('cell_fraction_0.5', 0::BIGINT, 0.5::DOUBLE), ('cell_fraction_0.75', 0::BIGINT, 0.75::DOUBLE)) v(scenario, k, f)),
 sample AS (SELECT * FROM (SELECT kept.*, scenario, rep, selected_cells,
     md5(concat_ws('|', '{SEED}', scenario, rep, donor, cell_type, cell_id)) AS h
-    FROM kept JOIN design USING (donor, cell_type) CROSS JOIN range({REPS}) t(rep) WHERE selected_cells <= available_cells)
+    FROM kept JOIN design USING (donor, cell_type) CROSS JOIN range({REPS}) t(rep)
+    WHERE scenario IN (SELECT scenario FROM design GROUP BY 1 HAVING bool_and(selected_cells <= available_cells)))
   QUALIFY row_number() OVER (PARTITION BY scenario, rep, donor, cell_type ORDER BY h, cell_id) <= selected_cells)"""
 
 
@@ -56,6 +57,19 @@ def sampling_design(spark: SparkSession, d: str) -> DataFrame:
     return rs.sampling_design(kept_cells(spark, d), STRATA, FIXED, FRACTIONS)
 
 
+@query(
+    "sampling_scenario_status",
+    with_ctes(
+        """SELECT scenario, count(*) AS n_strata, count(*) FILTER (WHERE selected_cells > available_cells) AS n_short,
+  bool_and(selected_cells <= available_cells) AS scenario_feasible FROM design GROUP BY 1""",
+        "cells", "primary_types", extra=SAMPLE,
+    ),
+)
+def sampling_scenario_status(spark: SparkSession, d: str) -> DataFrame:
+    """Which scenarios can be drawn; a scenario with one short stratum cannot."""
+    return rs.scenario_status(rs.sampling_design(kept_cells(spark, d), STRATA, FIXED, FRACTIONS))
+
+
 @query(
     "stratified_cell_sample",
     with_ctes("SELECT scenario, CAST(rep AS INTEGER) AS rep, donor, cell_type, cell_id FROM sample", "cells", "primary_types", extra=SAMPLE),
@@ -220,7 +234,7 @@ result AS (SELECT class, any_value(n_candidates) AS n_candidates, any_value(obse
     "matched_reference",
     with_ctes(
         f"""SELECT class, n_candidates, {r('observed_mean_share')} AS observed_mean_share, {r('null_mean')} AS null_mean, {r('null_low')} AS null_low, {r('null_high')} AS null_high,
-  {r('empirical_p')} AS empirical_p, {r('least(1.0, min(empirical_p * 5 / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q
+  {r('empirical_p')} AS empirical_p, (SELECT count(*) FILTER (WHERE m < k) FROM need) AS short_bins, {r('least(1.0, min(empirical_p * 5 / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q
 FROM (SELECT *, row_number() OVER (ORDER BY empirical_p, class) AS rk FROM result)""",
         "counts", "labels0", extra=REFERENCE,
     ),
@@ -243,7 +257,7 @@ def matched_reference_audit(spark: SparkSession, d: str) -> DataFrame:
     return rs.matched_reference(reference_genes(spark, d), CLASSES, N_DRAWS, SEED)[1]
 
 
-PROGRAMS = ["ECONOMY", "PROMO", "SMALL"]
+PROGRAMS = [f"Brand#{i}" for i in range(2, 8)]
 
 
 def expressed_bins(cube: DataFrame, genes: DataFrame) -> DataFrame:
@@ -259,26 +273,32 @@ def expressed_bins(cube: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def panels(spark: SparkSession, d: str) -> DataFrame:
-    return b.genes(spark, d).filter(F.col("panel").isin(PROGRAMS) & ~F.col("is_mt")).select(F.col("panel").alias("program"), "gene_id")
+    """Six brands as programs; the prefix genes are another brand."""
+    part = load(spark, d, "part").filter(F.col("p_brand").isin(PROGRAMS))
+    return part.select(F.col("p_brand").alias("program"), F.col("p_partkey").alias("gene_id"))
+
+
+def stored_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Expression bins of the first study, made once a run."""
+    build = lambda: expressed_bins(b.cube(spark, d), b.genes(spark, d)).select("gene_id", "bin")
+    return stored(spark, d, "expressed-bins", build)
 
 
 def control_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Panel genes with their matched controls, drawn once a run."""
 
-    def bins() -> DataFrame:
-        return expressed_bins(b.cube(spark, d), b.genes(spark, d)).select("gene_id", "bin")
-
     def build() -> DataFrame:
-        return rs.matched_controls(stored(spark, d, "expressed-bins", bins), panels(spark, d), 20, 5, SEED)
+        return rs.matched_controls(stored_bins(spark, d), panels(spark, d), 20, 5, SEED)
 
     return stored(spark, d, "control-pairs", build)
 
 
+BRAND_LIST = ", ".join(f"'{p}'" for p in PROGRAMS)
 PAIRS = f"""refmean AS (SELECT gene_id, round(avg(log1p_cpm), 9) AS reference_mean FROM cube
   WHERE qc = 'primary' AND cell_type IN (SELECT cell_type FROM primary_types) AND gene_in_matrix
   AND gene_id NOT IN (SELECT gene_id FROM genes WHERE is_mt) GROUP BY 1 HAVING round(avg(log1p_cpm), 9) > 0),
 bins AS (SELECT gene_id, CAST(least(19, ((row_number() OVER (ORDER BY reference_mean, gene_id) - 1) * 20) // count(*) OVER ()) AS INTEGER) AS bin FROM refmean),
-panels AS (SELECT panel AS program, gene_id FROM genes WHERE panel IN ('ECONOMY', 'PROMO', 'SMALL') AND NOT is_mt),
+panels AS (SELECT p_brand AS program, p_partkey AS gene_id FROM part WHERE p_brand IN ({BRAND_LIST})),
 pool AS (SELECT bin, gene_id AS control_gene, row_number() OVER (PARTITION BY bin ORDER BY gene_id) - 1 AS pos FROM bins WHERE gene_id NOT IN (SELECT gene_id FROM panels)),
 asked AS (SELECT program, gene_id, bin, n, least(20, n) AS k FROM panels JOIN bins USING (gene_id) JOIN (SELECT bin, count(*) AS n FROM pool GROUP BY 1) USING (bin)),
 pick AS (SELECT program, gene_id, bin, n, k, 0::BIGINT AS step, []::BIGINT[] AS chosen FROM asked WHERE k >= 5
@@ -298,6 +318,18 @@ def matched_controls(spark: SparkSession, d: str) -> DataFrame:
     return control_pairs(spark, d)
 
 
+@query(
+    "matched_controls_audit",
+    with_ctes(
+        """SELECT program, gene_id, bin, coalesce(n, 0) AS pool_genes, CASE WHEN bin IS NULL THEN 'not_expressed' WHEN least(20, coalesce(n, 0)) < 5 THEN 'too_few_controls' ELSE 'drawn' END AS status
+FROM panels LEFT JOIN bins USING (gene_id) LEFT JOIN (SELECT bin, count(*) AS n FROM pool GROUP BY 1) USING (bin)""",
+        *PAIR_CTES, extra=PAIRS, recursive=True,
+    ),
+)
+def matched_controls_audit(spark: SparkSession, d: str) -> DataFrame:
+    return rs.control_audit(stored_bins(spark, d), panels(spark, d), 20, 5)
+
+
 @query(
     "program_coverage",
     with_ctes(
@@ -307,15 +339,15 @@ def matched_controls(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def program_coverage(spark: SparkSession, d: str) -> DataFrame:
-    expressed = expressed_bins(b.cube(spark, d), b.genes(spark, d))
+    expressed = stored_bins(spark, d)
     out = pg.panel_coverage(panels(spark, d), expressed, 10, 0.5)
     return out.withColumn("coverage_fraction", rounded(F.col("coverage_fraction")))
 
 
 @query(
     "program_membership",
-    """SELECT gene_id, program, member FROM (SELECT p_partkey AS gene_id, program, p_type = program AND p_brand <> 'Brand#1' AS member
-  FROM part CROSS JOIN (VALUES ('ECONOMY'), ('PROMO'), ('SMALL')) v(program))""",
+    f"""SELECT gene_id, program, member FROM (SELECT p_partkey AS gene_id, program, p_brand = program AS member
+  FROM part CROSS JOIN (SELECT unnest([{BRAND_LIST}]) AS program))""",
 )
 def program_membership(spark: SparkSession, d: str) -> DataFrame:
     return pg.membership_table(b.genes(spark, d), panels(spark, d), PROGRAMS)
@@ -323,13 +355,13 @@ def program_membership(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "program_membership_text",
-    """SELECT gene_id, string_agg(DISTINCT program, ';' ORDER BY program) AS programs FROM (
-  SELECT p_partkey AS gene_id, p_type AS program FROM part WHERE p_type IN ('ECONOMY', 'PROMO', 'SMALL') AND p_brand <> 'Brand#1'
-  UNION ALL SELECT p_partkey, 'BRAND ' || p_brand FROM part) GROUP BY 1""",
+    f"""SELECT gene_id, string_agg(DISTINCT program, ';' ORDER BY program) AS programs FROM (
+  SELECT p_partkey AS gene_id, p_brand AS program FROM part WHERE p_brand IN ({BRAND_LIST})
+  UNION ALL SELECT p_partkey, 'TYPE ' || p_type FROM part) GROUP BY 1""",
 )
 def program_membership_text(spark: SparkSession, d: str) -> DataFrame:
-    brands = load(spark, d, "part").select(F.concat(F.lit("BRAND "), F.col("p_brand")).alias("program"), F.col("p_partkey").alias("gene_id"))
-    return pg.membership_text(panels(spark, d).unionByName(brands))
+    types = load(spark, d, "part").select(F.concat(F.lit("TYPE "), F.col("p_type")).alias("program"), F.col("p_partkey").alias("gene_id"))
+    return pg.membership_text(panels(spark, d).unionByName(types))
 
 
 SCORES = """contrast AS (SELECT program, qc, donor, cell_type, panel_gene, any_value(x) - avg(y) AS c FROM (

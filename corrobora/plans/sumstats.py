@@ -304,6 +304,32 @@ def credible_sets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "primary_setting_summary",
+    f"""{ALL_SQL}, prim AS (SELECT * FROM grid WHERE half_window = 1000000 AND allele_policy = 'exact_all' AND qtl_sd = 0.15),
+mass AS (SELECT region, variant_key, exp(l1 + l2) / sum(exp(l1 + l2)) OVER (PARTITION BY region) AS m FROM prim),
+cums AS (SELECT *, sum(m) OVER (PARTITION BY region ORDER BY round(m, 12) DESC, variant_key ROWS UNBOUNDED PRECEDING) AS cum FROM mass),
+tops AS (SELECT region, arg_min(variant_key, (-round(m, 12), variant_key)) AS top_variant, max(m) AS top_h4_mass, count(*) FILTER (WHERE cum - m < 0.95) AS credible_set_size FROM cums GROUP BY 1),
+ranges AS (SELECT region, min(pp_h4) FILTER (WHERE status = 'fitted') AS h4_min, max(pp_h4) FILTER (WHERE status = 'fitted') AS h4_max,
+  bool_and(status = 'fitted' AND pp_h4 >= 0.8) AS h4_supported_everywhere FROM fit GROUP BY 1)
+SELECT region, n_variants, status, CASE WHEN status = 'fitted' THEN {r('pp_h4')} END AS pp_h4, top_variant, {r('top_h4_mass')} AS top_h4_mass, credible_set_size,
+  {r('h4_min')} AS h4_min, {r('h4_max')} AS h4_max, h4_supported_everywhere
+FROM fit JOIN tops USING (region) JOIN ranges USING (region) WHERE half_window = 1000000 AND allele_policy = 'exact_all' AND qtl_sd = 0.15 AND p12 = 1e-5""",
+)
+def primary_setting_summary(spark: SparkSession, d: str) -> DataFrame:
+    every = settings(spark, d)
+    primary = (F.col("half_window") == WINDOWS[0]) & (F.col("allele_policy") == "exact_all") & (F.col("qtl_sd") == 0.15)
+    abf = every.filter(primary)
+    fits = ss.coloc_posteriors(ss.coloc_sums(every, GROUPS), P1, P2, P12)
+    sets = ss.credible_set(ss.conditional_mass(abf, ss.coloc_sums(abf, ["region"]), ["region"]), ["region"])
+    ranges = ss.sensitivity(fits, ["region"]).select("region", "h4_min", "h4_max", "h4_supported_everywhere")
+    fit = fits.filter(primary & (F.col("p12") == 1e-5)).select("region", "n_variants", "status", "pp_h4")
+    out = ss.setting_summary(fit, sets, ranges, ["region"])
+    for c in ("pp_h4", "top_h4_mass", "h4_min", "h4_max"):
+        out = out.withColumn(c, rounded(F.col(c)))
+    return out
+
+
 @query(
     "lead_variants",
     f"""WITH {BASE_SQL} SELECT region, arg_min(variant_key, (round(p, 9), variant_key)) AS best_variant_key, {r('min(round(p, 9))')} AS best_score FROM g GROUP BY 1""",

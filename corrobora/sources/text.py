@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Where a line stands: blocks of a file in order, and lines in order inside a block.
-FIRST = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
 CORRUPT = "_corrupt_record"
 
 
+def _place() -> Column:
+    """Where a line stands: blocks of a file in order, and lines in order inside a block."""
+    return F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -31,10 +34,10 @@ def read_delimited(
         lines = lines.filter(~F.col("value").rlike(junk))
     if header:
         named = sep.join(StructType.fromDDL(schema).names)
-        titles = lines.withColumn("_at", FIRST).filter(F.col("value") == named)
+        titles = lines.withColumn("_at", _place()).filter(F.col("value") == named)
         one = titles.groupBy("_metadata.file_path").agg(F.min("_at").alias("_title"))
         lines = (
-            lines.withColumn("_at", FIRST)
+            lines.withColumn("_at", _place())
             .withColumn("_file", F.col("_metadata.file_path"))
             .join(one.withColumnRenamed("file_path", "_file"), "_file", "left")
             .filter(F.coalesce(F.col("_at") != F.col("_title"), F.lit(True)))
@@ -102,8 +105,7 @@ def read_triplets(
     The size line is the first line after the comments of a single file, or comes from its
     own file when the entries are spread over many.
     """
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = spark.read.text(path).select("value", place.alias("_at")).filter(~F.col("value").startswith("%"))
+    lines = spark.read.text(path).select("value", _place().alias("_at")).filter(~F.col("value").startswith("%"))
     if dims_path:
         size_line = spark.read.text(dims_path).filter(~F.col("value").startswith("%")).first()["value"]
     else:

@@ -143,11 +143,11 @@ def test_point_in_interval(spark):
     assert got == [("a", 1), ("a", 2), ("b", 2), ("d", 2), ("e", 1), ("e", 2)]
 
 
-@pytest.mark.parametrize("width,levels", [(1, 1), (3, 2), (16, 4)])
-def test_interval_join_equals_plain_comparison(spark, width, levels):
+@pytest.mark.parametrize("width", [1, 3, 16, 5000])
+def test_interval_join_equals_plain_comparison(spark, width):
     points = spark.range(300).select(F.col("id").alias("p"), F.lit("c").alias("chrom"), (F.xxhash64("id") % 500).alias("pos"))
     spans = spark.range(120).select(F.col("id").alias("i"), F.lit("c").alias("chrom"), (F.xxhash64(-F.col("id")) % 500).alias("start")).withColumn("end", F.col("start") + F.pmod(F.xxhash64("start"), F.lit(200)))
-    got = {(r["p"], r["i"]) for r in iv.point_in_interval(points, spans, width, levels).collect()}
+    got = {(r["p"], r["i"]) for r in iv.point_in_interval(points, spans, width).collect()}
     pts, sps = points.collect(), spans.collect()
     assert got == {(x["p"], y["i"]) for x in pts for y in sps if y["start"] <= x["pos"] < y["end"]}
 
@@ -183,6 +183,15 @@ def test_registry_statuses(spark, tmp_path):
     assert out == {"a.txt": "verified", "b.txt": "digest_mismatch", "gone.txt": "missing_file"}
 
 
+def test_join_cardinality_names_repeated_keys(spark):
+    left = spark.createDataFrame([(1,), (1,), (2,), (None,), (None,)], "k int")
+    right = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
+    told = lambda expect: {tuple(r) for r in contracts.join_cardinality(left, right, ["k"], expect).collect()}
+    assert told("many_to_one") == {("right", 2, 2)}
+    assert told("one_to_many") == {("left", 1, 2)}
+    assert told("one_to_one") == {("left", 1, 2), ("right", 2, 2)}
+
+
 def test_highest_class_prefers_declared_order(spark):
     df = spark.createDataFrame([("g", "B", 2.0), ("g", "A", 2.0), ("h", "B", -1.0), ("h", "A", -2.0)], "gene_id string, class string, value double")
     assert {r["gene_id"]: r["highest_class"] for r in ev.highest_class(df, ["A", "B"]).collect()} == {"g": "A", "h": "B"}

@@ -57,6 +57,23 @@ def test_binomial_quantile_matches_the_distribution():
     assert (binomial_quantile(np.array([0.1, 0.9]), np.array([0, 4]), 1.0) == [0, 4]).all()
 
 
+def test_scenario_with_a_short_stratum_is_not_drawn(spark):
+    cells = spark.createDataFrame([(i, "A" if i < 30 else "B", 10) for i in range(35)], "cell_id long, donor string, total long")
+    design = rs.sampling_design(cells, ["donor"], {"ten": 10, "three": 3}, {})
+    told = {r["scenario"]: (r["n_short"], r["scenario_feasible"]) for r in rs.scenario_status(design).collect()}
+    assert told == {"ten": (1, False), "three": (0, True)}
+    drawn = rs.sample_cells(cells, design, ["donor"], 2, 1).groupBy("scenario", "rep", "donor").count().collect()
+    assert {(r["scenario"], r["count"]) for r in drawn} == {("three", 3)} and len(drawn) == 4
+
+
+def test_panel_genes_without_controls_are_named(spark):
+    genes = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(50, 7)], "gene_id long, bin int")
+    panels = spark.createDataFrame([("p", 0), ("p", 50), ("p", 99)], "program string, gene_id long")
+    audit = {r["gene_id"]: r["status"] for r in rs.control_audit(genes, panels, 20, 5).collect()}
+    assert audit == {0: "drawn", 50: "too_few_controls", 99: "not_expressed"}
+    assert {r["panel_gene"] for r in rs.matched_controls(genes, panels, 20, 5, 1).collect()} == {0}
+
+
 @pytest.mark.parametrize("draw", [rs.thin_counts, rs.thin_units])
 def test_thinning_bounds_and_identity(spark, draw):
     seeds = spark.range(40).withColumn("n", F.explode(F.array(F.lit(1), F.lit(3), F.lit(20), F.lit(76))))
