@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,17 +62,19 @@ def nearest_neighbours(
     key: str,
     features: str,
     k: int,
-    pivots: int = 32,
+    pivots: int | None = None,
     block_rows: int = 4096,
     seed: int = 1,
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row, exactly, as ``(src, dst, distance, rank)``.
 
-    Rows are grouped round a few pivots. A row visits only the pivot cells whose distance
+    Rows are grouped round pivots, as many as the square root of the rows unless given. A row visits only the pivot cells whose distance
     bounds (triangle inequality and dividing plane) can still hold one of its neighbours.
     Cells are cut into blocks and visitors into chunks, so a dense cell is shared out over
     tasks; each block returns at most ``k`` rows per visitor. Equal distances are ordered by id.
     """
+    if pivots is None:
+        pivots = min(MAX_PIVOTS, 1 + math.isqrt(df.count()))
     if not 1 <= pivots <= MAX_PIVOTS:
         raise ValueError(f"pivots must be between 1 and {MAX_PIVOTS}")
     data = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("vec"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from corrobora.operators import ranking
 from corrobora.operators import resample as rs
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
-from corrobora.plans.context import BASE, SECOND, second_study
+from corrobora.plans.context import BASE, SECOND, SECOND_DONORS, second_study
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage, stored
 from corrobora.sources.tables import load
@@ -454,3 +456,68 @@ def cross_study_program_scores(spark: SparkSession, d: str) -> DataFrame:
     _, shared, second = shared_program_pairs(spark, d)
     out = pg.program_scores(second, pg.contrast_weights(cut_lineage(shared)), ["donor", "cell_type"])
     return out.withColumn("score", rounded(F.col("score")))
+
+
+def _context_sql(tag: str, donors: str) -> str:
+    """Folds and tops of one study's scores, under names of its own."""
+    text = CONTEXT
+    for name in ("folds", "means", "tops", "context", "scores0"):
+        text = re.sub(rf"\b{name}\b", f"{name}_{tag}", text)
+    return re.sub(r"\bdonors\b", donors, text)
+
+
+CROSS_CONTEXT = f"""c1 AS (SELECT program, a.donor, a.cell_type, panel_gene, any_value(a.log1p_cpm) - avg(z.log1p_cpm) AS c FROM shared JOIN cube a ON a.gene_id = panel_gene
+  JOIN cube z ON z.gene_id = control_gene AND z.qc = a.qc AND z.donor = a.donor AND z.cell_type = a.cell_type
+  WHERE a.qc = 'primary' AND a.cell_type IN (SELECT cell_type FROM primary_types) GROUP BY ALL),
+c2 AS (SELECT program, a.donor, a.cell_type, panel_gene, any_value(a.log1p_cpm) - avg(z.log1p_cpm) AS c FROM shared JOIN cube2 a ON a.gene_id = panel_gene
+  JOIN cube2 z ON z.gene_id = control_gene AND z.donor = a.donor AND z.cell_type = a.cell_type WHERE a.cell_type IN (SELECT cell_type FROM primary_types) GROUP BY ALL),
+scores0_a AS (SELECT program, donor, cell_type, avg(c) AS score FROM c1 WHERE c IS NOT NULL GROUP BY ALL),
+scores0_b AS (SELECT program, donor, cell_type, avg(c) AS score FROM c2 WHERE c IS NOT NULL GROUP BY ALL),
+{_context_sql("a", "donors")},
+{_context_sql("b", "donors2")},
+covered AS (SELECT program, coalesce(c, 0) >= 10 AND coalesce(c, 0) / panel_genes::DOUBLE >= 0.5 AS eligible
+  FROM (SELECT program, count(DISTINCT panel_gene) AS panel_genes FROM pairs GROUP BY 1) LEFT JOIN (SELECT program, count(DISTINCT panel_gene) AS c FROM shared GROUP BY 1) USING (program)),
+both_studies AS (SELECT program, eligible, x.relative_top_type AS first_top, x.fold_top_types AS first_folds, y.relative_top_type AS second_top, y.fold_top_types AS second_folds,
+  CASE WHEN eligible THEN coalesce(x.relative_top_type = y.relative_top_type, false) END AS same_relative_top
+  FROM covered LEFT JOIN context_a x USING (program) LEFT JOIN context_b y USING (program))"""
+
+
+def both_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Both studies scored with the pairs they share, each with its folds; programs below coverage are not compared."""
+    pairs, shared, second = shared_program_pairs(spark, d)
+    shared = cut_lineage(shared)
+    weights = pg.contrast_weights(shared)
+    cube = b.cube(spark, d).filter("qc = 'primary'")
+
+    def context(scores: DataFrame, donors: list[str], name: str) -> DataFrame:
+        told = pg.program_context(scores, ["program"], b.PRIMARY_TYPES, donors)
+        return told.select("program", F.col("relative_top_type").alias(f"{name}_top"), F.col("fold_top_types").alias(f"{name}_folds"))
+
+    first = context(pg.program_scores(cube, weights, ["donor", "cell_type"]), b.DONORS, "first")
+    other = context(pg.program_scores(second, weights, ["donor", "cell_type"]), SECOND_DONORS, "second")
+    covered = pg.shared_coverage(pairs, shared, 10, 0.5).select("program", "eligible")
+    same = F.when(F.col("eligible"), F.coalesce(F.col("first_top") == F.col("second_top"), F.lit(False)))
+    return covered.join(first, "program", "left").join(other, "program", "left").withColumn("same_relative_top", same)
+
+
+@query(
+    "cross_study_program_context",
+    with_ctes("SELECT * FROM both_studies", *SHARED_CTES, extra=f"{PAIRS},\n{SECOND_SUBSET},\n{SHARED},\n{CROSS_CONTEXT}", recursive=True),
+)
+def cross_study_program_context(spark: SparkSession, d: str) -> DataFrame:
+    return both_contexts(spark, d)
+
+
+@query(
+    "program_concordance",
+    with_ctes(
+        "SELECT count(*) AS programs, count(*) FILTER (WHERE eligible) AS eligible_programs, count(*) FILTER (WHERE same_relative_top) AS same_top_programs FROM both_studies",
+        *SHARED_CTES, extra=f"{PAIRS},\n{SECOND_SUBSET},\n{SHARED},\n{CROSS_CONTEXT}", recursive=True,
+    ),
+)
+def program_concordance(spark: SparkSession, d: str) -> DataFrame:
+    return both_contexts(spark, d).agg(
+        F.count(F.lit(1)).alias("programs"),
+        F.count_if("eligible").alias("eligible_programs"),
+        F.count_if("same_relative_top").alias("same_top_programs"),
+    )

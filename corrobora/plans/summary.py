@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrobora.functions.numeric import rounded
+from corrobora.operators import programs as pg
 from corrobora.operators import ranking, screening
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.context import BASE, FOLDS, SECOND, STABLE, concordance, tier_agreement, winner_sql
 from corrobora.plans.registry import query
-from corrobora.plans.resampling import SAMPLE, TALLY, WORST, stability_tally, worst_agreement
-from corrobora.session import cut_lineage, scratch_path
+from corrobora.plans.resampling import BRAND_LIST, SAMPLE, TALLY, WORST, panels, stability_tally, worst_agreement
+from corrobora.session import scratch_path
 from corrobora.sources.tables import load, write_summary
 
 STRICT = (
@@ -25,9 +26,10 @@ MATRIX = """matrix0 AS (SELECT s.gene_id, s.gene_in_matrix, s.top_type, s.agreei
   coalesce(t.status = 'unique' AND s.status = 'unique' AND t.top_type = s.top_type, false) AS same_top,
   min_agreement, held_out_agreement, coalesce(c.evaluable, false) AS evaluable, coalesce(c.concordant, false) AS concordant,
   coalesce(c.second_agreeing_folds, 0) AS second_agreeing_folds, coalesce(c.second_evaluable_folds, 0) AS second_evaluable_folds,
-  coalesce(l.n_lines, 0) AS n_links, coalesce(l.n_suppliers, 0) AS n_sources
+  coalesce(l.n_lines, 0) AS n_links, coalesce(l.n_suppliers, 0) AS n_sources, programs
   FROM stable s LEFT JOIN strict t USING (gene_id) LEFT JOIN worst USING (gene_id) LEFT JOIN concord c USING (gene_id)
-  LEFT JOIN (SELECT l_partkey AS gene_id, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem WHERE l_discount > 0.095 GROUP BY 1) l USING (gene_id)),
+  LEFT JOIN (SELECT l_partkey AS gene_id, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem WHERE l_discount > 0.095 GROUP BY 1) l USING (gene_id)
+  LEFT JOIN (SELECT p_partkey AS gene_id, p_brand AS programs FROM part WHERE p_brand IN (""" + BRAND_LIST + """)) pr USING (gene_id)),
 matrix AS (SELECT *, coalesce(all_folds_agree AND same_top AND min_agreement >= 0.5 AND concordant AND second_agreeing_folds = 4
   AND second_evaluable_folds = 4, false) AS screening_flag FROM matrix0)"""
 CTES = ("cells", "counts", "cube", "primary_types", "types", "donors")
@@ -48,6 +50,7 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
             "sampling": worst_agreement(stability_tally(spark, d), "equal_cells_20"),
             "second": concordance(spark, d, cube).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
             "links": links,
+            "programs": pg.membership_text(panels(spark, d)),
         },
         "gene_id",
         false_if_absent=["same_top", "evaluable", "concordant"],
