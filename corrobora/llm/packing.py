@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -151,23 +152,26 @@ def completed(lengths: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def _pack_shard(capacity: int):
+def _pack_shard(capacity: int, round_no: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_pylist()
         places: dict[int, list[int]] = {}
         for i, x in enumerate(lengths):
             places.setdefault(x, []).append(i)
-        sequence, offset = [0] * len(lengths), [0] * len(lengths)
+        sequence, offset, room = [0] * len(lengths), [0] * len(lengths), [0] * len(lengths)
+        base = (round_no << 58) + (key[0].as_py() << 24)
         for n, group in enumerate(completed(lengths, capacity)):
-            at = 0
+            at, free = 0, capacity - sum(group)
             for x in group:
                 i = places[x].pop()
-                sequence[i], offset[i] = n, at
+                sequence[i], offset[i], room[i] = base + n, at, free
                 at += x
-        base = key[0].as_py() << 40
-        return table.drop_columns(["shard"]).append_column(
-            "sequence_id", pa.array([base + s for s in sequence], pa.int64())
-        ).append_column("offset", pa.array(offset, pa.int64()))
+        return (
+            table.drop_columns(["shard"])
+            .append_column("sequence_id", pa.array(sequence, pa.int64()))
+            .append_column("offset", pa.array(offset, pa.int64()))
+            .append_column("room", pa.array(room, pa.int64()))
+        )
 
     return run
 
@@ -175,14 +179,26 @@ def _pack_shard(capacity: int):
 def packed(docs: DataFrame, path: str, spaced: bool, end_id: int, capacity: int = 4096) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Pieces are dealt evenly to shards of about ``SHARD_PIECES``, each packed by one task, so a shard's
-    last sequences are all that sharding can waste. Every row of ``docs`` is packed, repeated rows each for
-    themselves; an empty table gives no sequence.
+    Pieces are dealt evenly to shards of about ``SHARD_PIECES``, each packed by one task. The pieces of
+    sequences that are not full are then packed again together, until one shard holds them or most of what was
+    packed stays loose, so sharding costs hardly a sequence. Every row of ``docs`` is packed, repeated rows
+    each for themselves; an empty table gives no sequence.
     """
-    cut = cut_lineage(pieces(docs, path, spaced, end_id, capacity))
-    shards = -(-max(1, cut.count()) // SHARD_PIECES)
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
-    done = cut.withColumn("shard", dealt).groupBy("shard").applyInArrow(
-        _pack_shard(capacity), PIECES + ", sequence_id long, offset long"
-    )
-    return done
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    left = cut_lineage(pieces(docs, path, spaced, end_id, capacity))
+    n, done, round_no = left.count(), [], 0
+    while True:
+        shards = -(-max(1, n) // SHARD_PIECES)
+        dealt = F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(shards)).cast("long")
+        now = cut_lineage(
+            left.withColumn("shard", dealt)
+            .groupBy("shard")
+            .applyInArrow(_pack_shard(capacity, round_no), PIECES + ", sequence_id long, offset long, room long")
+        )
+        n_loose = now.filter("room > 0").count()
+        if shards == 1 or 2 * n_loose > n:
+            done.append(now)
+            break
+        done.append(now.filter("room = 0"))
+        left, n, round_no = now.filter("room > 0").select(*columns), n_loose, round_no + 1
+    return reduce(DataFrame.unionByName, done).drop("room")

@@ -129,6 +129,20 @@ def test_packing(docs, word_ids):
     assert len(by_sequence) <= -(-sum(r.length for r in found) // 4096) + 1
 
 
+def test_packing_in_many_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    rng = random.Random(8)
+    texts = ["a " * rng.randrange(1, 60) for _ in range(2000)]
+    frame = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    found = packing.packed(frame, WORD, False, 1, 64).collect()
+    assert sorted(r.doc_id for r in found) == list(range(2000))
+    used = defaultdict(list)
+    for r in found:
+        used[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(x for _, x in p) <= 64 and sorted(p)[0][0] == 0 for p in used.values())
+    assert len(used) <= 1.02 * sum(r.length for r in found) / 64 + 1
+
+
 def test_bin_completion_reaches_the_bound():
     rng = random.Random(9)
     for capacity in (20, 100, 4096):
