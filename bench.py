@@ -13,6 +13,7 @@ import time
 
 from corrobora.local import local_session
 from corrobora.plans import all_queries
+from corrobora.session import clear_run
 
 HEADLINE = [
     "cell_qc_metrics",
@@ -55,6 +56,7 @@ def main() -> None:
         found[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+    clear_run(spark)
     spark.stop()
     print(
         json.dumps(

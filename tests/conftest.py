@@ -1,17 +1,14 @@
 from __future__ import annotations
 
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-
 from corrobora.local import local_session
+from corrobora.session import clear_run
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 8)
     yield session
+    clear_run(session)
     session.stop()
