@@ -23,10 +23,6 @@ def rounded(value: Column, digits: int = 6) -> Column:
     return F.round(value + F.lit(nudge(digits)), digits) + F.lit(0.0)
 
 
-def null_if_nan(value: Column) -> Column:
-    """NaN means missing: aggregates skip NULL but not NaN."""
-    return F.when(~F.isnan(value), value)
-
 
 def finite(value: Column) -> Column:
     """True for a present value that is neither NaN nor infinite."""

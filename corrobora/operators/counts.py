@@ -284,12 +284,6 @@ def contingency(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -
     return df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(f"n_{v}") for v in values])
 
 
-def contingency_long(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """The same cross table, one row per pair."""
-    wide = contingency(df, rows, columns, values)
-    pairs = F.array(*[F.struct(F.lit(v).alias(columns), F.col(f"n_{v}").alias("n")) for v in values])
-    return wide.select(rows, F.explode(pairs).alias("_p")).select(rows, "_p.*")
-
 
 def panel_statistics(
     normalised: DataFrame,

@@ -213,9 +213,6 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float) -> Dat
     return labels.withColumn("rounds", F.lit(len(states))).withColumn("settled", F.lit(settled))
 
 
-def community_sizes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("community").agg(F.count(F.lit(1)).alias("n_members"))
-
 
 def edge_weights(neighbours: DataFrame, scale: int = 1_000_000) -> DataFrame:
     """Whole-number similarity ``scale / (1 + distance)``."""

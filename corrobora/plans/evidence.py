@@ -281,16 +281,12 @@ def processing_shares(spark: SparkSession, d: str) -> DataFrame:
 PROCESSING = """q AS (SELECT l_partkey AS gene_id, o_orderpriority AS t, sum(CAST(l_quantity AS INTEGER))::DOUBLE AS a,
   coalesce(sum(CAST(l_quantity AS INTEGER)) FILTER (WHERE l_linestatus = 'O'), 0)::DOUBLE AS b
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
-g AS (SELECT gene_id FROM (SELECT DISTINCT l_partkey AS gene_id FROM lineitem)),
-full0 AS (SELECT gene_id, cell_type, ord, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM g CROSS JOIN primary_types LEFT JOIN q USING (gene_id)
-  WHERE t = cell_type OR t IS NULL),
 dense AS (SELECT gene_id, cell_type, ord, coalesce(max(a) FILTER (WHERE t = cell_type), 0) AS a, coalesce(max(b) FILTER (WHERE t = cell_type), 0) AS b
   FROM q CROSS JOIN primary_types GROUP BY 1, 2, 3),
 proc AS (SELECT gene_id, max(a) FILTER (WHERE ord = 0) / nullif(sum(a), 0) AS first_share,
   max(b) FILTER (WHERE ord = 0) / nullif(sum(b), 0) AS second_share,
   arg_max(cell_type, a * 100 - ord) AS first_top, arg_max(cell_type, b * 100 - ord) AS second_top FROM dense GROUP BY 1
   HAVING sum(a) > 0 AND sum(b) > 0)"""
-PROCESSING = "\n".join(line for line in PROCESSING.split("\n") if "full0" not in line and "WHERE t = cell_type OR" not in line)
 
 
 @query(
