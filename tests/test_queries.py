@@ -9,7 +9,7 @@ from tools.check import TABLES, compare
 
 duckdb = pytest.importorskip("duckdb")
 SMALLEST = "/root/testdata/sf0.001"
-LARGER = {"cross_study_program_scores": "/root/testdata/sf0.01"}
+LARGER = dict.fromkeys(["cross_study_program_scores", "types_shared_by_all_donors"], "/root/testdata/sf0.01")
 
 
 def connected(folder: str):
