@@ -141,8 +141,10 @@ def links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         value = sum(255 << (8 * b) for b in subset)
         return F.col("fp").bitwiseAND(F.lit(value - (1 << 64) if value >> 63 else value).cast("long"))
 
+    # The fingerprints are few bytes but become many postings: deal them out before that.
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = (
-        classes.select("fp", F.posexplode(F.array(*(kept(s) for s in subsets))).alias("subset", "bytes"))
+        classes.select("fp").repartition(tasks).select("fp", F.posexplode(F.array(*(kept(s) for s in subsets))).alias("subset", "bytes"))
         .groupBy("subset", "bytes")
         .agg(F.collect_list("fp").alias("members"))
         .filter(F.size("members") > 1)
