@@ -25,7 +25,7 @@ SAMPLE = 4096
 MOST_PIVOTS = 1024
 CELL_ROWS = 2048
 QUERY_ROWS = 512
-LEAF = 64
+LEAF = 256
 SLACK = 1e-6
 
 
@@ -60,7 +60,9 @@ def _far_apart(points: np.ndarray, n: int) -> np.ndarray:
 def cover_tree(points: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, float, int, int, list[int]]]]:
     """An order of the points, and nodes (centre, radius, begin, end, children) over it; node 0 is the root.
 
-    A node's children cover it at half its radius, and their centres lie farther apart than that.
+    A node's children have centres that lie far apart, chosen until they cover it at half its radius or there
+    would be fewer than ``LEAF`` points for each: in many dimensions half the radius can ask for nearly as
+    many centres as points, and a pair of such nodes costs more than it saves. Radii are the true ones.
     """
     order = np.arange(len(points))
     nodes: list[tuple[np.ndarray, float, int, int, list[int]]] = []
@@ -75,7 +77,7 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, f
         own = points[order[begin:end]]
         nearest, least = np.zeros(len(own), np.int64), away.copy()
         centres = [centre]
-        while least.max() > radius * radius / 4:
+        while least.max() > radius * radius / 4 and len(centres) < max(2, (end - begin) // LEAF):
             far = own[int(least.argmax())]
             d = ((own - far) ** 2).sum(axis=1)
             nearest[d < least] = len(centres)
@@ -85,6 +87,8 @@ def cover_tree(points: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, f
         order[begin:end] = order[begin:end][sort]
         nearest, least = nearest[sort], least[sort]
         cuts = np.searchsorted(nearest, np.arange(len(centres) + 1))
+        if np.diff(cuts).max() > 0.9 * (end - begin):  # a few outliers are not worth a level
+            return here
         for c, (a, b) in zip(centres, zip(cuts[:-1], cuts[1:]), strict=True):
             if b > a:
                 children.append(grow(begin + int(a), begin + int(b), c, least[a:b]))
@@ -166,10 +170,12 @@ class _Best:
 
     def offer(self, begin: int, end: int, scores: np.ndarray, ids: np.ndarray) -> None:
         at_least = np.maximum(self.scores[begin:end, -1], self.floor[begin:end])
-        rows = np.flatnonzero((scores >= at_least[:, None]).any(axis=1))
+        good = (scores >= at_least[:, None]) & (scores > -np.inf)
+        rows, cols = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
         if not len(rows):
             return
-        all_scores = np.concatenate([self.scores[begin:end][rows], scores[rows]], axis=1)
+        fresh, ids = scores[np.ix_(rows, cols)], ids[cols]
+        all_scores = np.concatenate([self.scores[begin:end][rows], fresh], axis=1)
         all_ids = np.concatenate([self.ids[begin:end][rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
         best = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
         self.scores[begin + rows] = np.take_along_axis(all_scores, best, axis=1)
