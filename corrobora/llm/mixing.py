@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corrobora.session import cut_lineage
+from corrobora.session import cut_lineage, scratch_path
 
 LARGEST_PART = 500.0
 """A higher mean is drawn as a sum of equal parts, as exp(-mean) must not vanish."""
@@ -85,6 +85,10 @@ def mixed(
     drawn = drawn.select(
         F.col("source").alias("_source"), "_parts", _thresholds(F.col("rate") / F.col("_parts")).alias("_cdf")
     )
+    # Written, its size is known: Spark broadcasts a small table of sources, or deals out a large one.
+    path = scratch_path(free.sparkSession, "source-rates")
+    drawn.write.parquet(path)
+    drawn = free.sparkSession.read.parquet(path)
     copies = F.aggregate(
         F.transform(
             F.sequence(F.lit(1), F.col("_parts")),
