@@ -17,7 +17,7 @@ SHARD_PIECES = 20_000
 """Pieces packed together by one task; a table has as many shards as it needs."""
 
 SEARCH_NODES = 64
-"""Fillings tried for a sequence before the best one found so far is taken."""
+"""Lengths tried for a sequence after its best-fit filling, before the best one found so far is taken."""
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -95,43 +95,43 @@ def _filling(shelf: _Shelf, gap: int) -> list[int]:
 
     Fillings are enumerated from the largest length down, each completed exactly by one or two lengths if
     that is possible. Larger lengths dominate smaller ones in the same place and come first, so the first
-    incumbent is the best-fit filling. A branch is pruned if all lengths left could not bring its waste
-    below the incumbent's; a filling without waste ends the search.
+    incumbent is the best-fit filling; it is built to the end of the gap, however many pieces that takes.
+    ``SEARCH_NODES`` bounds the lengths tried in other places after it. A branch is pruned if all lengths
+    left could not bring its waste below the incumbent's; a filling without waste ends the search.
     """
     best: list[int] = []
-    best_left = gap
-    nodes = 0
-
-    def search(left: int, limit: int, chosen: list[int]) -> bool:
-        """True if the search is over."""
-        nonlocal best, best_left, nodes
-        nodes += 1
-        if left < best_left:
-            best, best_left = list(chosen), left
-        if not left or nodes > SEARCH_NODES:
-            return True
-        if left - shelf.total >= best_left:
-            return False
+    best_left = left = limit = gap
+    chosen: list[int] = []
+    nodes, budget = 0, None
+    while True:
         if left <= limit and shelf.count[left]:
-            best, best_left = [*chosen, left], 0
-            return True
+            best = [*chosen, left]
+            break
         two = shelf.pair(left)
         if two is not None and two[0] <= limit:
-            best, best_left = [*chosen, *two], 0
-            return True
-        x = shelf.largest(min(left, limit))
-        while x:
-            shelf.take(x)
-            chosen.append(x)
-            done = search(left - x, x, chosen)
-            chosen.pop()
-            shelf.put(x)
-            if done:
-                return True
-            x = shelf.largest(x - 1)
-        return False
-
-    search(gap, gap, [])
+            best = [*chosen, *two]
+            break
+        x = shelf.largest(min(left, limit)) if left - shelf.total < best_left else 0
+        spent = budget is not None and nodes >= budget
+        if not x or spent:
+            if left < best_left:
+                best, best_left = list(chosen), left
+            budget = SEARCH_NODES
+            x = 0
+            while chosen and not x and not spent:
+                last = chosen.pop()
+                shelf.put(last)
+                left += last
+                x = shelf.largest(last - 1)
+            if not x:
+                break
+        if budget is not None:
+            nodes += 1
+        shelf.take(x)
+        chosen.append(x)
+        left, limit = left - x, x
+    for x in chosen:
+        shelf.put(x)
     return best
 
 

@@ -156,6 +156,23 @@ def test_bin_completion_reaches_the_bound():
     assert sorted(map(sorted, packing.completed([6, 5, 5, 4], 10))) == [[4, 6], [5, 5]]
 
 
+@pytest.mark.parametrize("lengths", [[1] * 5000, [5] * 5000, [41] * 5000, [4000] * 3 + [1] * 5000, [3000, 900] * 9 + [2, 3, 7] * 2000])
+def test_packing_of_many_short_pieces(lengths):
+    out = packing.completed(lengths, 4096)
+    assert sorted(x for b in out for x in b) == sorted(lengths)
+    assert all(sum(b) <= 4096 for b in out)
+    fit = 4096 // lengths[0] * lengths[0] if len(set(lengths)) == 1 else 4096
+    assert len(out) == -(-sum(lengths) // fit)
+
+
+def test_packing_of_short_documents(spark):
+    for text, length in ((None, 1), ("a a a a", 5)):
+        frame = spark.createDataFrame([(i, text, None, None, 0) for i in range(5000)], SCHEMA)
+        found = packing.packed(frame, WORD, False, 1, 4096).collect()
+        assert len(found) == 5000 and {r.length for r in found} == {length}
+        assert len({r.sequence_id for r in found}) == -(-5000 * length // 4096)
+
+
 def test_range_coder_round_trip():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, 65536, n) for n in (0, 1, 2, 700, 4096)]
