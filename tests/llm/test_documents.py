@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from corrobora.llm import lines, mixing, packing, pii, quality, range_coder, simhash, token_counts, tokenfile
+from corrobora.llm import lines, mixing, near, packing, pii, quality, range_coder, simhash, token_counts, tokenfile
 from corrobora.llm.tokens import PieceEncoder
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -394,3 +394,39 @@ def test_empty_tables(spark, tmp_path):
     assert mixing.mixed(none, 1).count() == 0
     tokenfile.write(none, str(tmp_path / "none"), WORD, False, 2)
     assert tokenfile.digests(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_copies_at_four_fifths(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    data, near_of = [], {}
+    for g in range(60):
+        base = [word() for _ in range(200)]
+        data.append((10 * g, " ".join(base)))
+        for k, changes in enumerate((1, 2, 4, 6), 1):
+            copy = list(base)
+            for at in rng.sample(range(10, 190, 10), changes):
+                copy[at] = word()
+            data.append((10 * g + k, " ".join(copy)))
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in data}
+    for g in range(60):
+        group = [10 * g + k for k in range(5)]
+        root = {d: d for d in group}
+        for a in group:
+            for b in group:
+                if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = {d: new if r == old else r for d, r in root.items()}
+        near_of |= root
+    assert 60 < len(set(near_of.values())) < 300
+    frame = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA).repartition(4)
+    left = near.representatives(frame).collect()
+    assert sorted(r.doc_id for r in left) == sorted(set(near_of.values()))
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon " + " ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    data = [(3, a), (5, a), (5, b), (9, b), (None, c), (None, c), (None, a), (7, "one"), (8, "one"), (11, None), (12, " ")]
+    found = near.representatives(spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([(3, a), (5, b), (None, c), (7, "one"), (11, None)], key=str)
+    assert near.representatives(spark.createDataFrame([], SCHEMA)).count() == 0
