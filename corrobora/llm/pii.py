@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
 
 All patterns run in time linear in the text: repeated parts are possessive, as what follows never
-begins with their characters, and a pattern may start only where a run of its first characters starts
+begins with their characters, or of the length that the country gives, and a pattern may start only where a run of its first characters starts
 or the previous match ended.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CONTEXT_CHARS = 40
-"""Characters before a span in which context words count."""
+"""Characters before a span, earlier matches included, in which context words count; after it, up to the next match."""
 
 LEAST_SCORE = 0.5
 """Spans of kinds that need context are reported from this score on."""
@@ -31,12 +31,23 @@ class Kind:
 
 
 EMAIL_CHARS = "A-Za-z0-9._%+-"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+"""Countries by the characters of their account numbers; other codes take the longest run."""
+
+_IBAN = "|".join(
+    rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()
+)
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"(?i)mail|contact|write"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?i)\bip\b|server|host|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"(?i)card|visa|credit|payment|carte|karte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"(?i)phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.8, r"(?i)iban|account|konto|compte"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))", 0.8, r"(?i)iban|account|konto|compte"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, r"(?i)ssn|social\s+security|insurance\s+n", True),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -99,13 +110,17 @@ def _spans(kind: Kind, whole: Column) -> Column:
     steps = F.zip_with(
         F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("text"))
     )
+    steps = F.zip_with(
+        steps, F.slice(pieces, 2, F.size(found)),
+        lambda s, p: F.struct(s["piece"].alias("piece"), s["text"].alias("text"), F.left(p, F.lit(CONTEXT_CHARS)).alias("after")),
+    )
     start_type = "struct<at:int,tail:string,spans:" + SPAN + ">"
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("spans")).cast(start_type)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["piece"])
-        before = F.right(x["piece"], F.lit(CONTEXT_CHARS))
-        score = F.lit(kind.base) + F.when(before.rlike(kind.words), F.lit(0.4)).otherwise(F.lit(0.0))
+        before = F.right(F.concat(state["tail"], F.right(x["piece"], F.lit(CONTEXT_CHARS))), F.lit(CONTEXT_CHARS))
+        score = F.lit(kind.base) + F.when(before.rlike(kind.words) | x["after"].rlike(kind.words), F.lit(0.4)).otherwise(F.lit(0.0))
         score = F.least(score, F.lit(1.0))
         good = _confirmed(kind.name, x["text"])
         if kind.needs_score:
@@ -119,7 +134,7 @@ def _spans(kind: Kind, whole: Column) -> Column:
         )
         return F.struct(
             (start + F.length(x["text"])).alias("at"),
-            F.lit("").alias("tail"),
+            F.right(F.concat(before, x["text"]), F.lit(CONTEXT_CHARS)).alias("tail"),
             F.when(good, F.concat(state["spans"], F.array(span).cast(SPAN))).otherwise(state["spans"]).alias("spans"),
         ).cast(start_type)
 

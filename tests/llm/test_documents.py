@@ -356,6 +356,22 @@ def test_pii(spark, docs):
     assert masked.startswith("IBAN [iban] and SSN [ssn] but ")
 
 
+def test_pii_before_capitals_and_words_around(spark):
+    cases = {
+        "IBAN DE89 3704 0044 0532 0130 00 Please pay": ["DE89 3704 0044 0532 0130 00"],
+        "DE89370400440532013000 Bank": ["DE89370400440532013000"],
+        "DE89370400440532013000 BIC COBADEFF": ["DE89370400440532013000"],
+        "DE89370400440532013000 GB82WEST12345698765432 7": ["DE89370400440532013000", "GB82WEST12345698765432"],
+        "DE88370400440532013000 Bank": [],
+        "SSN 123-45-6789, 123-45-6780": ["123-45-6789", "123-45-6780"],
+        "123-45-6789 is the SSN": ["123-45-6789"],
+        "123-45-6789 alone": [],
+    }
+    frame = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(cases)], SCHEMA)
+    for r in pii.find(frame, kinds=pii.ADDED_KINDS).collect():
+        assert [s.text for s in r.spans] == cases[r.text], r.text
+
+
 def test_mixing(docs):
     data = rows()
     chars = defaultdict(int)
