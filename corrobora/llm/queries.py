@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrobora.llm import lines, mixing, packing, pii, quality, search, simhash, token_counts, tokenfile, urls
+from corrobora.llm import fingerprints, importance, infill, lines, mixing, packing, pii, quality, search, simhash, token_counts, tokenfile, urls
 from corrobora.llm import sql as oracle
 from corrobora.session import shared_folder
 
@@ -81,6 +81,19 @@ def source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder), MIX_SEED, temperature=MIX_TEMPERATURE)
 
 
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, folder))
+
+
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.arranged(documents(spark, folder), seed=1, rate=90, spm_rate=20))
+
+
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    target = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return importance.resampled(documents(spark, folder), target, seed=7, percent=25, min_words=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": line_dedup,
     "op2_best_fit_packing": best_fit_packing,
@@ -92,6 +105,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": personal_data,
     "op9_url_filters": url_filter,
     "op10_source_mixing": source_mixing,
+    "op11_document_fingerprints": document_fingerprints,
+    "op12_fill_in_middle": fill_in_middle,
+    "op13_importance_resampling": importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,4 +115,7 @@ ORACLES: dict[str, str] = {
     "op7_quality_rules": oracle.QUALITY_RULES,
     "op9_url_filters": oracle.URL_FILTERS,
     "op10_source_mixing": oracle.SOURCE_MIXING,
+    "op11_document_fingerprints": oracle.FINGERPRINTS,
+    "op12_fill_in_middle": oracle.INFILL,
+    "op13_importance_resampling": oracle.IMPORTANCE,
 }

@@ -111,3 +111,101 @@ WITH size AS (
 )
 SELECT *, ('0x' || substr(md5('20-order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR), 1, 13))::BIGINT AS mix_key FROM copies
 """
+
+_KEYS = """
+SELECT id, kind, ('0x' || substr(md5(n || ':' || piece), 1, 16))::UBIGINT AS key FROM (
+  SELECT id, kind, piece, row_number() OVER (PARTITION BY id, kind, piece) AS n FROM (
+    SELECT id, kind, part, string_agg(token, '' ORDER BY pos) AS piece FROM (
+      SELECT id, kind, pos, token, coalesce(sum(last::INT) OVER (PARTITION BY id, kind ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part
+      FROM (SELECT *, contains(token, chr(10)) OR (word <> '' AND md5(word)[1] IN ('0', '1')) AS last
+        FROM (SELECT id, kind, generate_subscripts(l, 1) AS pos, unnest(l) AS token, regexp_replace(unnest(l), '[\\x20\\x09-\\x0D]+$', '') AS word
+          FROM (SELECT id, kind, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*|[\\x20\\x09-\\x0D]+') AS l FROM texts))))
+    GROUP BY id, kind, part))
+"""
+
+FINGERPRINTS = f"""
+WITH d AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS id, doc_id, coalesce(text, '') AS t FROM documents
+), pair AS (
+  SELECT id, doc_id, t, coalesce(lead(t) OVER (ORDER BY id), first_value(t) OVER (ORDER BY id)) AS u, length(t) AS n FROM d
+), edit AS (
+  SELECT *, left(t, (n - n // 2)::BIGINT) || left(u, (n // 2)::BIGINT) AS e FROM pair
+), texts AS (
+  SELECT id, 'own' AS kind, t FROM edit UNION ALL SELECT id, 'edited', e FROM edit
+), keyed AS ({_KEYS}),
+halves AS (SELECT *, key & 4294967295 AS lo, key >> 32 AS hi FROM keyed),
+checked AS (SELECT *, ((lo * 1359893119::UBIGINT + hi * 1249961773::UBIGINT) >> 16) & 4294967295 AS chk FROM halves),
+placed AS (
+  SELECT *, unnest([((lo * 2135587861::UBIGINT + hi * 1640531527::UBIGINT) >> 24) % 4, ((lo * 1779033703::UBIGINT + hi * 1013904223::UBIGINT) >> 24) % 4 + 4,
+    ((lo * 1541459225::UBIGINT + hi * 2027808485::UBIGINT) >> 24) % 4 + 8]) AS cell FROM checked
+), cells AS (
+  SELECT id, kind, cell, count(*) AS c, bit_xor(key) AS k, bit_xor(chk) AS x FROM placed GROUP BY ALL
+), prints AS (
+  SELECT id, kind, string_agg(format('{{:08x}}', coalesce(c, 0)) || format('{{:016x}}', coalesce(k, 0)) || format('{{:08x}}', coalesce(x, 0)), '' ORDER BY cell) AS f
+  FROM (SELECT id, kind, cell FROM (SELECT DISTINCT id, kind FROM texts) CROSS JOIN (SELECT range::UBIGINT AS cell FROM range(12))) LEFT JOIN cells USING (id, kind, cell)
+  GROUP BY id, kind
+), size AS (SELECT id, kind, count(*) AS m FROM keyed GROUP BY ALL),
+beside AS (SELECT id, CASE WHEN id = (SELECT max(id) FROM d) THEN 1 ELSE id + 1 END AS nid FROM d),
+both_edited AS (SELECT a.id, count(*) AS s FROM keyed a JOIN keyed b ON a.id = b.id AND a.kind = 'own' AND b.kind = 'edited' AND a.key = b.key GROUP BY 1),
+both_next AS (SELECT a.id, count(*) AS s FROM keyed a JOIN beside USING (id) JOIN keyed b ON b.id = nid AND a.kind = 'own' AND b.kind = 'own' AND a.key = b.key GROUP BY 1),
+numbers AS (
+  SELECT id, coalesce(o.m, 0) AS a, coalesce(e.m, 0) AS b, coalesce(x.m, 0) AS c, coalesce(be.s, 0) AS se, coalesce(bn.s, 0) AS sn
+  FROM beside LEFT JOIN (FROM size WHERE kind = 'own') o USING (id) LEFT JOIN (FROM size WHERE kind = 'edited') e USING (id)
+  LEFT JOIN (FROM size WHERE kind = 'own') x ON x.id = nid LEFT JOIN both_edited be USING (id) LEFT JOIN both_next bn USING (id)
+)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, o.f AS fingerprint, g.f AS edited_fingerprint,
+  CASE WHEN a + b - se = 0 THEN 1.0::DOUBLE ELSE se::DOUBLE / (a + b - se) END AS near_edited,
+  CASE WHEN a + c - sn = 0 THEN 1.0::DOUBLE ELSE sn::DOUBLE / (a + c - sn) END AS near_next,
+  a AS n_paragraphs, a - se AS removed_in_edited, b - se AS added_in_edited
+FROM edit JOIN numbers USING (id) JOIN (FROM prints WHERE kind = 'own') o USING (id) JOIN (FROM prints WHERE kind = 'edited') g USING (id)
+"""
+
+INFILL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), drawn AS (
+  SELECT *, [('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT] AS r FROM d
+), form AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+      WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), part AS (
+  SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM form
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM part
+"""
+
+IMPORTANCE = r"""
+WITH crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v FROM range(256) r(i))
+), texts AS (
+  SELECT 's' AS side, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), words AS (
+  SELECT side, id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM texts
+), feature AS (
+  SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words
+), bucket AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, octet_length(encode(f))), lambda k: ('0x' || substr(hex(encode(f)), 2 * k + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT f FROM feature), crc
+), tally AS (
+  SELECT b, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM feature JOIN bucket USING (f) GROUP BY 1
+), gain AS (
+  SELECT b, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM tally) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM tally) + 10000)::DOUBLE)))::BIGINT AS g FROM tally
+), weighed AS (
+  SELECT id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight, count(*) AS n_features FROM feature JOIN bucket USING (f) JOIN gain USING (b) WHERE side = 's' GROUP BY 1
+), scored AS (
+  SELECT id, doc_id, len(w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (id) WHERE side = 's'
+), ranked AS (
+  SELECT id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 25 * count(*) OVER () // 100 AS k FROM scored WHERE eligible
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= k THEN r END AS rank FROM scored LEFT JOIN ranked USING (id)
+"""
