@@ -446,3 +446,65 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     found = near.representatives(spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)).collect()
     assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([(3, a), (5, b), (None, c), (7, "one"), (11, None)], key=str)
     assert near.representatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def altered(rng: random.Random, base: list[str], changes: int) -> list[str]:
+    """``base`` with so many words changed, far enough apart that each breaks five shingles."""
+    out = list(base)
+    for at in rng.sample(range(4, len(base) - 4, 6), changes):
+        out[at] = "".join(rng.choices("qrstuvwxyz", k=8))
+    return out
+
+
+def pairwise(data: list[tuple[int, str]]) -> dict[int, int]:
+    """Least id reachable over pairs of at least four fifths of shared five-word shingles."""
+    sets = [(d, {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for d, t in data]
+    root = {d: d for d, _ in data}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if root[a] != root[b] and 5 * len(x & y) >= 4 * len(x | y):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_copies_of_big_groups_below_and_above(spark, monkeypatch, block):
+    """500 texts at about 0.65 of each other stay; 60 linked to one of them only over each other go, in any block."""
+    monkeypatch.setattr(near, "BLOCK_MEMBERS", block)
+    rng = random.Random(21)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    data = [(i, " ".join(altered(rng, base, 6 if i % 5 else 7))) for i in range(440 if block == 256 else 120)]
+    chain = data[3][1].split()
+    for i in range(60 if block == 256 else 40):
+        chain = altered(rng, chain, 3)
+        data.append((1000 + i, " ".join(chain)))
+    want = pairwise(data)
+    frame = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA).repartition(4)
+    found = near.representatives(frame.withColumnsRenamed({"lang": "node", "source": "row"}))
+    assert found.columns == ["doc_id", "text", "node", "row", "n_chars"]
+    assert sorted(r.doc_id for r in found.collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_of_long_texts_and_shared_hashes():
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(60_000)]
+    texts = [" ".join(base), " ".join(altered(rng, base, 500)), " ".join(altered(rng, base, 5000)), "word " * 20_000]
+    own = [near.hashes(t, 5) for t in texts]
+    sets = [near.shingles(t, 5) for t in texts]
+    want = np.array([[len(x & y) for y in sets] for x in sets])
+    assert (near.shared(own, own) == want).all()
+    members = [(i, near.sketch(h), h) for i, h in enumerate(own)]
+    assert near.links(members, members) in ([(0, 1)], [(1, 0)])
+
+
+@pytest.mark.parametrize("changes", [3, 2, 1])
+def test_index_meets_planted_copies(changes):
+    """Similarities of about 0.8, 0.86 and 0.93."""
+    rng, met, n = random.Random(changes), 0, 300
+    for _ in range(n):
+        base = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(140)]
+        x, y = (near.hashes(" ".join(t), 5) for t in (base, altered(rng, base, changes)))
+        a, b = near.sketch(x), near.sketch(y)
+        met += bool(set(near.keys(a).ravel().tolist()) & set(near.keys(b).ravel().tolist())) and (a == b).sum() >= near.LEAST_EQUAL
+    assert met >= 0.99 * n
