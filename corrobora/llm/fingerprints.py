@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,9 @@ WIDTH = 4
 """Cells of each of the three tables in a fingerprint."""
 
 CUT_DIGITS = "01"
+PAIRS_AT_ONCE, CHARS_AT_ONCE = 500, 1 << 22
+"""Pairs of texts whose sketches are subtracted and peeled together."""
+
 KNOWN_WORDS = 400_000
 """Words a Python worker remembers; beyond that it starts afresh."""
 
@@ -49,13 +52,14 @@ def paragraphs(text: str) -> list[bytes]:
     tokens = _TOKEN.findall(data)
     if not tokens:
         return []
-    if len(_ends) > KNOWN_WORDS:
-        _ends.clear()
-    for t in set(tokens):
-        if t not in _ends:
-            _ends[t] = _ends_paragraph(t)
+    try:
+        last = np.fromiter(map(_ends.__getitem__, tokens), bool, len(tokens))
+    except KeyError:
+        if len(_ends) > KNOWN_WORDS:
+            _ends.clear()
+        _ends.update((t, _ends_paragraph(t)) for t in set(tokens) if t not in _ends)
+        last = np.fromiter(map(_ends.__getitem__, tokens), bool, len(tokens))
     stops = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
-    last = np.fromiter(map(_ends.__getitem__, tokens), bool, len(tokens))
     last[-1] = True
     cuts = stops[last].tolist()
     return [data[a:b] for a, b in zip([0, *cuts], cuts)]
@@ -81,75 +85,103 @@ def _checks(keys: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Sketch:
-    """Cells of three tables of ``width`` cells, one table after the other."""
+class Sketches:
+    """Sketches of ``n`` texts, one after the other, each of three tables of ``width`` cells."""
 
+    n: int
     width: int
     counts: np.ndarray
     keys: np.ndarray
     checks: np.ndarray
 
     @classmethod
-    def of(cls, keys: np.ndarray, width: int) -> Sketch:
-        empty = cls(width, np.zeros(3 * width, np.int64), np.zeros(3 * width, np.uint64), np.zeros(3 * width, np.uint64))
-        empty.add(keys, np.ones(len(keys), np.int64))
-        return empty
-
-    def add(self, keys: np.ndarray, signs: np.ndarray) -> None:
+    def of(cls, sets: Sequence[np.ndarray], width: int = WIDTH) -> Sketches:
+        size = 3 * width * len(sets)
+        out = cls(len(sets), width, np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, np.uint64))
+        if sets:
+            keys = np.concatenate(sets)
+            out.add(np.repeat(np.arange(len(sets)), list(map(len, sets))), keys, np.ones(len(keys), np.int64))
+        return out
+
+    def add(self, owners: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> None:
+        """Keys to the texts ``owners``, or from them where the sign is -1."""
         checks = _checks(keys)
         for k in range(3):
-            at = (_mixed(keys, k) >> np.uint64(24)) % np.uint64(self.width) + np.uint64(k * self.width)
+            at = (_mixed(keys, k) >> np.uint64(24)) % np.uint64(self.width)
+            at = at.astype(np.int64) + (3 * owners + k) * self.width
             np.add.at(self.counts, at, signs)
             np.bitwise_xor.at(self.keys, at, keys)
             np.bitwise_xor.at(self.checks, at, checks)
 
-    def __sub__(self, other: Sketch) -> Sketch:
-        return Sketch(self.width, self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks)
+    def __sub__(self, other: Sketches) -> Sketches:
+        return Sketches(self.n, self.width, self.counts - other.counts, self.keys ^ other.keys, self.checks ^ other.checks)
 
-    def __str__(self) -> str:
-        """Per cell 8 hexadecimal digits of the count, 16 of the keys, 8 of the check values."""
-        cells = zip(self.counts.tolist(), self.keys.tolist(), self.checks.tolist(), strict=True)
-        return "".join(f"{c & 0xFFFFFFFF:08x}{k:016x}{x:08x}" for c, k, x in cells)
+    def texts(self) -> list[str]:
+        """Per sketch the cells, each as 8 hexadecimal digits of the count, 16 of the keys, 8 of the check values."""
+        cells = np.empty(len(self.counts), np.dtype([("c", ">u4"), ("k", ">u8"), ("x", ">u4")]))
+        cells["c"], cells["k"], cells["x"] = self.counts & 0xFFFFFFFF, self.keys, self.checks
+        whole = cells.tobytes().hex()
+        size = 96 * self.width
+        return [whole[i : i + size] for i in range(0, size * self.n, size)]
 
     @classmethod
-    def parse(cls, text: str) -> Sketch:
-        cells = [text[i : i + 32] for i in range(0, len(text), 32)]
-        field = lambda a, b: np.array([int(c[a:b], 16) for c in cells], np.uint64)
-        return cls(len(cells) // 3, field(0, 8).astype(np.int64), field(8, 24), field(24, 32))
-
-    def peeled(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """Keys added and keys taken away, or None if cells are left that hold several; the sketch is used up."""
-        plus, minus = [], []
-        for _ in range(3 * self.width + 1):
-            pure = np.flatnonzero(np.abs(self.counts) == 1)
-            pure = pure[_checks(self.keys[pure]) == self.checks[pure]]
-            if not len(pure):
-                break
-            keys, first = np.unique(self.keys[pure], return_index=True)
-            signs = self.counts[pure][first]
-            self.add(keys, -signs)
-            plus.append(keys[signs > 0])
-            minus.append(keys[signs < 0])
-        if self.counts.any() or self.keys.any() or self.checks.any():
-            return None
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *plus]), np.concatenate([none, *minus])
-
-
-def difference(a: np.ndarray, b: np.ndarray, first: Sketch | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Keys only in ``a`` and keys only in ``b``, peeled from sketches that widen until it succeeds.
-
-    ``first`` is the difference of the two sketches of the first width, if they are there already. Widths at which the
-    numbers of keys alone show that peeling cannot succeed are passed over.
+    def parsed(cls, texts: Sequence[str]) -> Sketches:
+        """The sketches of fingerprints of one width."""
+        cells = np.frombuffer(bytes.fromhex("".join(texts)), np.dtype([("c", ">u4"), ("k", ">u8"), ("x", ">u4")]))
+        fields = cells["c"].astype(np.int64), cells["k"].astype(np.uint64), cells["x"].astype(np.uint64)
+        return cls(len(texts), len(texts[0]) // 96, *fields)
+
+    def peeled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Owners, keys and signs of all keys found, and which sketches are empty then; the sketches are used up.
+
+        A key is alone in a cell if the count is one either way and the check value is its own. A table
+        holds a key once, so the tables take turns and no key is found twice.
+        """
+        found = []
+        active = np.arange(self.n)
+        for turn in range(9 * self.width + 3):
+            k = turn % 3
+            cells = ((3 * active + k)[:, None] * self.width + np.arange(self.width)).ravel()
+            cells = cells[np.abs(self.counts[cells]) == 1]
+            cells = cells[_checks(self.keys[cells]) == self.checks[cells]]
+            owners, keys, signs = cells // (3 * self.width), self.keys[cells], self.counts[cells]
+            self.add(owners, keys, -signs)
+            found.append((owners, keys, signs))
+            if k == 2:
+                active = np.intersect1d(active, np.concatenate([f[0] for f in found[-3:]]))
+                if not len(active):
+                    break
+        left = (self.counts != 0) | (self.keys != 0) | (self.checks != 0)
+        empty = ~left.reshape(self.n, 3 * self.width).any(axis=1)
+        owners, keys, signs = (np.concatenate(x) for x in zip(*found, strict=True))
+        return owners, keys, signs, empty
+
+
+def differences(a: Sequence[np.ndarray], b: Sequence[np.ndarray], first: Sketches) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per pair the keys only in ``a`` and only in ``b``, peeled from sketches that widen until it succeeds.
+
+    ``first`` has the differences of the sketches of the first width. Widths at which the numbers of
+    keys alone show that peeling cannot succeed are passed over.
     """
-    width = WIDTH
-    while True:
-        if abs(len(a) - len(b)) <= 3 * width:
-            cells = first if first is not None and first.width == width else Sketch.of(a, width) - Sketch.of(b, width)
-            found = cells.peeled()
-            if found is not None:
-                return found
-        width = 4 * width + 1
+    none = np.zeros(0, np.uint64)
+    out = [(none, none)] * len(a)
+    open_, cells, width = np.arange(len(a)), first, first.width
+    while len(open_):
+        owners, keys, signs, empty = cells.peeled()
+        order = np.argsort(owners, kind="stable")
+        owners, keys, signs = owners[order], keys[order], signs[order]
+        cuts = np.searchsorted(owners, np.arange(len(open_) + 1))
+        for i in np.flatnonzero(empty):
+            own, sign = keys[cuts[i] : cuts[i + 1]], signs[cuts[i] : cuts[i + 1]]
+            out[open_[i]] = own[sign > 0], own[sign < 0]
+        open_ = open_[~empty]
+        if len(open_):
+            least = min(abs(len(a[i]) - len(b[i])) for i in open_)
+            width = 4 * width + 1
+            while 3 * width < least:
+                width = 4 * width + 1
+            cells = Sketches.of([a[i] for i in open_], width) - Sketches.of([b[i] for i in open_], width)
+    return out
 
 
 def likeness(n_a: int, n_b: int, n_different: int) -> float:
@@ -176,35 +208,48 @@ _DDL = (
 )
 
 
-def _compared(doc_id: int | None, text: str, keys: np.ndarray, other: str, other_keys: np.ndarray) -> tuple:
-    new = edited(text, other)
-    new_keys = keys_of(new)
-    own, changed, following = (Sketch.of(k, WIDTH) for k in (keys, new_keys, other_keys))
-    gone, come = difference(keys, new_keys, own - changed)
-    apart = sum(map(len, difference(keys, other_keys, own - following)))
-    return (
-        doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), str(own), str(changed),
-        likeness(len(keys), len(new_keys), len(gone) + len(come)), likeness(len(keys), len(other_keys), apart),
-        len(keys), len(gone), len(come),
-    )
+def _compared(pairs: list[tuple[int | None, str, np.ndarray, str, np.ndarray]]) -> list[tuple]:
+    """Rows of (doc_id, text, keys) and the next document's (text, keys)."""
+    new = [edited(text, other) for _, text, _, other, _ in pairs]
+    new_keys = [keys_of(x) for x in new]
+    keys, next_keys = [p[2] for p in pairs], [p[4] for p in pairs]
+    own, changed, following = map(Sketches.of, (keys, new_keys, next_keys))
+    apart = differences(keys, next_keys, own - following)
+    changes = differences(keys, new_keys, own - changed)
+    out = []
+    for i, (doc_id, text, *_) in enumerate(pairs):
+        gone, come = map(len, changes[i])
+        n, m = len(keys[i]), len(new_keys[i])
+        near_next = likeness(n, len(next_keys[i]), sum(map(len, apart[i])))
+        sha = hashlib.sha256(new[i].encode()).hexdigest()
+        out.append((doc_id, len(text), sha, likeness(n, m, gone + come), near_next, n, gone, come))
+    prints = zip(own.texts(), changed.texts(), strict=True)
+    return [(*r[:3], a, b, *r[3:]) for r, (a, b) in zip(out, prints, strict=True)]
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with its successor in the stream; a row marked ``ahead`` only ends its range."""
-    held = None
+
+    def rows(pairs: list) -> pa.RecordBatch:
+        cells = list(zip(*_compared(pairs), strict=True)) or [[]] * len(_FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+
+    held, pairs, size = None, [], 0
     for batch in batches:
-        out = []
-        columns = (batch.column(c) for c in ("range", "ahead", "doc_id", "text"))
-        for place, ahead, doc_id, text in zip(*columns, strict=True):
+        columns = (batch.column(c) for c in ("ahead", "doc_id", "text"))
+        for ahead, doc_id, text in zip(*columns, strict=True):
             if ahead.as_py() and held is None:
                 continue
             own = text.as_py()
             keys = keys_of(own)
             if held is not None:
-                out.append(_compared(*held, own, keys))
+                pairs.append((*held, own, keys))
+                size += len(own)
             held = None if ahead.as_py() else (doc_id.as_py(), own, keys)
-        cells = list(zip(*out, strict=True)) or [[]] * len(_FIELDS)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, _FIELDS, strict=True)], names=[n for n, _ in _FIELDS])
+            if len(pairs) >= PAIRS_AT_ONCE or size >= CHARS_AT_ONCE:
+                yield rows(pairs)
+                pairs, size = [], 0
+    yield rows(pairs)
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -218,4 +263,4 @@ def compared(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = with_next(rows.withColumn("tie", F.xxhash64("text")), "doc_id", "tie")
-    return ordered.select("range", "ahead", "doc_id", "text").mapInArrow(_streamed, _DDL)
+    return ordered.select("ahead", "doc_id", "text").mapInArrow(_streamed, _DDL)
