@@ -12,18 +12,32 @@ from corrobora.operators import counts as ops
 from corrobora.operators import programs as pg
 from corrobora.operators import ranking
 from corrobora.operators import resample as rs
+from corrobora.operators import stability as st
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
-from corrobora.plans.context import BASE, SECOND, SECOND_DONORS, second_study
+from corrobora.plans.context import BASE, SECOND, SECOND_DONORS, second_study, winner_sql
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage, stored
 from corrobora.sources.tables import load
 
 SEED = 20261006
 REPS = 4
+"""Draws of which every drawn cell is returned as a row."""
+
+DRAWS = 300
+"""Draws of each stability scenario."""
+
 STRATA = ["donor", "cell_type"]
 FIXED = {"equal_cells_20": 20, "equal_cells_200000000": 200_000_000}
 FRACTIONS = {"cell_fraction_0.25": 0.25, "cell_fraction_0.5": 0.5, "cell_fraction_0.75": 0.75}
+_PRIMARY, _ALL = tuple(b.PRIMARY_TYPES), tuple(b.TYPES)
+EXTENDED = "equal_cells_10_extended"
+SCENARIOS = [
+    st.Scenario("equal_cells_20", st.CELL_N, 20, _PRIMARY),
+    st.Scenario(EXTENDED, st.CELL_N, 10, _ALL),
+    *[st.Scenario(f"cell_fraction_{p}", st.CELL_FRACTION, p, _PRIMARY) for p in (0.25, 0.5, 0.75)],
+    *[st.Scenario(f"UMI_fraction_{p}", st.UMI_FRACTION, p, _PRIMARY) for p in (0.25, 0.5, 0.75)],
+]
 
 
 def kept_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -127,47 +141,121 @@ def depth_thinning_by_count(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-TALLY = f"""draw_totals AS (SELECT scenario, rep, donor, cell_type, sum(total) AS a FROM sample GROUP BY ALL),
-draw_sums AS (SELECT scenario, rep, donor, cell_type, gene_id, sum(umi) AS g FROM sample JOIN counts USING (cell_id) GROUP BY ALL),
-draw_scores AS (SELECT scenario, rep, gene_id, t.cell_type, sum(ln(1 + 1e6 * g::DOUBLE / a)) FILTER (WHERE s.cell_type = t.cell_type) / 5.0::DOUBLE AS s0
-  FROM draw_sums s JOIN draw_totals USING (scenario, rep, donor, cell_type) CROSS JOIN primary_types t GROUP BY ALL),
-draw_max AS (SELECT *, coalesce(s0, 0) AS s, max(coalesce(s0, 0)) OVER (PARTITION BY scenario, rep, gene_id) AS mx FROM draw_scores),
-draw_winners AS (SELECT scenario, rep, gene_id, CASE WHEN any_value(mx) <= 0 THEN 'no_UMIs' WHEN count(*) FILTER (WHERE abs(s - mx) <= 1e-10) > 1 THEN 'tie' ELSE 'unique' END AS status,
-  CASE WHEN any_value(mx) > 0 AND count(*) FILTER (WHERE abs(s - mx) <= 1e-10) = 1 THEN max(cell_type) FILTER (WHERE abs(s - mx) <= 1e-10) END AS top_type
-  FROM draw_max GROUP BY ALL),
-tally0 AS (SELECT gene_id, scenario, count(*) AS n_rows, count(*) FILTER (WHERE status = 'tie') AS tie, count(*) FILTER (WHERE status = 'no_UMIs') AS zero,
-  {', '.join(f"count(*) FILTER (WHERE top_type = '{t}') AS n{i}" for i, t in enumerate(b.PRIMARY_TYPES))} FROM draw_winners GROUP BY ALL),
-tally AS (SELECT gene_id, scenario, {REPS}::BIGINT AS n_draws, n0 + n1 + n2 + n3 AS valid_draws, top_type AS baseline_top_type,
-  CASE top_type {' '.join(f"WHEN '{t}' THEN n{i}" for i, t in enumerate(b.PRIMARY_TYPES))} END / {REPS}.0::DOUBLE AS baseline_agreement,
-  CASE WHEN n0 + n1 + n2 + n3 > 0 THEN CASE greatest(n0, n1, n2, n3) {' '.join(f"WHEN n{i} THEN '{t}'" for i, t in enumerate(b.PRIMARY_TYPES))} END END AS modal_type,
-  greatest(n0, n1, n2, n3) / {REPS}.0::DOUBLE AS modal_fraction, (zero + {REPS} - n_rows) / {REPS}.0::DOUBLE AS zero_fraction, tie / {REPS}.0::DOUBLE AS tie_fraction,
-  {', '.join(f"n{i} / {REPS}.0::DOUBLE AS top_fraction_{i}" for i in range(4))} FROM tally0 LEFT JOIN base USING (gene_id))"""
-
-
-def baseline(cube: DataFrame) -> DataFrame:
+def _mix(source: str) -> str:
+    """SQL: rows of ``source`` with ``h``, the mixed bits of their label ``x``."""
+    times = lambda x, c: f"(({x}::UHUGEINT * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    first = f"SELECT * EXCLUDE (x), {times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)} AS y FROM ({source})"
+    second = f"SELECT * EXCLUDE (y), {times('xor(y, y >> 27)', 0x94D049BB133111EB)} AS z FROM ({first})"
+    return f"SELECT * EXCLUDE (z), xor(z, z >> 31) AS h FROM ({second})"
+
+
+def _word(*labels: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(labels)})), 1, 16))::UBIGINT"
+
+
+_WINS = [f"count(*) FILTER (WHERE n_near = 1 AND top = '{t}') AS n{i}" for i, t in enumerate(b.TYPES)]
+_OWN = [f"CASE WHEN list_contains(string_split(comparison_types, ';'), '{t}') THEN coalesce(n{i}, 0) END" for i, t in enumerate(b.TYPES)]
+_BEST = f"greatest({', '.join(_OWN)})"
+_ROWS = ", ".join(f"('{s.name}', '{s.operation}', {float(s.parameter)!r}::DOUBLE, '{';'.join(s.types)}')" for s in SCENARIOS)
+
+DESIGN = f"""scen AS (SELECT * FROM (VALUES {_ROWS}) v(scenario, operation, parameter, comparison_types)),
+typed AS (SELECT *, unnest(string_split(comparison_types, ';')) AS cell_type FROM scen),
+kept AS (SELECT cell_id, donor, cell_type, total FROM cells WHERE qc_primary),
+strata AS (SELECT donor, cell_type, count(*) AS n FROM kept GROUP BY 1, 2),
+design AS (SELECT t.donor, t.cell_type, scenario, operation, parameter, comparison_types, coalesce(n, 0) AS available_cells,
+    CASE operation WHEN 'cell_n' THEN parameter WHEN 'cell_fraction' THEN greatest(1, floor(coalesce(n, 0) * parameter)) ELSE greatest(1, coalesce(n, 0)) END::BIGINT AS selected_cells
+  FROM (SELECT typed.*, donors.donor FROM typed CROSS JOIN donors) t LEFT JOIN strata USING (donor, cell_type)),
+able AS (SELECT scenario FROM design GROUP BY 1 HAVING bool_and(selected_cells <= available_cells)),
+words AS (SELECT scenario, operation, rep, {_word("scenario", "rep")} AS w FROM scen CROSS JOIN range({DRAWS}) t(rep) WHERE scenario IN (SELECT scenario FROM able)),
+labelled AS (SELECT cell_id, donor, cell_type, total, selected_cells, available_cells, scenario, xor({_word("donor", "cell_type", "cell_id")}, 0::UBIGINT) AS base
+  FROM kept JOIN design USING (donor, cell_type) WHERE operation <> 'umi_fraction'),
+drawn AS (SELECT cell_id, donor, cell_type, total, scenario, rep FROM (
+    {_mix("SELECT l.*, rep, xor(base, w) AS x FROM labelled l JOIN words USING (scenario)")})
+  QUALIFY row_number() OVER (PARTITION BY scenario, rep, donor, cell_type ORDER BY h, cell_id) <= selected_cells)"""
+
+BASE_ALL = (
+    """base_all_scores AS (SELECT gene_id, gene_in_matrix, cell_type, avg(log1p_cpm) AS s FROM cube WHERE qc = 'primary' GROUP BY 1, 2, 3),
+"""
+    + winner_sql("base_all_scores", "base_all", "gene_id, gene_in_matrix", len(b.TYPES))
+)
+
+TALLY = f"""{BASE_ALL},
+units AS (SELECT donor, cell_type, gene_id, sum_gene AS n, {_word("donor", "cell_type", "gene_id")} AS base
+  FROM gene_sums WHERE qc = 'primary' AND cell_type IN (SELECT cell_type FROM primary_types)),
+fractions AS (SELECT scenario, parameter AS p FROM scen WHERE operation = 'umi_fraction' AND scenario IN (SELECT scenario FROM able)),
+cdf AS (SELECT n, scenario, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p))) OVER (PARTITION BY n, scenario ORDER BY k) AS c
+  FROM (SELECT n, scenario, p, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT n FROM units) CROSS JOIN fractions)),
+thrown AS (SELECT donor, cell_type, gene_id, n, scenario, rep, (h >> 12)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM (
+    {_mix("SELECT units.*, scenario, rep, xor(base, w) AS x FROM units CROSS JOIN words WHERE operation = 'umi_fraction'")})),
+thinned AS (SELECT donor, cell_type, gene_id, thrown.scenario, rep, least(thrown.n, coalesce(k + 1, 0)) AS g FROM thrown ASOF LEFT JOIN cdf ON thrown.scenario = cdf.scenario AND thrown.n = cdf.n AND u >= c),
+draw_sums AS (SELECT scenario, rep, donor, cell_type, gene_id, sum(umi) AS g FROM drawn JOIN counts USING (cell_id) GROUP BY ALL
+  UNION ALL SELECT scenario, rep, donor, cell_type, gene_id, g FROM thinned WHERE g > 0),
+draw_totals AS (SELECT scenario, rep, donor, cell_type, sum(total) AS a FROM drawn GROUP BY ALL UNION ALL SELECT scenario, rep, donor, cell_type, sum(g) FROM thinned GROUP BY ALL),
+draw_scores AS (SELECT scenario, rep, gene_id, cell_type, sum(ln(1 + 1e6::DOUBLE * g / a)) / 5.0::DOUBLE AS s FROM draw_sums JOIN draw_totals USING (scenario, rep, donor, cell_type) GROUP BY ALL),
+draw_winners AS (SELECT gene_id, scenario, rep, top, len(list_filter(l, lambda x: mx - x <= 1e-10)) AS n_near
+  FROM (SELECT gene_id, scenario, rep, arg_max(cell_type, s) AS top, max(s) AS mx, list(s) AS l FROM draw_scores GROUP BY ALL)),
+tally0 AS (SELECT gene_id, scenario, count(*) AS n_rows, count(*) FILTER (WHERE n_near > 1) AS tie, {', '.join(_WINS)} FROM draw_winners GROUP BY ALL),
+tally1 AS (SELECT genes.gene_id, scen.scenario, comparison_types, coalesce(n_rows, 0) AS n_rows, coalesce(tie, 0) AS tie, {', '.join(f'{c} AS n{i}' for i, c in enumerate(_OWN))},
+    CASE WHEN operation = 'cell_n' AND parameter = 10 THEN y.top_type ELSE x.top_type END AS baseline_top_type
+  FROM genes CROSS JOIN scen JOIN able USING (scenario) LEFT JOIN tally0 ON tally0.gene_id = genes.gene_id AND tally0.scenario = scen.scenario
+  LEFT JOIN base x ON x.gene_id = genes.gene_id LEFT JOIN base_all y ON y.gene_id = genes.gene_id),
+tally AS (SELECT gene_id, scenario, comparison_types, {DRAWS}::BIGINT AS n_draws, {' + '.join(f'coalesce(n{i}, 0)' for i in range(len(b.TYPES)))} AS valid_draws, baseline_top_type,
+  CASE baseline_top_type {' '.join(f"WHEN '{t}' THEN n{i}" for i, t in enumerate(b.TYPES))} END / {DRAWS}.0::DOUBLE AS baseline_agreement,
+  CASE WHEN best > 0 THEN CASE best {' '.join(f"WHEN n{i} THEN '{t}'" for i, t in enumerate(b.TYPES))} END END AS modal_type,
+  best / {DRAWS}.0::DOUBLE AS modal_fraction, ({DRAWS} - n_rows) / {DRAWS}.0::DOUBLE AS zero_fraction, tie / {DRAWS}.0::DOUBLE AS tie_fraction,
+  {', '.join(f"n{i} / {DRAWS}.0::DOUBLE AS top_fraction_{i}" for i in range(len(b.TYPES)))} FROM (SELECT *, greatest({', '.join(f'n{i}' for i in range(len(b.TYPES)))}) AS best FROM tally1))"""
+
+
+def tiered_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of the primary tier, of all types."""
+    return b.qc_cells(spark, d).filter("qc_primary").select("cell_id", "donor", "cell_type", "total")
+
+
+def baseline(cube: DataFrame, types: list[str]) -> DataFrame:
     known = cube.filter("qc = 'primary' AND gene_in_matrix")
-    scores = ranking.comparisons(known, ["gene_id"], b.PRIMARY_TYPES, {ranking.ALL_DONORS: b.DONORS}, F.col("log1p_cpm"))
-    return ranking.unique_winner(scores, b.PRIMARY_TYPES).select("gene_id", F.col("top_type").alias("baseline_top_type"))
+    scores = ranking.comparisons(known, ["gene_id"], types, {ranking.ALL_DONORS: b.DONORS}, F.col("log1p_cpm"))
+    won = ranking.unique_winner(scores, types)
+    return won.select("gene_id", F.lit(";".join(types)).alias("comparison_types"), F.col("top_type").alias("baseline_top_type"))
 
 
 def stability_tally(spark: SparkSession, d: str) -> DataFrame:
-    """The tally of winners over all draws, made once a run."""
+    """The tally of winners over all draws of all scenarios, made once a run."""
     return stored(spark, d, "stability-tally", lambda: _stability_tally(spark, d))
 
 
 def _stability_tally(spark: SparkSession, d: str) -> DataFrame:
-    """Draw cells, rebuild pseudobulk scores per draw, and tally the winners."""
-    sample = cut_lineage(draw_sample(spark, d).select("scenario", "rep", "donor", "cell_type", "cell_id", "total"))
-    keys = ["scenario", "rep", "donor", "cell_type"]
-    scores = rs.sampled_scores(sample, b.counts(spark, d), b.genes(spark, d), keys)
-    winners = rs.draw_winners(scores, ["scenario", "rep", "gene_id"], b.PRIMARY_TYPES, b.DONORS)
-    return rs.draw_tally(winners, baseline(b.cube(spark, d)), b.PRIMARY_TYPES, REPS)
+    cells = tiered_cells(spark, d)
+    table = st.design(cells, SCENARIOS, b.DONORS)
+    told = st.tallies(cells, b.counts(spark, d), b.genes(spark, d), table, SCENARIOS, b.DONORS, DRAWS, SEED)
+    cube = b.cube(spark, d)
+    return st.stability(told, baseline(cube, b.PRIMARY_TYPES).unionByName(baseline(cube, b.TYPES)), SCENARIOS, b.TYPES, DRAWS)
+
+
+@query("stability_design", with_ctes("SELECT *, selected_cells <= available_cells AS feasible FROM design", "cells", "donors", extra=DESIGN))
+def stability_design(spark: SparkSession, d: str) -> DataFrame:
+    """Cells there are and cells to draw in every group of all eight scenarios."""
+    return st.design(tiered_cells(spark, d), SCENARIOS, b.DONORS)
 
 
 @query(
-    "sampling_stability",
-    with_ctes("SELECT * FROM tally", "cells", "counts", "cube", "primary_types", extra=f"{SAMPLE},\n{BASE},\n{TALLY}"),
+    "stability_draw_counts",
+    with_ctes(
+        """SELECT scenario, donor, cell_type, cell_id, count(rep) AS n_draws, CAST(coalesce(sum(rep), 0) AS BIGINT) AS draw_sum
+FROM labelled l JOIN able USING (scenario) LEFT JOIN drawn USING (scenario, donor, cell_type, cell_id) GROUP BY ALL""",
+        "cells", "donors", extra=DESIGN,
+    ),
 )
+def stability_draw_counts(spark: SparkSession, d: str) -> DataFrame:
+    """In how many of the 300 draws of each scenario every cell is, and the sum of their numbers."""
+    cells = tiered_cells(spark, d)
+    plan = st.Plan(st.design(cells, SCENARIOS, b.DONORS), SCENARIOS, b.DONORS, DRAWS, SEED)
+    return st.drawn_cells(st.cell_bits(cells, plan), plan)
+
+
+TALLY_CTES = ("cells", "counts", "cube", "gene_sums", "genes", "primary_types", "donors")
+
+
+@query("sampling_stability", with_ctes("SELECT * FROM tally", *TALLY_CTES, extra=f"{DESIGN},\n{BASE},\n{TALLY}"))
 def sampling_stability(spark: SparkSession, d: str) -> DataFrame:
     return stability_tally(spark, d)
 
@@ -181,16 +269,13 @@ def worst_agreement(tally: DataFrame, held_out: str) -> DataFrame:
     )
 
 
-WORST = """worst AS (SELECT gene_id, min(baseline_agreement) FILTER (WHERE scenario <> 'equal_cells_20') AS min_agreement,
-  max(baseline_agreement) FILTER (WHERE scenario = 'equal_cells_20') AS held_out_agreement FROM tally GROUP BY 1)"""
+WORST = f"""worst AS (SELECT gene_id, min(baseline_agreement) FILTER (WHERE scenario <> '{EXTENDED}') AS min_agreement,
+  max(baseline_agreement) FILTER (WHERE scenario = '{EXTENDED}') AS held_out_agreement FROM tally GROUP BY 1)"""
 
 
-@query(
-    "worst_case_agreement",
-    with_ctes("SELECT * FROM worst", "cells", "counts", "cube", "primary_types", extra=f"{SAMPLE},\n{BASE},\n{TALLY},\n{WORST}"),
-)
+@query("worst_case_agreement", with_ctes("SELECT * FROM worst", *TALLY_CTES, extra=f"{DESIGN},\n{BASE},\n{TALLY},\n{WORST}"))
 def worst_case_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return worst_agreement(stability_tally(spark, d), "equal_cells_20")
+    return worst_agreement(stability_tally(spark, d), EXTENDED)
 
 
 N_DRAWS = 20

@@ -12,7 +12,7 @@ from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.context import BASE, FOLDS, SECOND, STABLE, concordance, tier_agreement, winner_sql
 from corrobora.plans.registry import query
-from corrobora.plans.resampling import BRAND_LIST, SAMPLE, TALLY, WORST, panels, stability_tally, worst_agreement
+from corrobora.plans.resampling import BRAND_LIST, DESIGN, EXTENDED, TALLY, WORST, panels, stability_tally, worst_agreement
 from corrobora.session import scratch_path
 from corrobora.sources.tables import load, write_summary
 
@@ -30,10 +30,10 @@ MATRIX = """matrix0 AS (SELECT s.gene_id, s.gene_in_matrix, s.top_type, s.agreei
   FROM stable s LEFT JOIN strict t USING (gene_id) LEFT JOIN worst USING (gene_id) LEFT JOIN concord c USING (gene_id)
   LEFT JOIN (SELECT l_partkey AS gene_id, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem WHERE l_discount > 0.095 GROUP BY 1) l USING (gene_id)
   LEFT JOIN (SELECT p_partkey AS gene_id, p_brand AS programs FROM part WHERE p_brand IN (""" + BRAND_LIST + """)) pr USING (gene_id)),
-matrix AS (SELECT *, coalesce(all_folds_agree AND same_top AND min_agreement >= 0.5 AND concordant AND second_agreeing_folds = 4
+matrix AS (SELECT *, coalesce(all_folds_agree AND same_top AND min_agreement >= 0.9 AND concordant AND second_agreeing_folds = 4
   AND second_evaluable_folds = 4, false) AS screening_flag FROM matrix0)"""
-CTES = ("cells", "counts", "cube", "primary_types", "types", "donors")
-EXTRA = ",\n".join([SAMPLE, BASE, FOLDS, STABLE, STRICT, SECOND, TALLY, WORST, MATRIX])
+CTES = ("cells", "counts", "cube", "gene_sums", "genes", "primary_types", "types", "donors")
+EXTRA = ",\n".join([DESIGN, BASE, FOLDS, STABLE, STRICT, SECOND, TALLY, WORST, MATRIX])
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
         stable.select("gene_id", "gene_in_matrix", "top_type", "agreeing_folds", "all_folds_agree"),
         {
             "quality": tier_agreement(cube).select("gene_id", "same_top"),
-            "sampling": worst_agreement(stability_tally(spark, d), "equal_cells_20"),
+            "sampling": worst_agreement(stability_tally(spark, d), EXTENDED),
             "second": concordance(spark, d, cube).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
             "links": links,
             "programs": pg.membership_text(panels(spark, d)),
@@ -58,7 +58,7 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
         criteria=[
             F.col("all_folds_agree"),
             F.col("same_top"),
-            F.col("min_agreement") >= 0.5,
+            F.col("min_agreement") >= 0.9,
             F.col("concordant"),
             F.col("second_agreeing_folds") == 4,
             F.col("second_evaluable_folds") == 4,
