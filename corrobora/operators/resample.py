@@ -6,8 +6,10 @@ lost executor recomputes exactly what it lost.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +18,18 @@ from corrobora.functions.numeric import cpm
 from corrobora.functions.tails import thinned
 from corrobora.operators.ordering import rank_in_group
 from corrobora.operators.ranking import ALL_DONORS, comparisons, unique_winner
+from corrobora.operators.stability import mixed, vector_total, word
 from corrobora.session import cut_lineage, join_statistics
 
 BUCKET_DIGITS = 3
 UNIT_RUN = 1024
+RUN_CELLS = 1 << 26
+"""Controls of a bin times draws made side by side."""
+
+SHARE_UNIT = float(1 << 40)
+"""Shares are summed in these parts of one."""
+
+SHARES_AT_ONCE = 4096
 
 
 def smallest_hashes(df: DataFrame, strata: Sequence[str], k: str, hexa: str, tie: str) -> DataFrame:
@@ -178,6 +188,57 @@ def draw_tally(
     )
 
 
+def _drawn_positions(n_draws: int, at_once: int, seed: int):
+    """Per bin and run of draws the positions drawn, each with a bitmap of the run's draws it is in.
+
+    Floyd's sampling, one step for all draws of the run: a hash picks a position, or the step's last one if it is taken.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, k, pool = row["run"] * at_once, row["k"], row["pool"]
+                draws = range(first, min(n_draws, first + at_once))
+                start = mixed(np.array([word(seed, "draw", d) for d in draws], np.uint64) ^ np.uint64(word(seed, "bin", row["bin"])))
+                taken = np.zeros((pool, len(draws)), bool)
+                column = np.arange(len(draws))
+                for last in range(pool - k, pool):
+                    pick = (mixed(start ^ np.uint64(last)) % np.uint64(last + 1)).astype(np.int64)
+                    taken[np.where(taken[pick, column], last, pick), column] = True
+                used = np.flatnonzero(taken.any(axis=1))
+                bits = [b.tobytes() for b in np.packbits(taken[used], axis=1)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(used), row["bin"]), pa.int32()), pa.array(used), pa.array(np.full(len(used), row["run"]), pa.int32()), pa.array(bits, pa.binary())],
+                    names=["bin", "_pos", "run", "bits"],
+                )
+
+    return run
+
+
+def _null_sums(classes: Sequence[str], at_once: int):
+    """Sums of shares over the rows of each run of draws, in integers so that their order does not matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            shares = np.stack([np.rint(batch.column(c).to_numpy() * SHARE_UNIT) for c in classes] + [np.ones(batch.num_rows)], axis=1)
+            runs = batch.column("run").to_numpy()
+            packed = batch.column("bits").to_pylist()
+            for r in np.unique(runs).tolist():
+                rows = np.flatnonzero(runs == r)
+                for at in range(0, len(rows), SHARES_AT_ONCE):
+                    some = rows[at : at + SHARES_AT_ONCE]
+                    bits = np.unpackbits(np.frombuffer(b"".join([packed[i] for i in some]), np.uint8).reshape(len(some), -1), axis=1)
+                    own = np.zeros((at_once, shares.shape[1]), np.int64)
+                    width = min(at_once, bits.shape[1])
+                    own[:width] = (bits[:, :width].T.astype(np.float64) @ shares[some]).astype(np.int64)
+                    total[r] = total.get(r, 0) + own
+        vectors = [v.tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(vectors, pa.binary())], names=["group", "vector"])
+
+    return run
+
+
 def matched_reference(
     genes: DataFrame, classes: Sequence[str], n_draws: int, seed: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -187,19 +248,33 @@ def matched_reference(
     bin as many controls are drawn, without replacement, as the bin has candidates.
     Returns the per-class result and the per-bin audit. ``short_bins`` counts bins with fewer controls
     than candidates: draws are then not matched, and the result is not to be used.
+
+    Controls are numbered in their bin once. A draw is positions, not rows: runs of draws are made side by side, and a drawn
+    position meets its control once for each run, with a bitmap. Per draw and class one number comes to the driver.
     """
+    spark = genes.sparkSession
     audit = genes.groupBy("bin").agg(
         F.count_if("is_candidate").alias("candidate_genes"),
         F.count_if(~F.col("is_candidate")).alias("control_genes"),
     ).withColumn("sufficient", F.col("control_genes") >= F.col("candidate_genes"))
     audit = cut_lineage(audit)  # a row for each bin
-    need = audit.filter("candidate_genes > 0").select("bin", F.col("candidate_genes").alias("_k"))
-    pool = replicate(join_statistics(genes.filter(~F.col("is_candidate")), need, ["bin"]), "draw", n_draws)
-    keyed = pool.withColumn("_h", draw_hash(F.lit(seed), F.col("draw"), F.col("gene_id")))
-    chosen = smallest_hashes(keyed, ["draw", "bin"], "_k", "_h", "gene_id")
-    null = chosen.groupBy("draw").agg(
-        F.count(F.lit(1)).alias("_cases"), *[(F.sum(c) / F.count(F.lit(1))).alias(c) for c in classes]
-    )
+    largest = audit.agg(F.max("control_genes")).first()[0] or 1
+    at_once = max(8, min(1000, RUN_CELLS // largest))
+    runs = F.explode(F.sequence(F.lit(0), F.lit(-(-n_draws // at_once) - 1))).alias("run")
+    asked = audit.select(F.col("bin").cast("int"), F.least("candidate_genes", "control_genes").alias("k"), F.col("control_genes").alias("pool"), runs)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.filter("k > 0").repartition(tasks, "bin", "run")
+    positions = dealt.mapInArrow(_drawn_positions(n_draws, at_once, seed), "bin int, _pos long, run int, bits binary")
+    controls = rank_in_group(genes.filter(~F.col("is_candidate")).select("bin", "gene_id", *classes), ["bin"], [F.col("gene_id")], "_pos")
+    controls = controls.select(F.col("bin").cast("int"), (F.col("_pos") - 1).cast("long").alias("_pos"), *[F.col(c).cast("double") for c in classes])
+    met = positions.join(controls, ["bin", "_pos"]).select("run", "bits", *classes)
+    sums = vector_total(met.mapInArrow(_null_sums(classes, at_once), "group int, vector binary"), at_once * (len(classes) + 1))
+    rows = []
+    for r, vector in sums.items():
+        for i, (*own, n) in enumerate(vector.reshape(at_once, -1).tolist()):
+            if n:
+                rows.append((r * at_once + i, n, *(x / SHARE_UNIT / n for x in own)))
+    null = spark.createDataFrame(rows, "draw long, _cases long, " + ", ".join(f"`{c}` double" for c in classes))
     observed = genes.filter("is_candidate").agg(
         F.count(F.lit(1)).alias("n_candidates"), *[F.avg(c).alias(c) for c in classes]
     )

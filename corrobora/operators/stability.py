@@ -298,8 +298,8 @@ def _grouped_sums(keys: np.ndarray, values: np.ndarray, bits: pa.Array, plan: Pl
     return different, out
 
 
-def _vector_total(df: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Sums of the vectors of each group over all tasks, in two steps; a vector for each group comes to the driver."""
+def vector_total(df: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Sums of ``vector`` (n 64-bit integers) of each ``group`` over all tasks, in two steps; one for each group comes to the driver."""
 
     def add(names: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +341,7 @@ def library_totals(bits: DataFrame, plan: Plan) -> np.ndarray:
 
     n = len(plan.sampled) * plan.reps
     out = np.zeros((len(plan.groups), len(plan.sampled), plan.reps), np.int64)
-    for g, v in _vector_total(bits.select("group", "total", "bits").mapInArrow(run, "group int, vector binary"), n).items():
+    for g, v in vector_total(bits.select("group", "total", "bits").mapInArrow(run, "group int, vector binary"), n).items():
         out[g] = v.reshape(len(plan.sampled), plan.reps)
     return out
 
@@ -416,7 +416,7 @@ def thinned_totals(sums: DataFrame, totals: DataFrame, plan: Plan) -> np.ndarray
     out = np.zeros((len(plan.groups), len(plan.thinned), plan.reps), np.int64)
     if plan.thinned:
         parts = rows.unionByName(beyond).filter("group IS NOT NULL AND n > 0").mapInArrow(run, "group int, vector binary")
-        for g, v in _vector_total(parts, len(plan.thinned) * plan.reps).items():
+        for g, v in vector_total(parts, len(plan.thinned) * plan.reps).items():
             out[g] = v.reshape(len(plan.thinned), plan.reps)
     return out
 

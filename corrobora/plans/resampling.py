@@ -278,7 +278,7 @@ def worst_case_agreement(spark: SparkSession, d: str) -> DataFrame:
     return worst_agreement(stability_tally(spark, d), EXTENDED)
 
 
-N_DRAWS = 20
+N_DRAWS = 10_000
 CLASSES = b.TYPES
 
 
@@ -306,9 +306,12 @@ ranked AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY expressi
 genes_ref AS (SELECT ranked.*, (SELECT count(*) FROM range(1, 10) t(k) WHERE 1 + (n - 1) * (k * 0.1::DOUBLE * 100.0::DOUBLE / 100.0::DOUBLE) < rk) AS bin,
   p_brand = 'Brand#7' AS is_candidate FROM ranked JOIN part ON p_partkey = gene_id),
 need AS (SELECT bin, count(*) FILTER (WHERE is_candidate) AS k, count(*) FILTER (WHERE NOT is_candidate) AS m FROM genes_ref GROUP BY 1),
-chosen AS (SELECT * FROM (SELECT g.*, draw, k, md5(concat_ws('|', '{SEED}', draw, gene_id)) AS h FROM genes_ref g JOIN need USING (bin)
-    CROSS JOIN range({N_DRAWS}) t(draw) WHERE NOT is_candidate)
-  QUALIFY row_number() OVER (PARTITION BY draw, bin ORDER BY h, gene_id) <= k),
+pool AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY gene_id) - 1 AS pos FROM genes_ref WHERE NOT is_candidate),
+begun AS ({_mix(f"SELECT bin, draw, least(k, m) AS k, m, xor({_word(chr(39) + 'draw' + chr(39), 'draw')}, {_word(chr(39) + 'bin' + chr(39), 'bin')}) AS x FROM need CROSS JOIN range({N_DRAWS}) t(draw)")}),
+pick AS (SELECT bin, draw, k, m, h AS s, 0::BIGINT AS step, []::BIGINT[] AS picked FROM begun
+  UNION ALL SELECT bin, draw, k, m, s, step + 1, list_append(picked, CASE WHEN list_contains(picked, t) THEN j ELSE t END) FROM (
+    SELECT *, (h % (j + 1)::UBIGINT)::BIGINT AS t FROM ({_mix("SELECT *, m - k + step AS j, xor(s, (m - k + step)::UBIGINT) AS x FROM pick WHERE step < k")}))),
+chosen AS (SELECT draw, {', '.join(f'c{i}' for i in range(5))} FROM (SELECT bin, draw, unnest(picked) AS pos FROM pick WHERE step = k) JOIN pool USING (bin, pos)),
 nulls AS (SELECT draw, {', '.join(f'avg(c{i}) AS c{i}' for i in range(5))} FROM chosen GROUP BY 1),
 obs AS (SELECT count(*) AS n_candidates, {', '.join(f'avg(c{i}) AS c{i}' for i in range(5))} FROM genes_ref WHERE is_candidate),
 cmp AS ({' UNION ALL '.join(f"SELECT '{t}' AS class, draw, nulls.c{i} AS null_mean, obs.c{i} AS observed, n_candidates FROM nulls CROSS JOIN obs" for i, t in enumerate(CLASSES))}),
@@ -323,7 +326,7 @@ result AS (SELECT class, any_value(n_candidates) AS n_candidates, any_value(obse
         f"""SELECT class, n_candidates, {r('observed_mean_share')} AS observed_mean_share, {r('null_mean')} AS null_mean, {r('null_low')} AS null_low, {r('null_high')} AS null_high,
   {r('empirical_p')} AS empirical_p, (SELECT count(*) FILTER (WHERE m < k) FROM need) AS short_bins, {r('least(1.0, min(empirical_p * 5 / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS q
 FROM (SELECT *, row_number() OVER (ORDER BY empirical_p, class) AS rk FROM result)""",
-        "counts", "labels0", extra=REFERENCE,
+        "counts", "labels0", extra=REFERENCE, recursive=True,
     ),
 )
 def matched_reference(spark: SparkSession, d: str) -> DataFrame:
@@ -337,7 +340,7 @@ def matched_reference(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "matched_reference_audit",
     with_ctes(
-        "SELECT CAST(bin AS INTEGER) AS bin, k AS candidate_genes, m AS control_genes, m >= k AS sufficient FROM need", "counts", "labels0", extra=REFERENCE
+        "SELECT CAST(bin AS INTEGER) AS bin, k AS candidate_genes, m AS control_genes, m >= k AS sufficient FROM need", "counts", "labels0", extra=REFERENCE, recursive=True
     ),
 )
 def matched_reference_audit(spark: SparkSession, d: str) -> DataFrame:
