@@ -55,26 +55,45 @@ coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), '') AS query
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest"
 
 
+def _plain(path: str) -> str:
+    """A path without dot segments, ``/`` if empty."""
+    return rf"""CASE WHEN {path} = '' THEN '/' ELSE list_reduce(
+  list_concat(string_split(substr({path}, 2), '/'), CASE WHEN regexp_matches({path}, '/\.\.?$') THEN [''] ELSE [] END),
+  lambda a, s: CASE s WHEN '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN '.' THEN a ELSE a || '/' || s END, '') END"""
+
+
+def _unescaped(text: str) -> str:
+    for c in [*"/:?=#%.+;", "'", '"', "&"]:
+        shown = c.replace("'", "''")
+        text = f"regexp_replace({text}, '(?i)&#(0*{ord(c)}|x0*{ord(c):x});', '{shown}', 'g')"
+    for name, c in (("quot", '"'), ("apos", "''"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{c}')"
+    return text
+
+
 URL_FILTERS = rf"""
 WITH RECURSIVE p AS (
-  SELECT page_id, url, html, {_HOST_PATH} FROM (SELECT *, {_REST} FROM pages)
+  SELECT *, {_plain("path")} AS plain FROM (SELECT page_id, url, html, {_HOST_PATH} FROM (SELECT *, {_REST} FROM pages))
 ), ref AS (
-  SELECT host, host || path || query AS u, regexp_extract(path, '^(.*)/', 1) || '/' AS folder, unnest(list_concat(
+  SELECT url, host, path, host || plain || query AS u, regexp_extract(path, '^(.*)/', 1) || '/' AS folder, unnest(list_concat(
     list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<link\s[^>]*>'),
       lambda t: regexp_matches(t, '(?is)\srel\s*=\s*["'']?[^"''>]*\bcanonical\b')),
       lambda t: regexp_extract(t, '(?is)\shref\s*=\s*["'']?\s*([^"''\s>]*)', 1)),
     list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?is)<meta\s[^>]*>'),
       lambda t: regexp_matches(t, '(?is)\shttp-equiv\s*=\s*["'']?refresh\b')),
-      lambda t: regexp_extract(t, '(?is)\scontent\s*=[^>]*?\burl\s*=\s*["'']?\s*([^"''\s>]*)', 1)))) AS r
+      lambda t: regexp_extract(t, '(?is)\scontent\s*=[^>]*?\burl\s*=\s*["'']?\s*([^"''\s>]*)', 1)))) AS escaped
   FROM p WHERE host <> ''
+), read AS (
+  SELECT *, {_unescaped("escaped")} AS r FROM ref WHERE escaped <> ''
 ), target AS (
-  SELECT u, CASE WHEN instr(r, '://') > 0 THEN r WHEN starts_with(r, '//') THEN 'http:' || r
-    WHEN starts_with(r, '/') THEN 'http://' || host || r ELSE 'http://' || host || folder || r END AS url
-  FROM ref WHERE r <> ''
+  SELECT u, CASE WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN r WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(r, '//') THEN 'http:' || r WHEN starts_with(r, '/') THEN 'http://' || host || r
+    WHEN starts_with(r, '?') THEN 'http://' || host || path || r WHEN starts_with(r, '#') THEN url ELSE 'http://' || host || folder || r END AS url
+  FROM read
 ), edge AS (
-  SELECT DISTINCT u, host || path || query AS v FROM (SELECT u, {_HOST_PATH} FROM (SELECT u, {_REST} FROM target)) WHERE host <> ''
+  SELECT DISTINCT u, host || {_plain("path")} || query AS v FROM (SELECT u, {_HOST_PATH} FROM (SELECT u, {_REST} FROM target WHERE url IS NOT NULL)) WHERE host <> ''
 ), both_ways AS (
-  SELECT u, v FROM edge UNION SELECT v, u FROM edge
+  SELECT u, v FROM edge WHERE u <> v UNION SELECT v, u FROM edge WHERE u <> v
 ), reach(a, b) AS (
   SELECT u, u FROM both_ways UNION SELECT a, v FROM reach JOIN both_ways ON b = u
 ), place AS (
@@ -83,14 +102,16 @@ WITH RECURSIVE p AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), fit AS (
   SELECT host, path, arg_max(h || pre, length(h || pre)) AS rule, arg_max(action, length(h || pre)) AS action
-  FROM (SELECT host, path FROM p UNION SELECT host, path FROM place)
+  FROM (SELECT host, path FROM p UNION SELECT host, plain FROM p UNION SELECT host, path FROM place)
   JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY host, path
+), told AS (
+  SELECT p.*, f.rule, coalesce(f.action, g.action) AS action FROM p LEFT JOIN fit f ON p.host = f.host AND p.path = f.path LEFT JOIN fit g ON p.host = g.host AND p.plain = g.path
 ), bad AS (
-  SELECT DISTINCT a FROM reach JOIN place ON b = n JOIN fit USING (host, path) WHERE action = 'block'
+  SELECT DISTINCT a FROM reach JOIN (
+    SELECT n FROM place JOIN fit USING (host, path) WHERE action = 'block' UNION SELECT host || plain || query FROM told WHERE action = 'block') ON b = n
 )
-SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN a IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM p LEFT JOIN fit ON p.host = fit.host AND p.path = fit.path
-LEFT JOIN bad ON p.host <> '' AND a = p.host || p.path || p.query
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN a IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM told LEFT JOIN bad ON host <> '' AND a = host || plain || query
 """
 
 SOURCE_MIXING = r"""

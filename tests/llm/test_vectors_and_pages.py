@@ -91,11 +91,29 @@ PAGES = [
     (14, "http://x.example.net?en/", None),
     (15, "http://c.example.com/to", None),
     (16, "http://c.example.com/to", None),
+    (17, "http://e.example.com/esc", '<link rel="canonical" href="http://bad.net/s?a=1&amp;b=2">'),
+    (18, "http://e.example.com/esc2", '<link rel="canonical" href="http:&#47;&#x2F;bad.net/q">'),
+    (19, "http://f.example.com/a/b/c", '<link rel="canonical" href="../p">'),
+    (20, "http://f.example.com/a/p", '<link rel="canonical" href="http://bad.net/">'),
+    (21, "http://f.example.com/a/x/../p", None),
+    (22, "http://g.example.com/list?page=1", '<link rel="canonical" href="?page=2">'),
+    (23, "http://g.example.com/list?page=2", '<meta http-equiv="refresh" content="0;url=http://bad.net">'),
+    (24, "http://h.example.com", '<link rel="canonical" href="http://bad.net/h">'),
+    (25, "http://h.example.com/", None),
+    (26, "http://i.example.com/m", '<link rel="canonical" href="mailto:a@bad.net"><link rel="canonical" href="/go?to=http://bad.net/p">'),
+    (27, "http://i.example.com/n", '<link rel="canonical" href="#top">'),
+    (28, "http://example.com/en/../de/", None),
+    (29, "http://j.example.com/..", '<link rel="canonical" href="./.././k">'),
+    (30, "http://j.example.com/k", '<link rel="canonical" href="http://example.com/de/y">'),
+    (31, "http://l.org/x", '<link rel="canonical" href="http://bad.net/s?a=1&b=2">'),
 ]
 VERDICTS = {
     1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: ("example.net/en/", "allow"), 5: ("org/fr/", "allow"),
     6: (None, "allow"), 7: ("example.com/de/", "block"), 8: (None, "allow"), 9: (None, "allow"), 10: (None, "allow"),
-    11: (None, "allow"), 12: ("net/", "block"), 13: (None, "allow"), 14: (None, "allow"), 15: (None, "block"), 16: (None, "block"),
+    11: (None, "allow"), 12: ("net/", "block"), 13: (None, "block"), 14: (None, "block"), 15: (None, "block"), 16: (None, "block"),
+    17: (None, "block"), 18: (None, "block"), 19: (None, "block"), 20: (None, "block"), 21: (None, "block"), 22: (None, "block"),
+    23: (None, "block"), 24: (None, "block"), 25: (None, "block"), 26: (None, "allow"), 27: (None, "allow"), 28: (None, "block"),
+    29: (None, "block"), 30: (None, "block"), 31: (None, "block"),
 }
 
 
@@ -108,6 +126,10 @@ def test_url_filters(spark):
         2: ("a.example.com", "/y"), 9: ("", ""), 10: ("", ""), 14: ("x.example.net", ""),
     }
     assert urls.judged(pages.limit(0)).count() == 0
+    clashing = pages.selectExpr("page_id", "url", "html", "1 AS node", "2 AS _node", "3 AS _aliased", "4 AS bad", "5 AS action", "6 AS rule", "7 AS row")
+    out = urls.judged(clashing, redirects=redirects)
+    assert out.columns == ["page_id", "url", "node", "_node", "_aliased", "bad", "action", "row", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.rule, r.verdict) for r in out.filter("bad = 4 AND action = 5").collect()} == VERDICTS
 
 
 def test_url_filters_equal_sql(spark, tmp_path):
