@@ -7,6 +7,7 @@ or the previous match ended.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,18 +16,20 @@ from pyspark.sql import functions as F
 CONTEXT_CHARS = 40
 """Characters before a span, earlier matches included, in which context words count; after it, up to the next match."""
 
+BLOCK = 128
 LEAST_SCORE = 0.5
 """Spans of kinds that need context are reported from this score on."""
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` proposes; ``base`` is the score of a confirmed span; ``words`` nearby add 0.4."""
+    """``pattern`` proposes where a text has ``sign``; ``base`` is the score of a confirmed span; ``words`` nearby add 0.4."""
 
     name: str
     pattern: str
     base: float
     words: str
+    sign: str
     needs_score: bool = False
 
 
@@ -43,15 +46,27 @@ _IBAN = "|".join(
     rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_LENGTHS.items()
 )
 KINDS = (
-    Kind("email", rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"(?i)mail|contact|write"),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?i)\bip\b|server|host|address"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"(?i)card|visa|credit|payment|carte|karte"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"(?i)phone|tel|call|mobile|fax"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))", 0.8, r"(?i)iban|account|konto|compte"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, r"(?i)ssn|social\s+security|insurance\s+n", True),
+    Kind("email", rf"(?:\G|(?<![{EMAIL_CHARS}]))[{EMAIL_CHARS}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"(?i)mail|contact|write", r"@"),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, r"(?i)\bip\b|server|host|address", r"[0-9]\.[0-9]"),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, r"(?i)card|visa|credit|payment|carte|karte", r"[0-9][\x20-]?[0-9]"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, r"(?i)phone|tel|call|mobile|fax", r"\+[0-9]"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+(?![A-Za-z0-9]))", 0.8, r"(?i)iban|account|konto|compte", r"[A-Z]{2}[0-9]{2}"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, r"(?i)ssn|social\s+security|insurance\s+n", r"[0-9]-[0-9]{2}-[0-9]", True),
 )
+_KEYS = (
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}", r"gh[opsur]_[A-Za-z0-9]{36}", r"xox[abprs]-[A-Za-z0-9-]{10,250}+", r"AIza[0-9A-Za-z_-]{35}",
+    r"sk-[A-Za-z0-9_-]{20,250}+", r"eyJ[A-Za-z0-9_-]{10,2000}+\.eyJ[A-Za-z0-9_-]{10,4000}+\.[A-Za-z0-9_-]{10,2000}+",
+)
+"""Published forms of access keys and signed tokens."""
+
+KINDS += (
+    Kind("key", rf"(?<![A-Za-z0-9])(?:{'|'.join(_KEYS)})(?![A-Za-z0-9])|-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----", 0.8, r"(?i)key|token|secret|access",
+         r"AKIA|ASIA|gh[opsur]_|xox[abprs]-|AIza|sk-|eyJ|PRIVATE KEY"),
+    Kind("secret", r"(?i)(?<![a-z0-9])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key)[\"']?\x20{0,3}[=:]\x20{0,3}[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{8,250}+",
+         0.6, r"(?i)login|user|account|config|credential", r"(?i)passw|passphrase|pwd|secret|token|api[_-]?key"),
+)
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn")
+ADDED_KINDS = ("iban", "ssn", "key", "secret")
 
 
 def _luhn(digits: Column) -> Column:
@@ -92,6 +107,9 @@ def _confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "iban":
         return _mod97(match)
+    if kind == "secret":
+        value = F.regexp_extract(match, r"[=:]\x20*[\"']?(.*)$", 1)
+        return value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) > 4)
     if kind == "ssn":
         return ~match.rlike(r"^(000|666|9..)-|-00-|-0000$")
     return F.lit(True)
@@ -100,22 +118,28 @@ def _confirmed(kind: str, match: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,text:string>>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used and inside whatever function."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(kind: Kind, whole: Column) -> Column:
     """Confirmed leftmost non-overlapping spans of a kind in order; places count code points, the end is exclusive.
 
-    The text is split at the matches, so that a match starts after all earlier pieces and matches.
+    The text is split at the matches, so that a match starts after all earlier pieces and matches. Matches are worked off in
+    blocks of ``BLOCK``: each begins at the sum of the lengths before it, so the cost grows with the matches, not their square.
     """
     pieces = F.split(whole, kind.pattern, -1)
     found = F.regexp_extract_all(whole, F.lit(kind.pattern), F.lit(0))
-    steps = F.zip_with(
-        F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("text"))
-    )
-    steps = F.zip_with(
-        steps, F.slice(pieces, 2, F.size(found)),
-        lambda s, p: F.struct(s["piece"].alias("piece"), s["text"].alias("text"), F.left(p, F.lit(CONTEXT_CHARS)).alias("after")),
-    )
+
+    def zipped(pieces: Column, found: Column) -> Column:
+        steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("text")))
+        return F.zip_with(
+            steps, F.slice(pieces, 2, F.size(found)),
+            lambda s, p: F.struct(s["piece"].alias("piece"), s["text"].alias("text"), F.left(p, F.lit(CONTEXT_CHARS)).alias("after")),
+        )
+
     start_type = "struct<at:int,tail:string,spans:" + SPAN + ">"
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("spans")).cast(start_type)
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["piece"])
@@ -138,8 +162,27 @@ def _spans(kind: Kind, whole: Column) -> Column:
             F.when(good, F.concat(state["spans"], F.array(span).cast(SPAN))).otherwise(state["spans"]).alias("spans"),
         ).cast(start_type)
 
-    empty = F.array().cast(SPAN)
-    return F.when(whole.rlike(kind.pattern), F.aggregate(steps, begin, step, lambda s: s["spans"])).otherwise(empty)
+    def block(steps: Column, at: Column, tail: Column) -> Column:
+        begin = F.struct(at.alias("at"), tail.alias("tail"), F.array().cast(SPAN).alias("spans")).cast(start_type)
+        return F.aggregate(steps, begin, step, lambda s: s["spans"])
+
+    def tail(before: Column) -> Column:
+        """The last characters of some steps."""
+        short = lambda s: F.concat(F.right(s["piece"], F.lit(CONTEXT_CHARS)), F.right(s["text"], F.lit(CONTEXT_CHARS)))
+        return F.right(F.array_join(F.transform(before, short), ""), F.lit(CONTEXT_CHARS))
+
+    def in_blocks(steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int"))
+        own = lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK))
+        size = lambda s: F.length(s["piece"]) + F.length(s["text"])
+        sizes = F.transform(numbers, lambda b: F.aggregate(own(b), F.lit(0), lambda a, s: a + size(s)))
+        starts = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        # A match and the piece before it have two characters at least.
+        earlier = lambda b: F.slice(steps, F.greatest(F.lit(1), b * BLOCK + 1 - CONTEXT_CHARS // 2), F.least(b * BLOCK, F.lit(CONTEXT_CHARS // 2)))
+        return _bound(starts, lambda at: F.flatten(F.transform(numbers, lambda b: block(own(b), F.get(at, b), tail(earlier(b))))))
+
+    spans = _bound(zipped(pieces, found), lambda steps: F.when(F.size(steps) <= BLOCK, block(steps, F.lit(0), F.lit(""))).otherwise(in_blocks(steps)))
+    return F.when(whole.rlike(kind.sign), spans).otherwise(F.array().cast(SPAN))
 
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = BASE_KINDS + ADDED_KINDS) -> DataFrame:
