@@ -54,9 +54,12 @@ class Scenario:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Uniform 64 bits from 64-bit labels: two rounds of shift and multiplication."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x = x ^ (x >> _U(30))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def word(*labels: object) -> int:
@@ -365,23 +368,27 @@ class Binomials:
         return self.known[n, p]
 
     def draw(self, n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
-        """Per row of ``u`` the draws for its count ``n``."""
+        """Per row of ``u`` the draws for its count ``n``; counts are in ascending order."""
         if p >= 1:
             return np.broadcast_to(n[:, None], u.shape).copy()
         out = np.zeros(u.shape, np.int64)
-        for value in np.unique(n[n > 0]).tolist():
-            rows = np.flatnonzero(n == value)
-            lo, cdf = self.cdf(value, p)
-            out[rows] = np.minimum(value, lo + np.searchsorted(cdf, u[rows].ravel(), "right")).reshape(len(rows), -1)
+        values, starts = np.unique(n, return_index=True)
+        cuts = [*starts, len(n)]
+        for value, lo, hi in zip(values.tolist(), cuts, cuts[1:]):
+            if value > 0:
+                first, cdf = self.cdf(value, p)
+                out[lo:hi] = np.minimum(value, first + np.searchsorted(cdf, u[lo:hi].ravel(), "right")).reshape(hi - lo, -1)
         return out
 
 
 def thinned(n: np.ndarray, labels: np.ndarray, plan: Plan, binomials: Binomials) -> np.ndarray:
     """Counts left of ``n`` in every thinned scenario and draw, keyed by a label for each: rows x scenarios x draws."""
     out = np.zeros((len(n), len(plan.thinned), plan.reps), np.int64)
+    order = np.argsort(n, kind="stable")
     for s, scenario in enumerate(plan.thinned):
-        h = mixed(labels[:, None] ^ words(plan.seed, scenario.name, plan.reps)[None, :])
-        out[:, s] = binomials.draw(n, scenario.parameter, (h >> _U(12)).astype(np.float64) / 2.0**52)
+        h = mixed(labels[order][:, None] ^ words(plan.seed, scenario.name, plan.reps)[None, :])
+        h >>= _U(12)
+        out[order, s] = binomials.draw(n[order], scenario.parameter, h * 2.0**-52)
     return out
 
 
@@ -404,8 +411,8 @@ def thinned_totals(sums: DataFrame, totals: DataFrame, plan: Plan) -> np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binomials, total = Binomials(), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 group, n = part.column("group").to_numpy(), part.column("n").to_numpy()
                 left = thinned(n, part.column("base").to_numpy().view(_U), plan, binomials)
                 for g in np.unique(group).tolist():
@@ -461,6 +468,8 @@ def _tallied(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray):
     n_types, n_groups = len(plan.types), len(plan.groups)
     sampled_width = len(plan.sampled) * plan.reps
     all_scenarios = [*plan.sampled, *plan.thinned]
+    whole_library = np.concatenate([totals, thin_totals], axis=1).reshape(1, len(plan.donors), n_types, len(all_scenarios), plan.reps)
+    library = np.where(whole_library > 0, 1e6 / np.maximum(whole_library, 1), 0.0)
     names = ["gene_id", "scenario", "zero", "tie", "wins"]
 
     def tally(genes: list[int], owner: np.ndarray, batch: pa.Table, binomials: Binomials) -> pa.RecordBatch:
@@ -486,10 +495,9 @@ def _tallied(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray):
             left[seen] = thinned(whole[seen], label[seen], plan, binomials)
             found.append(left.reshape(*shape, len(plan.thinned), plan.reps))
         counts = np.concatenate(found, axis=3)
-        library = np.concatenate([totals, thin_totals], axis=1).reshape(1, *shape[1:], len(all_scenarios), plan.reps)
-        scores = np.zeros(counts.shape)
-        at = np.nonzero(counts)
-        scores[at] = np.log1p(1e6 * counts[at] / np.broadcast_to(library, counts.shape)[at])
+        scores = counts.astype(np.float64)
+        scores *= library
+        np.log1p(scores, out=scores)
         means = scores.sum(axis=1) / len(plan.donors)
         rows = []
         for s, scenario in enumerate(all_scenarios):

@@ -143,7 +143,14 @@ def depth_thinning_by_count(spark: SparkSession, d: str) -> DataFrame:
 
 def _mix(source: str) -> str:
     """SQL: rows of ``source`` with ``h``, the mixed bits of their label ``x``."""
-    times = lambda x, c: f"(({x}::UHUGEINT * {c}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    low = 4294967295
+
+    def times(x: str, c: int) -> str:
+        """The low 64 bits of a product, from products of halves, as wider integers are slow."""
+        x_low, x_high, c_low, c_high = f"({x} & {low})", f"({x} >> 32)", f"{c & low}::UBIGINT", f"{c >> 32}::UBIGINT"
+        high = f"((({x_low} * {c_low}) >> 32) + (({x_low} * {c_high}) & {low}) + (({x_high} * {c_low}) & {low})) & {low}"
+        return f"(({high}) * 4294967296::UBIGINT + (({x_low} * {c_low}) & {low}))"
+
     first = f"SELECT * EXCLUDE (x), {times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)} AS y FROM ({source})"
     second = f"SELECT * EXCLUDE (y), {times('xor(y, y >> 27)', 0x94D049BB133111EB)} AS z FROM ({first})"
     return f"SELECT * EXCLUDE (z), xor(z, z >> 31) AS h FROM ({second})"
@@ -169,7 +176,7 @@ able AS (SELECT scenario FROM design GROUP BY 1 HAVING bool_and(selected_cells <
 words AS (SELECT scenario, operation, rep, {_word("scenario", "rep")} AS w FROM scen CROSS JOIN range({DRAWS}) t(rep) WHERE scenario IN (SELECT scenario FROM able)),
 labelled AS (SELECT cell_id, donor, cell_type, total, selected_cells, available_cells, scenario, xor({_word("donor", "cell_type", "cell_id")}, 0::UBIGINT) AS base
   FROM kept JOIN design USING (donor, cell_type) WHERE operation <> 'umi_fraction'),
-drawn AS (SELECT cell_id, donor, cell_type, total, scenario, rep FROM (
+drawn AS MATERIALIZED (SELECT cell_id, donor, cell_type, total, scenario, rep FROM (
     {_mix("SELECT l.*, rep, xor(base, w) AS x FROM labelled l JOIN words USING (scenario)")})
   QUALIFY row_number() OVER (PARTITION BY scenario, rep, donor, cell_type ORDER BY h, cell_id) <= selected_cells)"""
 
@@ -187,7 +194,7 @@ cdf AS (SELECT n, scenario, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n
   FROM (SELECT n, scenario, p, unnest(range(0, n + 1)) AS k FROM (SELECT DISTINCT n FROM units) CROSS JOIN fractions)),
 thrown AS (SELECT donor, cell_type, gene_id, n, scenario, rep, (h >> 12)::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM (
     {_mix("SELECT units.*, scenario, rep, xor(base, w) AS x FROM units CROSS JOIN words WHERE operation = 'umi_fraction'")})),
-thinned AS (SELECT donor, cell_type, gene_id, thrown.scenario, rep, least(thrown.n, coalesce(k + 1, 0)) AS g FROM thrown ASOF LEFT JOIN cdf ON thrown.scenario = cdf.scenario AND thrown.n = cdf.n AND u >= c),
+thinned AS MATERIALIZED (SELECT donor, cell_type, gene_id, thrown.scenario, rep, least(thrown.n, coalesce(k + 1, 0)) AS g FROM thrown ASOF LEFT JOIN cdf ON thrown.scenario = cdf.scenario AND thrown.n = cdf.n AND u >= c),
 draw_sums AS (SELECT scenario, rep, donor, cell_type, gene_id, sum(umi) AS g FROM drawn JOIN counts USING (cell_id) GROUP BY ALL
   UNION ALL SELECT scenario, rep, donor, cell_type, gene_id, g FROM thinned WHERE g > 0),
 draw_totals AS (SELECT scenario, rep, donor, cell_type, sum(total) AS a FROM drawn GROUP BY ALL UNION ALL SELECT scenario, rep, donor, cell_type, sum(g) FROM thinned GROUP BY ALL),
