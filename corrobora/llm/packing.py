@@ -1,11 +1,19 @@
-"""Best-fit packing of token sequences by bin completion."""
+"""Best-fit packing of token sequences by bin completion with branch and bound.
+
+Sequences are completed one after the other: the largest length left opens one and takes a filling. A first solution takes
+the best filling each time. Where it needs more sequences than a lower bound allows, a search goes back over the
+sequences: around each largest length it branches on the undominated fillings, a branch ends once the room wasted so far
+would cost a sequence against the best solution yet, and the search ends at the lower bound or with its nodes.
+"""
 
 from __future__ import annotations
 
+import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +27,16 @@ SHARD_PIECES = 20_000
 SEARCH_NODES = 64
 """Lengths tried for a sequence after its best-fit filling, before the best one found so far is taken."""
 
+FIRST_NODES, RESTARTS, RESTART_NODES = 4000, 40, 400
+"""Sequences opened by a shard's search over solutions before its best one is taken: fullest fillings first, and then in
+restarts, each with fillings that leave the same room in another order."""
+
+MOST_KINDS = 40
+"""Different lengths up to which pairs of a filling are tested for dominance."""
+
+FILLINGS = 24
+"""Undominated fillings tried for a sequence, fullest first."""
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -77,6 +95,23 @@ class _Shelf:
         """The greatest length of at most ``limit``, else 0."""
         return (self.up & ((2 << limit) - 1)).bit_length() - 1 if limit > 0 and self.up & ((2 << limit) - 1) else 0
 
+    def least(self) -> int:
+        """The smallest length left; only to be asked for if there is one."""
+        return (self.up & -self.up).bit_length() - 1 if self.up else self.capacity + 1
+
+    def pairs(self, gap: int, limit: int) -> list[tuple[int, int]]:
+        """All pairs of lengths up to ``limit`` that fill the gap exactly, the larger length first."""
+        both = self.up & (self.down >> (self.capacity - gap)) & ((1 << gap) - 1) & ~1
+        found = []
+        while both:
+            x = both.bit_length() - 1
+            if 2 * x < gap:
+                break
+            if x <= limit and (2 * x > gap or self.count[x] > 1):
+                found.append((x, gap - x))
+            both ^= 1 << x
+        return found
+
     def pair(self, gap: int) -> tuple[int, int] | None:
         """Two lengths that fill the gap exactly, the larger one as large as can be."""
         both = self.up & (self.down >> (self.capacity - gap)) & ((1 << gap) - 1) & ~1
@@ -135,11 +170,136 @@ def _filling(shelf: _Shelf, gap: int) -> list[int]:
     return best
 
 
-def completed(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Sequences of lengths, each at most ``capacity`` long in all.
+def least_sequences(lengths: Sequence[int], capacity: int) -> int:
+    """Lower bound: no solution has fewer sequences.
+
+    Beside the total, for every threshold: lengths over its complement share with nothing counted, lengths over a half need a
+    sequence each, and what the others leave open must hold the lengths from the threshold to a half.
+    """
+    if not len(lengths):
+        return 0
+    x = np.sort(np.asarray(lengths, np.int64))
+    sums = np.concatenate([[0], np.cumsum(x)])
+    low = np.unique(np.concatenate([[1], x[2 * x <= capacity]]))
+    half = np.searchsorted(x, capacity // 2, "right")
+    top = np.searchsorted(x, capacity - low, "right")
+    start = np.searchsorted(x, low, "left")
+    middle, large = top - half, len(x) - top
+    rest = sums[half] - sums[np.minimum(start, half)] - (middle * capacity - (sums[top] - sums[half]))
+    each = large + middle + np.maximum(0, -(-rest // capacity))
+    return int(max(each.max(), -(-sums[-1] // capacity)))
 
-    Bin completion: the largest length left opens a sequence and takes its best filling.
+
+def _dominated(shelf: _Shelf, filling: list[int], slack: int) -> bool:
+    """Whether one larger length left over could take the place of one of the filling's, or one length that of two.
+
+    The lengths given back fit wherever the one taken was, so the other filling is never worse. The filling's own lengths are
+    off the shelf.
     """
+
+    def between(lo: int, hi: int) -> bool:
+        return bool(shelf.up >> lo & ((1 << (hi - lo + 1)) - 1)) if hi >= lo else False
+
+    kinds = sorted(set(filling))
+    if any(between(y + 1, y + slack) for y in kinds):
+        return True
+    pairs = {y + z for i, y in enumerate(kinds) for z in kinds[i + 1 :]} | {2 * y for y in kinds if filling.count(y) > 1}
+    return len(kinds) <= MOST_KINDS and any(between(t, t + slack) for t in pairs)
+
+
+def _fillings(shelf: _Shelf, gap: int, waste: int) -> list[tuple[int, list[int]]]:
+    """Undominated fillings of a gap that leave at most ``waste``, as (room left, lengths), fullest first."""
+    found: list[tuple[int, list[int]]] = []
+    chosen: list[int] = []
+    nodes = 0
+
+    def keep(extra: tuple[int, ...], left: int) -> None:
+        for x in extra:
+            shelf.take(x)
+        if not _dominated(shelf, [*chosen, *extra], left):
+            found.append((left, [*chosen, *extra]))
+        for x in extra:
+            shelf.put(x)
+
+    def search(left: int, limit: int) -> None:
+        nonlocal nodes
+        nodes += 1
+        if left <= limit and shelf.count[left]:
+            keep((left,), 0)
+            return  # one length in this place takes that of any others
+        if not shelf.largest(min(left, limit)):
+            if left <= waste:
+                keep((), left)
+            return
+        for pair in shelf.pairs(left, limit):
+            keep(pair, 0)
+        x = shelf.largest(min(left, limit))
+        while x and nodes < SEARCH_NODES and len(found) < FILLINGS and left - shelf.total <= waste:
+            shelf.take(x)
+            chosen.append(x)
+            rest = left - x
+            # Two lengths that fill exactly have been found; others go on only if room may be left or more can follow.
+            if waste or 3 * shelf.least() <= left:
+                search(rest, x)
+            chosen.pop()
+            shelf.put(x)
+            x = shelf.largest(x - 1)
+
+    search(gap, gap)
+    unique = {tuple(f): left for left, f in found}
+    return sorted(((left, list(f)) for f, left in unique.items()), key=lambda r: (r[0], len(r[1]), [-x for x in r[1]]))[:FILLINGS]
+
+
+def _searched(lengths: list[int], capacity: int, best: list[list[int]], least: int, budget: int, order: random.Random | None) -> list[list[int]]:
+    """A solution with fewer sequences than ``best``, if the search finds one by opening ``budget`` sequences."""
+    shelf = _Shelf(lengths, capacity)
+    total = sum(lengths)
+    path: list[tuple[int, list[tuple[int, list[int]]], int]] = []  # first length, fillings, the one in use
+    wasted, nodes = 0, 0
+
+    def taken(filling: list[int], put_back: bool) -> None:
+        for x in filling:
+            (shelf.put if put_back else shelf.take)(x)
+
+    while len(best) > least:
+        allowed = (len(best) - 1) * capacity - total - wasted
+        options: list[tuple[int, list[int]]] = []
+        if not shelf.up:
+            best = [[first, *options[i][1]] for first, options, i in path]
+        elif nodes < budget:
+            nodes += 1
+            first = shelf.largest(capacity)
+            shelf.take(first)
+            options = _fillings(shelf, capacity - first, min(allowed, capacity)) if first < capacity else [(0, [])]
+            if order:
+                order.shuffle(options)
+                options.sort(key=lambda o: o[0])
+            if options:
+                path.append((first, options, 0))
+            else:
+                shelf.put(first)
+        if options:
+            left, filling = options[0]
+            taken(filling, False)
+            wasted += left
+            continue
+        while path:  # back to the last sequence that has another filling within the waste allowed
+            first, options, i = path.pop()
+            taken(options[i][1], True)
+            wasted -= options[i][0]
+            if nodes < budget and i + 1 < len(options) and options[i + 1][0] <= (len(best) - 1) * capacity - total - wasted:
+                path.append((first, options, i + 1))
+                taken(options[i + 1][1], False)
+                wasted += options[i + 1][0]
+                break
+            shelf.put(first)
+        else:
+            break
+    return best
+
+
+def completed(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Sequences of lengths, each at most ``capacity`` long in all, as few as the search finds."""
     shelf = _Shelf(lengths, capacity)
     out = []
     while shelf.up:
@@ -149,6 +309,11 @@ def completed(lengths: list[int], capacity: int) -> list[list[int]]:
         for x in rest:
             shelf.take(x)
         out.append([first, *rest])
+    least = least_sequences(lengths, capacity)
+    out = _searched(lengths, capacity, out, least, FIRST_NODES + len(out), None)
+    # A restart that cannot reach the last sequence finds nothing.
+    for k in range(RESTARTS if len(out) > least and len(out) < RESTART_NODES else 0):
+        out = _searched(lengths, capacity, out, least, RESTART_NODES, random.Random(k))
     return out
 
 

@@ -165,6 +165,50 @@ def test_packing_of_many_short_pieces(lengths):
     assert len(out) == -(-sum(lengths) // fit)
 
 
+def fewest(lengths: list[int], capacity: int) -> int:
+    """Brute force: every length in every sequence that takes it, or in a new one."""
+    best = len(lengths)
+
+    def place(i: int, filled: list[int]) -> None:
+        nonlocal best
+        if len(filled) >= best:
+            return
+        if i == len(lengths):
+            best = len(filled)
+            return
+        for k, at in enumerate(filled):
+            if at + lengths[i] <= capacity and at not in filled[:k]:
+                place(i + 1, [*filled[:k], at + lengths[i], *filled[k + 1 :]])
+        place(i + 1, [*filled, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_optimal_on_small_sets():
+    rng = random.Random(1)
+    for _ in range(200):
+        capacity = rng.choice([20, 50, 100])
+        lengths = [rng.randrange(1, capacity + 1) if rng.random() < 0.3 else rng.randrange(capacity // 6, capacity // 2 + 2) for _ in range(rng.randrange(1, 11))]
+        want = fewest(sorted(lengths, reverse=True), capacity)
+        assert packing.least_sequences(lengths, capacity) <= want == len(packing.completed(lengths, capacity)), (lengths, capacity)
+
+
+def test_packing_goes_back_over_sequences():
+    """Triples that fill a sequence exactly: one filling taken too early costs a sequence."""
+    for capacity, n, seeds in ((1000, 20, 4), (100, 60, 3)):
+        for seed in range(seeds):
+            rng = random.Random(seed)
+            lengths = []
+            for _ in range(n):
+                a = rng.randrange(capacity * 38 // 100, capacity * 49 // 100)
+                b = rng.randrange(capacity // 4 + 1, (capacity - a) // 2 + 1)
+                lengths += [a, b, capacity - a - b]
+            assert len(packing.completed(lengths, capacity)) == n
+    assert packing._dominated(packing._Shelf([7, 3], 10), [6], 1) and packing._dominated(packing._Shelf([7], 10), [4, 3], 0)
+    assert not packing._dominated(packing._Shelf([8, 3], 10), [4, 3], 0) and not packing._dominated(packing._Shelf([], 10), [4, 3], 9)
+
+
 def test_packing_of_short_documents(spark):
     for text, length in ((None, 1), ("a a a a", 5)):
         frame = spark.createDataFrame([(i, text, None, None, 0) for i in range(5000)], SCHEMA)
