@@ -6,7 +6,7 @@ from importlib import import_module
 
 from corrobora.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("counts", "evidence", "context", "contracts", "sumstats", "intervals", "resampling", "graph", "summary")
+MODULES = ("counts", "evidence", "context", "contracts", "sumstats", "intervals", "resampling", "graph", "model", "summary")
 
 
 def _load() -> None:
