@@ -34,6 +34,18 @@ def evidence_matrix(
     return out.withColumn(flag, F.coalesce(reduce(and_, criteria), F.lit(False)))
 
 
+def layer_counts(pairs: DataFrame, key: str, flags: Sequence[str]) -> DataFrame:
+    """Per key how many of its items each flag holds for; ``pairs`` has one row for each item and key, so nothing is made distinct."""
+    return pairs.groupBy(key).agg(*[F.count_if(F.col(f)).alias(f"n_{f}") for f in flags])
+
+
+def criteria_report(matrix: DataFrame, key: str, criteria: Mapping[str, Column]) -> DataFrame:
+    """Per key whether it meets each criterion, unknown counting as not met, and how many."""
+    met = {n: F.coalesce(c, F.lit(False)).alias(n) for n, c in criteria.items()}
+    total = sum((F.coalesce(c, F.lit(False)).cast("int") for c in criteria.values()), F.lit(0))
+    return matrix.select(key, *met.values(), total.alias("n_met"))
+
+
 def funnel(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
     """How many rows meet each step, in the declared order, from one pass."""
     counted = df.agg(*[F.count_if(F.coalesce(ok, F.lit(False))).alias(f"_{i}") for i, ok in enumerate(steps.values())])
