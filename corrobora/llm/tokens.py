@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 CACHE_PIECES = 400_000
 """Pieces whose ids a Python worker remembers; beyond that it starts afresh."""
@@ -66,6 +66,7 @@ class PieceEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.sizes: dict[bytes | str, int] = {}
 
     def _latin(self, text: str) -> bytes | None:
         """The text as Latin-1 if it can be cut by this module's patterns."""
@@ -118,6 +119,32 @@ class PieceEncoder:
                 known[p] = b"".join(i.to_bytes(4, "little") for i in e.ids)
         return b"".join(map(known.__getitem__, parts))
 
+    def count_batch(self, texts: Sequence[str]) -> list[int]:
+        """Numbers of ids of a batch of texts; pieces not seen before are encoded once for the batch, and no ids are kept."""
+        cut: list[list[Sequence]] = []
+        new: set[bytes | str] = set()
+        for text in texts:
+            own: list[Sequence] = []
+            for part in self._cut(text):
+                plain = self._latin(part)
+                if plain is not None:
+                    own.append(self.pattern.findall(plain))
+                else:
+                    own.append(_SAFE_BORDER.split(part) if self.spaced else _PLAIN_WORDS.findall(part))
+                new.update(own[-1])
+            cut.append(own)
+        if len(self.sizes) > CACHE_PIECES:
+            self.sizes.clear()
+        new.difference_update(self.sizes)
+        for p in [x for x in new if isinstance(x, bytes)]:
+            self.sizes[p] = len(self._piece(p)) // 4
+        rest = [x for x in new if isinstance(x, str)]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.sizes[p] = len(e.ids)
+        return [sum(sum(map(self.sizes.__getitem__, part)) for part in own) for own in cut]
+
     def encode_one(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
         out = []

@@ -257,6 +257,19 @@ def test_token_counts(docs):
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in found), key=str) == sorted(want, key=str)
 
 
+def test_token_count_batches_are_cut_by_bytes(docs, monkeypatch):
+    assert token_counts.even_slices(np.array([]), 5) == []
+    assert token_counts.even_slices(np.array([2, 2, 2, 9, 0, 5, 1]), 5) == [(0, 2), (2, 3), (3, 4), (4, 6), (6, 7)]
+    t = Tokenizer.from_file(WORD)
+    texts = [r[1] or "" for r in rows()]
+    e = PieceEncoder(WORD, False)
+    want = [len(x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert e.count_batch(texts) == want and e.count_batch(texts[::-1]) == want[::-1]
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 300)
+    found = token_counts.counted(docs, WORD, False, 512).collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in found) == sorted((len(x.encode()), n) for x, n in zip(texts, want, strict=True))
+
+
 def brute_fingerprint(text: str | None, k: int) -> int:
     words = re.findall(SPACE, (text or "").encode().lower().decode())
     shingles = [" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] or ([" ".join(words)] if words else [])
