@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SALTS = 16
 """Parts into which the rows of each group are dealt when they meet the group's statistics."""
 
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str, tuple], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,12 +54,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder_state(spark: SparkSession, source: str) -> tuple:
+    """Name, length and time of change of every entry of a folder, one level deep; empty if there is none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return ()
+    found = ((e.getPath().getName(), e.getLen(), e.getModificationTime()) for e in fs.listStatus(path))
+    return tuple(sorted(found))
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """A derived table that many jobs of a run read: written once for each source folder, then read back.
+    """A derived table that many jobs of a run read: written once for each state of the source folder, then read back.
 
-    A source folder must not change while an application runs.
+    A table of the folder that was rewritten, added or removed since makes a new copy; so does a table folder
+    whose files changed, where the file system keeps the time of that.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key = (spark.sparkContext.applicationId, source, name, folder_state(spark, source))
     if key not in _STORED:
         path = scratch_path(spark, name)
         build().write.partitionBy(*by).parquet(path)
