@@ -65,8 +65,9 @@ def nearest_neighbours(
     pivots: int | None = None,
     block_rows: int = 4096,
     seed: int = 1,
+    queries: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``k`` nearest other rows of every row, exactly, as ``(src, dst, distance, rank)``.
+    """The ``k`` nearest other rows of every row (or of those whose key is in ``queries``), exactly, as ``(src, dst, distance, rank)``.
 
     Rows are grouped round pivots, as many as the square root of the rows unless given. A row visits only the pivot cells whose distance
     bounds (triangle inequality and dividing plane) can still hold one of its neighbours.
@@ -126,7 +127,8 @@ def nearest_neighbours(
             rows, target = np.nonzero(visit)
             yield pd.DataFrame({"qid": pdf["id"].to_numpy()[rows], "qvec": pdf["vec"].to_numpy()[rows], "cell": target.astype("int32")})
 
-    routed = assigned.mapInPandas(route, "qid bigint, qvec array<double>, cell int")
+    asked = assigned if queries is None else assigned.join(queries.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
+    routed = asked.mapInPandas(route, "qid bigint, qvec array<double>, cell int")
     blocks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in sizes}
     visits = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     lookup = lambda table: F.element_at(

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from corrobora.functions.numeric import rounded
 from corrobora.operators import counts as ops
 from corrobora.operators import graph as gr
+from corrobora.operators import neighbours as nb
 from corrobora.plans.bindings import r
 from corrobora.plans.registry import query
 from corrobora.session import cut_lineage
 from corrobora.sources.tables import load
 
 K = 15
+QUERY_STEP, RECALL = 20, 0.95
 SQL_ROUNDS = 60  # for the checking SQL only, whose recursion cannot look back
 RESOLUTIONS = [0.5, 1.0]
 
@@ -34,6 +36,27 @@ def nearest_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(spark, d).withColumn("distance", rounded(F.col("distance")))
 
 
+@query("approximate_neighbours")
+def approximate_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours from tables of random projections; no SQL repeats their draws."""
+    found = nb.approximate_neighbours(load(spark, d, "embeddings"), "vec_id", "embedding", K)
+    return found.withColumn("distance", rounded(F.col("distance")))
+
+
+@query(
+    "approximate_neighbour_recall",
+    f"""SELECT {K} AS k, CAST(sum(least({K}, n - 1)) AS BIGINT) AS n_true, true AS recall_reached
+FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % {QUERY_STEP} = 0""",
+)
+def approximate_neighbour_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate neighbours of every twentieth vector, among all, hold 0.95 of the exact ones."""
+    vectors = load(spark, d, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % QUERY_STEP == 0).select("vec_id")
+    truth = gr.nearest_neighbours(vectors, "vec_id", "embedding", K, queries=queries)
+    found = nb.approximate_neighbours(vectors, "vec_id", "embedding", K, queries=queries)
+    return nb.recall(found, truth).select(F.lit(K).alias("k"), "n_true", (F.col("recall") >= RECALL).alias("recall_reached"))
+
+
 def rounds_sql(resolution: float) -> str:
     """Label propagation as a recursion over rounds, and the round whose state came up before."""
     tag = str(resolution).replace(".", "")
