@@ -14,7 +14,7 @@ from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.registry import query
 from corrobora.session import scratch_path
-from corrobora.sources import tables
+from corrobora.sources import digests, tables
 from corrobora.sources.tables import load
 from corrobora.sources.text import read_delimited
 
@@ -410,6 +410,50 @@ def source_file_registry(spark: SparkSession, d: str) -> DataFrame:
     return tables.compare_registry(declared, found).select("file", "bytes", "bytes_found", "sha256_found", "md5_found", "status")
 
 
+PAGE_CHUNK = 256
+LEAVES = f"""bytes AS (SELECT page_id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages),
+chunks AS (SELECT page_id, n, b, unnest(range(greatest(1, (n + {PAGE_CHUNK - 1}) // {PAGE_CHUNK}))) AS chunk FROM bytes)"""
+
+
+@query(
+    "chunk_digest_roots",
+    f"""WITH {LEAVES},
+hexa AS (SELECT page_id, n, chunk, sha256(unhex(substr(hex(b), chunk * {2 * PAGE_CHUNK} + 1, {2 * PAGE_CHUNK}))) AS digest FROM chunks)
+SELECT CAST(page_id AS VARCHAR) AS file, CAST(n AS BIGINT) AS bytes_found, count(*) AS n_chunks,
+  sha256(n || ':' || string_agg(digest, '' ORDER BY chunk)) AS root_found FROM hexa GROUP BY page_id, n""",
+)
+def chunk_digest_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Digest trees of all pages, in chunks of 256 bytes."""
+    size = F.octet_length("html").cast("bigint")
+    pages = load(spark, d, "pages").withColumn("_leaves", digests.leaf_digests(F.encode("html", "UTF-8"), PAGE_CHUNK))
+    return pages.select(
+        F.col("page_id").cast("string").alias("file"),
+        size.alias("bytes_found"),
+        F.size("_leaves").cast("bigint").alias("n_chunks"),
+        digests.root_digest(F.col("_leaves"), size).alias("root_found"),
+    )
+
+
+@query(
+    "changed_chunks",
+    f"""WITH bytes AS (SELECT page_id, octet_length(encode(html)) AS n FROM pages), last AS (SELECT page_id, (n + {PAGE_CHUNK - 1}) // {PAGE_CHUNK} - 1 AS chunk, n FROM bytes WHERE n > 0)
+SELECT CAST(page_id AS VARCHAR) AS file, CAST(chunk AS BIGINT) AS chunk, CAST(chunk * {PAGE_CHUNK} AS BIGINT) AS "offset", 'changed' AS status FROM last WHERE page_id % 2 = 0 AND n % {PAGE_CHUNK} <> 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), CAST(chunk + 1 AS BIGINT), CAST((chunk + 1) * {PAGE_CHUNK} AS BIGINT), 'gone' FROM last WHERE page_id % 2 = 0 AND n % {PAGE_CHUNK} = 0
+UNION ALL SELECT CAST(page_id AS VARCHAR), 0, 0, 'changed' FROM last WHERE page_id % 3 = 0 AND NOT (page_id % 2 = 0 AND chunk = 0 AND n % {PAGE_CHUNK} <> 0)""",
+)
+def changed_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages against declared chunks of a state in which even pages had one more byte and every third another first byte."""
+    pages = load(spark, d, "pages").filter(F.octet_length("html") > 0)
+    first = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("\x7f"), F.substring("html", 2, 2**31 - 1))).otherwise(F.col("html"))
+    before = F.when(F.col("page_id") % 2 == 0, F.concat(first, F.lit("+"))).otherwise(first)
+
+    def leaves(text):
+        rows = pages.select(F.col("page_id").cast("string").alias("file"), F.posexplode(digests.leaf_digests(F.encode(text, "UTF-8"), PAGE_CHUNK)).alias("chunk", "digest"))
+        return rows.withColumn("chunk", F.col("chunk").cast("bigint"))
+
+    return digests.changed_chunks(leaves(F.col("html")), leaves(before), PAGE_CHUNK)
+
+
 @query(
     "fixed_format_sink",
     f"SELECT c_custkey, {r('c_acctbal / 7.0', 6)} AS balance FROM customer",
