@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corrobora.functions.numeric import checked_cast, finite, rounded
 from corrobora.operators import contracts
 from corrobora.operators import counts as ops
+from corrobora.operators import reuse
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.registry import query
@@ -410,6 +411,47 @@ def source_file_registry(spark: SparkSession, d: str) -> DataFrame:
     return tables.compare_registry(declared, found).select("file", "bytes", "bytes_found", "sha256_found", "md5_found", "status")
 
 
+def _reuse_run(spark: SparkSession, folder: str, orders: str, customer: str, run: str) -> DataFrame:
+    """Five tables below orders and customers, as far as they are not there yet."""
+    store = reuse.Reuse(spark, folder)
+    o, c = store.source("orders", orders), store.source("customer", customer)
+    number = store.table("orders_per_customer", [o], lambda x: x.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")))
+    store.table("spend_per_customer", [o], lambda x: x.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,4)")).alias("spend")))
+    store.table("customers_per_number", [number], lambda x: x.groupBy("n").agg(F.count(F.lit(1)).alias("customers")))
+    store.table("active_customers", [number, c], lambda x, y, least: y.join(x.filter(F.col("n") >= least), y.c_custkey == x.o_custkey, "left_semi"), {"least": 2})
+    store.table("customers_per_nation", [c], lambda x: x.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers")))
+    return store.report().withColumn("run", F.lit(run))
+
+
+@query(
+    "content_keyed_reuse",
+    """WITH number AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+sizes AS (SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'customer', count(*) FROM customer
+  UNION ALL SELECT 'orders_per_customer', count(*) FROM number UNION ALL SELECT 'spend_per_customer', count(*) FROM number
+  UNION ALL SELECT 'customers_per_number', count(DISTINCT n) FROM number
+  UNION ALL SELECT 'active_customers', count(*) FROM customer JOIN number ON c_custkey = o_custkey WHERE n >= 2
+  UNION ALL SELECT 'customers_per_nation', count(DISTINCT c_nationkey) FROM customer)
+SELECT run, table_name, n_rows, CASE
+  WHEN table_name IN ('orders', 'customer') THEN CASE WHEN run = 'first' OR table_name = 'orders' THEN 'read' ELSE 'known' END
+  WHEN run = 'first' OR run = 'changed' AND table_name IN ('orders_per_customer', 'spend_per_customer') THEN 'built' ELSE 'reused' END AS status
+FROM sizes CROSS JOIN (VALUES ('first'), ('rewritten'), ('changed')) v(run)""",
+)
+def content_keyed_reuse(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs over one store: as given, with the orders dealt to other files, and with one order's price changed.
+
+    The change builds the two tables made of orders. The number of orders comes out as it was, so what is below stays.
+    """
+    folder, customer = scratch_path(spark, "reuse"), f"{d.rstrip('/')}/customer.parquet"
+    orders = load(spark, d, "orders")
+    rewritten, changed = scratch_path(spark, "orders"), scratch_path(spark, "orders")
+    orders.repartition(5, "o_custkey").write.parquet(rewritten)
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    price = F.when(F.col("o_orderkey") == least, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast(orders.schema["o_totalprice"].dataType)
+    orders.withColumn("o_totalprice", price).write.parquet(changed)
+    paths = {"first": f"{d.rstrip('/')}/orders.parquet", "rewritten": rewritten, "changed": changed}
+    return reduce(DataFrame.unionByName, [_reuse_run(spark, folder, p, customer, run) for run, p in paths.items()]).select("run", "table_name", "n_rows", "status")
+
+
 PAGE_CHUNK = 256
 LEAVES = f"""bytes AS (SELECT page_id, encode(html) AS b, octet_length(encode(html)) AS n FROM pages),
 chunks AS (SELECT page_id, n, b, unnest(range(greatest(1, (n + {PAGE_CHUNK - 1}) // {PAGE_CHUNK}))) AS chunk FROM bytes)"""
