@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -107,6 +108,17 @@ def test_matched_reference(spark, partitions):
     assert {c: r["empirical_p"] for c, r in rows.items()} == test_matched_reference.seen
 
 
+def test_drawn_positions_are_never_sent_to_all_tasks(spark):
+    """They grow from a row for each bin, so that Spark takes them for small; the audit draws nothing."""
+    binned = spark.range(2000).selectExpr("id AS gene_id", "CAST(id % 4 AS INT) AS bin", "id % 25 = 0 AS is_candidate", "id / 2000.0 AS RGC")
+    audit = rs.cut_lineage(rs.reference_audit(binned))
+    met = rs.drawn_controls(binned, audit, ["RGC"], 50, 10, 9)
+    assert met.count() > 0
+    joins = re.findall(r"(\w+Join) \[bin#\w+, _pos", met._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+    assert all(r["candidate_genes"] == 20 and r["control_genes"] == 480 and r["sufficient"] for r in audit.collect())
+
+
 def test_matched_controls_exclude_panels_and_stay_in_bin(spark):
     genes = spark.range(400).select(F.col("id").alias("gene_id"), (F.col("id") % 4).cast("int").alias("bin"))
     panels = spark.createDataFrame([("P", i) for i in range(0, 40)] + [("Q", i) for i in range(20, 60)], "program string, gene_id long")
