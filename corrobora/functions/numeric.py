@@ -62,7 +62,8 @@ def log2_contrast(value: Column, others: list[Column], pseudo: float = 0.01) ->
 
 
 def minus_log10(p: Column) -> Column:
-    return -F.log10(p)
+    """Infinite for a p of zero, of which Spark's logarithm is NULL."""
+    return F.when(p == 0, F.lit(float("inf"))).otherwise(-F.log10(p))
 
 
 def log_abf(beta: Column, se: Column, prior_sd: Column) -> Column:

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corrobora.functions.numeric import minus_log10, rounded
 from corrobora.operators import ordering, ranking
 
 
@@ -113,3 +114,8 @@ def test_spearman_matches_pandas_and_guards_constants(spark):
 def test_declared_order_keeps_missing_keys(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2)], "k string, v int")
     assert [(r["k"], r["v"]) for r in ranking.declared_order(df, "k", ["a", "x", "b"]).collect()] == [("a", 2), ("x", None), ("b", 1)]
+
+
+def test_minus_log10_of_zero_is_infinite(spark):
+    rows = spark.createDataFrame([(0.0,), (0.01,), (1.0,), (None,)], "p double").select(rounded(minus_log10(F.col("p"))).alias("x"))
+    assert [r["x"] for r in rows.collect()] == [float("inf"), 2.0, 0.0, None]
