@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.functions.draws import draw_hash
+from corrobora.operators.neighbours import nearest_pairs
 from corrobora.session import cut_lineage
 
 MAX_PIVOTS = 1024
+ROWS_AT_ONCE = 256
+"""Rows whose distances to all pivots, or to a block, are held at once."""
 
 
 def principal_components(df: DataFrame, key: str, features: str, k: int) -> tuple[DataFrame, DataFrame]:
@@ -57,13 +60,30 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bundled(sizes: dict[int, int], between: np.ndarray, block_rows: int) -> tuple[np.ndarray, list[int]]:
+    """The bundle of every cell and the parts of every bundle.
+
+    Cells, each followed by the nearest one left, share a bundle of up to ``block_rows`` rows; a larger cell is a bundle of several parts.
+    """
+    bundle, rows = np.full(len(between), -1), []
+    left, at = sorted(sizes), min(sizes)
+    while left:
+        at = min(left, key=lambda c: between[at, c])
+        left.remove(at)
+        if not rows or rows[-1] + sizes[at] > block_rows:
+            rows.append(0)
+        rows[-1] += sizes[at]
+        bundle[at] = len(rows) - 1
+    return bundle, [-(-n // block_rows) for n in rows]
+
+
 def nearest_neighbours(
     df: DataFrame,
     key: str,
     features: str,
     k: int,
     pivots: int | None = None,
-    block_rows: int = 4096,
+    block_rows: int = 1 << 14,
     seed: int = 1,
     queries: DataFrame | None = None,
 ) -> DataFrame:
@@ -71,14 +91,17 @@ def nearest_neighbours(
 
     Rows are grouped round pivots, as many as the square root of the rows unless given. A row visits only the pivot cells whose distance
     bounds (triangle inequality and dividing plane) can still hold one of its neighbours.
-    Cells are cut into blocks and visitors into chunks, so a dense cell is shared out over
-    tasks; each block returns at most ``k`` rows per visitor. Equal distances are ordered by id.
+    Near cells are bundled to blocks of ``block_rows`` rows and visitors dealt to chunks of as many, so a row is sent to a block once,
+    however many of its cells it visits, and a dense cell is shared out over tasks. A task holds a block and a chunk,
+    and some hundreds of visitors are worked off at once; each block returns at most ``k`` rows per visitor. Equal
+    distances are ordered by id.
     """
     if pivots is None:
         pivots = min(MAX_PIVOTS, 1 + math.isqrt(df.count()))
     if not 1 <= pivots <= MAX_PIVOTS:
         raise ValueError(f"pivots must be between 1 and {MAX_PIVOTS}")
-    data = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("vec"))
+    data = df.select(F.col(key).cast("bigint").alias("id"), F.col(features).alias("vec"))
+    vec_type = data.schema["vec"].dataType.simpleString()
     chosen = data.orderBy(draw_hash(F.lit(seed), F.col("id")), "id").limit(pivots).collect()
     if not chosen:
         return df.sparkSession.createDataFrame([], "src bigint, dst bigint, distance double, rank int")
@@ -90,7 +113,7 @@ def nearest_neighbours(
             cell = d.argmin(axis=1)
             yield pdf.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
 
-    assigned = cut_lineage(data.mapInPandas(assign, "id bigint, vec array<double>, cell int, radius double"))
+    assigned = cut_lineage(data.mapInPandas(assign, f"id bigint, vec {vec_type}, cell int, radius double"))
 
     # at most pivots x (k + 1) radii and pivots x 2 numbers come to the driver
     near = Window.partitionBy("cell").orderBy("radius", "id")
@@ -108,62 +131,67 @@ def nearest_neighbours(
     cells = np.array([r["cell"] for r in small], dtype=int)
     radii = np.array([r["radius"] for r in small], dtype=float)
     between = _distances(centres, centres)
+    bundle, parts = _bundled({r["cell"]: r["n"] for r in sizes}, between, block_rows)
+    filled = np.flatnonzero(bundle >= 0)
+    held = np.zeros((len(filled), len(parts)), np.float32)
+    held[np.arange(len(filled)), bundle[filled]] = 1
+
+    def visited(d: np.ndarray, some: np.ndarray, own: np.ndarray, own_d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which of ``some`` cells, at distances ``d``, can hold a neighbour of rows of the cells ``own`` within ``bound``."""
+        gap = between[own][:, some]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            plane = np.where(gap > 0, (d * d - (own_d * own_d)[:, None]) / (2 * gap), 0.0)
+        low = np.maximum(np.maximum(d - far[some], plane), 0.0)
+        return low <= bound[:, None] * (1 + 1e-9) + 1e-9
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_stack(pdf["vec"]), centres)
-            own = pdf["cell"].to_numpy()
-            reach = d[:, cells] + radii[None, :]
-            place = min(k, reach.shape[1] - 1)  # one of the k + 1 nearest is the row itself
-            bound = np.partition(reach, place, axis=1)[:, place] if reach.shape[1] > k else np.full(len(d), np.inf)
-            own_d = d[np.arange(len(d)), own]
-            gap = between[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap > 0, (d * d - (own_d * own_d)[:, None]) / (2 * gap), 0.0)
-            low = np.maximum(np.maximum(d - far[None, :], plane), 0.0)
-            visit = (low <= bound[:, None] * (1 + 1e-9) + 1e-9) & np.isfinite(far)[None, :]
-            rows, target = np.nonzero(visit)
-            yield pd.DataFrame({"qid": pdf["id"].to_numpy()[rows], "qvec": pdf["vec"].to_numpy()[rows], "cell": target.astype("int32")})
-
-    asked = assigned if queries is None else assigned.join(queries.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
-    routed = asked.mapInPandas(route, "qid bigint, qvec array<double>, cell int")
-    blocks = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in sizes}
-    visits = {r["cell"]: max(1, -(-r["n"] // block_rows)) for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lookup = lambda table: F.element_at(
-        F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]), F.col("cell")
-    )
-    fan = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    keys = ["cell", "block", "chunk"]
-    queries = routed.withColumn("chunk", F.pmod(F.xxhash64("qid"), lookup(visits)).cast("int")).withColumn(
-        "block", fan(lookup(blocks))
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                d = _distances(_stack(part["vec"]), centres)
+                reach = d[:, cells] + radii[None, :]
+                place = min(k, reach.shape[1] - 1)  # one of the k + 1 nearest is the row itself
+                bound = np.partition(reach, place, axis=1)[:, place] if reach.shape[1] > k else np.full(len(d), np.inf)
+                visit = visited(d[:, filled], filled, part["cell"].to_numpy(), part["radius"].to_numpy(), bound)
+                to = [np.flatnonzero(x).astype("int32") for x in visit.astype(np.float32) @ held]
+                yield part.rename(columns={"id": "qid", "vec": "qvec", "cell": "own"}).assign(bound=bound, bundles=to)
+
+    asked = assigned if queries is None else assigned.join(queries.select(F.col(key).cast("bigint").alias("id")).distinct(), "id", "left_semi")
+    routed = cut_lineage(asked.select("id", "vec", "cell", "radius").mapInPandas(
+        route, f"qid bigint, qvec {vec_type}, own int, radius double, bound double, bundles array<int>"
+    )).withColumn("bundle", F.explode("bundles")).drop("bundles")
+    chunks = [0] * len(parts)
+    for r in routed.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect():
+        chunks[r["bundle"]] = -(-r["n"] // block_rows)
+    lookup = lambda table, at: F.get(F.array(*[F.lit(int(x)) for x in table]), F.col(at))
+    fan = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
+    keys = ["bundle", "block", "chunk"]
+    queries = routed.withColumn("chunk", F.pmod(F.xxhash64("qid"), lookup(chunks, "bundle")).cast("int")).withColumn(
+        "block", fan(lookup(parts, "bundle"))
     )
     objects = (
-        assigned.filter(F.col("cell").isin([int(c) for c in visits]))
-        .withColumn("block", F.pmod(F.xxhash64("id"), lookup(blocks)).cast("int"))
-        .withColumn("chunk", fan(lookup(visits)))
-        .select(*keys, "id", "vec")
+        assigned.withColumn("bundle", lookup(bundle, "cell"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), lookup(parts, "bundle")).cast("int"))
+        .withColumn("chunk", fan(lookup(chunks, "bundle")))
+        .select(*keys, "id", "vec", "cell")
     )
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "distance": pd.Series(dtype=float)})
-        if not len(left) or not len(right):
-            return empty
-        order = np.argsort(right["id"].to_numpy(), kind="stable")
-        ids, vecs = right["id"].to_numpy()[order], _stack(right["vec"])[order]
-        out = []
-        for i in range(0, len(left), 256):
-            part = left.iloc[i : i + 256]
-            src = part["qid"].to_numpy()
-            d = _distances(_stack(part["qvec"]), vecs)
-            d[src[:, None] == ids[None, :]] = np.inf
-            pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-            found = pd.DataFrame(
-                {"src": np.repeat(src, pick.shape[1]), "dst": ids[pick].ravel(), "distance": np.take_along_axis(d, pick, axis=1).ravel()}
-            )
-            out.append(found[np.isfinite(found["distance"])])
-        return pd.concat(out) if out else empty
+        found = []
+        if len(left) and len(right):
+            ids, vecs, cell = right["id"].to_numpy(), _stack(right["vec"]), right["cell"].to_numpy()
+            some = np.unique(cell)
+            left = left.sort_values("own", kind="stable")
+            for at in range(0, len(left), ROWS_AT_ONCE):
+                part = left.iloc[at : at + ROWS_AT_ONCE]
+                vec = _stack(part["qvec"])
+                d = _distances(vec, centres[some])
+                visit = visited(d, some, part["own"].to_numpy(), part["radius"].to_numpy(), part["bound"].to_numpy())
+                inside = np.isin(cell, some[visit.any(axis=0)])
+                if inside.any():
+                    found += list(nearest_pairs(ids[inside], vecs[inside], part["qid"].to_numpy(), vec, k))
+        src, dst, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+        return pd.DataFrame({"src": src, "dst": dst, "distance": distance})
 
     partial = queries.groupBy(*keys).cogroup(objects.groupBy(*keys)).applyInPandas(
         nearest, "src bigint, dst bigint, distance double"

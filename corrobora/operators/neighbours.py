@@ -22,6 +22,7 @@ BLOCK_BUCKETS = 8
 """Neighbouring buckets that make one block, the unit of a task's work."""
 
 MAX_HOT_BLOCKS = 100_000
+PAIRS_AT_ONCE = 1 << 16
 SALTS = 16
 
 
@@ -68,7 +69,7 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+def nearest_pairs(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(query ids, ids, distances) of the ``k`` nearest others, some hundreds of queries at a time.
 
     Products choose, with room for their rounding; the chosen pairs are measured by differences.
@@ -84,8 +85,10 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np
         place = min(k, len(ids)) - 1
         bound = np.partition(square + slack, place, axis=1)[:, place]
         row, col = np.nonzero((square - slack <= bound[:, None]) & np.isfinite(square))
-        apart = q[row] - vectors[col]
-        distance = np.sqrt((apart * apart).sum(axis=1))
+        distance = np.empty(len(row))
+        for at in range(0, len(row), PAIRS_AT_ONCE):  # where many are equally near, they are many
+            apart = q[row[at : at + PAIRS_AT_ONCE]] - vectors[col[at : at + PAIRS_AT_ONCE]]
+            distance[at : at + PAIRS_AT_ONCE] = np.sqrt((apart * apart).sum(axis=1))
         order = np.lexsort((ids[col], distance, row))
         row, col, distance = row[order], col[order], distance[order]
         first = np.searchsorted(row, row)
@@ -187,7 +190,7 @@ def approximate_neighbours(
             wanted = index.probes(t, asked, probes)
             for bucket in np.unique(homes):
                 inside, who = homes == bucket, (wanted == bucket).any(axis=1)
-                found += list(_nearest(ids[inside], vectors[inside], qids[who], asked[who], k))
+                found += list(nearest_pairs(ids[inside], vectors[inside], qids[who], asked[who], k))
         src, dst, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
         out = pd.DataFrame({"src": src, "dst": dst, "distance": distance}).sort_values(["src", "distance", "dst"])
         return out[out.groupby("src").cumcount() < k]

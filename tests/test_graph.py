@@ -28,6 +28,21 @@ def test_neighbours_are_exact_with_many_copies(spark, pivots, block):
     assert (got["dst"].to_numpy().reshape(-1, k) == want).all()
 
 
+def test_rows_are_sent_to_blocks_not_to_cells(spark):
+    """Where bounds prune nothing, a row visits every cell; it is sent once for each bundle of cells."""
+    between = np.abs(np.arange(6)[:, None] - np.arange(6)[None, :]).astype(float)
+    bundle, parts = gr._bundled({0: 3, 1: 4, 2: 25, 4: 5, 5: 5}, between, 10)
+    assert bundle.tolist() == [0, 0, 1, -1, 2, 2] and parts == [1, 3, 1]
+    x = np.random.default_rng(3).uniform(-1, 1, (400, 32))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "v": list(x)}))
+    found = gr.nearest_neighbours(df, "id", "v", 5, pivots=20, block_rows=4096)
+    got = found.toPandas().sort_values(["src", "rank"])
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert (got["dst"].to_numpy().reshape(-1, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+    assert len(got) == 5 * len(x)
+
+
 def test_neighbours_of_tiny_tables(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, v array<double>")
     assert {(r["src"], r["dst"]) for r in gr.nearest_neighbours(df, "id", "v", 5).collect()} == {(1, 2), (2, 1)}
