@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ WIDTH = 6.0
 DRAWS_AT_ONCE = 20
 """Draws of a stratum whose k-th hashes one task looks for."""
 
+GUIDE = 1 << 10
+"""Parts of the unit interval in which a binomial quantile is looked up."""
+
 HELD_HASHES = 1 << 21
 CELLS_AT_ONCE = 256
 GENES_AT_ONCE = 32
@@ -67,6 +71,7 @@ def word(*labels: object) -> int:
     return int(hashlib.md5("|".join(map(str, labels)).encode()).hexdigest()[:16], 16)
 
 
+@lru_cache(maxsize=256)
 def words(seed: int, scenario: str, reps: int) -> np.ndarray:
     """One label for each draw of a scenario."""
     return np.array([word(seed, scenario, r) for r in range(reps)], _U)
@@ -350,16 +355,21 @@ def library_totals(bits: DataFrame, plan: Plan) -> np.ndarray:
 
 
 class Binomials:
-    """Binomial quantiles of uniform numbers; the distribution of a count is made once."""
+    """Binomial quantiles of uniform numbers; the distribution of a count is made once.
+
+    Equal parts of the unit interval know their quantile where no step of the distribution falls inside; only in the others it is searched for.
+    """
 
     def __init__(self) -> None:
         self.known: dict[tuple[int, float], tuple[int, np.ndarray]] = {}
+        self.guides: dict[tuple[int, float], np.ndarray] = {}
 
     def cdf(self, n: int, p: float) -> tuple[int, np.ndarray]:
         """First value and running sums of the probabilities around the mean; what lies outside has less than 1e-30."""
         if (n, p) not in self.known:
             if len(self.known) > 1 << 14:
                 self.known.clear()
+                self.guides.clear()
             spread = 12 * np.sqrt(n * p * (1 - p)) + 40
             lo, hi = max(0, int(n * p - spread)), min(n, int(n * p + spread))
             k = np.arange(lo, hi + 1, dtype=float)
@@ -367,18 +377,33 @@ class Binomials:
             self.known[n, p] = lo, np.cumsum(np.exp(logs))
         return self.known[n, p]
 
+    def guide(self, n: int, p: float) -> np.ndarray:
+        """The quantile in each part of the unit interval, -1 where it takes a search."""
+        first, cdf = self.cdf(n, p)
+        if (n, p) not in self.guides:
+            ends = np.arange(GUIDE + 1) / GUIDE
+            least, most = np.searchsorted(cdf, ends[:-1], "right"), np.searchsorted(cdf, ends[1:], "left")
+            self.guides[n, p] = np.where(least == most, np.minimum(n, first + least), -1)
+        return self.guides[n, p]
+
     def draw(self, n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
         """Per row of ``u`` the draws for its count ``n``; counts are in ascending order."""
         if p >= 1:
             return np.broadcast_to(n[:, None], u.shape).copy()
-        out = np.zeros(u.shape, np.int64)
         values, starts = np.unique(n, return_index=True)
         cuts = [*starts, len(n)]
-        for value, lo, hi in zip(values.tolist(), cuts, cuts[1:]):
-            if value > 0:
+        table = np.stack([self.guide(value, p) if value > 0 else np.zeros(GUIDE, np.int64) for value in values.tolist()] or [np.zeros(GUIDE, np.int64)])
+        place = (u * GUIDE).astype(np.int64)
+        place += (np.searchsorted(values, n) * GUIDE)[:, None]
+        out = table.ravel().take(place).ravel()
+        open_ = np.flatnonzero(out < 0)
+        rest = u.ravel()[open_]
+        at = np.searchsorted(open_, np.array(cuts) * u.shape[1]).tolist()
+        for value, lo, hi in zip(values.tolist(), at, at[1:]):
+            if hi > lo:
                 first, cdf = self.cdf(value, p)
-                out[lo:hi] = np.minimum(value, first + np.searchsorted(cdf, u[lo:hi].ravel(), "right")).reshape(hi - lo, -1)
-        return out
+                out[open_[lo:hi]] = np.minimum(value, first + cdf.searchsorted(rest[lo:hi], "right"))
+        return out.reshape(u.shape)
 
 
 def thinned(n: np.ndarray, labels: np.ndarray, plan: Plan, binomials: Binomials) -> np.ndarray:

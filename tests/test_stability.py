@@ -164,3 +164,17 @@ def test_binomials_of_large_counts():
         got = b.draw(np.array([n]), p, u)[0]
         z = (got - n * p) / np.sqrt(n * p * (1 - p))
         assert (np.diff(got) >= 0).all() and abs(np.median(z)) < 0.8 and abs(z).max() < 4.5 and 0 <= got.min() <= got.max() <= n
+
+
+def test_looked_up_quantiles_are_the_searched_ones():
+    """Also on the steps themselves and next to the ends of the parts."""
+    b = st.Binomials()
+    for n, p in ((1, 0.25), (3, 0.5), (119, 0.75), (5000, 0.25)):
+        first, cdf = b.cdf(n, p)
+        ends = np.arange(st.GUIDE) / st.GUIDE
+        u = np.concatenate([np.random.default_rng(n).random(3000), ends, np.nextafter(ends[1:], 0), cdf[cdf < 1], np.nextafter(cdf[cdf < 1], 0)])
+        counts = np.array([0, n, n])
+        got = b.draw(counts, p, np.stack([u, u, u[::-1]]))
+        want = np.minimum(n, first + np.searchsorted(cdf, u, "right"))
+        assert (got[0] == 0).all() and (got[1] == want).all() and (got[2] == want[::-1]).all()
+        assert (b.guide(n, p) >= 0).mean() > 0.5
