@@ -41,8 +41,12 @@ def peaks(spark: SparkSession, d: str) -> DataFrame:
     return iv.closed_to_half_open(spans, "stop")
 
 
-def hits(spark: SparkSession, d: str) -> DataFrame:
-    return iv.point_in_interval(points(spark, d), peaks(spark, d), BIN_SECONDS)
+def hits(spark: SparkSession, d: str, known: DataFrame | None = None) -> DataFrame:
+    """Points, or those whose variant_id is in ``known``, with the peaks that hold them."""
+    asked = points(spark, d)
+    if known is not None:
+        asked = asked.join(known, "variant_id", "left_semi")
+    return iv.point_in_interval(asked, peaks(spark, d), BIN_SECONDS)
 
 
 POINTS = """points AS (SELECT event_id AS variant_id, 'u' || user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS pos, event_type AS gene FROM events),

@@ -73,7 +73,7 @@ def regulatory_layers(spark: SparkSession, d: str) -> DataFrame:
         F.bool_or(F.col("l_returnflag") == "R").alias("eqtl"),
     )
     known = lines.select(F.col("l_suppkey").cast("long").alias("variant_id")).distinct()
-    opened = iv.overlap_labels(hits(spark, d).join(known, "variant_id", "left_semi"), "variant_id", "label", "types")
+    opened = iv.overlap_labels(hits(spark, d, known), "variant_id", "label", "types")
     labels = F.create_map(*[F.lit(x) for pair in LABEL_OF.items() for x in pair])
     context = baseline(b.cube(spark, d), b.TYPES).select("gene_id", labels[F.col("baseline_top_type")].alias("wanted"))
     pairs = join_statistics(linked, opened, ["variant_id"], "left").join(context, "gene_id", "left")

@@ -23,3 +23,14 @@ def test_layer_counts(spark):
     pairs = spark.createDataFrame([(1, 7, True, None), (2, 7, True, False), (3, 8, False, True)], "v long, g long, contact boolean, eqtl boolean")
     got = {r["g"]: (r["n_contact"], r["n_eqtl"]) for r in sc.layer_counts(pairs, "g", ["contact", "eqtl"]).collect()}
     assert got == {7: (2, 0), 8: (0, 1)}
+
+
+def test_only_the_asked_points_meet_intervals(spark):
+    """The evidence matrix asks for few points; all others would only be thrown away after the join."""
+    from corrobora.plans import intervals
+
+    folder = "/root/testdata/sf0.001"
+    known = spark.range(20).withColumnRenamed("id", "variant_id")
+    rows = lambda df: sorted(map(tuple, df.select("variant_id", "peak_id", "label").collect()))
+    some = intervals.hits(spark, folder, known)
+    assert rows(some) == rows(intervals.hits(spark, folder).filter("variant_id < 20")) and some.count() >= 20
