@@ -23,6 +23,11 @@ BLOCK_BUCKETS = 8
 
 MAX_HOT_BLOCKS = 100_000
 PAIRS_AT_ONCE = 1 << 16
+QUERIES_AT_ONCE = 4096
+"""Queries of a block whose finds are held before they are cut to the nearest."""
+
+TRIAL_QUERIES = 128
+"""Vectors, chosen by a hash of their id, on whose exact neighbours among all the number of probes is tried."""
 SALTS = 16
 
 
@@ -110,6 +115,37 @@ def _distinct(data: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return members, reps
 
 
+def _trial(reps: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the trial queries and of their exact neighbours among all, pair by pair."""
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = pdf["rep"].to_numpy()
+            found = list(nearest_pairs(ids, _matrix(pdf["vec"]), qids, queries, k)) if len(pdf) else []
+            src, dst, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+            yield pd.DataFrame({"src": src, "dst": dst, "distance": distance})
+
+    near = Window.partitionBy("src").orderBy("distance", "dst")
+    best = reps.select("rep", "vec").mapInPandas(measured, "src long, dst long, distance double")
+    best = best.withColumn("_n", F.row_number().over(near)).filter(F.col("_n") <= k)
+    pairs = best.join(reps.select(F.col("rep").alias("dst"), "vec"), "dst").select("src", "vec").collect()
+    place = {q: i for i, q in enumerate(qids.tolist())}
+    return queries[[place[r["src"]] for r in pairs]], np.array([r["vec"] for r in pairs], dtype=float).reshape(len(pairs), queries.shape[1])
+
+
+def _probes_for(index: Projections, asked: np.ndarray, true: np.ndarray, goal: float) -> int | None:
+    """The least number of probes by which ``goal`` of the true pairs meet in a table; none if all probes are too few."""
+    if not len(asked):
+        return 1
+    most = 1 << min(index.bits, FLIPPED_BITS)
+    least = np.full(len(asked), most + 1)
+    for t in range(len(index.directions)):
+        met = index.probes(t, asked, most) == index.homes(t, true)[:, None]
+        least = np.minimum(least, np.where(met.any(axis=1), met.argmax(axis=1) + 1, most + 1))
+    enough = int(np.sort(least)[min(len(least) - 1, math.ceil(goal * len(least)) - 1)])
+    return enough if enough <= most else None
+
+
 def approximate_neighbours(
     df: DataFrame,
     key: str,
@@ -120,12 +156,14 @@ def approximate_neighbours(
     bucket_rows: int = 1024,
     seed: int = 1,
     queries: DataFrame | None = None,
+    recall_goal: float = 0.97,
 ) -> DataFrame:
     """Up to ``k`` near other rows of every row (or of those whose key is in ``queries``), as ``(src, dst, distance, rank)``.
 
     Every distinct vector is filed in one bucket of each table; buckets grow in number with the rows, so one holds about
     ``bucket_rows``. A query looks into the ``probes`` buckets of each table that lie nearest, so it meets about
-    ``tables * probes * bucket_rows`` vectors however many there are, and more probes give more recall. Distances are exact, equal ones
+    ``tables * probes * bucket_rows`` vectors however many there are, and more probes give more recall. ``probes`` is the least number: for some vectors the exact neighbours are
+    found among all, and probes are added, or buckets made larger, until ``recall_goal`` of those lie in the probed buckets. Distances are exact, equal ones
     are ordered by id. Copies of one vector are searched once and always found. A block of buckets that many vectors
     share is dealt to several tasks, with each part's queries; none is left out. Rows whose key or vector is null, or whose vector has a null or
     non-finite component, take no part; vectors must have one length.
@@ -136,11 +174,20 @@ def approximate_neighbours(
     data = df.select(F.col(key).cast("long").alias("id"), F.col(features).alias("vec")).filter(clean).filter(finite)
     members, reps = _distinct(data, k)
     n = reps.count()
-    sample = [r["vec"] for r in reps.orderBy(draw_hash(F.lit(seed), F.col("rep")), "rep").limit(SAMPLE_ROWS).select("vec").collect()]
+    chosen = reps.orderBy(draw_hash(F.lit(seed), F.col("rep")), "rep").limit(SAMPLE_ROWS).select("rep", "vec").collect()
+    sample = [r["vec"] for r in chosen]
     if not sample:
         return spark.createDataFrame([], "src bigint, dst bigint, distance double, rank int")
     bits = min(MAX_BITS, max(0, math.ceil(math.log2(n / bucket_rows))))
-    index = Projections.fitted(np.array(sample, dtype=float), tables, bits, seed)
+    fitted = np.array(sample, dtype=float)
+    trial = _trial(reps, np.array([r["rep"] for r in chosen[:TRIAL_QUERIES]]), fitted[:TRIAL_QUERIES], k)
+    while True:
+        index = Projections.fitted(fitted, tables, bits, seed)
+        enough = _probes_for(index, *trial, recall_goal)
+        if enough is not None or bits == 0:
+            break
+        bits -= 1
+    probes = max(probes, enough or 1)
     low = min(bits, int(math.log2(BLOCK_BUCKETS)))
     vec_type = reps.schema["vec"].dataType.simpleString()
 
@@ -187,13 +234,22 @@ def approximate_neighbours(
             ids, vectors = right["id"].to_numpy()[order], _matrix(right["vec"])[order]
             homes = index.homes(t, vectors)
             qids, asked = left["id"].to_numpy(), _matrix(left["vec"])
-            wanted = index.probes(t, asked, probes)
-            for bucket in np.unique(homes):
-                inside, who = homes == bucket, (wanted == bucket).any(axis=1)
-                found += list(nearest_pairs(ids[inside], vectors[inside], qids[who], asked[who], k))
+            buckets = [(bucket, homes == bucket) for bucket in np.unique(homes)]
+            for at in range(0, len(qids), QUERIES_AT_ONCE):
+                some, own = asked[at : at + QUERIES_AT_ONCE], qids[at : at + QUERIES_AT_ONCE]
+                wanted = index.probes(t, some, probes)
+                near = []
+                for bucket, inside in buckets:
+                    who = (wanted == bucket).any(axis=1)
+                    near += list(nearest_pairs(ids[inside], vectors[inside], own[who], some[who], k))
+                if near:
+                    src, dst, distance = (np.concatenate(x) for x in zip(*near))
+                    order = np.lexsort((dst, distance, src))
+                    src, dst, distance = src[order], dst[order], distance[order]
+                    keep = np.arange(len(src)) - np.searchsorted(src, src) < k
+                    found.append((src[keep], dst[keep], distance[keep]))
         src, dst, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
-        out = pd.DataFrame({"src": src, "dst": dst, "distance": distance}).sort_values(["src", "distance", "dst"])
-        return out[out.groupby("src").cumcount() < k]
+        return pd.DataFrame({"src": src, "dst": dst, "distance": distance})
 
     keys = ["tab", "block", "part", "chunk"]
     schema = f"tab int, block long, part long, chunk long, id long, vec {vec_type}"

@@ -87,3 +87,12 @@ def test_work_grows_slower_than_the_square():
         sizes = [np.bincount(index.homes(t, x), minlength=1 << index.bits) for t in range(4)]
         met.append(np.mean([sizes[t][index.probes(t, x[:200], 8)].sum(axis=1).mean() for t in range(4)]))
     assert met[1] < 1.5 * met[0]
+
+
+def test_probes_are_added_until_the_goal_is_reached(spark):
+    """Uniform vectors in many dimensions, small buckets and one probe: without more probes most neighbours would be missed."""
+    x = np.random.default_rng(5).uniform(-1, 1, (3000, 32))
+    want = brute(x)
+    got = of(nb.approximate_neighbours(frame(spark, x), "id", "v", K, tables=4, probes=1, bucket_rows=32))
+    hits = sum(len(set(g["dst"]) & set(want[s])) for s, g in got.groupby("src"))
+    assert hits >= 0.94 * want.size
