@@ -32,8 +32,8 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near.representatives(docs, words=SHINGLE_WORDS).select(*COLUMNS)
+    """One document of each group of near-duplicates, by SimHash and, as it misses many copies at 0.8, by similarity."""
+    return near.representatives(docs, words=SHINGLE_WORDS, by_simhash=True).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

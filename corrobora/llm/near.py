@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corrobora.llm import simhash
 from corrobora.llm.components import components
 from corrobora.session import cut_lineage, join_statistics, scratch_path
 
@@ -79,13 +80,15 @@ def keys(prints: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _marked(words: int):
+def _marked(words: int, by_simhash: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes(t.as_py(), words) for t in batch.column("text")]
+            texts = batch.column("text")
+            fps = np.array([simhash.fingerprint(t.as_py(), words) if by_simhash else 0 for t in texts], np.uint64).view(np.int64)
+            found = [hashes(t.as_py(), words) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
             prints = pa.array([sketch(h).tobytes() for h in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), prints], names=["row", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(nodes), prints, pa.array(fps)], names=["row", "node", "sketch", "fp"])
 
     return run
 
@@ -243,19 +246,32 @@ def linked(marked: DataFrame, words: int) -> DataFrame:
     return components(edges.unionByName(more))
 
 
-def representatives(docs: DataFrame, words: int = 5) -> DataFrame:
+def simhash_edges(marked: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the nodes whose SimHash fingerprints ``fp`` are equal or differ in two bits at most."""
+    pairs = cut_lineage(marked.select("node", "fp").distinct())
+    least = cut_lineage(pairs.groupBy("fp").agg(F.min("node").alias("least")))
+    equal = join_statistics(pairs, least, ["fp"]).filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    named = lambda fp, end: least.select(F.col("fp").alias(fp), F.col("least").alias(end))
+    found = simhash.links(least.select("fp")).withColumnsRenamed({"u": "fp_u", "v": "fp_v"})
+    return equal.unionByName(found.join(named("fp_u", "u"), "fp_u").join(named("fp_v", "v"), "fp_v").select("u", "v"))
+
+
+def representatives(docs: DataFrame, words: int = 5, by_simhash: bool = False) -> DataFrame:
     """``docs`` without near copies: of each component the row of the least (doc_id, set of shingles) stays, null ids last.
 
     Equal rows of one doc_id are one document and stay or go together; of rows without an id one stays. Null texts and texts
     without words have the same, empty set and are copies of each other. Texts are read whole, whatever their length; a text with
     fewer words than a shingle has one shingle. An empty table stays empty. Other columns may have any name and are kept.
+    With ``by_simhash`` texts whose SimHash fingerprints link (:mod:`corrobora.llm.simhash`) are near copies too.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "near-copies")
     rows = docs.select(F.struct("*").alias("row"), "text")
-    rows.mapInArrow(_marked(words), f"row {rows.schema['row'].dataType.simpleString()}, node long, sketch binary").write.parquet(path)
+    rows.mapInArrow(_marked(words, by_simhash), f"row {rows.schema['row'].dataType.simpleString()}, node long, sketch binary, fp long").write.parquet(path)
     marked = spark.read.parquet(path)
     groups = linked(marked, words)
+    if by_simhash:
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(simhash_edges(marked)))
     ids = marked.groupBy("node").agg(F.min("row.doc_id").alias("least"))
     ids = ids.join(groups, "node", "left").withColumn("root", F.coalesce("component", "node"))
     first = F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("m")

@@ -601,3 +601,16 @@ def test_index_meets_planted_copies(changes):
         a, b = near.sketch(x), near.sketch(y)
         met += bool(set(near.keys(a).ravel().tolist()) & set(near.keys(b).ravel().tolist())) and (a == b).sum() >= near.LEAST_EQUAL
     assert met >= 0.99 * n
+
+
+def test_near_copies_by_simhash(spark):
+    """Equal fingerprints, but few shared shingles: SimHash links them, the similarity does not."""
+    often = "a " * 60
+    data = [(3, often + "b c d e f g h"), (5, often + "i j k l m n o"), (9, "nothing of this kind stands in any other text")]
+    assert simhash.fingerprint(data[0][1], 5) == simhash.fingerprint(data[1][1], 5)
+    frame = spark.createDataFrame([(d, t, None, None, 0) for d, t in data], SCHEMA)
+    assert sorted(r.doc_id for r in near.representatives(frame).collect()) == [3, 5, 9]
+    import corpus_pipeline
+
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
