@@ -101,15 +101,23 @@ def t_magnitude(p: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.exp(x)
 
 
+def _nulls(values: np.ndarray) -> pd.Series:
+    """Values with NULL for NaN; objects only where there are any."""
+    missing = np.isnan(values)
+    return pd.Series(values).astype(object).where(~missing, None) if missing.any() else pd.Series(values)
+
+
 def _standard_error(beta: pd.Series, p: pd.Series, df: pd.Series) -> pd.Series:
     b, q, n = (s.to_numpy(dtype=float, na_value=np.nan) for s in (beta, p, df))
     with np.errstate(all="ignore"):
         usable = np.isfinite(b) & (b != 0) & (q > 0) & (q < 1) & np.isfinite(n) & (n > 0)
         out = np.full(b.shape, np.nan)
         if usable.any():
-            out[usable] = np.abs(b[usable]) / t_magnitude(q[usable], n[usable])
+            # equal pairs of a p-value and its degrees of freedom are inverted once
+            pairs, place = np.unique(q[usable] + 1j * n[usable], return_inverse=True)
+            out[usable] = np.abs(b[usable]) / t_magnitude(pairs.real, pairs.imag)[place]
         out[~(np.isfinite(out) & (out > 0))] = np.nan
-    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+    return _nulls(out)
 
 
 def _two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
@@ -118,8 +126,9 @@ def _two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     usable = np.isfinite(v) & (n > 0)
     with np.errstate(all="ignore"):
         if usable.any():
-            out[usable] = t_two_sided(v[usable], n[usable])
-    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+            pairs, place = np.unique(v[usable] + 1j * n[usable], return_inverse=True)
+            out[usable] = t_two_sided(pairs.real, pairs.imag)[place]
+    return _nulls(out)
 
 
 def binomial_quantile(u: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:

@@ -148,56 +148,102 @@ def abf_table(shared: DataFrame, gwas_sd: float, qtl_sds: Sequence[float]) -> Da
     return base.withColumn("qtl_sd", sds).withColumn("l2", log_abf(F.col("beta"), F.col("se"), F.col("qtl_sd")))
 
 
-def expand_settings(abf: DataFrame, half_windows: Sequence[int], policies: Sequence[str]) -> DataFrame:
-    """Repeat each variant for the windows and allele policies that keep it."""
-    options = [
-        F.when(
-            (F.abs(F.col("pos") - F.col("index_pos")) <= w)
-            & (F.lit(policy == "exact_all") | ~F.col("palindromic")),
-            F.struct(F.lit(w).cast("bigint").alias("half_window"), F.lit(policy).alias("allele_policy")),
+def setting_base(shared: DataFrame, gwas_sd: float, qtl_sds: Sequence[float]) -> DataFrame:
+    """One row per variant with its log Bayes factors, the second trait's as one column ``l2_i`` for each prior SD."""
+    return shared.select(
+        "region", "variant_key", "pos", "index_pos", "palindromic",
+        log_abf(F.col("gwas_beta"), F.col("gwas_se"), F.lit(float(gwas_sd))).alias("l1"),
+        *[log_abf(F.col("beta"), F.col("se"), F.lit(float(s))).alias(f"l2_{i}") for i, s in enumerate(qtl_sds)],
+    )
+
+
+def _kept_by(half_window: int, policy: str) -> Column:
+    inside = F.abs(F.col("pos") - F.col("index_pos")) <= half_window
+    return inside if policy == "exact_all" else inside & ~F.col("palindromic")
+
+
+def _unfolded(
+    wide: DataFrame, names: Sequence[str], qtl_sds: Sequence[float], half_windows: Sequence[int], policies: Sequence[str]
+) -> DataFrame:
+    """A row for each setting of a region from columns ``<name>_<option>_<prior>``; settings without any variant have none."""
+    rows = [
+        F.struct(
+            F.lit(w).cast("bigint").alias("half_window"), F.lit(policy).alias("allele_policy"), F.lit(float(s)).alias("qtl_sd"),
+            *[F.col(f"{n}_{o}_{i}").alias(n) for n in names],
         )
-        for w, policy in product(half_windows, policies)
+        for o, (w, policy) in enumerate(product(half_windows, policies))
+        for i, s in enumerate(qtl_sds)
     ]
-    kept = F.filter(F.array(*options), lambda s: s.isNotNull())
-    return abf.withColumn("_s", F.explode(kept)).select("*", "_s.*").drop("_s")
+    return wide.select("region", F.explode(F.array(*rows)).alias("_s")).select("region", "_s.*").filter("n_variants > 0")
 
 
-def coloc_sums(abf: DataFrame, groups: Sequence[str], key: str = "variant_key") -> DataFrame:
-    """Sufficient sums per group for the five hypothesis weights, in two aggregations.
+def setting_sums(
+    base: DataFrame, qtl_sds: Sequence[float], half_windows: Sequence[int], policies: Sequence[str], plain: bool = False
+) -> DataFrame:
+    """:func:`coloc_sums` of every setting of every region, from variants that are not repeated for the settings.
 
-    Every exponential is scaled by its group maximum. The sum over *different* variants,
-    sum(i != j) a_i b_j, singles out the row with the largest b: the remaining difference is
-    bounded by terms that are also added, so nothing is lost to cancellation.
+    ``base`` comes from :func:`setting_base`. All settings are columns of one row for each region, so that a shuffle moves a variant once.
+    ``plain`` gives the sums of plain exponentials instead, for :func:`coloc_cross_check`.
     """
-    groups = list(groups)
-    peaks = abf.groupBy(*groups).agg(
-        F.max("l1").alias("_m1"),
-        F.max("l2").alias("_m2"),
-        F.max(F.col("l1") + F.col("l2")).alias("_m12"),
-        F.max_by(key, F.struct("l2", key)).alias("_peak"),
+    options = [(o, _kept_by(w, policy)) for o, (w, policy) in enumerate(product(half_windows, policies))]
+    priors = [(i, F.col(f"l2_{i}")) for i in range(len(qtl_sds))]
+    grid = [(f"{o}_{i}", keep, l2) for (o, keep), (i, l2) in product(options, priors)]
+    l1 = F.col("l1")
+    if plain:
+        cols = []
+        for at, keep, l2 in grid:
+            pick = lambda x, keep=keep: F.sum(F.when(keep, x))
+            cols += [F.count_if(keep).alias(f"n_variants_{at}"), pick(F.exp(l1)).alias(f"_a_{at}"), pick(F.exp(l2)).alias(f"_b_{at}"), pick(F.exp(l1) * F.exp(l2)).alias(f"_ab_{at}")]
+        return _unfolded(base.groupBy("region").agg(*cols), ["n_variants", "_a", "_b", "_ab"], qtl_sds, half_windows, policies)
+    peaks = base.groupBy("region").agg(
+        *[F.max(F.when(keep, x)).alias(f"{n}_{at}") for at, keep, l2 in grid for n, x in (("_m1", l1), ("_m2", l2), ("_m12", l1 + l2))]
     )
+    met = join_statistics(base, peaks, ["region"])
+    # the rows of a region stand together after the join, so a task has few sums to pass on
+    fields = [
+        F.when(
+            keep,
+            F.struct(
+                F.lit(n).alias("at"), l2.alias("l2"), *[F.col(f"{m}_{at}").alias(m) for m in ("_m1", "_m2", "_m12")],
+            ),
+        )
+        for n, (at, keep, l2) in enumerate(grid)
+    ]
+    rows = met.select("region", "l1", F.explode(F.array(*fields)).alias("_s")).filter("_s IS NOT NULL").select("region", "l1", "_s.*")
+    sums = _scaled_sums(rows, ["region", "at"])
+    places = [(w, policy, float(sd)) for (w, policy), sd in product(product(half_windows, policies), qtl_sds)]
+    told = lambda k, kind: F.get(F.array(*[F.lit(v[k]).cast(kind) for v in places]), F.col("at"))
+    named = [told(0, "bigint").alias("half_window"), told(1, "string").alias("allele_policy"), told(2, "double").alias("qtl_sd")]
+    return sums.select("region", *named, *[c for c in sums.columns if c not in ("region", "at")])
+
+
+def _scaled_sums(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """The sums of groups whose rows know their group's greatest ``l1``, ``l2`` and ``l1 + l2``.
+
+    The sum over *different* variants, sum(i != j) a_i b_j, singles out the rows with the largest b, which is then one, be they one or
+    several: what is subtracted is bounded by terms that are also added, so nothing is lost to cancellation.
+    """
     a, b = F.exp(F.col("l1") - F.col("_m1")), F.exp(F.col("l2") - F.col("_m2"))
     ab = F.exp(F.col("l1") + F.col("l2") - F.col("_m12"))
-    rest = F.col(key) != F.col("_peak")
+    rest = ~F.coalesce(F.col("l2") == F.col("_m2"), F.lit(False))
     zero = F.lit(0.0)
-    sums = (
-        join_statistics(abf, peaks, groups)
-        .groupBy(*groups, "_m1", "_m2", "_m12", "_peak")
-        .agg(
-            F.count(F.lit(1)).alias("n_variants"),
-            F.count_if(~finite(F.col("l1")) | ~finite(F.col("l2"))).alias("_invalid"),
-            F.sum(a).alias("_a"),
-            F.sum(b).alias("_b"),
-            F.sum(ab).alias("_ab"),
-            F.coalesce(F.sum(F.when(rest, a)), zero).alias("_a_rest"),
-            F.coalesce(F.sum(F.when(rest, b)), zero).alias("_b_rest"),
-            F.coalesce(F.sum(F.when(rest, a * b)), zero).alias("_ab_rest"),
-            F.sum(F.when(~rest, a)).alias("_a_peak"),
-        )
+    some = lambda x: F.coalesce(F.sum(x), zero)
+    sums = rows.groupBy(*groups).agg(
+        *[F.max(c).alias(c) for c in ("_m1", "_m2", "_m12")],
+        F.count(F.lit(1)).alias("n_variants"),
+        F.count_if(~finite(F.col("l1")) | ~finite(F.col("l2"))).alias("_invalid"),
+        F.sum(a).alias("_a"),
+        F.sum(b).alias("_b"),
+        F.sum(ab).alias("_ab"),
+        some(F.when(rest, a)).alias("_a_rest"),
+        some(F.when(rest, b)).alias("_b_rest"),
+        some(F.when(rest, a * b)).alias("_ab_rest"),
+        some(F.when(~rest, a)).alias("_a_peak"),
+        F.count_if(~rest).alias("_peaks"),
     )
     different = (
-        F.col("_a_rest")
-        + F.col("_a_peak") * F.col("_b_rest")
+        F.col("_a_rest") * F.col("_peaks")
+        + F.col("_a_peak") * (F.col("_b_rest") + F.col("_peaks") - 1)
         + F.greatest(F.col("_a_rest") * F.col("_b_rest") - F.col("_ab_rest"), zero)
     )
     return sums.select(
@@ -211,6 +257,18 @@ def coloc_sums(abf: DataFrame, groups: Sequence[str], key: str = "variant_key")
     )
 
 
+def coloc_sums(abf: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Sufficient sums per group for the five hypothesis weights, in two aggregations.
+
+    Every exponential is scaled by its group maximum.
+    """
+    groups = list(groups)
+    peaks = abf.groupBy(*groups).agg(
+        F.max("l1").alias("_m1"), F.max("l2").alias("_m2"), F.max(F.col("l1") + F.col("l2")).alias("_m12")
+    )
+    return _scaled_sums(join_statistics(abf, peaks, groups), groups)
+
+
 def coloc_posteriors(sums: DataFrame, p1: float, p2: float, p12s: Sequence[float], decision: float = 0.8) -> DataFrame:
     """Posteriors of H0..H4 for each p12, with the conditional ratio, winner and decision.
 
@@ -253,13 +311,13 @@ def coloc_posteriors(sums: DataFrame, p1: float, p2: float, p12s: Sequence[float
     )
 
 
-def coloc_cross_check(abf: DataFrame, posteriors: DataFrame, groups: Sequence[str], p1: float, p2: float) -> DataFrame:
-    """Posteriors again by plain exponentials and sum(a) sum(b) - sum(ab); rows that overflow are flagged."""
+def coloc_cross_check(plain: DataFrame, posteriors: DataFrame, groups: Sequence[str], p1: float, p2: float) -> DataFrame:
+    """Posteriors again by plain exponentials and sum(a) sum(b) - sum(ab); rows that overflow are flagged.
+
+    ``plain`` has the sums of plain exponentials of each group, from :func:`setting_sums`.
+    """
     groups = list(groups)
-    plain = abf.groupBy(*groups).agg(
-        F.sum(F.exp("l1")).alias("_a"), F.sum(F.exp("l2")).alias("_b"), F.sum(F.exp("l1") * F.exp("l2")).alias("_ab")
-    )
-    j = posteriors.join(plain, groups)
+    j = posteriors.join(plain.select(*groups, "_a", "_b", "_ab"), groups)
     different = F.col("_a") * F.col("_b") - F.col("_ab")
     w = [F.lit(1.0), F.lit(p1) * F.col("_a"), F.lit(p2) * F.col("_b"), F.lit(p1 * p2) * different, F.col("p12") * F.col("_ab")]
     total = reduce(lambda x, y: x + y, w)

@@ -87,8 +87,12 @@ def shared(spark: SparkSession, d: str) -> DataFrame:
 
 
 def settings(spark: SparkSession, d: str) -> DataFrame:
-    """Bayes factors per prior, each variant repeated for the settings that keep it; written once, read twice."""
-    return cut_lineage(ss.expand_settings(ss.abf_table(shared(spark, d), GWAS_SD, QTL_SDS), WINDOWS, POLICIES))
+    """Variants with their Bayes factors per prior, one row each, written once and read twice."""
+    return cut_lineage(ss.setting_base(shared(spark, d), GWAS_SD, QTL_SDS))
+
+
+def setting_fits(base: DataFrame) -> DataFrame:
+    return ss.coloc_posteriors(ss.setting_sums(base, QTL_SDS, WINDOWS, POLICIES), P1, P2, P12)
 
 
 BASE_SQL = """part0 AS (SELECT p_partkey AS pos, CASE WHEN p_size = 50 THEN 'N' ELSE substr('ACGT', 1 + p_size % 4, 1) END AS q_effect,
@@ -244,7 +248,7 @@ def group_log_sum_exp(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posteriors(spark: SparkSession, d: str) -> DataFrame:
-    return ss.coloc_posteriors(ss.coloc_sums(settings(spark, d), GROUPS), P1, P2, P12)
+    return setting_fits(settings(spark, d))
 
 
 @query(
@@ -270,9 +274,9 @@ def colocalisation_posteriors(spark: SparkSession, d: str) -> DataFrame:
     f"{ALL_SQL} SELECT region, half_window, allele_policy, qtl_sd, p12, 0.0::DOUBLE AS max_abs_error, NOT isfinite(t) AS overflow FROM fit WHERE status = 'fitted'",
 )
 def colocalisation_cross_check(spark: SparkSession, d: str) -> DataFrame:
-    abf = settings(spark, d)
-    fitted = ss.coloc_posteriors(ss.coloc_sums(abf, GROUPS), P1, P2, P12).filter("status = 'fitted'")
-    out = ss.coloc_cross_check(abf, fitted, GROUPS, P1, P2)
+    base = settings(spark, d)
+    fitted = setting_fits(base).filter("status = 'fitted'")
+    out = ss.coloc_cross_check(ss.setting_sums(base, QTL_SDS, WINDOWS, POLICIES, plain=True), fitted, GROUPS, P1, P2)
     return out.withColumn("max_abs_error", rounded(F.col("max_abs_error"), 9))
 
 
@@ -317,11 +321,12 @@ SELECT region, n_variants, status, CASE WHEN status = 'fitted' THEN {r('pp_h4')}
 FROM fit JOIN tops USING (region) JOIN ranges USING (region) WHERE half_window = 1000000 AND allele_policy = 'exact_all' AND qtl_sd = 0.15 AND p12 = 1e-5""",
 )
 def primary_setting_summary(spark: SparkSession, d: str) -> DataFrame:
-    every = settings(spark, d)
+    base = settings(spark, d)
     primary = (F.col("half_window") == WINDOWS[0]) & (F.col("allele_policy") == "exact_all") & (F.col("qtl_sd") == 0.15)
-    abf = every.filter(primary)
-    fits = ss.coloc_posteriors(ss.coloc_sums(every, GROUPS), P1, P2, P12)
-    sets = ss.credible_set(ss.conditional_mass(abf, ss.coloc_sums(abf, ["region"]), ["region"]), ["region"])
+    abf = base.filter(F.abs(F.col("pos") - F.col("index_pos")) <= WINDOWS[0]).select("region", "variant_key", "l1", F.col(f"l2_{QTL_SDS.index(0.15)}").alias("l2"))
+    sums = cut_lineage(ss.setting_sums(base, QTL_SDS, WINDOWS, POLICIES))  # a row for each region and setting
+    fits = ss.coloc_posteriors(sums, P1, P2, P12)
+    sets = ss.credible_set(ss.conditional_mass(abf, sums.filter(primary), ["region"]), ["region"])
     ranges = ss.sensitivity(fits, ["region"]).select("region", "h4_min", "h4_max", "h4_supported_everywhere")
     fit = fits.filter(primary & (F.col("p12") == 1e-5)).select("region", "n_variants", "status", "pp_h4")
     out = ss.setting_summary(fit, sets, ranges, ["region"])

@@ -102,3 +102,24 @@ def test_credible_set_boundary(spark):
     df = spark.createDataFrame([("g", "a", 0.5), ("g", "b", 0.45), ("g", "c", 0.04), ("g", "d", 0.01)], "region string, variant_key string, h4_mass double")
     out = {r["variant_key"]: r["in_credible_set"] for r in ss.credible_set(df, ["region"], level=0.95).collect()}
     assert out["a"] and out["b"] and not out["d"]
+
+
+def test_settings_are_columns_and_not_rows(spark):
+    """All settings of a region at once against each of them alone; a variant goes through a shuffle once, not once a setting."""
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i % 3}", f"v{i}", i, 20, bool(i % 4 == 0), *map(float, rng.normal(0, 0.2, 2)), *map(float, rng.uniform(0.1, 0.3, 2))) for i in range(60)]
+    rows += [("tied", f"t{i}", 20, 20, False, 0.1 * i, 0.2, 0.1, 0.1) for i in range(3)]
+    shared = spark.createDataFrame(rows, "region string, variant_key string, pos long, index_pos long, palindromic boolean, gwas_beta double, beta double, gwas_se double, se double")
+    base = ss.setting_base(shared, 0.2, [0.1, 0.3])
+    assert base.count() == shared.count()
+    got = {tuple(r)[:4]: r for r in ss.setting_sums(base, [0.1, 0.3], [100, 9], ["exact_all", "exclude_palindromic"]).collect()}
+    plain = {tuple(r)[:4]: r for r in ss.setting_sums(base, [0.1, 0.3], [100, 9], ["exact_all", "exclude_palindromic"], plain=True).collect()}
+    assert got.keys() == plain.keys() and len(got) == 3 * 8 + 1 * 8
+    for (region, width, policy, sd), r in got.items():
+        kept = [x for x in rows if x[0] == region and abs(x[2] - x[3]) <= width and not (policy != "exact_all" and x[4])]
+        bayes = lambda beta, se, w: 0.5 * (math.log(se**2) - math.log(se**2 + w**2) + w**2 / (se**2 + w**2) * (beta / se) ** 2)
+        a, b = (np.exp([bayes(x[i], x[i + 2], w) for x in kept]) for i, w in ((5, 0.2), (6, sd)))
+        assert r.n_variants == len(kept) and r.finite_input
+        apart = sum(a[i] * b[j] for i in range(len(a)) for j in range(len(a)) if i != j)
+        np.testing.assert_allclose([r.lse1, r.lse2, r.lse_same, r.lse_different], np.log([a.sum(), b.sum(), (a * b).sum(), apart]), rtol=1e-10)
+        np.testing.assert_allclose([plain[region, width, policy, sd][c] for c in ("_a", "_b", "_ab")], [a.sum(), b.sum(), (a * b).sum()], rtol=1e-10)
