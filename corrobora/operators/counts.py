@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -217,17 +218,47 @@ def pseudobulk(
     ``genes`` has ``gene_id`` and ``gene_in_matrix``: a gene without a column in the matrix
     keeps NULL values everywhere, a gene with one has true zeros where no count is stored.
     """
-    keys = ["qc", "donor", "cell_type"]
-    # sums arrive partitioned by this join's key; tiers are unfolded after it
-    frame = scaffold(genes.select("gene_id", "gene_in_matrix"), donor=donors, cell_type=types)
-    joined = _tiers(
-        frame.join(sums, ["donor", "cell_type", "gene_id"], "left"),
-        ["donor", "cell_type", "gene_id", "gene_in_matrix"],
-        SUM_COLUMNS,
+    frame = cube_frame(sums, genes, donors, types)
+    rows = _tiers(frame, ["donor", "cell_type", "gene_id", "gene_in_matrix"], SUM_COLUMNS)
+    return cube_values(rows, totals, donors, types, minimum)
+
+
+def tiers_apart(frame: DataFrame) -> DataFrame:
+    """A stored :func:`cube_frame` as rows of the tiers, each read by itself, so that who wants one reads only its columns."""
+    keys = ["donor", "cell_type", "gene_id", "gene_in_matrix"]
+    one = lambda t: frame.select(F.lit(t).alias("qc"), *keys, *[F.col(f"{p}_{t}").alias(n) for p, n in SUM_COLUMNS.items()])
+    return reduce(DataFrame.unionByName, map(one, TIERS))
+
+
+def cube_frame(sums: DataFrame, genes: DataFrame, donors: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """The sums of both tiers side by side for every listed gene, donor and type."""
+    # genes meet their sums before they are repeated for the groups, and a gene's rows stay together: who groups them by gene
+    # combines them in the task that reads them; tiers are unfolded after that
+    number = lambda of, c: F.array_position(F.array(*[F.lit(x) for x in of]), F.col(c)) - 1
+    n_types, values = len(types), [c for c in sums.columns if c.startswith("_")]
+    own = (
+        sums.filter(F.col("donor").isin(list(donors)) & F.col("cell_type").isin(list(types)))
+        .withColumn("_at", (number(donors, "donor") * n_types + number(types, "cell_type")).cast("int"))
+        .groupBy("gene_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_at", F.struct(*values)))).alias("_own"))
+    )
+    groups = F.array(
+        *[
+            F.struct(F.lit(d).alias("donor"), F.lit(t).alias("cell_type"), F.try_element_at("_own", F.lit(i * n_types + j)).alias("_v"))
+            for i, d in enumerate(donors)
+            for j, t in enumerate(types)
+        ]
     )
+    frame = genes.select("gene_id", "gene_in_matrix").join(own, "gene_id", "left").select("gene_id", "gene_in_matrix", F.explode(groups).alias("_g"))
+    return frame.select("gene_id", "gene_in_matrix", "_g.donor", "_g.cell_type", "_g._v.*")
+
+
+def cube_values(rows: DataFrame, totals: DataFrame, donors: Sequence[str], types: Sequence[str], minimum: int) -> DataFrame:
+    """The cube's values from the sums of one tier a row and the groups' totals."""
+    keys = ["qc", "donor", "cell_type"]
     # at most tiers x donors x types rows, all of them declared lists
     groups = totals.filter(F.col("donor").isin(list(donors)) & F.col("cell_type").isin(list(types)))
-    joined = joined.join(F.broadcast(groups), keys, "left")
+    joined = rows.join(F.broadcast(groups), keys, "left")
     n = F.coalesce("n_cells", F.lit(0))
     seen = (n > 0) & F.col("gene_in_matrix")
     gene_sum = F.when(seen, F.coalesce("sum_gene", F.lit(0)))

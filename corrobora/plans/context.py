@@ -183,9 +183,10 @@ def _second_study(spark: SparkSession, d: str) -> DataFrame:
         line.join(cells, "cell_id").groupBy("donor", "cell_type", "gene_id").agg(F.sum("umi").alias("sum_gene"))
     )
     totals = sums.groupBy("donor", "cell_type").agg(F.sum("sum_gene").alias("sum_all"))
-    frame = ops.scaffold(sums.select("gene_id").distinct(), donor=SECOND_DONORS, cell_type=b.TYPES)
+    listed = sums.select("gene_id").distinct().withColumn("gene_in_matrix", F.lit(True))
+    frame = ops.cube_frame(sums.withColumnRenamed("sum_gene", "_g"), listed, SECOND_DONORS, b.TYPES).withColumnRenamed("_g", "sum_gene")
     # the declared donors and types bound the totals
-    joined = frame.join(F.broadcast(totals), ["donor", "cell_type"], "left").join(sums, ["donor", "cell_type", "gene_id"], "left")
+    joined = frame.join(F.broadcast(totals), ["donor", "cell_type"], "left")
     cpm = F.lit(1e6) * F.coalesce("sum_gene", F.lit(0)) / F.col("sum_all")
     return joined.select("gene_id", "donor", "cell_type", F.when(F.col("sum_all") > 0, F.log1p(cpm)).alias("log1p_cpm"))
 

@@ -196,3 +196,23 @@ def test_highest_class_prefers_declared_order(spark):
     df = spark.createDataFrame([("g", "B", 2.0), ("g", "A", 2.0), ("h", "B", -1.0), ("h", "A", -2.0)], "gene_id string, class string, value double")
     assert {r["gene_id"]: r["highest_class"] for r in ev.highest_class(df, ["A", "B"]).collect()} == {"g": "A", "h": "B"}
     assert ranking.TIE_TOLERANCE == 1e-10
+
+
+def test_a_gene_of_the_cube_stays_in_one_task(spark):
+    """Who groups the cube by gene needs no shuffle of its rows: a gene meets its sums once, not once a group."""
+    rows = [(f"D{i % 3}", f"T{i % 2}", g, *[i] * 6) for g in range(40) for i in range(6)]
+    names = ", ".join(f"_{c}_{t} long" for t in ops.TIERS for c in "gdx")
+    sums = spark.createDataFrame(rows, f"donor string, cell_type string, gene_id long, {names}")
+    genes = spark.range(50).select(F.col("id").alias("gene_id"), (F.col("id") < 45).alias("gene_in_matrix"))
+    totals = spark.createDataFrame([(q, f"D{i}", f"T{j}", 30, 100) for q in ops.TIERS for i in range(3) for j in range(2)], "qc string, donor string, cell_type string, n_cells long, sum_all long")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(kept, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        cube = ops.pseudobulk(sums, totals, genes, ["D0", "D1", "D2"], ["T0", "T1"], 2).withColumn("task", F.spark_partition_id())
+        told = cube.groupBy("gene_id").agg(F.count_distinct("task").alias("tasks"), F.count("*").alias("n"), F.sum("sum_gene_umis").alias("g")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {(r.tasks, r.n) for r in told} == {(1, 12)} and len(told) == 50
+    assert {r.g for r in told if r.gene_id < 40} == {30} and {r.g for r in told if r.gene_id >= 45} == {None}
