@@ -148,3 +148,24 @@ def test_draw_tally_fractions_sum_to_one(spark):
     row = rs.draw_tally(winners, base, ["A", "B"], 5).first()
     assert row["modal_type"] == "B" and row["baseline_agreement"] == pytest.approx(0.2)
     assert row["top_fraction_0"] + row["top_fraction_1"] + row["zero_fraction"] + row["tie_fraction"] == pytest.approx(1)
+
+
+def test_few_strata_are_not_shuffled_by_row(spark):
+    """The same sample with the strata sent to all tasks; then no row goes through a shuffle but those of the last buckets."""
+    cells = spark.range(3000).select(F.col("id").alias("cell_id"), (F.col("id") % 3).cast("string").alias("donor"))
+    design = rs.sampling_design(cells, ["donor"], {"five": 5}, {"half": 0.5})
+    one, two = (rs.sample_cells(cells, design, ["donor"], 2, 1, few=few) for few in (False, True))
+    assert {tuple(r) for r in one.select(*sorted(one.columns)).collect()} == {tuple(r) for r in two.select(*sorted(two.columns)).collect()}
+    assert one.count() == 2 * 3 * (5 + 500)
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan and plan.count("strategy=broadcast") >= 3
+
+
+def test_units_are_compared_as_text(spark):
+    """The kept units are those whose uniform number lies below the fraction, whatever the fraction."""
+    rows = [("g", i) for i in (0, 1, 40, 1500)]
+    df = spark.createDataFrame(rows, "gene string, n long")
+    for fraction in (0.0, 1e-17, 0.1, 0.25, 1 / 3, 1.0):
+        got = {r.n: r.kept for r in rs.thin_units(df, "n", F.lit(fraction), [F.lit("s"), F.col("gene")], "kept").collect()}
+        want = {n: sum(int(hashlib.md5(f"s|g|{i}".encode()).hexdigest()[:13], 16) / 16**13 < fraction for i in range(1, n + 1)) for _, n in rows}
+        assert got == want
