@@ -55,10 +55,10 @@ def passed_by_donor(cells: DataFrame) -> DataFrame:
     )
 
 
-def normalise(counts: DataFrame, cells: DataFrame, target: float = 1e4) -> DataFrame:
-    """Depth-normalised ``log1p`` value for every stored count of the given cells."""
-    return counts.join(cells.select("cell_id", "total"), "cell_id").select(
-        "cell_id", "gene_id", "umi", depth_normalised(F.col("umi"), F.col("total"), target).alias("value")
+def normalise(counts: DataFrame, cells: DataFrame, target: float = 1e4, carry: Sequence[str] = ()) -> DataFrame:
+    """Depth-normalised ``log1p`` value for every stored count of the given cells, with the cells' columns to ``carry``."""
+    return counts.join(cells.select("cell_id", "total", *carry), "cell_id").select(
+        "cell_id", "gene_id", "umi", depth_normalised(F.col("umi"), F.col("total"), target).alias("value"), *carry
     )
 
 
@@ -84,13 +84,14 @@ def variable_genes(
     Per batch, mean and sample variance of ``expm1`` values over all cells of the batch
     (zeros included) give a log dispersion, standardised within equal-width bins of the
     log mean. Genes are then ordered by the number of batches ranking them in their top
-    ``n_top`` and by mean normalised dispersion. ``genes`` limits the candidates.
+    ``n_top`` and by mean normalised dispersion. ``genes`` limits the candidates. Values that
+    carry their batch meet no cells again.
     """
     size = cells.groupBy(batch).agg(F.count(F.lit(1)).cast("double").alias("_cells"))
     x = F.expm1("value")
+    placed = normalised if batch in normalised.columns else normalised.join(cells.select("cell_id", batch), "cell_id")
     sums = (
-        normalised.join(cells.select("cell_id", batch), "cell_id")
-        .groupBy(batch, "gene_id")
+        placed.groupBy(batch, "gene_id")
         .agg(F.sum(x).alias("_s1"), F.sum(x * x).alias("_s2"))
         .join(genes.select("gene_id"), "gene_id", "left_semi")
     )

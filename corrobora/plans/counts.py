@@ -118,7 +118,7 @@ def variable_genes(spark: SparkSession, d: str) -> DataFrame:
     kept = b.qc_cells(spark, d).filter("qc_primary")
     counts = b.counts(spark, d)
     eligible = ops.detected_cells(counts, kept, b.genes(spark, d), 3).filter("model_eligible")
-    out = ops.variable_genes(ops.normalise(counts, kept), kept, eligible, n_top=200)
+    out = ops.variable_genes(ops.normalise(counts, kept, carry=["library"]), kept, eligible, n_top=200)
     return out.select("gene_id", "n_batches", rounded(F.col("mean_norm_dispersion")).alias("mean_norm_dispersion"))
 
 

@@ -216,3 +216,11 @@ def test_a_gene_of_the_cube_stays_in_one_task(spark):
             spark.conf.set(k, v)
     assert {(r.tasks, r.n) for r in told} == {(1, 12)} and len(told) == 50
     assert {r.g for r in told if r.gene_id < 40} == {30} and {r.g for r in told if r.gene_id >= 45} == {None}
+
+
+def test_values_that_carry_their_batch_meet_no_cells_again(spark):
+    cells = spark.createDataFrame([(i, f"L{i % 2}", 10 + i) for i in range(30)], "cell_id long, library string, total long")
+    counts = spark.createDataFrame([(i, g, 1 + (i * g) % 5) for i in range(30) for g in range(1, 6)], "cell_id long, gene_id long, umi long")
+    genes = spark.createDataFrame([(g,) for g in range(1, 6)], "gene_id long")
+    one, two = (ops.variable_genes(ops.normalise(counts, cells, carry=c), cells, genes, 3).collect() for c in ([], ["library"]))
+    assert [(r.gene_id, r.n_batches) for r in one] == [(r.gene_id, r.n_batches) for r in two] and len(two) == 3
