@@ -12,7 +12,7 @@ the library totals.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,13 +36,22 @@ GUIDE = 1 << 10
 
 HELD_HASHES = 1 << 21
 CELLS_AT_ONCE = 256
-GENES_AT_ONCE = 32
+GENES_AT_ONCE = 128
+SPARSE = 16
+"""Scores are made one by one where fewer than one of so many counts is not zero."""
+
+SCORED_AT_ONCE = 64
+"""Draws of a scenario that are scored before it is asked whether the others matter, a multiple of 8."""
+
 ROWS_AT_ONCE = 512
 COMBINED_ROWS = 64
 """Rows of one gene and group in a batch from which they go on as one vector of sums."""
 
 SALTS = 64
 TIE = 1e-10
+TOPS = "map<string, string>"
+"""Baseline type of a gene by the types compared."""
+
 _U = np.uint64
 
 
@@ -288,7 +297,7 @@ def drawn_cells(bits: DataFrame, plan: Plan) -> DataFrame:
 
 def _unpacked(bits: pa.Array, plan: Plan) -> np.ndarray:
     """Draws as zeros and ones: rows x sampled scenarios x draws."""
-    packed = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(-1, len(plan.sampled), plan.bytes)
+    packed = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(bits), len(plan.sampled), plan.bytes)
     return np.unpackbits(packed, axis=2, count=plan.reps)
 
 
@@ -406,14 +415,19 @@ class Binomials:
         return out.reshape(u.shape)
 
 
+def thinned_once(n: np.ndarray, labels: np.ndarray, plan: Plan, scenario: Scenario, binomials: Binomials, lo: int, hi: int) -> np.ndarray:
+    """Counts left of ``n``, in ascending order, in some draws of a scenario, keyed by a label for each: rows x draws."""
+    h = mixed(labels[:, None] ^ words(plan.seed, scenario.name, plan.reps)[None, lo:hi])
+    h >>= _U(12)
+    return binomials.draw(n, scenario.parameter, h * 2.0**-52)
+
+
 def thinned(n: np.ndarray, labels: np.ndarray, plan: Plan, binomials: Binomials) -> np.ndarray:
     """Counts left of ``n`` in every thinned scenario and draw, keyed by a label for each: rows x scenarios x draws."""
     out = np.zeros((len(n), len(plan.thinned), plan.reps), np.int64)
     order = np.argsort(n, kind="stable")
     for s, scenario in enumerate(plan.thinned):
-        h = mixed(labels[order][:, None] ^ words(plan.seed, scenario.name, plan.reps)[None, :])
-        h >>= _U(12)
-        out[order, s] = binomials.draw(n[order], scenario.parameter, h * 2.0**-52)
+        out[order, s] = thinned_once(n[order], labels[order], plan, scenario, binomials, 0, plan.reps)
     return out
 
 
@@ -488,52 +502,87 @@ def _winners(scores: np.ndarray) -> np.ndarray:
     return np.where(best <= 0, -1, np.where(near.sum(axis=-2) > 1, -2, won))
 
 
-def _tallied(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray):
-    """Streams rows sorted by gene: scores and winners of all draws, then one row of tallies for each gene and scenario."""
-    n_types, n_groups = len(plan.types), len(plan.groups)
-    sampled_width = len(plan.sampled) * plan.reps
-    all_scenarios = [*plan.sampled, *plan.thinned]
-    whole_library = np.concatenate([totals, thin_totals], axis=1).reshape(1, len(plan.donors), n_types, len(all_scenarios), plan.reps)
-    library = np.where(whole_library > 0, 1e6 / np.maximum(whole_library, 1), 0.0)
-    names = ["gene_id", "scenario", "zero", "tie", "wins"]
-
-    def tally(genes: list[int], owner: np.ndarray, batch: pa.Table, binomials: Binomials) -> pa.RecordBatch:
-        group, umi = batch.column("group").to_numpy(), batch.column("umi").to_numpy()
-        marked = batch.column("marker").to_numpy(zero_copy_only=False)
-        real = np.flatnonzero(~marked.astype(bool))
-        place = owner[real] * n_groups + group[real]
-        sums = np.zeros((len(genes) * n_groups, sampled_width), np.int64)
-        whole = np.bincount(place, umi[real], len(sums)).astype(np.int64)
+class _Counts:
+    """The counts of some genes, from which scores are made for one scenario and a run of draws at a time."""
+
+    def __init__(self, plan: Plan, library: np.ndarray, genes: list[int], owner: np.ndarray, batch: pa.Table, binomials: Binomials) -> None:
+        self.plan, self.library, self.binomials = plan, library, binomials
+        self.genes, n_groups = np.array(genes, object), len(plan.groups)
+        self.labels, self.labelled = np.zeros((len(genes), n_groups), _U), np.zeros(len(genes), bool)
+        marked = batch.column("marker").to_numpy(zero_copy_only=False).astype(bool)
+        place = owner * n_groups + batch.column("group").to_numpy()
+        umi = batch.column("umi").to_numpy()
+        self.whole = np.bincount(place[~marked], umi[~marked], len(genes) * n_groups).astype(np.int64)
         bits, vectors = batch.column("bits").combine_chunks(), batch.column("sums").combine_chunks()
-        single = np.flatnonzero(np.asarray(bits.is_valid())[real])
-        if sampled_width and len(single):
-            keys, own = _grouped_sums(place[single], umi[real][single], bits.take(pa.array(real[single])), plan)
-            sums[keys] += own
-        for r in np.flatnonzero(np.asarray(vectors.is_valid())).tolist():
-            sums[owner[r] * n_groups + group[r]] += np.frombuffer(vectors[r].as_py(), np.int64)
-        shape = (len(genes), len(plan.donors), n_types)
-        found = [sums.reshape(*shape, len(plan.sampled), plan.reps)]
-        if plan.thinned:
-            label = np.array([word(plan.seed, d, t, g) for g in genes for d, t in plan.groups], _U)
-            seen = np.flatnonzero(whole)
-            left = np.zeros((len(whole), len(plan.thinned), plan.reps), np.int64)
-            left[seen] = thinned(whole[seen], label[seen], plan, binomials)
-            found.append(left.reshape(*shape, len(plan.thinned), plan.reps))
-        counts = np.concatenate(found, axis=3)
-        scores = counts.astype(np.float64)
-        scores *= library
-        np.log1p(scores, out=scores)
-        means = scores.sum(axis=1) / len(plan.donors)
-        rows = []
-        for s, scenario in enumerate(all_scenarios):
-            own = [plan.types.index(t) for t in scenario.types]
-            won = _winners(means[:, own, s])
-            wins = np.stack([(won == k).sum(axis=1) for k in range(len(own))], axis=1)
-            zero, tie = (won == -1).sum(axis=1), (won == -2).sum(axis=1)
-            rows += [(g, scenario.name, int(z), int(t), w) for g, z, t, w in zip(genes, zero, tie, wins.tolist(), strict=True)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 5
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+        single = np.flatnonzero(~marked & np.asarray(bits.is_valid()))
+        single = single[np.argsort(place[single], kind="stable")]
+        self.place, self.umi = place[single], umi[single]
+        self.packed = np.frombuffer(b"".join(bits.take(pa.array(single)).to_pylist()), np.uint8).reshape(len(single), len(plan.sampled), plan.bytes)
+        self.vectors = [
+            (int(place[r]), np.frombuffer(vectors[r].as_py(), np.int64).reshape(len(plan.sampled), plan.reps))
+            for r in np.flatnonzero(np.asarray(vectors.is_valid())).tolist()
+        ]
+
+    def _sampled(self, s: int, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        n_groups = len(self.plan.groups)
+        at = np.full(len(self.genes), -1)
+        at[some] = np.arange(len(some))
+        out = np.zeros((len(some) * n_groups, hi - lo), np.int64)
+        packed = self.packed[:, s, lo // 8 : -(-hi // 8)]
+        rows = np.flatnonzero((at[self.place // n_groups] >= 0) & packed.any(axis=1))
+        for first in range(0, len(rows), ROWS_AT_ONCE):
+            block = rows[first : first + ROWS_AT_ONCE]
+            own = at[self.place[block] // n_groups] * n_groups + self.place[block] % n_groups
+            draws = np.unpackbits(packed[block], axis=1, count=hi - lo)
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[starts]] += np.add.reduceat(draws * self.umi[block][:, None], starts, axis=0)
+        for place, sums in self.vectors:
+            if at[place // n_groups] >= 0:
+                out[at[place // n_groups] * n_groups + place % n_groups] += sums[s, lo:hi]
+        return out
+
+    def _thinned(self, scenario: Scenario, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        n_groups = len(self.plan.groups)
+        whole = self.whole.reshape(-1, n_groups)[some].ravel()
+        out = np.zeros((len(whole), hi - lo), np.int64)
+        seen = np.flatnonzero(whole)
+        seen = seen[np.argsort(whole[seen], kind="stable")]
+        out[seen] = thinned_once(whole[seen], self._labels(some)[seen], self.plan, scenario, self.binomials, lo, hi)
+        return out
+
+    def _labels(self, some: np.ndarray) -> np.ndarray:
+        """Labels of the genes' groups, made for a group with counts when first asked for."""
+        whole = self.whole.reshape(-1, len(self.plan.groups))
+        for i in some[~self.labelled[some]].tolist():
+            for j in np.flatnonzero(whole[i]).tolist():
+                self.labels[i, j] = word(self.plan.seed, *self.plan.groups[j], self.genes[i])
+        self.labelled[some] = True
+        return self.labels[some].ravel()
+
+    def winners(self, s: int, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Per gene of ``some`` and draw from ``lo``, a multiple of 8, to ``hi``: see :func:`_winners`; types as the scenario lists them."""
+        plan = self.plan
+        scenario = [*plan.sampled, *plan.thinned][s]
+        counts = self._sampled(s, some, lo, hi) if s < len(plan.sampled) else self._thinned(scenario, some, lo, hi)
+        counts = counts.reshape(len(some), len(plan.groups), hi - lo)
+        library = self.library[:, s, lo:hi]
+        if np.count_nonzero(counts) < counts.size // SPARSE:
+            scores = np.zeros(counts.shape)
+            seen = np.nonzero(counts)
+            scores[seen] = np.log1p(counts[seen] * library[seen[1:]])
+        else:
+            scores = counts.astype(np.float64)
+            scores *= library
+            np.log1p(scores, out=scores)
+        own = [plan.types.index(t) for t in scenario.types]
+        shape = (len(some), len(plan.donors), len(plan.types), hi - lo)
+        return _winners((scores.reshape(shape).sum(axis=1) / len(plan.donors))[:, own])
+
+
+def _streamed(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray, told: Callable[[_Counts, pa.Table], pa.RecordBatch]):
+    """Streams rows sorted by gene: ``told`` gets the counts and the marker rows of some genes at a time."""
+    whole_library = np.concatenate([totals, thin_totals], axis=1)
+    library = np.where(whole_library > 0, 1e6 / np.maximum(whole_library, 1), 0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         binomials = Binomials()
@@ -549,7 +598,7 @@ def _tallied(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray):
                 hi = starts[j] if j < len(starts) else len(gene)
                 part = table.slice(some[0], hi - some[0])
                 owner = np.repeat(np.arange(len(some)), np.diff([*some, hi]))
-                yield tally(gene[some].tolist(), owner, part, binomials)
+                yield told(_Counts(plan, library, gene[some].tolist(), owner, part, binomials), part.filter(part.column("marker")))
             if not last:
                 yield table.slice(starts[-1])
 
@@ -565,15 +614,68 @@ def _tallied(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray):
     return run
 
 
-def tallies(cells: DataFrame, counts: DataFrame, genes: DataFrame, table: DataFrame, scenarios: Sequence[Scenario], donors: Sequence[str],
-            reps: int, seed: int) -> DataFrame:
-    """Per gene of ``genes`` and scenario that can be drawn: draws without counts, draws with a tie, and ``wins`` of the scenario's types.
+def _tallied(plan: Plan):
+    """One row of tallies for each gene and scenario."""
 
-    ``cells`` has cell_id, donor, cell_type and total; ``counts`` has cell_id, gene_id (a number) and umi, of which each
-    pair stands once; ``table`` is their :func:`design`. Scores are equal-donor means of log1p CPM; the drawn
-    library is the denominator, and a gene without counts in a drawn library scores zero there.
+    def tally(counts: _Counts, markers: pa.Table) -> pa.RecordBatch:
+        every = np.arange(len(counts.genes))
+        rows = []
+        for s, scenario in enumerate([*plan.sampled, *plan.thinned]):
+            won = counts.winners(s, every, 0, plan.reps)
+            wins = np.stack([(won == k).sum(axis=1) for k in range(len(scenario.types))], axis=1)
+            zero, tie = (won == -1).sum(axis=1), (won == -2).sum(axis=1)
+            rows += [(g, scenario.name, z, t, w) for g, z, t, w in zip(counts.genes, zero.tolist(), tie.tolist(), wins.tolist(), strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gene_id", "scenario", "zero", "tie", "wins"])
+
+    return tally
+
+
+def _least(plan: Plan, held_out: str):
+    """One row for each gene: the fewest draws that its baseline type wins in any scenario but ``held_out``, and those it wins in that one.
+
+    Once a scenario has as many wins as the fewest of another it cannot lower them, so its other draws are not scored; scenarios
+    with the fewest wins, those of a few cells, come first.
     """
-    plan = Plan(table, scenarios, donors, reps, seed)
+    scenarios = [*plan.sampled, *plan.thinned]
+    order = sorted(range(len(scenarios)), key=lambda s: (scenarios[s].operation != CELL_N, scenarios[s].operation == UMI_FRACTION, scenarios[s].parameter))
+
+    def tally(counts: _Counts, markers: pa.Table) -> pa.RecordBatch:
+        n = len(counts.genes)
+        at = {g: i for i, g in enumerate(counts.genes)}
+        top: dict[tuple[str, ...], np.ndarray] = {s.types: np.full(n, -1) for s in scenarios}
+        for g, tops in zip(markers.column("gene_id").to_pylist(), markers.column("tops").to_pylist(), strict=True):
+            for types, t in tops:
+                if tuple(types.split(";")) in top:
+                    top[tuple(types.split(";"))][at[g]] = types.split(";").index(t)
+        least, held = np.full(n, plan.reps + 1), np.full(n, -1)
+        for s in order:
+            own, apart = top[scenarios[s].types], scenarios[s].name == held_out
+            open_ = np.flatnonzero(own >= 0)
+            if not apart:
+                open_ = open_[least[open_] > 0]
+            wins = np.zeros(n, np.int64)
+            step = plan.reps if apart or (least > plan.reps).all() else SCORED_AT_ONCE
+            for lo in range(0, plan.reps, step):
+                if not len(open_):
+                    break
+                won = counts.winners(s, open_, lo, min(plan.reps, lo + step))
+                wins[open_] += (won == own[open_][:, None]).sum(axis=1)
+                if not apart:
+                    open_ = open_[wins[open_] < least[open_]]
+            if apart:
+                held[open_] = wins[open_]
+            else:
+                least[open_] = wins[open_]
+        cols = [pa.array(counts.genes.tolist(), pa.int64()), pa.array(least, pa.int64(), mask=least > plan.reps), pa.array(held, pa.int64(), mask=held < 0)]
+        return pa.RecordBatch.from_arrays(cols, names=["gene_id", "least", "held"])
+
+    return tally
+
+
+def _gene_rows(cells: DataFrame, counts: DataFrame, genes: DataFrame, plan: Plan) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Rows sorted by gene, of which one marks each gene and carries its ``tops``; and the library totals of all draws."""
     bits = cut_lineage(cell_bits(cells, plan))
     totals = library_totals(bits, plan)
     wanted = counts.join(genes.select("gene_id"), "gene_id", "left_semi").filter("umi > 0")
@@ -585,14 +687,44 @@ def tallies(cells: DataFrame, counts: DataFrame, genes: DataFrame, table: DataFr
         sums = wanted.join(placed, "cell_id").groupBy("gene_id", "donor", "cell_type").agg(F.sum("umi").alias("umi"))
         thin_totals = thinned_totals(sums, placed.groupBy("donor", "cell_type").agg(F.sum("total").alias("total")), plan)
     else:
-        thin_totals = np.zeros((len(plan.groups), 0, reps), np.int64)
+        thin_totals = np.zeros((len(plan.groups), 0, plan.reps), np.int64)
     marker = genes.select(
         F.col("gene_id").cast("long"), F.lit(0).alias("group"), F.lit(0).cast("long").alias("umi"), F.lit(None).cast("binary").alias("bits"),
-        F.lit(None).cast("binary").alias("sums"), F.lit(True).alias("marker"),
+        F.lit(None).cast("binary").alias("sums"), F.lit(True).alias("marker"), "tops",
     )
-    every = rows.withColumn("marker", F.lit(False)).unionByName(marker)
-    streamed = _by_key(every, ["gene_id"]).mapInArrow(_tallied(plan, totals, thin_totals), "gene_id long, scenario string, zero long, tie long, wins array<long>")
-    return streamed
+    every = rows.withColumns({"marker": F.lit(False), "tops": F.lit(None).cast(TOPS)}).unionByName(marker)
+    return _by_key(every, ["gene_id"]), totals, thin_totals
+
+
+def tallies(cells: DataFrame, counts: DataFrame, genes: DataFrame, table: DataFrame, scenarios: Sequence[Scenario], donors: Sequence[str],
+            reps: int, seed: int) -> DataFrame:
+    """Per gene of ``genes`` and scenario that can be drawn: draws without counts, draws with a tie, and ``wins`` of the scenario's types.
+
+    ``cells`` has cell_id, donor, cell_type and total; ``counts`` has cell_id, gene_id (a number) and umi, of which each
+    pair stands once; ``table`` is their :func:`design`. Scores are equal-donor means of log1p CPM; the drawn
+    library is the denominator, and a gene without counts in a drawn library scores zero there.
+    """
+    plan = Plan(table, scenarios, donors, reps, seed)
+    rows, totals, thin_totals = _gene_rows(cells, counts, genes.withColumn("tops", F.lit(None).cast(TOPS)), plan)
+    return rows.mapInArrow(_streamed(plan, totals, thin_totals, _tallied(plan)), "gene_id long, scenario string, zero long, tie long, wins array<long>")
+
+
+def least_agreement(cells: DataFrame, counts: DataFrame, genes: DataFrame, baselines: DataFrame, table: DataFrame, scenarios: Sequence[Scenario],
+                    donors: Sequence[str], reps: int, seed: int, held_out: str) -> DataFrame:
+    """Per gene the worst agreement with its baseline over all scenarios but one, and that of the one, without all of :func:`tallies`.
+
+    ``baselines`` is that of :func:`stability`; the result is what the tallies of all draws give, null without a baseline or scenario.
+    """
+    plan = Plan(table, scenarios, donors, reps, seed)
+    known = baselines.filter(F.col("baseline_top_type").isNotNull())
+    tops = known.groupBy("gene_id").agg(F.map_from_entries(F.collect_list(F.struct("comparison_types", "baseline_top_type"))).alias("tops"))
+    marked = genes.select("gene_id").join(tops, "gene_id", "left").withColumn("tops", F.coalesce("tops", F.create_map().cast(TOPS)))
+    rows, totals, thin_totals = _gene_rows(cells, counts, marked, plan)
+    told = rows.mapInArrow(_streamed(plan, totals, thin_totals, _least(plan, held_out)), "gene_id long, least long, held long")
+    n = F.lit(float(reps))
+    # without any scenario there is no gene to tell of
+    told = told if plan.scenarios else told.limit(0)
+    return told.select("gene_id", (F.col("least") / n).alias("min_agreement"), (F.col("held") / n).alias("held_out_agreement"))
 
 
 def stability(tallied: DataFrame, baselines: DataFrame, scenarios: Sequence[Scenario], types: Sequence[str], reps: int) -> DataFrame:

@@ -14,7 +14,7 @@ from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.context import BASE, FOLDS, SECOND, STABLE, concordance, tier_agreement, winner_sql
 from corrobora.plans.intervals import EVENT_TYPES, POINTS, hits
 from corrobora.plans.registry import query
-from corrobora.plans.resampling import BRAND_LIST, DESIGN, EXTENDED, TALLY, WORST, baseline, panels, stability_tally, worst_agreement
+from corrobora.plans.resampling import BRAND_LIST, DESIGN, TALLY, WORST, baseline, panels, worst
 from corrobora.session import join_statistics, scratch_path, stored
 from corrobora.sources.tables import load, write_summary
 
@@ -98,7 +98,7 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
         stable.select("gene_id", "gene_in_matrix", "top_type", "agreeing_folds", "all_folds_agree"),
         {
             "quality": tier_agreement(cube).select("gene_id", "same_top"),
-            "sampling": worst_agreement(stability_tally(spark, d), EXTENDED),
+            "sampling": worst(spark, d),
             "second": concordance(spark, d, cube).select("gene_id", "evaluable", "concordant", "second_agreeing_folds", "second_evaluable_folds"),
             "regulatory": regulatory_layers(spark, d),
             "programs": pg.membership_text(panels(spark, d)),

@@ -6,10 +6,12 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corrobora.operators import stability as st
+from corrobora.plans.resampling import worst_agreement
 
 DONORS, FEW, ALL = ["d1", "d2"], ("A", "B"), ("A", "B", "C")
 SCENARIOS = [
@@ -178,3 +180,36 @@ def test_looked_up_quantiles_are_the_searched_ones():
         want = np.minimum(n, first + np.searchsorted(cdf, u, "right"))
         assert (got[0] == 0).all() and (got[1] == want).all() and (got[2] == want[::-1]).all()
         assert (b.guide(n, p) >= 0).mean() > 0.5
+
+
+def test_least_agreement_is_that_of_all_tallies_and_scores_fewer_draws(spark, frames, monkeypatch):
+    monkeypatch.setattr(st, "SCORED_AT_ONCE", 8)
+    _, _, a, b, genes = frames
+    table = st.design(a, SCENARIOS, DONORS)
+    names = {types: ";".join(types) for types in (FEW, ALL)}
+    tops = [(g, names[FEW], "AB"[g % 2]) for g in range(GENES - 1)] + [(g, names[ALL], "CAB"[g % 3] if g != 4 else None) for g in range(GENES + 1)]
+    baselines = spark.createDataFrame(tops, "gene_id long, comparison_types string, baseline_top_type string")
+    told = st.stability(st.tallies(a, b, genes, table, SCENARIOS, DONORS, REPS, SEED), baselines, SCENARIOS, ALL, REPS)
+    want = {r["gene_id"]: tuple(r)[1:] for r in worst_agreement(told, "n3_all").collect()}
+    found = st.least_agreement(a, b, genes, baselines, table, SCENARIOS, DONORS, REPS, SEED, "n3_all")
+    assert {r["gene_id"]: tuple(r)[1:] for r in found.collect()} == want
+    assert want[GENES - 1][0] is None and want[4][1] is None and want[GENES][1] == 0.0 and 0 < want[1][0] < 1
+    none = st.design(a.limit(0), SCENARIOS[:1], DONORS)
+    assert st.least_agreement(a, b, genes, baselines, none, SCENARIOS[:1], DONORS, REPS, SEED, "n3_all").count() == 0
+
+    plan = st.Plan(table, SCENARIOS[:6], DONORS, REPS, SEED)
+    scored = []
+
+    class Told:
+        genes = np.array([7, 8], object)
+
+        def winners(self, s, some, lo, hi):
+            scored.append((s, some.tolist(), hi - lo))
+            first = [*plan.sampled, *plan.thinned][s].name == "n5"
+            return np.array([[-1 if first and (g == 0 or lo + i > 8) else 0 for i in range(hi - lo)] for g in some])
+
+    markers = pa.table({"gene_id": [7, 8], "tops": pa.array([[(names[FEW], "A")]] * 2, pa.map_(pa.string(), pa.string()))})
+    got = st._least(plan, "n3_all")(Told(), markers).to_pylist()
+    assert got == [{"gene_id": 7, "least": 0, "held": None}, {"gene_id": 8, "least": 9, "held": None}]
+    assert sum(n for _, _, n in scored) == REPS + 3 * 2 * 8
+    assert all(some == [1] for _, some, _ in scored[1:])
