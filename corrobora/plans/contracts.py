@@ -14,7 +14,7 @@ from corrobora.operators import reuse
 from corrobora.plans import bindings as b
 from corrobora.plans.bindings import r, with_ctes
 from corrobora.plans.registry import query
-from corrobora.session import scratch_path
+from corrobora.session import parts_for, scratch_path
 from corrobora.sources import digests, tables
 from corrobora.sources.tables import load
 from corrobora.sources.text import read_delimited
@@ -174,17 +174,21 @@ GROUP BY 1""",
 )
 def count_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Two distributions of the same counts, of which the second loses some lines of one library."""
-    library = b.cell_labels(spark, d).select("cell_id", "library")
-    first = b.counts(spark, d).join(library, "cell_id")
+    lines = load(spark, d, "lineitem")
+    parts = parts_for(spark, lines.count())
+    key = ["library", "cell_id", "gene_id"]
+    library = b.cell_labels(spark, d).select("cell_id", "library").repartition(parts, "cell_id")
+    first = b.counts(spark, d).repartition(parts, "cell_id").join(library, "cell_id")
     lost = (F.col("library") == "P") & (F.col("l_returnflag") == "A")
     second = (
-        load(spark, d, "lineitem")
-        .withColumnsRenamed({"l_orderkey": "cell_id", "l_partkey": "gene_id"})
+        lines.select(F.col("l_orderkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"), "l_returnflag", F.col("l_quantity").cast("int").alias("n"))
+        .repartition(parts, "cell_id")
         .join(library, "cell_id")
-        .groupBy("library", "cell_id", "gene_id")
-        .agg(F.sum(F.when(lost, F.lit(0)).otherwise(F.col("l_quantity").cast("int"))).alias("umi"))
+        .repartition(parts, *key)  # hardly any lines share a key, so nothing is lost by adding them up only where they meet
+        .groupBy(*key)
+        .agg(F.sum(F.when(lost, F.lit(0)).otherwise(F.col("n"))).alias("umi"))
     )
-    return contracts.reconcile_counts(first, second, ["library", "cell_id", "gene_id"], "umi", ["library"])
+    return contracts.reconcile_counts(first.repartition(parts, *key), second, key, "umi", ["library"])
 
 
 @query(

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+import shutil
+
+from corrobora import session
+from corrobora.plans import bindings
+from corrobora.plans.contracts import count_alignment
 from corrobora.session import folder_state, stored
 
 
@@ -22,3 +29,21 @@ def test_changed_source_makes_a_new_copy(spark, tmp_path):
     spark.range(5).write.parquet(f"{folder}/u.parquet")
     assert (total(), len(built)) == (55, 3)
     assert folder_state(spark, str(tmp_path / "none")) == ()
+
+
+def test_tasks_of_larger_tables_hold_no_more_rows(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "tables")
+    shutil.copytree("/root/testdata/sf0.001", folder)
+    monkeypatch.setattr(session, "PART_ROWS", 100)
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet")
+    parts = -(-lines.count() // 100)
+    assert session.parts_for(spark, lines.count()) == parts > spark.sparkContext.defaultParallelism
+    assert session.parts_for(spark, 1) == spark.sparkContext.defaultParallelism
+    assert len(bindings.counts(spark, folder).inputFiles()) > parts // 2
+    aligned = count_alignment(spark, folder)
+    told = io.StringIO()
+    with contextlib.redirect_stdout(told):
+        aligned.explain()
+    dealt = [x for x in told.getvalue().splitlines() if "hashpartitioning(library" in x and "cell_id" in x]
+    assert len(dealt) == 2 and all(f", {parts}), REPARTITION_BY_NUM" in x for x in dealt)
+    assert [r["n_unequal"] > 0 for r in aligned.orderBy("library").collect()] == [False, False, True]
