@@ -23,6 +23,9 @@ BLOCK = 4096
 LANES = 1536
 """Blocks coded side by side, which bounds memory."""
 
+RENEWED = 32
+"""Blocks whose order-0 distributions are renewed together, as many as a processor's cache holds."""
+
 SLOTS1, SLOTS2 = 2048, 4096
 SPAN = 16
 BUCKETS = 65536 // SPAN
@@ -55,17 +58,19 @@ class _Model:
         """Order-0 distribution of the first k blocks from their counts; every range keeps a share."""
         at = 0
         while at < k:
-            to = min(k, at + 256)
-            sums = np.cumsum(self.counts[at:to], axis=1, dtype=np.int64)
+            to = min(k, at + RENEWED)
+            sums = np.cumsum(self.counts[at:to], axis=1, dtype=np.int32)  # at most BLOCK, so the products fit
             total = np.maximum(sums[:, -1:], 1)
             cum = self.cum[at:to]
             cum[:, 0] = 0
-            cum[:, 1:] = sums * (SCALE - BUCKETS) // total + np.arange(1, BUCKETS + 1)
+            sums *= np.int32(SCALE - BUCKETS)
+            sums //= total
+            sums += np.arange(1, BUCKETS + 1, dtype=np.int32)
+            cum[:, 1:] = sums
             cum[:, -1] = SCALE
             if self.inverse is not None:
-                marks = np.zeros((to - at, SCALE), np.int16)
-                marks[np.arange(to - at)[:, None], cum[:, 1:-1]] = 1
-                np.cumsum(marks, axis=1, dtype=np.int16, out=self.inverse[at:to])
+                ranges = np.tile(np.arange(BUCKETS, dtype=np.int16), to - at)
+                self.inverse[at:to] = np.repeat(ranges, np.diff(cum, axis=1).ravel()).reshape(to - at, SCALE)
             at = to
 
     def predict(self, k: int) -> None:

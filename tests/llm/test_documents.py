@@ -229,6 +229,22 @@ def test_range_coder_round_trip():
     assert np.array_equal(alone[0], blocks[3])
 
 
+def test_renewed_distributions_are_those_of_the_counts():
+    """As written out range by range, for several runs of blocks and the most a block can count."""
+    n, rng = range_coder.RENEWED + 3, np.random.default_rng(3)
+    model = range_coder._Model(n, True)
+    model.counts[:] = rng.integers(0, 2, model.counts.shape)
+    model.counts[1], model.counts[2] = 0, 0
+    model.counts[1, 7] = range_coder.BLOCK
+    model.renew(n)
+    for lane in (0, 1, 2, n - 1):
+        sums = np.cumsum(model.counts[lane].astype(object))
+        want = [0, *(s * (range_coder.SCALE - range_coder.BUCKETS) // max(sums[-1], 1) + i + 1 for i, s in enumerate(sums))]
+        want[-1] = range_coder.SCALE
+        assert model.cum[lane].tolist() == want
+        assert model.inverse[lane].tolist() == [b for b in range(range_coder.BUCKETS) for _ in range(want[b + 1] - want[b])]
+
+
 def test_token_files(spark, docs, word_ids, tmp_path):
     folder = str(tmp_path / "ids")
     tokenfile.write(docs, folder, WORD, False, 2)
