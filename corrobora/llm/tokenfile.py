@@ -62,8 +62,7 @@ def _payloads(records: list[tuple[list[int], list[np.ndarray]]]) -> Iterator[tup
 
 def _coded(path: str, spaced: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, spaced).encode_one
-        end = end_id.to_bytes(4, "little")
+        encode = encoder(path, spaced).encode_batch
         held: list[tuple[list[int], list[np.ndarray]]] = []
         file, record, n_held, n_open = 0, 0, 0, RECORD_IDS
 
@@ -81,9 +80,9 @@ def _coded(path: str, spaced: bool, end_id: int):
 
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc_id, part, text in zip(docs, batch.column("file").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(encode(text.as_py()) + end, "<u4")
-                if int(ids.max()) > 65535:
+            coded = encode(text.as_py() for text in batch.column("text"))
+            for doc_id, part, ids in zip(docs, batch.column("file").to_pylist(), coded, strict=True):
+                if max(int(ids.max(initial=0)), end_id) > 65535:
                     raise ValueError("the format holds ids below 65,536")
                 if n_open >= RECORD_IDS:
                     if n_held >= HELD_IDS:
@@ -92,9 +91,9 @@ def _coded(path: str, spaced: bool, end_id: int):
                     n_open = 0
                 file = part
                 held[-1][0].append(NULL_ID if doc_id is None else doc_id)
-                held[-1][1].append(ids.astype(np.uint16))
-                n_open += len(ids)
-                n_held += len(ids)
+                held[-1][1].append(np.append(ids, end_id).astype(np.uint16))
+                n_open += len(ids) + 1
+                n_held += len(ids) + 1
         if held:
             yield from flush()
 

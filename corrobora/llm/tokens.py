@@ -11,14 +11,21 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from operator import attrgetter
+
+import numpy as np
+import pyarrow as pa
 
 CACHE_PIECES = 400_000
-"""Pieces whose ids a Python worker remembers; beyond that it starts afresh."""
+"""Pieces whose ids a Python worker remembers; beyond that it starts afresh, or with those of the last texts."""
 
 SLICE_CHARS = 1 << 20
 """Characters looked up at once; longer texts are split at safe places."""
 
+BATCH_CHARS = 1 << 23
+"""Characters of short texts that are cut and looked up together."""
+
 # Of the 256 Latin-1 characters: letters and numbers as Unicode classes them.
 _L = rb"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _N = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -32,6 +39,25 @@ _KEPT_SPACE = re.compile(
 _ODD = b"\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 _LOWER = bytes(ord(chr(i).lower()) if i != 0xB5 else i for i in range(256))
 
+
+def _classes() -> bytes:
+    """Class of every Latin-1 character: 0 white space, 1 letter, 2 number, 3 other."""
+    found = []
+    for i in range(256):
+        c = bytes([i])
+        if re.match(b"[" + _S + b"]", c):
+            found.append(0)
+        elif re.match(b"[" + _L + b"]", c):
+            found.append(1)
+        else:
+            found.append(2 if re.match(b"[" + _N + b"]", c) else 3)
+    return bytes(found)
+
+
+_ID = attrgetter("id")
+_CLASSES = _classes()
+_ENDING = re.compile(_ENDINGS[:-1])
+
 _PLAIN_WORDS = re.compile(r"[^ \n\t\r]+")
 _SAFE_BORDER = re.compile(r"(?<=[!-~])(?=[ \n\t\r])")
 
@@ -78,9 +104,22 @@ class PieceEncoder:
             return None
         return plain if self.spaced else plain.translate(_LOWER)
 
+    def _word(self, piece: bytes) -> str:
+        if piece.isalpha():  # of ASCII letters, which stand for themselves
+            return piece.decode()
+        return piece.decode("latin-1").encode().decode("latin-1").translate(self.letters)
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces, from the tokenizer's model."""
+        ids: list[int] = []
+        ends = [0]
+        for word in map(self._word, pieces):
+            ids.extend(map(_ID, self.model.tokenize(word)))
+            ends.append(4 * len(ids))
+        return list(map(np.array(ids, "<u4").tobytes().__getitem__, map(slice, ends[:-1], ends[1:])))
+
     def _piece(self, piece: bytes) -> bytes:
-        word = "".join(map(self.letters.__getitem__, piece.decode("latin-1").encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(word))
+        return self._new([piece])[0]
 
     def _cut(self, text: str) -> Iterator[str]:
         """Parts of about ``SLICE_CHARS`` characters, cut before a space that follows a printable character."""
@@ -107,6 +146,66 @@ class PieceEncoder:
                 known[p] = self._piece(p)
         return b"".join(map(known.__getitem__, pieces))
 
+    def _pieces(self, plains: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Pieces of some texts as ``_DROPPED_SPACE`` cuts them, and how many there are up to the end of each text."""
+        text = b" ".join(plains) + b"   "
+        classes = np.frombuffer(text.translate(_CLASSES), np.uint8)
+        first = classes != 0
+        first[1:] &= (classes[1:] != classes[:-1]) | (classes[1:] == 2)
+        marks = np.flatnonzero(first & (np.frombuffer(text, np.uint8) == ord("'")))
+        for at in marks[classes[marks + 1] == 1].tolist():
+            ending = _ENDING.match(text, at)
+            if ending:
+                first[at + 1] = False
+                first[ending.end()] = classes[ending.end()] != 0
+        ends = np.cumsum([len(p) + 1 for p in plains])
+        upto = np.searchsorted(np.flatnonzero(first), ends)
+        data = text.translate(None, b" \t\n\r")
+        borders = np.append(np.flatnonzero(first[classes != 0]), len(data)).astype(np.int32)
+        cut = pa.Array.from_buffers(pa.binary(), len(borders) - 1, [None, pa.py_buffer(borders), pa.py_buffer(data)])
+        return cut.dictionary_encode(), upto
+
+    def _encode_latins(self, plains: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that ``_latin`` takes; a distinct piece of them is looked up once."""
+        pieces, upto = self._pieces(plains)
+        _, borders, data = pieces.dictionary.buffers()
+        raw, borders = data.to_pybytes(), np.frombuffer(borders, np.int32)[: len(pieces.dictionary) + 1].tolist()
+        distinct = list(map(raw.__getitem__, map(slice, borders[:-1], borders[1:])))
+        ids = list(map(self.known.get, distinct))
+        new = [i for i, e in enumerate(ids) if e is None]
+        for i, e in zip(new, self._new([distinct[i] for i in new]), strict=True):
+            ids[i] = e
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known = dict(zip(distinct, ids, strict=True))
+        else:
+            self.known.update((distinct[i], ids[i]) for i in new)
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        sizes = size[which]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        shift = (np.cumsum(size, dtype=np.int32) - size)[which] - (ends - sizes)  # from a place in the result to that in ``flat``
+        places = np.repeat(shift, sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return np.split(flat[places], np.append(0, ends)[upto[:-1]])
+
+    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text in order; texts that need no care beyond Latin-1 are cut and looked up together."""
+        held: list[bytes] = []
+        n_held = 0
+        for text in texts:
+            plain = None if self.spaced or len(text or "") > SLICE_CHARS else self._latin(text or "")
+            if held and (plain is None or n_held > BATCH_CHARS):
+                yield from self._encode_latins(held)
+                held, n_held = [], 0
+            if plain is None:
+                yield np.frombuffer(self.encode_one(text), "<u4")
+            else:
+                held.append(plain)
+                n_held += len(plain)
+        if held:
+            yield from self._encode_latins(held)
+
     def _encode_other(self, text: str) -> bytes:
         parts = _SAFE_BORDER.split(text) if self.spaced else _PLAIN_WORDS.findall(text)
         known = self.parts

@@ -229,6 +229,39 @@ def test_range_coder_round_trip():
     assert np.array_equal(alone[0], blocks[3])
 
 
+def test_range_coder_runs_are_even():
+    """A few blocks over a full run would take as many steps as the full run."""
+    n = range_coder.LANES
+    assert range_coder._runs(0) == [] and range_coder._runs(n) == [(0, n)]
+    assert [to - at for at, to in range_coder._runs(n + 1)] == [n // 2, n // 2 + 1]
+    rng = np.random.default_rng(2)
+    blocks = [np.minimum(rng.geometric(0.02, m), 65535).astype(np.uint16) for m in rng.integers(0, 120, n + 1)]
+    coded = range_coder.encode(blocks)
+    back = range_coder.decode([(len(b), x) for b, x in zip(blocks, coded, strict=True)])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+    assert range_coder.encode(blocks[5:6]) == coded[5:6]
+
+
+def test_carries_run_through_full_words():
+    words = np.array([[1, 65535, 65535, 65536 + 7], [3, 65536, 5, 6]], np.uint32)
+    assert range_coder._carried(words).tolist() == [[2, 0, 0, 7], [4, 0, 5, 6]]
+
+
+def test_texts_encoded_together():
+    """Pieces of texts cut together are the tokenizer's own, also with the cache starting afresh."""
+    t, e, rng = Tokenizer.from_file(WORD), PieceEncoder(WORD, False), random.Random(4)
+    signs = ["'", "s", "T", "re", "LL", "d", "m", "ve", " ", "\n", "7", "\xbd", "\xe9", "\xd7", "-", ".", "\xb5", "x"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(3000)]
+    texts += [None, "", "'", "<|endoftext|> 's", "a\x85b", "\u4e2d 'll", "word " * 9000, "'s" * 200, "\x01\x7f 's\xa0x"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in e.encode_batch(texts)] == want
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("corrobora.llm.tokens.CACHE_PIECES", 10)
+        m.setattr("corrobora.llm.tokens.BATCH_CHARS", 500)
+        assert [x.tolist() for x in e.encode_batch(texts)] == want
+    assert list(e.encode_batch([])) == [] and [x.tolist() for x in e.encode_batch(["", None, " "])] == [[], [], []]
+
+
 def test_renewed_distributions_are_those_of_the_counts():
     """As written out range by range, for several runs of blocks and the most a block can count."""
     n, rng = range_coder.RENEWED + 3, np.random.default_rng(3)
