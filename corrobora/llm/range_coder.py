@@ -42,11 +42,26 @@ SCALE = 1 << 14
 MOST = 4088
 REST_BITS, ALL_BITS = 18, 30
 U = np.uint64
-LOW = U((1 << 40) - 1)
-FLOOR = U(1 << 40)
 SIXTEEN = U(16)
 
 
+class _Numbers(dict):
+    """Numbers of one type as arrays without dimensions, which a step of many vectors takes faster than scalars."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind = kind
+
+    def __missing__(self, value: int) -> np.ndarray:
+        self[value] = np.array(value, self.kind)
+        return self[value]
+
+
+U16, U32, U64 = _Numbers(np.uint16), _Numbers(np.uint32), _Numbers(U)
+I16, I32 = _Numbers(np.int16), _Numbers(np.int32)
+LOW = U64[(1 << 40) - 1]
+FLOOR = U64[1 << 40]
+
+
 class _Model:
     """The order-0 models of some blocks; all arrays have a row for each."""
 
@@ -54,7 +69,10 @@ class _Model:
         self.counts = np.zeros((lanes, BUCKETS), np.int16)  # at most BLOCK
         self.cum = np.empty((lanes, BUCKETS + 1), np.int16)  # at most SCALE
         self.inverse = np.empty((lanes, SCALE), np.int16) if inverse else None
-        self.renew(lanes)
+        self.renew(min(lanes, 1))  # without counts all are alike
+        self.cum[1:] = self.cum[:1]
+        if inverse:
+            self.inverse[1:] = self.inverse[:1]
 
     def count(self, ids: np.ndarray) -> None:
         """Counts some more ids of the first blocks, a row for each."""
@@ -109,52 +127,55 @@ class _Tables:
     def resize(self, k: int) -> None:
         self.k = k
         self.first, self.first2, self.first_cell = self.all_first[:k], self.all_first[:k] + SLOTS1, self.all_cells[:k]
-        self.sure, self.half, self.kept = (np.empty((2, k), np.uint32) for _ in range(3))
+        self.entry, self.sure, self.half, self.kept = (np.empty((2, k), np.uint32) for _ in range(4))
         self.part, self.cell = np.empty(k, np.uint32), np.empty(k, np.int64)
 
     def slots(self, before: np.ndarray, second: np.ndarray, out: np.ndarray) -> None:
         """Places in the table of the contexts ``before`` and (``second``, ``before``), whose products may wrap."""
-        mixed = before * np.uint16(40503)
-        np.add(self.first, mixed // np.uint16(65536 // SLOTS1), out=out[..., 0, :])
-        mixed += second * np.uint16(60493)
-        mixed //= np.uint16(65536 // SLOTS2)
+        mixed = before * U16[40503]
+        np.add(self.first, mixed // U16[65536 // SLOTS1], out=out[..., 0, :])
+        mixed += second * U16[60493]
+        mixed //= U16[65536 // SLOTS2]
         np.add(self.first2, mixed, out=out[..., 1, :])
 
+    def entries(self, places: np.ndarray) -> np.ndarray:
+        return np.take(self.table, places, out=self.entry, mode="wrap")
+
     def look(self, entry: np.ndarray, agree: np.ndarray) -> np.ndarray:
         """The shares for the confidences of the entries and whether both orders agree."""
         sure, part = self.sure, self.part
-        np.right_shift(entry, np.uint32(16), out=sure)
-        np.multiply(sure[1], np.uint32(8), out=part)
+        np.right_shift(entry, U32[16], out=sure)
+        np.multiply(sure[1], U32[8], out=part)
         part += sure[0]
         part += part
         part += agree
         np.add(self.first_cell, part, out=self.cell)
-        return self.shares[self.cell]
+        return np.take(self.shares, self.cell, mode="wrap")
 
     def learn(self, places: np.ndarray, ids: np.ndarray, wrong: np.ndarray, right: np.ndarray, shares: np.ndarray) -> None:
         """``wrong``: predictions xor ids, which is spent; ``right``: whether that is zero; the rest as in ``look``."""
         goal = right[1].astype(np.int32)
-        goal *= np.int32(MOST << 16)
+        goal *= I32[MOST << 16]
         only1 = np.greater(right[0], right[1]).astype(np.int32)
-        only1 *= np.int32(MOST)
+        only1 *= I32[MOST]
         goal += only1
         step, packed = goal.view(np.int16), shares.view(np.int16)
         step -= packed
-        step //= np.int16(16)
+        step //= I16[16]
         step += packed
         self.shares[self.cell] = goal
         sure, half, kept = self.sure, self.half, self.kept
-        np.floor_divide(sure, np.uint32(2), out=half)
-        np.minimum(half, np.uint32(1), out=kept)
+        np.floor_divide(sure, U32[2], out=half)
+        np.minimum(half, U32[1], out=kept)
         wrong *= kept  # an id of little confidence is replaced
         wrong ^= ids
-        np.maximum(half, np.uint32(1), out=half)
-        sure += np.uint32(1)
-        np.minimum(sure, np.uint32(7), out=sure)
+        np.maximum(half, U32[1], out=half)
+        sure += U32[1]
+        np.minimum(sure, U32[7], out=sure)
         sure -= half
         sure *= right.astype(np.uint32)
         sure += half
-        sure *= np.uint32(65536)
+        sure *= U32[65536]
         sure |= wrong
         self.table[places.ravel()] = sure.ravel()
 
@@ -240,10 +261,10 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         near = near[2:].astype(np.uint32)
         shares, right = np.empty((size, k), np.int32), np.empty((size, 2, k), bool)
         for j in range(size):
-            entry = tables.table[places[j].ravel()].reshape(2, k)
+            entry = tables.entries(places[j])
             old = entry ^ near[j]
-            old &= np.uint32(65535)
-            np.equal(old, np.uint32(0), out=right[j])
+            old &= U32[65535]
+            np.equal(old, U32[0], out=right[j])
             shares[j] = tables.look(entry, old[0] == old[1])
             tables.learn(places[j], near[j], old, right[j], shares[j])
         f2 = ((shares >> np.int32(16)) + np.int32(1)).astype(U)
@@ -258,19 +279,19 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         for j in range(size):
             k = int(active[at + j])
             lo, r, p = low[:k], span[:k], place[:k]
-            r >>= U(ALL_BITS)
+            r >>= U64[ALL_BITS]
             lo += r * start[j, :k]
             r *= freq[j, :k]
-            words[p] = lo >> U(40)
+            words[p] = lo >> U64[40]
             out = (r < FLOOR).astype(U)
             p += out.view(np.int64)
-            lo &= (out - U(1)) | LOW
-            out <<= U(4)
+            lo &= (out - U64[1]) | LOW
+            out <<= U64[4]
             lo <<= out
             r <<= out
-            more = np.flatnonzero(r < FLOOR)
+            (more,) = (r < FLOOR).nonzero()
             if len(more):
-                words[place[more]] = low[more] >> U(40)
+                words[place[more]] = low[more] >> U64[40]
                 place[more] += 1
                 low[more] = (low[more] & LOW) << SIXTEEN
                 span[more] <<= SIXTEEN
@@ -323,34 +344,34 @@ def _decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
             model.renew(k)
             counted = i
         tables.slots(ids[i + 1, :k], ids[i, :k], places)
-        entry = tables.table[places.ravel()].reshape(2, k)
-        old = entry & np.uint32(65535)
+        entry = tables.entries(places)
+        old = entry & U32[65535]
         shares = tables.look(entry, old[0] == old[1])
-        f2 = shares >> np.int32(16)
-        f2 += np.int32(1)
-        both = shares & np.int32(65535)
+        f2 = shares >> I32[16]
+        f2 += I32[1]
+        both = shares & I32[65535]
         both += f2
-        both += np.int32(1)
+        both += I32[1]
         now, r, p = code[:k], span[:k], place[:k]
-        r >>= U(ALL_BITS)
-        others = r * (np.int32(4096) - both).astype(U)
-        r *= U(1 << REST_BITS)
+        r >>= U64[ALL_BITS]
+        others = r * (I32[4096] - both).astype(U)
+        r *= U64[1 << REST_BITS]
         end2, end1 = r * f2.astype(U), r * both.astype(U)
         hit2, miss = now < end2, now >= end1
         v = now - end1
         v //= others
-        np.minimum(v, U((1 << REST_BITS) - 1), out=v)  # of those that are no miss
+        np.minimum(v, U64[(1 << REST_BITS) - 1], out=v)  # of those that are no miss
         v = v.astype(np.int32)
-        bucket = inverse[rows_inverse[:k] + v // np.int32(SPAN)]
+        bucket = inverse.take(rows_inverse[:k] + v // I32[SPAN], mode="wrap")
         cell = rows_cum[:k] + bucket
-        c = cum[cell].astype(np.int32)
+        c = cum.take(cell, mode="wrap").astype(np.int32)
         cell += 1
-        f = cum[cell] - c
-        c *= np.int32(SPAN)
+        f = cum.take(cell, mode="wrap") - c
+        c *= I32[SPAN]
         v -= c
         v //= f
         c += v * f
-        v += bucket * np.int32(SPAN)
+        v += bucket * I32[SPAN]
         x = old[1] - old[0]  # this and what follows may wrap in between
         x *= hit2.astype(np.uint32)
         x += old[0]
@@ -370,14 +391,14 @@ def _decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
         end1 += end2
         np.add(end1, others, out=r)
         out = (r < FLOOR).astype(U)
-        word = out * pairs[p]
-        out *= U(2)
+        word = out * pairs.take(p, mode="wrap")
+        out *= U64[2]
         p += out.view(np.int64)
-        out *= U(8)
+        out *= U64[8]
         now <<= out
         now |= word
         r <<= out
-        more = np.flatnonzero(r < FLOOR)
+        (more,) = (r < FLOOR).nonzero()
         if len(more):
             q = place[more]
             code[more] = code[more] << SIXTEEN | pairs[q]
