@@ -357,7 +357,7 @@ def _decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
         others = r * (I32[4096] - both).astype(U)
         r *= U64[1 << REST_BITS]
         end2, end1 = r * f2.astype(U), r * both.astype(U)
-        hit2, miss = now < end2, now >= end1
+        not2, miss = now >= end2, now >= end1
         v = now - end1
         v //= others
         np.minimum(v, U64[(1 << REST_BITS) - 1], out=v)  # of those that are no miss
@@ -372,14 +372,14 @@ def _decode(coded: list[tuple[int, bytes]]) -> list[np.ndarray]:
         v //= f
         c += v * f
         v += bucket * I32[SPAN]
-        x = old[1] - old[0]  # this and what follows may wrap in between
-        x *= hit2.astype(np.uint32)
-        x += old[0]
+        x = old[0] - old[1]  # this and what follows may wrap in between
+        x *= not2.astype(np.uint32)
+        x += old[1]
         v = v.view(np.uint32)
         v -= x
         v *= miss.astype(np.uint32)
         x += v
-        not2, missed = (~hit2).astype(U), miss.astype(U)
+        not2, missed = not2.astype(U), miss.astype(U)
         end1 -= end2
         now -= not2 * end2
         now -= missed * (end1 + others * c.astype(U))

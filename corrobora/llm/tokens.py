@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +53,6 @@ def _classes() -> bytes:
     return bytes(found)
 
 
-_ID = attrgetter("id")
 _CLASSES = _classes()
 _ENDING = re.compile(_ENDINGS[:-1])
 
@@ -113,8 +111,9 @@ class PieceEncoder:
         """The ids of pieces, from the tokenizer's model."""
         ids: list[int] = []
         ends = [0]
+        tokenize = self.model.tokenize
         for word in map(self._word, pieces):
-            ids.extend(map(_ID, self.model.tokenize(word)))
+            ids += [t.id for t in tokenize(word)]
             ends.append(4 * len(ids))
         return list(map(np.array(ids, "<u4").tobytes().__getitem__, map(slice, ends[:-1], ends[1:])))
 
@@ -173,12 +172,14 @@ class PieceEncoder:
         distinct = list(map(raw.__getitem__, map(slice, borders[:-1], borders[1:])))
         ids = list(map(self.known.get, distinct))
         new = [i for i, e in enumerate(ids) if e is None]
-        for i, e in zip(new, self._new([distinct[i] for i in new]), strict=True):
+        new_pieces = [distinct[i] for i in new]
+        new_ids = self._new(new_pieces)
+        for i, e in zip(new, new_ids, strict=True):
             ids[i] = e
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known = dict(zip(distinct, ids, strict=True))
         else:
-            self.known.update((distinct[i], ids[i]) for i in new)
+            self.known.update(zip(new_pieces, new_ids, strict=True))
         size = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
         flat = np.frombuffer(b"".join(ids), "<u4")
         which = pieces.indices.to_numpy(zero_copy_only=False)
