@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrobora.functions.draws import draw_hash
-from corrobora.operators.neighbours import nearest_pairs
+from corrobora.operators.neighbours import Searched
 from corrobora.session import cut_lineage
 
 MAX_PIVOTS = 1024
 ROWS_AT_ONCE = 256
 """Rows whose distances to all pivots, or to a block, are held at once."""
 
+LEAST_BLOCK, MAX_BLOCK = 1 << 12, 1 << 16
+ROUNDING = 1e-12
+"""Share of the largest square by which a squared distance from products may be wrong."""
+
 
 def principal_components(df: DataFrame, key: str, features: str, k: int) -> tuple[DataFrame, DataFrame]:
     """Scores on ``k`` components of the centred features, and the variance ratio of each.
@@ -60,6 +64,16 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by products, for bounds that leave room for their rounding."""
+    return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T)
+
+
+def _block_rows(rows: int, tasks: int) -> int:
+    """Rows of a block: some blocks and chunks for each task at once, and no more rows than a task may hold."""
+    return max(LEAST_BLOCK, min(MAX_BLOCK, math.ceil(rows / (2 * math.sqrt(tasks)))))
+
+
 def _bundled(sizes: dict[int, int], between: np.ndarray, block_rows: int) -> tuple[np.ndarray, list[int]]:
     """The bundle of every cell and the parts of every bundle.
 
@@ -83,21 +97,23 @@ def nearest_neighbours(
     features: str,
     k: int,
     pivots: int | None = None,
-    block_rows: int = 1 << 14,
+    block_rows: int | None = None,
     seed: int = 1,
     queries: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest other rows of every row (or of those whose key is in ``queries``), exactly, as ``(src, dst, distance, rank)``.
 
     Rows are grouped round pivots, as many as the square root of the rows unless given. A row visits only the pivot cells whose distance
-    bounds (triangle inequality and dividing plane) can still hold one of its neighbours.
-    Near cells are bundled to blocks of ``block_rows`` rows and visitors dealt to chunks of as many, so a row is sent to a block once,
+    bounds (triangle inequality and dividing plane) can still hold one of its neighbours; pivots are rows too, so their distances bound those of the neighbours.
+    Near cells are bundled to blocks of ``block_rows`` rows (by the number of rows, unless given) and visitors dealt to chunks of half as many, so a row is sent to a block once,
     however many of its cells it visits, and a dense cell is shared out over tasks. A task holds a block and a chunk,
     and some hundreds of visitors are worked off at once; each block returns at most ``k`` rows per visitor. Equal
     distances are ordered by id.
     """
-    if pivots is None:
-        pivots = min(MAX_PIVOTS, 1 + math.isqrt(df.count()))
+    if pivots is None or block_rows is None:
+        rows = df.count()
+        pivots = pivots or min(MAX_PIVOTS, 1 + math.isqrt(rows))
+        block_rows = block_rows or _block_rows(rows, df.sparkSession.sparkContext.defaultParallelism)
     if not 1 <= pivots <= MAX_PIVOTS:
         raise ValueError(f"pivots must be between 1 and {MAX_PIVOTS}")
     data = df.select(F.col(key).cast("bigint").alias("id"), F.col(features).alias("vec"))
@@ -109,50 +125,50 @@ def nearest_neighbours(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = _distances(_stack(pdf["vec"]), centres)
-            cell = d.argmin(axis=1)
-            yield pdf.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                vec = _stack(part["vec"])
+                cell = _squares(vec, centres).argmin(axis=1)
+                apart = vec - centres[cell]
+                yield part.assign(cell=cell.astype("int32"), radius=np.sqrt((apart * apart).sum(axis=1)))
 
     assigned = cut_lineage(data.mapInPandas(assign, f"id bigint, vec {vec_type}, cell int, radius double"))
 
-    # at most pivots x (k + 1) radii and pivots x 2 numbers come to the driver
+    # a few numbers for each pivot come to the driver
     near = Window.partitionBy("cell").orderBy("radius", "id")
-    small = (
-        assigned.select("cell", "radius", "id")
-        .withColumn("_r", F.row_number().over(near))
-        .filter(F.col("_r") <= k + 1)
-        .select("cell", "radius")
-        .collect()
-    )
+    small = assigned.select("cell", "radius", "id").withColumn("_r", F.row_number().over(near)).filter(F.col("_r") == k + 1)
+    full = np.full(len(centres), np.inf)
+    for row in small.select("cell", "radius").collect():
+        full[row["cell"]] = row["radius"]
     sizes = assigned.groupBy("cell").agg(F.max("radius").alias("far"), F.count(F.lit(1)).alias("n")).collect()
     far = np.full(len(centres), -np.inf)
     for row in sizes:
         far[row["cell"]] = row["far"]
-    cells = np.array([r["cell"] for r in small], dtype=int)
-    radii = np.array([r["radius"] for r in small], dtype=float)
+    unsure = ROUNDING * (far.max() + np.sqrt((centres * centres).sum(axis=1).max())) ** 2
     between = _distances(centres, centres)
     bundle, parts = _bundled({r["cell"]: r["n"] for r in sizes}, between, block_rows)
     filled = np.flatnonzero(bundle >= 0)
     held = np.zeros((len(filled), len(parts)), np.float32)
     held[np.arange(len(filled)), bundle[filled]] = 1
 
-    def visited(d: np.ndarray, some: np.ndarray, own: np.ndarray, own_d: np.ndarray, bound: np.ndarray) -> np.ndarray:
-        """Which of ``some`` cells, at distances ``d``, can hold a neighbour of rows of the cells ``own`` within ``bound``."""
+    def visited(square: np.ndarray, some: np.ndarray, own: np.ndarray, own_d: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Which of ``some`` cells, at squared distances ``square``, can hold a neighbour of rows of the cells ``own`` within ``bound``."""
         gap = between[own][:, some]
         with np.errstate(divide="ignore", invalid="ignore"):
-            plane = np.where(gap > 0, (d * d - (own_d * own_d)[:, None]) / (2 * gap), 0.0)
-        low = np.maximum(np.maximum(d - far[some], plane), 0.0)
+            plane = np.where(gap > 0, (square - (own_d * own_d)[:, None] - 4 * unsure) / (2 * gap), 0.0)
+        low = np.maximum(np.maximum(np.sqrt(np.maximum(square - unsure, 0.0)) - far[some], plane), 0.0)
         return low <= bound[:, None] * (1 + 1e-9) + 1e-9
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), ROWS_AT_ONCE):
                 part = pdf.iloc[at : at + ROWS_AT_ONCE]
-                d = _distances(_stack(part["vec"]), centres)
-                reach = d[:, cells] + radii[None, :]
-                place = min(k, reach.shape[1] - 1)  # one of the k + 1 nearest is the row itself
-                bound = np.partition(reach, place, axis=1)[:, place] if reach.shape[1] > k else np.full(len(d), np.inf)
-                visit = visited(d[:, filled], filled, part["cell"].to_numpy(), part["radius"].to_numpy(), bound)
+                square = _squares(_stack(part["vec"]), centres)
+                most = np.sqrt(np.maximum(square, 0.0) + unsure)
+                bound = (most + full).min(axis=1)  # one of the k + 1 nearest is the row itself
+                if len(centres) > k:
+                    bound = np.minimum(bound, np.partition(most, k, axis=1)[:, k])
+                visit = visited(square[:, filled], filled, part["cell"].to_numpy(), part["radius"].to_numpy(), bound)
                 to = [np.flatnonzero(x).astype("int32") for x in visit.astype(np.float32) @ held]
                 yield part.rename(columns={"id": "qid", "vec": "qvec", "cell": "own"}).assign(bound=bound, bundles=to)
 
@@ -162,7 +178,7 @@ def nearest_neighbours(
     )).withColumn("bundle", F.explode("bundles")).drop("bundles")
     chunks = [0] * len(parts)
     for r in routed.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect():
-        chunks[r["bundle"]] = -(-r["n"] // block_rows)
+        chunks[r["bundle"]] = -(-r["n"] // -(-block_rows // 2))
     lookup = lambda table, at: F.get(F.array(*[F.lit(int(x)) for x in table]), F.col(at))
     fan = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
     keys = ["bundle", "block", "chunk"]
@@ -179,23 +195,24 @@ def nearest_neighbours(
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            ids, vecs, cell = right["id"].to_numpy(), _stack(right["vec"]), right["cell"].to_numpy()
+            right = right.sort_values("cell", kind="stable")
+            searched, cell = Searched(right["id"].to_numpy(), _stack(right["vec"])), right["cell"].to_numpy()
             some = np.unique(cell)
             left = left.sort_values("own", kind="stable")
             for at in range(0, len(left), ROWS_AT_ONCE):
                 part = left.iloc[at : at + ROWS_AT_ONCE]
-                vec = _stack(part["qvec"])
-                d = _distances(vec, centres[some])
-                visit = visited(d, some, part["own"].to_numpy(), part["radius"].to_numpy(), part["bound"].to_numpy())
+                vec, bound = _stack(part["qvec"]), part["bound"].to_numpy()
+                visit = visited(_squares(vec, centres[some]), some, part["own"].to_numpy(), part["radius"].to_numpy(), bound)
                 inside = np.isin(cell, some[visit.any(axis=0)])
                 if inside.any():
-                    found += list(nearest_pairs(ids[inside], vecs[inside], part["qid"].to_numpy(), vec, k))
+                    found += list(searched.nearest(part["qid"].to_numpy(), vec, k, bound, inside))
         src, dst, distance = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
         return pd.DataFrame({"src": src, "dst": dst, "distance": distance})
 
-    partial = queries.groupBy(*keys).cogroup(objects.groupBy(*keys)).applyInPandas(
-        nearest, "src bigint, dst bigint, distance double"
-    )
+    # as many partitions that few blocks with their chunks share one, which would work them off one after the other
+    pieces = 2 * sum(n * c for n, c in zip(parts, chunks)) + 1
+    dealt = [x.repartition(pieces, *keys).groupBy(*keys) for x in (queries, objects)]
+    partial = dealt[0].cogroup(dealt[1]).applyInPandas(nearest, "src bigint, dst bigint, distance double")
     best = Window.partitionBy("src").orderBy("distance", "dst")
     return partial.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

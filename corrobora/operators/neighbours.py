@@ -23,6 +23,13 @@ BLOCK_BUCKETS = 8
 
 MAX_HOT_BLOCKS = 100_000
 PAIRS_AT_ONCE = 1 << 16
+TILE_START, TILE = 1024, 4096
+"""Vectors that some queries are compared with at a time: first, and at most."""
+
+QUERIES_IN_TILE = 256
+LARGEST = 1e15
+"""Length of a vector up to which its products are made in single precision."""
+
 QUERIES_AT_ONCE = 4096
 """Queries of a block whose finds are held before they are cut to the nearest."""
 
@@ -74,31 +81,130 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def nearest_pairs(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query ids, ids, distances) of the ``k`` nearest others, some hundreds of queries at a time.
+class Searched:
+    """Vectors in which the nearest of others are looked for, exactly.
 
-    Products choose, with room for their rounding; the chosen pairs are measured by differences.
+    Products in single precision, of vectors less their mean, choose with room for their rounding; the chosen pairs are measured by
+    differences. A query is compared with tile after tile, and only what may be among its nearest so far is kept.
     """
-    norms = (vectors * vectors).sum(axis=1)
-    step = max(1, min(512, 4_000_000 // max(1, len(ids))))
-    for i in range(0, len(qids), step):
-        q, own = queries[i : i + step], qids[i : i + step]
-        size = (q * q).sum(axis=1)[:, None] + norms
-        square = size - 2 * (q @ vectors.T)
-        slack = 1e-12 * vectors.shape[1] * size
-        square[own[:, None] == ids[None, :]] = np.inf
-        place = min(k, len(ids)) - 1
-        bound = np.partition(square + slack, place, axis=1)[:, place]
-        row, col = np.nonzero((square - slack <= bound[:, None]) & np.isfinite(square))
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors, self.dim = ids, vectors, vectors.shape[1]
+        self.middle = vectors.mean(axis=0) if len(vectors) else np.zeros(self.dim)
+        self.norms = np.zeros(len(vectors))
+        self.columns = np.empty((self.dim + 1, len(vectors)), np.float32)
+        for at in range(0, len(vectors), TILE):
+            apart = vectors[at : at + TILE] - self.middle
+            self.norms[at : at + TILE] = (apart * apart).sum(axis=1)
+            with np.errstate(over="ignore"):
+                self.columns[:-1, at : at + TILE] = apart.T
+        with np.errstate(over="ignore"):
+            self.columns[-1] = self.norms
+        self.largest = np.sqrt(self.norms.max(initial=0.0))
+
+    def nearest(
+        self, qids: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray | None = None, among: np.ndarray | None = None
+    ) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query ids, ids, distances) of the ``k`` nearest others, some hundreds of queries at a time.
+
+        ``bounds`` are distances beyond which nothing is asked for, and ``among`` tells which of the vectors may be nearer.
+        """
+        some = among is not None and 2 * np.count_nonzero(among) < len(among)  # a copy of most of them would cost more than it saves
+        places = np.flatnonzero(among) if some else np.arange(len(self.ids))
+        columns = self.columns[:, places] if some else self.columns
+        tiled = len(places) > TILE_START > 2 * k and self.largest < LARGEST
+        for i in range(0, len(qids), QUERIES_IN_TILE):
+            own, q = qids[i : i + QUERIES_IN_TILE], queries[i : i + QUERIES_IN_TILE]
+            bound = np.full(len(own), np.inf) if bounds is None else bounds[i : i + QUERIES_IN_TILE]
+            found = self._chosen(q, k, bound, columns) if tiled else None
+            if found is None:
+                yield from self._by_differences(own, q, k, places)
+                continue
+            row, col = found
+            col = places[col]
+            other = own[row] != self.ids[col]
+            yield self._measured(own, q, row[other], col[other], k)
+
+    def _chosen(self, q: np.ndarray, k: int, bound: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows of queries and columns that hold their ``k`` nearest others; none where so many are equally near that tiles do not pay."""
+        apart = q - self.middle
+        size = (apart * apart).sum(axis=1)
+        if not (size < LARGEST * LARGEST).all():
+            return None
+        left = np.concatenate([-2 * apart, np.ones((len(q), 1))], axis=1).astype(np.float32)
+        # a product and what it stands for, the squared distance less the query's norm, differ by no more than this
+        slack = (self.dim + 8) * 2.0**-23 * (2 * np.sqrt(size) * self.largest + self.largest**2) + 1e-30
+        limit = np.square(bound * (1 + 1e-9) + 1e-9) - size + slack
+        best = np.full((len(q), k + 1), np.inf)  # one of them is the row itself
+        rows, cols, values, n, at, width = [], [], [], columns.shape[1], 0, TILE_START
+        while at < n:
+            tile = left @ columns[:, at : at + width]
+            if at == 0:
+                limit = np.minimum(limit, np.partition(tile, k, axis=1)[:, k] + 2 * slack)
+            row, col = _true_places(tile <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])
+            if len(row) > tile.size // 8 + (k + 1) * len(q):
+                return None
+            value = tile[row, col].astype(float)
+            rows.append(row), cols.append(col + at), values.append(value)
+            best = _least(best, row, value)
+            limit = np.minimum(limit, best[:, k] + 2 * slack)
+            at, width = at + tile.shape[1], min(TILE, 2 * width)
+        row, col, value = (np.concatenate(x) for x in (rows, cols, values))
+        keep = value <= limit[row]
+        return row[keep], col[keep]
+
+    def _measured(self, own: np.ndarray, q: np.ndarray, row: np.ndarray, col: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         distance = np.empty(len(row))
         for at in range(0, len(row), PAIRS_AT_ONCE):  # where many are equally near, they are many
-            apart = q[row[at : at + PAIRS_AT_ONCE]] - vectors[col[at : at + PAIRS_AT_ONCE]]
+            apart = q[row[at : at + PAIRS_AT_ONCE]] - self.vectors[col[at : at + PAIRS_AT_ONCE]]
             distance[at : at + PAIRS_AT_ONCE] = np.sqrt((apart * apart).sum(axis=1))
-        order = np.lexsort((ids[col], distance, row))
+        order = np.lexsort((self.ids[col], distance, row))
         row, col, distance = row[order], col[order], distance[order]
-        first = np.searchsorted(row, row)
-        keep = np.arange(len(row)) - first < k
-        yield own[row[keep]], ids[col[keep]], distance[keep]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return own[row[keep]], self.ids[col[keep]], distance[keep]
+
+    def _by_differences(self, qids: np.ndarray, queries: np.ndarray, k: int, places: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """The same from products in double precision, for few vectors and for those that single precision cannot tell apart."""
+        vectors, ids = self.vectors[places], self.ids[places]
+        norms = (vectors * vectors).sum(axis=1)
+        step = max(1, min(512, 4_000_000 // max(1, len(ids))))
+        for i in range(0, len(qids), step):
+            q, own = queries[i : i + step], qids[i : i + step]
+            size = (q * q).sum(axis=1)[:, None] + norms
+            square = size - 2 * (q @ vectors.T)
+            slack = 1e-12 * self.dim * size
+            square[own[:, None] == ids[None, :]] = np.inf
+            place = min(k, len(ids)) - 1
+            bound = np.partition(square + slack, place, axis=1)[:, place]
+            row, col = np.nonzero((square - slack <= bound[:, None]) & np.isfinite(square))
+            yield self._measured(own, q, row, places[col], k)
+
+
+def _true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true values, looked for eight at a time."""
+    if mask.shape[1] % 8:
+        flat = np.flatnonzero(mask)
+    else:
+        eight = np.flatnonzero(mask.view(np.uint64))
+        at, place = np.nonzero(mask.reshape(-1, 8)[eight])
+        flat = eight[at] * 8 + place
+    return np.divmod(flat, mask.shape[1])
+
+
+def _least(best: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The least values of every row among those it has and new ones, in ascending order."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = place < best.shape[1]
+    new = np.full(best.shape, np.inf)
+    new[row[keep], place[keep]] = value[keep]
+    return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, : best.shape[1]]
+
+
+def nearest_pairs(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query ids, ids, distances) of the ``k`` nearest others, some hundreds of queries at a time; see :class:`Searched`."""
+    yield from Searched(ids, vectors).nearest(qids, queries, k)
 
 
 def _distinct(data: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

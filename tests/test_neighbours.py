@@ -96,3 +96,37 @@ def test_probes_are_added_until_the_goal_is_reached(spark):
     got = of(nb.approximate_neighbours(frame(spark, x), "id", "v", K, tables=4, probes=1, bucket_rows=32))
     hits = sum(len(set(g["dst"]) & set(want[s])) for s, g in got.groupby("src"))
     assert hits >= 0.94 * want.size
+
+
+def nearest_listed(ids, x, qids, q, k):
+    d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    d[qids[:, None] == ids[None, :]] = np.inf
+    return [(int(a), int(ids[j]), float(d[i, j])) for i, a in enumerate(qids) for j in np.lexsort((ids, d[i]))[:k]]
+
+
+@pytest.mark.parametrize("kind", ["uniform", "far from the origin", "copies", "tiny", "huge", "few"])
+def test_pairs_chosen_in_single_precision_are_the_nearest(kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (700 if kind == "few" else 5003, 9))
+    x = {"far from the origin": x * 0.01 + 1000, "tiny": x * 1e-25, "huge": x * 1e30}.get(kind, x)
+    if kind == "copies":
+        x[rng.permutation(len(x))[:3000]] = x[0]
+        x[rng.permutation(len(x))[:20]] = x[1]
+    ids = rng.permutation(len(x)) + 100
+    some = np.unique(rng.integers(0, len(x), 300))
+    found = [np.concatenate(c).tolist() for c in zip(*nb.nearest_pairs(ids, x, ids[some], x[some], 7))]
+    want = nearest_listed(ids, x, ids[some], x[some], 7)
+    assert sorted(zip(*found)) == sorted(want)
+    bounds = np.array([want[7 * i + 6][2] for i in range(len(some))])
+    half = np.isin(ids, [w[1] for w in want]) | (ids % 9 == 0)
+    for among in (half, np.ones(len(x), bool)):
+        held = [np.concatenate(c).tolist() for c in zip(*nb.Searched(ids, x).nearest(ids[some], x[some], 7, bounds, among))]
+        assert sorted(zip(*held)) == sorted(want)
+
+
+def test_few_pairs_are_measured():
+    x = np.random.default_rng(5).normal(0, 1, (40_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    searched = nb.Searched(np.arange(len(x)), x)
+    row, _ = searched._chosen(x[:256], 15, np.full(256, np.inf), searched.columns)
+    assert 16 * 256 <= len(row) < 18 * 256
