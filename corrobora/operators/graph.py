@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corrobora.functions.draws import draw_hash
 from corrobora.operators.neighbours import Searched
+from corrobora.operators.propagation import propagate
 from corrobora.session import cut_lineage
 
 MAX_PIVOTS = 1024
@@ -225,8 +226,8 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.filter("src <> dst").groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def communities(vertices: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
-    """Weighted label propagation until the labels settle, as ``(id, community, rounds, settled)``.
+def communities_by_resolution(vertices: DataFrame, edges: DataFrame, resolutions: Sequence[float]) -> DataFrame:
+    """Weighted label propagation until the labels settle, as ``(resolution, id, community, rounds, settled)``.
 
     In each round every vertex takes the label with the largest summed weight among its
     neighbours, its own label weighing ``resolution`` times its mean edge weight; the smallest
@@ -234,32 +235,13 @@ def communities(vertices: DataFrame, edges: DataFrame, resolution: float) -> Dat
     a state of all labels comes up again: the last one's (``settled``), or an earlier one's, between
     which the labels would swing for ever. Each round is written out, which bounds the lineage.
     """
-    pairs = cut_lineage(undirected(edges))
-    own = pairs.groupBy("src").agg(
-        F.floor(F.avg("weight") * F.lit(float(resolution))).cast("bigint").alias("_own")
-    )
-    self_weight = cut_lineage(
-        vertices.select(F.col("id").alias("src")).join(own, "src", "left").select("src", F.coalesce("_own", F.lit(1)).alias("_own"))
-    )
-    labels = self_weight.select(F.col("src").alias("id"), F.col("src").alias("community"))
-    states: list[tuple] = []
-    while True:
-        digest = labels.agg(
-            F.sum(F.xxhash64("id", "community").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), "id", "community"))
-        ).first()
-        if tuple(digest) in states:
-            break
-        states.append(tuple(digest))
-        heard = pairs.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "community", "weight")
-        kept = labels.join(self_weight.withColumnRenamed("src", "id"), "id").select("id", "community", F.col("_own").alias("weight"))
-        votes = heard.unionByName(kept).groupBy("id", "community").agg(F.sum("weight").alias("_w"))
-        labels = cut_lineage(
-            votes.groupBy("id").agg(F.max_by("community", F.struct("_w", -F.col("community"))).alias("community"))
-        )
-    settled = states[-1] == tuple(digest)
-    return labels.withColumn("rounds", F.lit(len(states))).withColumn("settled", F.lit(settled))
+    return propagate(vertices, cut_lineage(undirected(edges)), resolutions)
 
 
+def communities(vertices: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
+    """:func:`communities_by_resolution` of one resolution, as ``(id, community, rounds, settled)``."""
+    return communities_by_resolution(vertices, edges, [resolution]).drop("resolution")
+
 
 def edge_weights(neighbours: DataFrame, scale: int = 1_000_000) -> DataFrame:
     """Whole-number similarity ``scale / (1 + distance)``."""

@@ -11,7 +11,7 @@ from corrobora.operators import graph as gr
 from corrobora.operators import neighbours as nb
 from corrobora.plans.bindings import r
 from corrobora.plans.registry import query
-from corrobora.session import cut_lineage
+from corrobora.session import stored
 from corrobora.sources.tables import load
 
 K = 15
@@ -28,7 +28,8 @@ edges AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight F
 
 
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return gr.nearest_neighbours(load(spark, d, "embeddings"), "vec_id", "embedding", K)
+    """Exact neighbours of all vectors, made once a run."""
+    return stored(spark, d, "neighbours", lambda: gr.nearest_neighbours(load(spark, d, "embeddings"), "vec_id", "embedding", K))
 
 
 @query("nearest_neighbours", f"WITH {KNN} SELECT src, dst, {r('distance')} AS distance, CAST(rank AS INTEGER) AS rank FROM knn")
@@ -77,13 +78,14 @@ LABELLED = "labelled AS (" + " UNION ALL ".join(
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    edges = cut_lineage(gr.edge_weights(neighbours(spark, d)))
-    vertices = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    parts = [
-        gr.communities(vertices, edges, x).select(F.lit(x).alias("resolution"), F.col("id").alias("vec_id"), "community", "rounds", "settled")
-        for x in RESOLUTIONS
-    ]
-    return parts[0].unionByName(parts[1])
+    """Communities of both resolutions, made once a run."""
+
+    def build() -> DataFrame:
+        vertices = load(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+        found = gr.communities_by_resolution(vertices, gr.edge_weights(neighbours(spark, d)), RESOLUTIONS)
+        return found.select("resolution", F.col("id").alias("vec_id"), "community", "rounds", "settled")
+
+    return stored(spark, d, "communities", build)
 
 
 @query("graph_communities", f"WITH RECURSIVE {KNN}, {COMMUNITIES}, {LABELLED} SELECT * FROM labelled")

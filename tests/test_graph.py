@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import __spark_entry__ as contract
 from corrobora.operators import graph as gr
+from corrobora.operators import propagation
+from corrobora.session import is_stored
 
 
 def vectors(n=260, dim=6, seed=4):
@@ -59,6 +62,49 @@ def test_communities_label_every_vertex_and_repeat(spark):
     assert len({first[i] for i in range(5)}) == 1 and len({first[i] for i in range(10, 15)}) == 1
 
 
+def one_by_one(n, edges, resolution):
+    """Labels round by round, and the round whose state came up before."""
+    near = {v: {} for v in range(n)}
+    for a, c, w in edges:
+        if a != c:
+            near[a][c] = near[c][a] = max(w, near[a].get(c, 0))
+    labels, states = list(range(n)), []
+    while labels not in states:
+        states.append(labels)
+        new = []
+        for v in range(n):
+            own = int(np.floor(sum(near[v].values()) / len(near[v]) * resolution)) if near[v] else 1
+            votes = {labels[v]: own}
+            for u, w in near[v].items():
+                votes[labels[u]] = votes.get(labels[u], 0) + w
+            new.append(max(votes, key=lambda x: (votes[x], -x)))
+        labels = new
+    return labels, len(states), states[-1] == labels
+
+
+@pytest.mark.parametrize("edges_at_once", [1 << 20, 40])
+def test_resolutions_side_by_side_equal_those_alone(spark, monkeypatch, edges_at_once):
+    monkeypatch.setattr(propagation, "EDGES_AT_ONCE", edges_at_once)
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(c), int(w)) for a, c, w in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.integers(1, 2**33, 150))]
+    edges += [(70, 71, 5), (71, 70, 9), (72, 72, 4)]
+    n, resolutions = 75, [0.0, 0.5, 1.0, 100.0]
+    found = gr.communities_by_resolution(spark.range(n), spark.createDataFrame(edges, "src long, dst long, weight long"), resolutions).collect()
+    assert len(found) == n * len(resolutions)
+    for x in resolutions:
+        labels, rounds, settled = one_by_one(n, edges, x)
+        own = [r for r in found if r["resolution"] == x]
+        assert {r["id"]: r["community"] for r in own} == dict(enumerate(labels))
+        assert {(r["rounds"], r["settled"]) for r in own} == {(rounds, settled)}
+    assert len({r["settled"] for r in found}) == 2
+
+
+def test_neighbours_and_communities_are_made_once_a_run(spark):
+    folder = "/root/testdata/sf0.001"
+    contract.queries()["graph_communities"](spark, folder).count()
+    assert is_stored(spark, folder, "neighbours") and is_stored(spark, folder, "communities")
+
+
 def test_components_match_numpy(spark):
     x = vectors(120, 5)
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "v": list(x)}))
