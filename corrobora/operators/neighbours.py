@@ -141,7 +141,8 @@ class Searched:
             tile = left @ columns[:, at : at + width]
             if at == 0:
                 limit = np.minimum(limit, np.partition(tile, k, axis=1)[:, k] + 2 * slack)
-            row, col = _true_places(tile <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None])
+            near = tile <= np.nextafter(limit.astype(np.float32), np.float32(np.inf))[:, None]
+            row, col = np.divmod(true_places(near), tile.shape[1])
             if len(row) > tile.size // 8 + (k + 1) * len(q):
                 return None
             value = tile[row, col].astype(float)
@@ -180,15 +181,14 @@ class Searched:
             yield self._measured(own, q, row, places[col], k)
 
 
-def _true_places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the few true values, looked for eight at a time."""
-    if mask.shape[1] % 8:
-        flat = np.flatnonzero(mask)
-    else:
-        eight = np.flatnonzero(mask.view(np.uint64))
-        at, place = np.nonzero(mask.reshape(-1, 8)[eight])
-        flat = eight[at] * 8 + place
-    return np.divmod(flat, mask.shape[1])
+def true_places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true values, looked for eight at a time."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.flatnonzero(flat)
+    eight = np.flatnonzero(flat.view(np.uint64))
+    at, place = np.nonzero(flat.reshape(-1, 8)[eight])
+    return eight[at] * 8 + place
 
 
 def _least(best: np.ndarray, row: np.ndarray, value: np.ndarray) -> np.ndarray:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corrobora.functions.tails import log_gamma
+from corrobora.operators.neighbours import true_places
 from corrobora.session import cut_lineage
 
 CELL_N, CELL_FRACTION, UMI_FRACTION = "cell_n", "cell_fraction", "umi_fraction"
@@ -31,14 +32,21 @@ WIDTH = 6.0
 DRAWS_AT_ONCE = 20
 """Draws of a stratum whose k-th hashes one task looks for."""
 
-GUIDE = 1 << 10
+GUIDE_BITS = 10
+GUIDE = 1 << GUIDE_BITS
 """Parts of the unit interval in which a binomial quantile is looked up."""
 
+MOST_DISTRIBUTIONS = 1 << 13
+
 HELD_HASHES = 1 << 21
-CELLS_AT_ONCE = 256
+CELLS_AT_ONCE = 64
+HASHED_AT_ONCE = 1 << 14
 GENES_AT_ONCE = 128
+GENES_SCORED = 16
+"""Genes whose scores of all draws are held at once."""
+
 SPARSE = 16
-"""Scores are made one by one where fewer than one of so many counts is not zero."""
+"""Scores are made one by one where fewer than one of so many counts can be other than zero."""
 
 SCORED_AT_ONCE = 64
 """Draws of a scenario that are scored before it is asked whether the others matter, a multiple of 8."""
@@ -49,6 +57,9 @@ COMBINED_ROWS = 64
 
 SALTS = 64
 TIE = 1e-10
+MOST_FACTORS = 48
+"""Donors whose counts per million, a million at most, can be multiplied."""
+
 TOPS = "map<string, string>"
 """Baseline type of a gene by the types compared."""
 
@@ -75,6 +86,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Hashes:
+    """:func:`mixed` bits of rows and draws, made in two buffers that stay in a cache."""
+
+    def __init__(self) -> None:
+        self.buffers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, base: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Rows x draws, valid until the next call."""
+        if len(self.buffers.get(len(labels), ([], []))[0]) < len(base):
+            self.buffers[len(labels)] = np.empty((len(base), len(labels)), _U), np.empty((len(base), len(labels)), _U)
+        x, y = (b[: len(base)] for b in self.buffers[len(labels)])
+        np.bitwise_xor(base[:, None], labels[None, :], out=x)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+            np.right_shift(x, _U(shift), out=y)
+            np.bitwise_xor(x, y, out=x)
+            if factor is not None:
+                np.multiply(x, _U(factor), out=x)
+        return x
+
+
 def word(*labels: object) -> int:
     """Unsigned 64 bits of the MD5 of labels."""
     return int(hashlib.md5("|".join(map(str, labels)).encode()).hexdigest()[:16], 16)
@@ -174,7 +205,7 @@ def _kth_hashes(cells: DataFrame, plan: Plan) -> dict[tuple[int, int], np.ndarra
         def told(batches: Iterator[pa.RecordBatch], left=left, chunks=chunks) -> Iterator[pa.RecordBatch]:
             below: dict[tuple[int, int], np.ndarray] = {}
             inside: dict[tuple[int, int], list] = {}
-            held = 0
+            held, hashes = 0, _Hashes()
 
             def flush() -> pa.RecordBatch:
                 out = []
@@ -196,12 +227,13 @@ def _kth_hashes(cells: DataFrame, plan: Plan) -> dict[tuple[int, int], np.ndarra
                         if (group, s) not in left:
                             continue
                         lo, hi = left[group, s]
-                        h = mixed(base[:, None] ^ labels[None, :])
-                        reps = np.nonzero((h >= lo) & (h <= hi))
+                        h = hashes.of(base, labels)
                         counts = below.setdefault((group, s), np.zeros(plan.reps, np.int64))
-                        counts += (h < lo).sum(axis=0)
-                        inside.setdefault((group, s), []).append((reps[1], h[reps]))
-                        held += len(reps[1])
+                        if lo > 0:
+                            counts += (h < lo).view(np.uint8).sum(axis=0, dtype=np.uint8)
+                        near = np.flatnonzero(h - lo <= hi - lo)  # below the window the difference wraps round
+                        inside.setdefault((group, s), []).append((near % plan.reps, h.ravel()[near]))
+                        held += len(near)
                 if held > HELD_HASHES:
                     yield flush()
                     held = 0
@@ -260,12 +292,13 @@ def cell_bits(cells: DataFrame, plan: Plan) -> DataFrame:
     kth = _kth_hashes(keyed.select("group", "base"), plan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for batch in batches:
             bits = np.zeros((batch.num_rows, len(plan.sampled), plan.bytes), np.uint8)
             for group, rows, base in _blocks(batch):
                 for s, labels in enumerate(plan.words):
                     if (group, s) in kth:
-                        bits[rows, s] = np.packbits(mixed(base[:, None] ^ labels[None, :]) <= kth[group, s][None, :], axis=1)
+                        bits[rows, s] = np.packbits(hashes.of(base, labels) <= kth[group, s][None, :], axis=1)
             flat = pa.array([b.tobytes() for b in bits], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell_id", "group", "total")), flat], names=["cell_id", "group", "total", "bits"])
 
@@ -366,68 +399,122 @@ def library_totals(bits: DataFrame, plan: Plan) -> np.ndarray:
 class Binomials:
     """Binomial quantiles of uniform numbers; the distribution of a count is made once.
 
-    Equal parts of the unit interval know their quantile where no step of the distribution falls inside; only in the others it is searched for.
+    Equal parts of the unit interval know their quantile where no step of the distribution falls inside; only in the others the steps are
+    followed, from the first one inside. All distributions stand in one table, so rows of different counts are looked up together.
     """
 
     def __init__(self) -> None:
-        self.known: dict[tuple[int, float], tuple[int, np.ndarray]] = {}
-        self.guides: dict[tuple[int, float], np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[tuple[int, float], int] = {}
+        self.table = np.empty((64, GUIDE), np.int32)  # the quantile of a part; where it is open, -1 less the steps below it
+        self.firsts, self.ends = np.empty(64, np.int64), np.zeros(65, np.int64)
+        self.steps = np.empty(1 << 12)
 
     def cdf(self, n: int, p: float) -> tuple[int, np.ndarray]:
         """First value and running sums of the probabilities around the mean; what lies outside has less than 1e-30."""
-        if (n, p) not in self.known:
-            if len(self.known) > 1 << 14:
-                self.known.clear()
-                self.guides.clear()
-            spread = 12 * np.sqrt(n * p * (1 - p)) + 40
-            lo, hi = max(0, int(n * p - spread)), min(n, int(n * p + spread))
-            k = np.arange(lo, hi + 1, dtype=float)
-            logs = log_gamma(np.array([n + 1.0]))[0] - log_gamma(k + 1) - log_gamma(n - k + 1) + k * np.log(p) + (n - k) * np.log1p(-p)
-            self.known[n, p] = lo, np.cumsum(np.exp(logs))
-        return self.known[n, p]
+        spread = 12 * np.sqrt(n * p * (1 - p)) + 40
+        lo, hi = max(0, int(n * p - spread)), min(n, int(n * p + spread))
+        k = np.arange(lo, hi + 1, dtype=float)
+        logs = log_gamma(np.array([n + 1.0]))[0] - log_gamma(k + 1) - log_gamma(n - k + 1) + k * np.log(p) + (n - k) * np.log1p(-p)
+        return lo, np.cumsum(np.exp(logs))
+
+    def _place(self, n: int, p: float) -> int:
+        """Row of the table in which a distribution stands."""
+        at = self.known.get((n, p))
+        if at is not None:
+            return at
+        at = len(self.known)
+        first, cdf = self.cdf(n, p) if n > 0 else (0, np.ones(1))
+        if at == len(self.table):
+            self.table, self.firsts = np.concatenate([self.table, np.empty_like(self.table)]), np.concatenate([self.firsts, self.firsts])
+            self.ends = np.concatenate([self.ends, np.zeros(at, np.int64)])
+        lo = self.ends[at]
+        hi = self.ends[at + 1] = lo + len(cdf)
+        while hi > len(self.steps):
+            self.steps = np.concatenate([self.steps, np.empty_like(self.steps)])
+        parts = np.arange(GUIDE + 1) / GUIDE
+        least, most = np.searchsorted(cdf, parts[:-1], "right"), np.searchsorted(cdf, parts[1:], "left")
+        exact = (least == most) & (first + least < 2**31)
+        self.firsts[at], self.steps[lo:hi] = first, cdf
+        self.table[at] = np.where(exact, np.minimum(n, first + least), -1 - least) if n > 0 else 0
+        self.known[n, p] = at
+        return at
 
     def guide(self, n: int, p: float) -> np.ndarray:
-        """The quantile in each part of the unit interval, -1 where it takes a search."""
-        first, cdf = self.cdf(n, p)
-        if (n, p) not in self.guides:
-            ends = np.arange(GUIDE + 1) / GUIDE
-            least, most = np.searchsorted(cdf, ends[:-1], "right"), np.searchsorted(cdf, ends[1:], "left")
-            self.guides[n, p] = np.where(least == most, np.minimum(n, first + least), -1)
-        return self.guides[n, p]
+        """The quantile in each part of the unit interval, negative where it takes a search."""
+        return self.table[self._place(n, p)]
+
+    def rows(self, n: np.ndarray, p: float) -> np.ndarray:
+        """Rows of the table for counts, valid until the next call for other counts."""
+        values, which = np.unique(n, return_inverse=True)
+        if len(self.known) + len(values) > MOST_DISTRIBUTIONS:
+            self._forget()
+        return np.array([self._place(value, p) for value in values.tolist()], np.int64)[which]
+
+    def _settled(self, n: np.ndarray, row: np.ndarray, out: np.ndarray, at: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Looked-up draws, of which those at the flat places ``at`` are open and belong to the numbers ``u``."""
+        if not len(at):
+            return out
+        out = out if n.max() < 2**31 else out.astype(np.int64)
+        flat, own = out.ravel(), at // out.shape[1]
+        begin, end, first, most = (x[own] for x in (self.ends[row], self.ends[row + 1], self.firsts[row], n))
+        step, left = begin - 1 - flat[at], np.arange(len(at))
+        for _ in range(2):  # most numbers lie next to the first step
+            left = left[step[left] < end[left]]
+            left = left[self.steps[step[left]] <= u[left]]
+            step[left] += 1
+        low, high, sought = step[left], end[left], u[left]
+        while (low < high).any():
+            middle = np.minimum((low + high) >> 1, high - 1)
+            above = (low < high) & (self.steps[middle] <= sought)
+            low, high = np.where(above, middle + 1, low), np.where(above | (low >= high), high, middle)
+        step[left] = low
+        flat[at] = np.minimum(most, first + step - begin)
+        return out
 
     def draw(self, n: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
-        """Per row of ``u`` the draws for its count ``n``; counts are in ascending order."""
+        """Per row of ``u`` the draws for its count ``n``."""
         if p >= 1:
             return np.broadcast_to(n[:, None], u.shape).copy()
-        values, starts = np.unique(n, return_index=True)
-        cuts = [*starts, len(n)]
-        table = np.stack([self.guide(value, p) if value > 0 else np.zeros(GUIDE, np.int64) for value in values.tolist()] or [np.zeros(GUIDE, np.int64)])
-        place = (u * GUIDE).astype(np.int64)
-        place += (np.searchsorted(values, n) * GUIDE)[:, None]
-        out = table.ravel().take(place).ravel()
-        open_ = np.flatnonzero(out < 0)
-        rest = u.ravel()[open_]
-        at = np.searchsorted(open_, np.array(cuts) * u.shape[1]).tolist()
-        for value, lo, hi in zip(values.tolist(), at, at[1:]):
-            if hi > lo:
-                first, cdf = self.cdf(value, p)
-                out[open_[lo:hi]] = np.minimum(value, first + cdf.searchsorted(rest[lo:hi], "right"))
-        return out.reshape(u.shape)
+        row = self.rows(n, p)
+        out = self.table.ravel().take((u * GUIDE).astype(np.int64) + (row * GUIDE)[:, None])
+        at = np.flatnonzero(out < 0)
+        return self._settled(n, row, out, at, u.ravel()[at])
+
+    def draw_keyed(self, n: np.ndarray, p: float, base: np.ndarray, labels: np.ndarray, hashes: _Hashes) -> np.ndarray:
+        """The same for the uniform numbers that the upper 52 bits of the hashes of rows and draws stand for."""
+        if p >= 1:
+            return np.broadcast_to(n[:, None], (len(n), len(labels))).copy()
+        row = self.rows(n, p)
+        out, open_, rest = np.empty((len(n), len(labels)), np.int32), [np.zeros(0, np.int64)], [np.zeros(0)]
+        step = max(CELLS_AT_ONCE, HASHED_AT_ONCE // max(1, len(labels)))
+        for at in range(0, len(n), step):
+            h, own = hashes.of(base[at : at + step], labels), out[at : at + step]
+            place = (h >> _U(64 - GUIDE_BITS)).view(np.int64)
+            place += (row[at : at + step] * GUIDE)[:, None]
+            self.table.ravel().take(place, out=own, mode="clip")
+            found = true_places(own < 0)
+            open_.append(found + at * len(labels))
+            rest.append((h.ravel()[found] >> _U(12)) * 2.0**-52)
+        return self._settled(n, row, out, np.concatenate(open_), np.concatenate(rest))
 
 
 def thinned_once(n: np.ndarray, labels: np.ndarray, plan: Plan, scenario: Scenario, binomials: Binomials, lo: int, hi: int) -> np.ndarray:
-    """Counts left of ``n``, in ascending order, in some draws of a scenario, keyed by a label for each: rows x draws."""
-    h = mixed(labels[:, None] ^ words(plan.seed, scenario.name, plan.reps)[None, lo:hi])
-    h >>= _U(12)
-    return binomials.draw(n, scenario.parameter, h * 2.0**-52)
+    """Counts left of ``n`` in some draws of a scenario, keyed by a label for each: rows x draws."""
+    drawn, hashes, out = words(plan.seed, scenario.name, plan.reps)[lo:hi], _Hashes(), np.empty((len(n), hi - lo))
+    for at in range(0, len(n), ROWS_AT_ONCE):
+        some = slice(at, at + ROWS_AT_ONCE)
+        out[some] = binomials.draw_keyed(n[some], scenario.parameter, labels[some], drawn, hashes)
+    return out
 
 
 def thinned(n: np.ndarray, labels: np.ndarray, plan: Plan, binomials: Binomials) -> np.ndarray:
     """Counts left of ``n`` in every thinned scenario and draw, keyed by a label for each: rows x scenarios x draws."""
     out = np.zeros((len(n), len(plan.thinned), plan.reps), np.int64)
-    order = np.argsort(n, kind="stable")
     for s, scenario in enumerate(plan.thinned):
-        out[order, s] = thinned_once(n[order], labels[order], plan, scenario, binomials, 0, plan.reps)
+        out[:, s] = thinned_once(n, labels, plan, scenario, binomials, 0, plan.reps)
     return out
 
 
@@ -448,14 +535,19 @@ def thinned_totals(sums: DataFrame, totals: DataFrame, plan: Plan) -> np.ndarray
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        binomials, total = Binomials(), {}
+        binomials, hashes, total = Binomials(), _Hashes(), {}
+        drawn = [words(plan.seed, scenario.name, plan.reps) for scenario in plan.thinned]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                group, n = part.column("group").to_numpy(), part.column("n").to_numpy()
-                left = thinned(n, part.column("base").to_numpy().view(_U), plan, binomials)
-                for g in np.unique(group).tolist():
-                    total[g] = total.get(g, 0) + left[group == g].sum(axis=0).ravel()
+            group, n = batch.column("group").to_numpy(), batch.column("n").to_numpy()
+            base = batch.column("base").to_numpy().view(_U)
+            order = np.lexsort((n, group))
+            cuts = [*np.flatnonzero(np.diff(group[order], prepend=-1)), len(order)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                own = total.setdefault(int(group[order[lo]]), np.zeros(len(plan.thinned) * plan.reps, np.int64)).reshape(len(plan.thinned), -1)
+                for at in range(lo, hi, ROWS_AT_ONCE):
+                    rows = order[at : min(hi, at + ROWS_AT_ONCE)]
+                    for s, scenario in enumerate(plan.thinned):
+                        own[s] += binomials.draw_keyed(n[rows], scenario.parameter, base[rows], drawn[s], hashes).sum(axis=0, dtype=np.int64)
         vectors = [v.tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(vectors, pa.binary())], names=["group", "vector"])
 
@@ -494,12 +586,23 @@ def _combined(plan: Plan):
     return run
 
 
-def _winners(scores: np.ndarray) -> np.ndarray:
-    """Index of the one greatest of the last axis but one, -1 where none is positive, -2 for ties."""
-    best = scores.max(axis=-2)
-    near = best[..., None, :] - scores <= TIE
-    won = near.argmax(axis=-2)
-    return np.where(best <= 0, -1, np.where(near.sum(axis=-2) > 1, -2, won))
+def _winners(cpm: np.ndarray) -> np.ndarray:
+    """Index of the one type with the greatest mean over donors of log1p, -1 where none is positive, -2 for ties.
+
+    The last axes of ``cpm``, which this overwrites, are donors, types and draws. Means of logarithms are in the order of the products
+    of what they are taken of, so none is taken as long as the products stay finite.
+    """
+    donors = cpm.shape[-3]
+    if donors <= MOST_FACTORS:
+        cpm += 1
+        scores = np.multiply.reduce(cpm, axis=-3)
+        best = scores.max(axis=-2)
+        near, none = scores >= (best * np.exp(-TIE * donors))[..., None, :], best <= 1
+    else:
+        scores = np.log1p(cpm, out=cpm).sum(axis=-3) / donors
+        best = scores.max(axis=-2)
+        near, none = best[..., None, :] - scores <= TIE, best <= 0
+    return np.where(none, -1, np.where(near.sum(axis=-2) > 1, -2, near.argmax(axis=-2)))
 
 
 class _Counts:
@@ -523,31 +626,57 @@ class _Counts:
             for r in np.flatnonzero(np.asarray(vectors.is_valid())).tolist()
         ]
 
-    def _sampled(self, s: int, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    def _sampled(self, s: int, some: np.ndarray, groups: np.ndarray, lo: int, hi: int) -> np.ndarray:
         n_groups = len(self.plan.groups)
-        at = np.full(len(self.genes), -1)
-        at[some] = np.arange(len(some))
-        out = np.zeros((len(some) * n_groups, hi - lo), np.int64)
-        packed = self.packed[:, s, lo // 8 : -(-hi // 8)]
-        rows = np.flatnonzero((at[self.place // n_groups] >= 0) & packed.any(axis=1))
+        at, column = np.full(len(self.genes), -1), np.full(n_groups, -1)
+        at[some], column[groups] = np.arange(len(some)), np.arange(len(groups))
+        out = np.zeros((len(some) * len(groups), hi - lo))
+        to = lambda place: at[place // n_groups] * len(groups) + column[place % n_groups]
+        rows = self._drawn_rows(s, at, lo, hi)
         for first in range(0, len(rows), ROWS_AT_ONCE):
             block = rows[first : first + ROWS_AT_ONCE]
-            own = at[self.place[block] // n_groups] * n_groups + self.place[block] % n_groups
-            draws = np.unpackbits(packed[block], axis=1, count=hi - lo)
+            own = to(self.place[block])
+            draws = np.unpackbits(self.packed[block, s, lo // 8 : -(-hi // 8)], axis=1, count=hi - lo)
             starts = np.flatnonzero(np.diff(own, prepend=-1))
-            out[own[starts]] += np.add.reduceat(draws * self.umi[block][:, None], starts, axis=0)
+            sums = draws * self.umi[block].astype(float)[:, None]
+            out[own[starts]] += np.add.reduceat(sums, starts, axis=0) if len(starts) < len(block) else sums
         for place, sums in self.vectors:
-            if at[place // n_groups] >= 0:
-                out[at[place // n_groups] * n_groups + place % n_groups] += sums[s, lo:hi]
+            if at[place // n_groups] >= 0 and column[place % n_groups] >= 0:
+                out[to(place)] += sums[s, lo:hi]
         return out
 
-    def _thinned(self, scenario: Scenario, some: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        n_groups = len(self.plan.groups)
-        whole = self.whole.reshape(-1, n_groups)[some].ravel()
-        out = np.zeros((len(whole), hi - lo), np.int64)
+    def _drawn_rows(self, s: int, at: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Rows of the genes that have a place in ``at`` and of cells in any of the draws."""
+        wanted = at[self.place // len(self.plan.groups)] >= 0
+        return np.flatnonzero(wanted & self.packed[:, s, lo // 8 : -(-hi // 8)].any(axis=1))
+
+    def _few(self, s: int, some: np.ndarray, lo: int, hi: int) -> np.ndarray | None:
+        """:meth:`winners` of a sampled scenario where few draws hold a gene: only those are scored. None where they are many."""
+        plan, n_groups = self.plan, len(self.plan.groups)
+        at = np.full(len(self.genes), -1)
+        at[some] = np.arange(len(some))
+        rows = self._drawn_rows(s, at, lo, hi)
+        packed = self.packed[rows, s, lo // 8 : -(-hi // 8)]
+        if self.vectors or np.bitwise_count(packed).sum(dtype=np.int64) * SPARSE > len(some) * n_groups * (hi - lo):
+            return None
+        won = np.full(len(some) * (hi - lo), -1)
+        row, draw = np.nonzero(np.unpackbits(packed, axis=1, count=hi - lo))
+        place = self.place[rows[row]]
+        column, which = np.unique(at[place // n_groups] * (hi - lo) + draw, return_inverse=True)
+        sums = np.bincount(which * n_groups + place % n_groups, self.umi[rows[row]], len(column) * n_groups).reshape(-1, n_groups)
+        sums = sums * self.library[:, s, lo:hi].T[column % (hi - lo)]
+        own = [plan.types.index(t) for t in plan.sampled[s].types]
+        cpm = sums.reshape(len(column), len(plan.donors), len(plan.types))[:, :, own]
+        won[column] = _winners(np.moveaxis(cpm, 0, 2))
+        return won.reshape(len(some), hi - lo)
+
+    def _thinned(self, scenario: Scenario, some: np.ndarray, groups: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        whole = self.whole.reshape(-1, len(self.plan.groups))[some][:, groups].ravel()
+        out = np.zeros((len(whole), hi - lo))
         seen = np.flatnonzero(whole)
         seen = seen[np.argsort(whole[seen], kind="stable")]
-        out[seen] = thinned_once(whole[seen], self._labels(some)[seen], self.plan, scenario, self.binomials, lo, hi)
+        labels = self._labels(some).reshape(len(some), -1)[:, groups].ravel()
+        out[seen] = thinned_once(whole[seen], labels[seen], self.plan, scenario, self.binomials, lo, hi)
         return out
 
     def _labels(self, some: np.ndarray) -> np.ndarray:
@@ -563,20 +692,20 @@ class _Counts:
         """Per gene of ``some`` and draw from ``lo``, a multiple of 8, to ``hi``: see :func:`_winners`; types as the scenario lists them."""
         plan = self.plan
         scenario = [*plan.sampled, *plan.thinned][s]
-        counts = self._sampled(s, some, lo, hi) if s < len(plan.sampled) else self._thinned(scenario, some, lo, hi)
-        counts = counts.reshape(len(some), len(plan.groups), hi - lo)
-        library = self.library[:, s, lo:hi]
-        if np.count_nonzero(counts) < counts.size // SPARSE:
-            scores = np.zeros(counts.shape)
-            seen = np.nonzero(counts)
-            scores[seen] = np.log1p(counts[seen] * library[seen[1:]])
-        else:
-            scores = counts.astype(np.float64)
-            scores *= library
-            np.log1p(scores, out=scores)
-        own = [plan.types.index(t) for t in scenario.types]
-        shape = (len(some), len(plan.donors), len(plan.types), hi - lo)
-        return _winners((scores.reshape(shape).sum(axis=1) / len(plan.donors))[:, own])
+        if s < len(plan.sampled):
+            few = self._few(s, some, lo, hi)
+            if few is not None:
+                return few
+        place = {g: i for i, g in enumerate(plan.groups)}
+        groups = np.array([place[d, t] for d in plan.donors for t in scenario.types])
+        out = np.empty((len(some), hi - lo), np.int64)
+        for first in range(0, len(some), GENES_SCORED):
+            part = some[first : first + GENES_SCORED]
+            cpm = self._sampled(s, part, groups, lo, hi) if s < len(plan.sampled) else self._thinned(scenario, part, groups, lo, hi)
+            cpm = cpm.reshape(len(part), len(groups), hi - lo)
+            cpm *= self.library[groups, s, lo:hi]
+            out[first : first + GENES_SCORED] = _winners(cpm.reshape(len(part), len(plan.donors), len(scenario.types), hi - lo))
+        return out
 
 
 def _streamed(plan: Plan, totals: np.ndarray, thin_totals: np.ndarray, told: Callable[[_Counts, pa.Table], pa.RecordBatch]):

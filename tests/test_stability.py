@@ -213,3 +213,49 @@ def test_least_agreement_is_that_of_all_tallies_and_scores_fewer_draws(spark, fr
     assert got == [{"gene_id": 7, "least": 0, "held": None}, {"gene_id": 8, "least": 9, "held": None}]
     assert sum(n for _, _, n in scored) == REPS + 3 * 2 * 8
     assert all(some == [1] for _, some, _ in scored[1:])
+
+
+def test_products_rank_as_means_of_logarithms(monkeypatch):
+    rng = np.random.default_rng(6)
+    cpm = rng.integers(0, 3, (40, 5, 4, 30)) * rng.choice([0.5, 3.25, 1e5], (5, 4, 1))
+    cpm[3] = 0
+    cpm[4, :, 1] = cpm[4, :, 2] = 9
+    by_products = st._winners(cpm.copy())
+    monkeypatch.setattr(st, "MOST_FACTORS", 4)
+    assert (st._winners(cpm.copy()) == by_products).all()
+    assert (by_products[3] == -1).all() and {-2, -1, 0, 1, 2, 3} == set(by_products.ravel().tolist())
+    assert st._winners(np.full((1, 300, 2, 1), 1e6) * [[[1], [0.5]]]).tolist() == [[0]]
+
+
+def test_only_draws_that_hold_a_gene_are_scored(spark, frames, monkeypatch):
+    _, _, a, _, _ = frames
+    plan = st.Plan(st.design(a, SCENARIOS, DONORS), SCENARIOS, DONORS, REPS, SEED)
+    draws = np.zeros((2, len(plan.sampled), REPS), np.uint8)
+    draws[0, 0, [5, 30]] = draws[1, 0, 30] = 1
+    bits = [np.packbits(x, axis=1).tobytes() for x in draws]
+    batch = pa.table({
+        "gene_id": [1, 1], "group": pa.array([0, 1], pa.int32()), "umi": [4, 9], "bits": pa.array(bits, pa.binary()),
+        "sums": pa.nulls(2, pa.binary()), "marker": [False, False],
+    })
+    library = np.ones((len(plan.groups), len(plan.sampled) + len(plan.thinned), REPS))
+    counts = st._Counts(plan, library, [1], np.zeros(2, int), batch, st.Binomials())
+    scored, winners = [], st._winners
+    monkeypatch.setattr(st, "_winners", lambda cpm: scored.append(cpm.shape[-1]) or winners(cpm))
+    want = np.full((1, REPS), -1)
+    want[0, [5, 30]] = 0, 1
+    assert (counts.winners(0, np.array([0]), 0, REPS) == want).all() and scored == [2]
+    monkeypatch.setattr(st, "SPARSE", 10**9)
+    assert (counts.winners(0, np.array([0]), 0, REPS) == want).all() and scored == [2, REPS]
+
+
+def test_keyed_draws_are_those_of_their_numbers():
+    b, rng = st.Binomials(), np.random.default_rng(3)
+    n = np.array([0, 1, 7, 7, 300, 300_000, 2**33])
+    base, labels = rng.integers(0, 2**63, len(n)).astype(np.uint64), rng.integers(0, 2**63, 2000).astype(np.uint64)
+    u = (st.mixed(base[:, None] ^ labels[None, :]) >> np.uint64(12)) * 2.0**-52
+    for p in (0.25, 0.75, 1.0):
+        got = b.draw_keyed(n, p, base, labels, st._Hashes())
+        assert (got == b.draw(n, p, u)).all() and (got <= n[:, None]).all()
+        for value, row, x in zip(n[1:], got[1:], u[1:]):
+            first, cdf = b.cdf(int(value), p) if p < 1 else (int(value), np.ones(1))
+            assert (row == np.minimum(value, first + (np.searchsorted(cdf, x, "right") if p < 1 else 0))).all()
